@@ -7,26 +7,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.llm.mixing import mix
+from driftline.llm.packing import pack
 from driftline.llm.quality import quality_rules
 from driftline.llm.sharding import shard_documents
+from driftline.llm.simhash import near_duplicates
+from driftline.llm.token_files import read_tokens, write_tokens
 from driftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
     return quality_rules(docs, trusted).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
+
+
 QUERIES: dict[str, Query] = {
+    "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_files": op6_token_files,
     "op7_sharding": op7_sharding,
+    "op8_mixing": op8_mixing,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
