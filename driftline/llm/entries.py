@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.llm import embedding_dedup, html_text, language, ngram
 from driftline.llm.mixing import mix
 from driftline.llm.packing import pack
 from driftline.llm.quality import quality_rules
@@ -25,6 +26,18 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(table(spark, sf_dir, "documents"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,13 +65,37 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_html_text": op1_html_text,
+    "op2_ngram_score": op2_ngram_score,
+    "op3_language": op3_language,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_files": op6_token_files,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can't express an operator, tests hold it against a brute-force version.
+ORACLE_SQL: dict[str, str] = {
+    "op10_embedding_dedup": """
+        WITH RECURSIVE unit AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0
+        ), link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+        ), reach(a, b) AS (
+            SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+        )
+        SELECT e.vec_id, (SELECT count(*) FROM link WHERE a = e.vec_id) AS n_links,
+               least(e.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = e.vec_id), e.vec_id)) AS component_id,
+               e.vec_id = least(e.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = e.vec_id), e.vec_id)) AS kept
+        FROM embeddings e
+    """,
+}
