@@ -171,20 +171,20 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     only some of its words are taken, the text holds these, joined by spaces.
     """
     names = docs.columns
-    whole = written(docs.withColumn("__text", F.col(text)).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    sized = written(whole.select("row", F.col(source).alias("__from"), F.size(words_of(F.col("__text"))).cast("long").alias("size")), "sizes")
-    taken = mix_rows(sized, "__from", **how).where(F.col("taken") > 0).select("row", F.col("size").alias("__size"), F.col("pieces").alias("__pieces"))
+    whole = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    sized = written(whole.select(F.col("__row").alias("row"), F.col(source).alias("__from"), F.size(words_of(F.col(text))).cast("long").alias("size")), "sizes")
+    taken = mix_rows(sized, "__from", **how).where(F.col("taken") > 0).select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("pieces").alias("__pieces"))
 
     def length(p: Column, turn: Column) -> Column:
         return F.when(p["whole"] >= turn, p["length"]).when(p["whole"] == turn - 1, p["begin"]).otherwise(F.lit(0))
 
     turns = F.explode(F.sequence(F.lit(1), F.lit(2)))
-    rows = whole.join(taken, "row").withColumn("__turn", turns)
+    rows = whole.join(taken, "__row").withColumn("__turn", turns)
     rows = rows.withColumn("__runs", F.filter(F.transform("__pieces", lambda p: F.struct(p["at"].alias("at"), length(p, F.col("__turn")).alias("n"))), lambda r: r["n"] > 0)).where(F.size("__runs") > 0)
     n = F.aggregate("__runs", F.lit(0).cast("long"), lambda s, r: s + r["n"])
-    words = rows.withColumn("__n", n).withColumn("__words", words_of(F.col("__text")))
+    words = rows.withColumn("__n", n).withColumn("__words", words_of(F.col(text)))
     some = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice("__words", (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")
-    new = words.withColumn(text, F.when(F.col("__n") == F.col("__size"), F.col("__text")).otherwise(some))
+    new = words.withColumn(text, F.when(F.col("__n") == F.col("__size"), F.col(text)).otherwise(some))
     if "n_chars" in names:
         new = new.withColumn("n_chars", F.char_length(text).cast("long"))
     return new.select(*names)
