@@ -32,7 +32,7 @@ def funnel(firsts: DataFrame, steps: list[str], start: Column, end: Column) -> D
     """Users whose first time of a step lies in [start, end), and the share of the step before."""
     counts = firsts.agg(*[F.count_if(in_window(F.col(s), start, end)).alias(s) for s in steps])
     pairs = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(s).alias("name"), F.col(s).alias("users")) for i, s in enumerate(steps)])
-    rows = F.transform(pairs, lambda p: F.struct(p["step"].alias("step"), p["name"].alias("name"), p["users"].alias("users"), F.try_divide(p["users"], F.try_element_at(pairs, p["step"]).getField("users")).alias("conversion")))
+    rows = F.transform(pairs, lambda p: F.struct(p["step"].alias("step"), p["name"].alias("name"), p["users"].alias("users"), F.try_divide(p["users"], F.get(pairs, p["step"] - 1)["users"]).alias("conversion")))
     first = lambda p: F.when(p["step"] > 0, p["conversion"])
     return counts.select(F.inline(F.transform(rows, lambda p: F.struct(p["step"].alias("step"), p["name"].alias("name"), p["users"].alias("users"), first(p).alias("conversion")))))
 

@@ -1,6 +1,6 @@
 """Queries over the tables, registered by name."""
 
-from driftline.plans import changes  # noqa: F401
+from driftline.plans import business, changes, signals  # noqa: F401
 from driftline.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
