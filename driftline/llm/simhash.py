@@ -38,6 +38,8 @@ SHINGLE = 3
 SEED = 42
 #: Shingles of a text that are held at once.
 CHUNK = 1 << 16
+#: Distinct fingerprints whose variants one task makes.
+FINGERPRINTS_PER_TASK = 20_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -67,22 +69,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, "doc_id long, fp long")
 
 
-def _masks() -> list[tuple[int, int]]:
-    """(parity, mask): what a fingerprint of the parity flips."""
-    near = [0, *(1 << i for i in range(64))]
-    far = [(1 << i) | (1 << j) for half in (range(32), range(32, 64)) for i, j in combinations(half, 2)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [(0, signed(m)) for m in near + far] + [(1, signed(m)) for m in near]
+def _flips() -> list[tuple[int, int, int, int]]:
+    """(parity, bits, i, j): which bits a fingerprint of the parity flips; the first ``bits`` of i and j count."""
+    near = [(0, 0, 0), *((1, i, 0) for i in range(64))]
+    far = [(2, i, j) for half in (range(32), range(32, 64)) for i, j in combinations(half, 2)]
+    return [(0, *f) for f in near + far] + [(1, *f) for f in near]
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints of column ``fp``, enough of them to connect every component, and none between fingerprints over RADIUS bits apart."""
-    masks = fps.sparkSession.createDataFrame(_masks(), "parity int, mask long")
+    """(a, b): links between distinct fingerprints of column ``fp``, enough of them to connect every component, and none between fingerprints over RADIUS bits apart.
+
+    A variant is shuffled with 14 bits that say what was flipped, which gives the
+    fingerprint back; random 64-bit numbers are what a shuffle compresses worst.
+    """
+    flips = fps.sparkSession.createDataFrame(_flips(), "parity int, bits int, i int, j int")
+    flips = flips.select("parity", (F.col("bits") * 4096 + F.col("i") * 64 + F.col("j")).cast("short").alias("flip"))
+    bits = F.shiftright("flip", 12)
+    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
+    flipped = F.when(bits == 0, F.lit(0)).when(bits == 1, bit("(flip >> 6) & 63")).otherwise(bit("(flip >> 6) & 63").bitwiseXOR(bit("flip & 63")))
     parity = F.pmod(F.bit_count("fp"), F.lit(2))
-    met = fps.withColumn("parity", parity).join(F.broadcast(masks), "parity")  # 1122 masks, always
-    variants = met.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
-    in_core = F.bit_count(F.col("fp").bitwiseXOR(F.col("key"))) <= 1
-    core = F.min(F.when(in_core, F.col("fp"))).over(Window.partitionBy("key"))
+    spread = fps.repartition(fps.count() // FINGERPRINTS_PER_TASK + 1, "fp").withColumn("parity", parity)
+    met = spread.join(F.broadcast(flips), "parity")  # 1122 rows, always
+    variants = met.select(F.col("fp").bitwiseXOR(flipped).alias("key"), "flip").repartition("key").withColumn("fp", F.col("key").bitwiseXOR(flipped))
+    core = F.min(F.when(bits <= 1, F.col("fp"))).over(Window.partitionBy("key"))
     pairs = variants.withColumn("core", core).where(F.col("core") != F.col("fp")).select(F.col("fp").alias("a"), F.col("core").alias("b")).distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
