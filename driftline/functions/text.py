@@ -38,8 +38,10 @@ def normalized_tags(tags: Column) -> Column:
 def csv_field(x: Column) -> Column:
     """A CSV field that no spreadsheet takes for a formula."""
     text = F.coalesce(x.cast("string"), F.lit(""))
-    safe = F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
-    return F.when(safe.rlike(r'[",\n\r]'), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
+    formula = text.rlike(r"^[=+\-@\t\r]")
+    guarded = F.when(formula, F.concat(F.lit("'"), text)).otherwise(text)
+    quoted = F.concat(F.lit('"'), F.replace(guarded, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(formula | text.rlike(r'[",\n\r]'), quoted).otherwise(text)
 
 
 def csv_line(*columns: Column) -> Column:
@@ -47,12 +49,12 @@ def csv_line(*columns: Column) -> Column:
 
 
 def promo_code(raw: Column) -> Column:
-    """A code as it is stored: upper case, without white space."""
-    return F.upper(F.regexp_replace(raw, r"\s+", ""))
+    """A code as it is stored: upper case, without white space and hyphens."""
+    return F.regexp_replace(F.upper(raw), r"[\s-]", "")
 
 
 def is_vanity_code(code: Column) -> Column:
-    return code.rlike(r"^[A-Z0-9][A-Z0-9-]{2,31}$")
+    return code.rlike(r"^[A-Z0-9]{4,32}$")
 
 
 def plan_label(plan: Column) -> Column:
@@ -67,10 +69,16 @@ def format_limit(limit: Column) -> Column:
     return F.coalesce(limit.cast("string"), F.lit("Unlimited"))
 
 
+IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"
+IPV6 = r"^(?=.*:)[0-9A-Fa-f:.]{2,45}$"
+
+
 def client_ip(forwarded_for: Column, trusted_hops: int = 1) -> Column:
-    """The address that the outermost of our own proxies saw."""
-    hops = F.filter(F.transform(F.split(forwarded_for, ","), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(F.size(hops) >= trusted_hops, F.element_at(hops, -trusted_hops))
+    """The address that the outermost of our own proxies saw, ``unknown`` if the header can't tell; what isn't an address is no hop."""
+    hops = F.filter(F.transform(F.split(forwarded_for, ","), lambda x: F.trim(x)), lambda x: x.rlike(IPV4) | x.rlike(IPV6))
+    if trusted_hops < 1:
+        return F.lit("unknown")
+    return F.coalesce(F.when(F.size(hops) >= trusted_hops, F.element_at(hops, -trusted_hops)), F.lit("unknown"))
 
 
 def region_names(metadata: Column) -> Column:

@@ -180,5 +180,5 @@ def failed_logins(attempts: DataFrame, minutes: int = 15) -> DataFrame:
 
 def login_delay_ms(email_failures: Column, ip_failures: Column) -> Column:
     """What a further attempt waits; null where it is locked out."""
-    delay = F.least(F.lit(8000.0), F.lit(500.0) * F.pow(F.lit(2.0), F.least(email_failures, F.lit(10)) - 1))
-    return F.when((email_failures >= 10) | (ip_failures >= 30), F.lit(None)).when(email_failures == 0, F.lit(0.0)).otherwise(delay).cast("long")
+    delay = F.least(F.lit(8000.0), F.lit(500.0) * F.pow(F.lit(2.0), F.least(email_failures, F.lit(10)) - 5))
+    return F.when((email_failures >= 10) | (ip_failures >= 30), F.lit(None)).when(email_failures < 5, F.lit(0.0)).otherwise(delay).cast("long")

@@ -88,16 +88,18 @@ def slots(requests: DataFrame, key: str = "user_id", limit: str = "slots", at: s
     return _decided(requests, key, [at, tie], decide, "outcome string")
 
 
-def promo_verdict(promo: dict[str, Column], plan: Column, now: Column) -> Column:
-    """Why a code can't be used, or OK; the rules are tried in this order."""
+def promo_verdict(promo: dict[str, Column], user_id: Column, plan: Column, now: Column) -> Column:
+    """Why a code can't be used, or ok; the rules are tried in this order."""
     return (
-        F.when(promo["code"].isNull(), "NOT_FOUND")
-        .when(~promo["active"], "INACTIVE")
-        .when(promo["starts_at"] > now, "NOT_STARTED")
-        .when(promo["expires_at"] <= now, "EXPIRED")
-        .when(promo["plan"].isNotNull() & (promo["plan"] != plan), "WRONG_PLAN")
-        .when(promo["max_redemptions"] <= promo["redemptions"], "EXHAUSTED")
-        .otherwise("OK")
+        F.when(promo["code"].isNull(), "not_found")
+        .when(promo["assigned_to"].isNotNull() & (promo["assigned_to"] != user_id), "not_assigned_to_you")
+        .when(promo["status"] != "ACTIVE", "disabled")
+        .when(now < promo["valid_from"], "not_yet_valid")
+        .when(now > promo["valid_until"], "expired")
+        .when(promo["plan"].isNotNull() & (promo["plan"] != plan), "wrong_plan")
+        .when(promo["redemptions"] >= promo["max_redemptions"], "exhausted")
+        .when(promo["user_redemptions"] >= promo["per_user_limit"], "already_redeemed")
+        .otherwise("ok")
     )
 
 

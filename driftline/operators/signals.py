@@ -98,9 +98,9 @@ def persistence(crawls: DataFrame, products: DataFrame, transitions: DataFrame,
     return out.withColumn("ratio", F.when(F.col("crawls") >= least, F.col("present") / F.col("crawls")))
 
 
-def freshness(first_seen_at: Column, now: Column) -> Column:
-    days = F.floor((F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(first_seen_at.cast("timestamp"))) / 86_400)
-    return F.when(days < 14, "NEW").when(days < 60, "RECENT").otherwise("ESTABLISHED")
+def freshness(status: Column, ratio: Column, store_crawls: Column, least: int = 3) -> Column:
+    """What a product's persistence says: a ratio is known after enough crawls of its own; before that it is new if the store has had enough."""
+    return F.when(status != "ACTIVE", "RECENTLY_MISSING").when(ratio.isNotNull(), "ESTABLISHED").when(store_crawls >= least, "NEW").otherwise("INSUFFICIENT_HISTORY")
 
 
 def price_spread(products: DataFrame, keys: list[str], price: str = "price_min_cents") -> DataFrame:
@@ -147,13 +147,25 @@ def store_activity(events: DataFrame, sizes: DataFrame, crawls: DataFrame, start
     return rows.withColumn("delta_pct", F.when(F.col("window_ago") != 0, half_up(F.col("delta") / F.col("window_ago") * 1000) / 10))
 
 
-def growth_signal(delta: Column, delta_pct: Column, price_changes: Column) -> Column:
-    return (
-        F.when(delta_pct >= 5, F.concat(F.lit("CATALOG_EXPANSION: "), delta.cast("string"), F.lit(" more products")))
-        .when(delta_pct <= -5, F.concat(F.lit("CATALOG_CONTRACTION: "), F.abs(delta).cast("string"), F.lit(" fewer products")))
-        .when(price_changes > 0, F.concat(F.lit("PRICE_ACTIVITY: "), price_changes.cast("string"), F.lit(" price changes")))
-        .otherwise("STEADY: no notable change")
+def growth_signals(delta: Column, delta_pct: Column, price_changes: Column, days: int) -> Column:
+    """What a window shows, as an array of (kind, detail); empty without enough history (a null delta)."""
+    text = lambda *xs: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in xs])
+    window = f" over the last {days} days"
+    pct = lambda sign: F.when(delta_pct.isNull(), "").otherwise(text(f" ({sign}", delta_pct, "%)"))
+    made = lambda kind, detail: F.struct(F.lit(kind).alias("kind"), detail.alias("detail"))
+    moves = F.array(
+        F.when(delta > 0, made("CATALOG_EXPANSION", text("+", delta, " products", pct("+"), window))),
+        F.when(delta < 0, made("CATALOG_CONTRACTION", text(delta, " products", pct(""), window))),
+        F.when(price_changes > 0, made("PRICE_ACTIVITY", text(price_changes, F.when(price_changes == 1, " price change").otherwise(" price changes"), f" observed in the last {days} days"))),
     )
+    some = F.filter(moves, lambda m: m.isNotNull())
+    steady = F.array(made("STEADY", F.lit(f"No catalog or price changes observed in the last {days} days")))
+    return F.when(delta.isNull(), F.slice(steady, 1, 0)).when(F.size(some) > 0, some).otherwise(steady)
+
+
+def interpretation(delta: Column, momentum: Column) -> Column:
+    """A headline where the catalog and the ranks agree, else null."""
+    return F.when((delta > 0) & (momentum == "IMPROVING"), "Storefront activity increasing").when((delta < 0) & (momentum == "DECLINING"), "Storefront activity decreasing")
 
 
 def review_signal(observations: DataFrame, last: int = 10) -> DataFrame:
@@ -194,10 +206,10 @@ def review_budget(has_provider: Column) -> Column:
 
 
 def overall_momentum(ranked: DataFrame) -> DataFrame:
-    """The momentum of over half of a store's decided products, of two at least."""
-    said = ranked.groupBy("store_id").agg(F.count("momentum").alias("decided"), *[F.count_if(F.col("momentum") == m).alias(m) for m in ("IMPROVING", "DECLINING", "STABLE")])
+    """IMPROVING or DECLINING if over half of a store's decided products, of two at least, are."""
+    said = ranked.groupBy("store_id").agg(F.count("momentum").alias("decided"), *[F.count_if(F.col("momentum") == m).alias(m) for m in ("IMPROVING", "DECLINING")])
     most = F.lit(None).cast("string")
-    for m in ("STABLE", "DECLINING", "IMPROVING"):
+    for m in ("DECLINING", "IMPROVING"):
         most = F.when((F.col("decided") >= 2) & (F.col(m) * 2 > F.col("decided")), m).otherwise(most)
     return said.select("store_id", "decided", most.alias("momentum"))
 

@@ -47,7 +47,7 @@ def after_crawl(stores: DataFrame, outcomes: DataFrame, now: Column, demote_at:
     rows = stores.join(outcomes, "store_id")
     streak = F.when(F.col("outcome") == "OK", 0).when(F.col("outcome") == "ABORTED", F.col("failure_streak")).otherwise(F.col("failure_streak") + 1)
     rows = rows.withColumn("failure_streak", streak)
-    rows = rows.withColumn("tier", F.when((F.col("outcome") == "FAILED") & (F.col("failure_streak") >= demote_at), "DORMANT").otherwise(F.col("tier")))
+    rows = rows.withColumn("tier", F.when((F.col("outcome") == "FAILED") & (F.col("failure_streak") >= demote_at), "DISABLED").otherwise(F.col("tier")))
     return rows.withColumn(
         "next_crawl_at",
         F.when(F.col("outcome") == "OK", next_after_success(now, F.col("tier"))).when(F.col("outcome") == "ABORTED", after_hours(now, F.lit(1))).otherwise(next_after_failure(now, F.greatest(F.lit(1), F.col("failure_streak")))),

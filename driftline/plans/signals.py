@@ -77,8 +77,8 @@ def rank_signals(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {D.CATALOG}, o AS (SELECT store_id, external_id, year, bestseller_rank AS rank, lag(bestseller_rank) OVER (PARTITION BY store_id, external_id ORDER BY year) AS before FROM catalog),
         g AS (SELECT store_id, external_id, count(*) AS n, coalesce(bool_or(rank < before), false) AS up, coalesce(bool_or(rank > before), false) AS down FROM o GROUP BY ALL),
         m AS (SELECT store_id, CASE WHEN n >= 4 AND up AND NOT down THEN 'IMPROVING' WHEN n >= 4 AND down AND NOT up THEN 'DECLINING' WHEN n >= 4 AND NOT up AND NOT down THEN 'STABLE' END AS momentum FROM g),
-        c AS (SELECT store_id, count(momentum) AS decided, count(*) FILTER (WHERE momentum = 'IMPROVING') AS i, count(*) FILTER (WHERE momentum = 'DECLINING') AS d, count(*) FILTER (WHERE momentum = 'STABLE') AS s FROM m GROUP BY ALL)
-        SELECT store_id, decided, CASE WHEN decided < 2 THEN NULL WHEN i * 2 > decided THEN 'IMPROVING' WHEN d * 2 > decided THEN 'DECLINING' WHEN s * 2 > decided THEN 'STABLE' END AS momentum FROM c""",
+        c AS (SELECT store_id, count(momentum) AS decided, count(*) FILTER (WHERE momentum = 'IMPROVING') AS i, count(*) FILTER (WHERE momentum = 'DECLINING') AS d FROM m GROUP BY ALL)
+        SELECT store_id, decided, CASE WHEN decided < 2 THEN NULL WHEN i * 2 > decided THEN 'IMPROVING' WHEN d * 2 > decided THEN 'DECLINING' END AS momentum FROM c""",
 )
 def overall_momentum(spark: SparkSession, sf: str) -> DataFrame:
     return S.overall_momentum(S.rank_signals(_observations(spark, sf)))
@@ -190,13 +190,27 @@ def store_activity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "growth_signal",
+    "growth_signals",
     f"""{_EVENTS}{_COUNTED}, u AS (SELECT *, floor(delta / window_ago::DOUBLE * 1000 + 0.5) / 10 AS pct FROM t)
-        SELECT store_id, CASE WHEN pct >= 5 THEN 'CATALOG_EXPANSION: ' || delta || ' more products' WHEN pct <= -5 THEN 'CATALOG_CONTRACTION: ' || abs(delta) || ' fewer products'
-               WHEN price_changes > 0 THEN 'PRICE_ACTIVITY: ' || price_changes || ' price changes' ELSE 'STEADY: no notable change' END AS signal FROM u""",
+        SELECT store_id, 'CATALOG_EXPANSION' AS kind, '+' || delta || ' products (+' || pct || '%) over the last 30 days' AS detail FROM u WHERE delta > 0
+        UNION ALL SELECT store_id, 'CATALOG_CONTRACTION', delta || ' products (' || pct || '%) over the last 30 days' FROM u WHERE delta < 0
+        UNION ALL SELECT store_id, 'PRICE_ACTIVITY', price_changes || ' price changes observed in the last 30 days' FROM u WHERE price_changes > 1""",
 )
-def growth_signal(spark: SparkSession, sf: str) -> DataFrame:
-    return _activity(spark, sf).select("store_id", S.growth_signal(F.col("delta"), F.col("delta_pct"), F.col("price_changes")).alias("signal"))
+def growth_signals(spark: SparkSession, sf: str) -> DataFrame:
+    return _activity(spark, sf).select("store_id", F.inline(S.growth_signals(F.col("delta"), F.col("delta_pct"), F.col("price_changes"), 30)))
+
+
+@query(
+    "interpretation",
+    f"""{_EVENTS}{_COUNTED}, o AS (SELECT store_id, external_id, year, bestseller_rank AS rank, lag(bestseller_rank) OVER (PARTITION BY store_id, external_id ORDER BY year) AS before FROM catalog),
+        g AS (SELECT store_id, external_id, count(*) AS n, coalesce(bool_or(rank < before), false) AS up, coalesce(bool_or(rank > before), false) AS down FROM o GROUP BY ALL),
+        m AS (SELECT store_id, CASE WHEN n >= 4 AND up AND NOT down THEN 'I' WHEN n >= 4 AND down AND NOT up THEN 'D' WHEN n >= 4 AND NOT up AND NOT down THEN 'S' END AS x FROM g),
+        c AS (SELECT store_id, count(x) AS decided, count(*) FILTER (WHERE x = 'I') AS i, count(*) FILTER (WHERE x = 'D') AS d FROM m GROUP BY ALL)
+        SELECT t.store_id, CASE WHEN delta > 0 AND decided >= 2 AND i * 2 > decided THEN 'Storefront activity increasing' WHEN delta < 0 AND decided >= 2 AND d * 2 > decided THEN 'Storefront activity decreasing' END AS headline FROM t JOIN c USING (store_id)""",
+)
+def interpretation(spark: SparkSession, sf: str) -> DataFrame:
+    momentum = S.overall_momentum(S.rank_signals(_observations(spark, sf)))
+    return _activity(spark, sf).join(momentum, "store_id").select("store_id", S.interpretation(F.col("delta"), F.col("momentum")).alias("headline"))
 
 
 @query(
@@ -224,12 +238,15 @@ def cross_store_moves(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "freshness",
-    f"""WITH {D.CATALOG}, f AS (SELECT store_id, external_id, max(make_timestamp(year, 12, 31, 0, 0, 0)) AS seen FROM catalog WHERE year <= 1998 GROUP BY ALL)
-        SELECT store_id, CASE WHEN seen >= TIMESTAMP '1998-12-31' THEN 'NEW' ELSE 'ESTABLISHED' END AS label, count(*) AS n FROM f GROUP BY ALL""",
+    f"""WITH {D.CATALOG}, p AS (SELECT store_id, external_id, min(year) AS first, max(year) AS last FROM catalog GROUP BY ALL), e AS (SELECT store_id, max(year) AS fin, count(DISTINCT year) AS n FROM catalog GROUP BY ALL), y AS (SELECT DISTINCT store_id, year FROM catalog),
+        k AS (SELECT p.store_id, external_id, last < fin AS gone, n, count(*) AS crawls FROM p JOIN e USING (store_id) JOIN y ON y.store_id = p.store_id AND y.year >= first GROUP BY ALL)
+        SELECT store_id, CASE WHEN gone THEN 'RECENTLY_MISSING' WHEN crawls >= 3 THEN 'ESTABLISHED' WHEN n >= 3 THEN 'NEW' ELSE 'INSUFFICIENT_HISTORY' END AS label, count(*) AS products FROM k GROUP BY ALL""",
 )
 def freshness(spark: SparkSession, sf: str) -> DataFrame:
-    seen = D.catalog(spark, sf).where("year <= 1998").groupBy("store_id", "external_id").agg(F.make_date(F.max("year"), F.lit(12), F.lit(31)).cast("timestamp_ntz").alias("seen"))
-    return seen.groupBy("store_id", S.freshness(F.col("seen"), D.at(D.NOW)).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    crawls, products, moves = _presence(spark, sf)
+    known = S.persistence(crawls, products, moves).join(products.select("store_id", "external_id", "status"), ["store_id", "external_id"])
+    counted = known.join(crawls.groupBy("store_id").agg(F.count(F.lit(1)).alias("store_crawls")), "store_id")
+    return counted.groupBy("store_id", S.freshness(F.col("status"), F.col("ratio"), F.col("store_crawls")).alias("label")).agg(F.count(F.lit(1)).alias("products"))
 
 
 @query(
