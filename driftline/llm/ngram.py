@@ -15,7 +15,11 @@ token and is read once from left to right.
 The automaton grows with the corpus and is never brought together. Documents are
 cut into blocks; every block says which tokens and bigrams it holds, the counts
 are summed where these meet by hash, and each block gets back the part of the
-automaton that its own texts can reach. Tokens are known by 64-bit hashes.
+automaton that its own texts can reach. The blocks lie in a table that is bucketed
+by block, so that they stay where they are while the answers come to them.
+
+Tokens are known by 64-bit hashes. Within a bucket, of which there are as many as
+blocks, bigrams are known by 48 bits of theirs.
 """
 
 from __future__ import annotations
@@ -30,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import written
+from driftline.session import bucketed, written
 
 KEEP = 2
 DISCOUNT = 0.75
 ADD = 0.1
 #: Tokens of a block, but for one document that is longer.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_500_000
 #: The end token holds white space and so is no word.
 END = b" "
 FOLDS = 10
@@ -57,7 +61,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
     raw, out = zstandard.ZstdDecompressor().decompress(data), []
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     head, at = np.frombuffer(raw, "<i8", 2 * n, 8), 8 * (1 + 2 * n)
-    types = {np.dtype(t).num: np.dtype(t) for t in ("i4", "u4", "i8", "u8", "f8", "?")}
+    types = {np.dtype(t).num: np.dtype(t) for t in ("u2", "i4", "u4", "i8", "u8", "f8", "?")}
     for size, kind in head.reshape(-1, 2):
         out.append(np.frombuffer(raw, types[int(kind)], int(size), at))
         at += int(size) * types[int(kind)].itemsize
@@ -83,9 +87,8 @@ class Block:
     def add(self, doc_id: int | None, train: bool, text: str | None) -> None:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, ASCII white space
         numbers = self.numbers
-        for w in words:
-            if w not in numbers:
-                numbers[w] = len(numbers)
+        fresh = [w for w in dict.fromkeys(words) if w not in numbers]
+        numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh)), strict=True))
         self.tokens.append(np.fromiter(map(numbers.__getitem__, words), dtype="<i4", count=len(words)))
         self.tokens.append(np.zeros(1, dtype="<i4"))
         self.ids.append(doc_id or 0)
@@ -94,9 +97,10 @@ class Block:
         self.lengths.append(len(words) + 1)
         self.size += len(words) + 1
 
-    def packed(self) -> bytes:
+    def packed(self) -> tuple[bytes, bytes]:
+        """The documents, and the hashes of the tokens."""
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.numbers), dtype="<u8", count=len(self.numbers))
-        return pack(np.array(self.ids, "<i8"), np.array(self.known_id, "?"), np.array(self.train, "?"), np.array(self.lengths, "<i8"), np.concatenate(self.tokens), hashes)
+        return pack(np.array(self.ids, "<i8"), np.array(self.known_id, "?"), np.array(self.train, "?"), np.array(self.lengths, "<i8"), np.concatenate(self.tokens)), pack(hashes)
 
 
 def _pairs(tokens: np.ndarray, n: int) -> np.ndarray:
@@ -105,180 +109,204 @@ def _pairs(tokens: np.ndarray, n: int) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """The documents as written blocks: ``block``, ``data``."""
+    """The documents as blocks: ``block``, ``data``, ``hashes``; a table bucketed by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial, block = TaskContext.get().partitionId(), 0, Block()
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"block": [(part << 32) + serial], "data": [block.packed()]})
+            data, hashes = block.packed()
+            return pa.RecordBatch.from_pydict({"block": [(part << 32) + serial], "data": [data], "hashes": [hashes]})
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block.add(*row)
-                if block.size >= BLOCK_TOKENS:
-                    yield flush()
-                    serial, block = serial + 1, Block()
+            for at in range(0, batch.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    block.add(*row)
+                    if block.size >= BLOCK_TOKENS:
+                        yield flush()
+                        serial, block = serial + 1, Block()
         if block.size:
             yield flush()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), (~held_out(id_col)).alias("train"), F.col(text).alias("text"))
-    return written(chosen.mapInArrow(run, "block long, data binary"), "blocks")
+    return bucketed(chosen.mapInArrow(run, "block long, data binary, hashes binary"), "blocks", "block")
+
 
+def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
+    return ((hashes >> np.uint64(48)) * np.uint64(n) >> np.uint64(16)).astype(np.int64) if n < 1 << 16 else (hashes % np.uint64(n)).astype(np.int64)
 
-def _split(buckets: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+
+def _by_bucket(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of entries by bucket, and where each bucket begins in it. It is the same whenever a block works it out."""
+    buckets = _bucket(hashes, n)
     order = np.argsort(buckets, kind="stable")
-    cuts = np.searchsorted(buckets[order], np.arange(n + 1))
-    for b in range(n):
-        if cuts[b] < cuts[b + 1]:
-            rows = order[cuts[b] : cuts[b + 1]]
-            yield b, [c[rows] for c in columns]
+    return order, np.searchsorted(buckets[order], np.arange(n + 1))
 
 
-def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences, which compress."""
+    return np.diff(x, prepend=0).astype("<u4")
+
+
+def _block_pairs(tokens: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct bigrams of a block in order, the number of each position's bigram, and the bigrams' hashes."""
+    keys, inverse = np.unique(_pairs(tokens, len(hashes)), return_inverse=True)
+    return keys, inverse, _pair_hash(hashes[keys // len(hashes)], hashes[keys % len(hashes)])
+
+
+ASKED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
+ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
 
 
-def _ask(kind: str, n_buckets: int):
-    """What the blocks hold, by bucket: their distinct tokens or bigrams with the counts in training text."""
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _ask_bigrams(n: int):
+    """The distinct bigrams of each block by bucket: 48 bits of the hash, the count in training text, and the first token's number in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, _, train, lengths, tokens, hashes = unpack(data)
-                learned = np.repeat(train, lengths)
-                if kind == "tokens":
-                    counts = np.bincount(tokens[learned], minlength=len(hashes))
-                    parts = _split(_bucket(hashes, n_buckets), n_buckets, hashes, counts.astype("<i8"))
-                else:
-                    keys, inverse = np.unique(_pairs(tokens, len(hashes)), return_inverse=True)
-                    counts = np.bincount(inverse[learned], minlength=len(keys)).astype("<i8")
-                    u, w = np.divmod(keys, len(hashes))
-                    pair = _pair_hash(hashes[u], hashes[w])
-                    parts = _bigram_parts(pair, hashes[u], counts, n_buckets)
-                for bucket, columns in parts:
-                    yield pa.RecordBatch.from_pydict({"bucket": [bucket], "block": [block], "data": [pack(*columns)]}, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("data", pa.binary())]))
+            for block, data, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, _, train, lengths, tokens = unpack(data)
+                (hashes,) = unpack(hashes)
+                keys, inverse, pair = _block_pairs(tokens, hashes)
+                counts = np.bincount(inverse[np.repeat(train, lengths)], minlength=len(keys)).astype("<u4")
+                order, cuts = _by_bucket(pair, n)
+                for b in range(n):
+                    some = order[cuts[b] : cuts[b + 1]]
+                    if len(some):
+                        h = pair[some]
+                        blob = pack((h & np.uint64(0xFFFFFFFF)).astype("<u4"), ((h >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2"), counts[some], _steps(keys[some] // len(hashes)))
+                        yield from _rows(ASKED, [(b, block, blob)]).to_batches()
 
     return run
 
 
-def _bigram_parts(pair: np.ndarray, context: np.ndarray, counts: np.ndarray, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Bigrams by bucket: hashes, counts, and the contexts as runs (they come sorted by context)."""
-    for b, (p, c, k) in _split(_bucket(pair, n), n, pair, context, counts):
-        starts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-        yield b, [p, k.astype("<u4") if k.max() < 1 << 32 else k, c[starts], np.diff(np.concatenate((starts, [len(c)]))).astype("<u4")]
-
-
-def _meet_bigrams(n_contexts: int):
-    """Sum up the bigrams of one bucket. Blocks get those that stay; ``block`` -1 - b gets the sums of bucket b's contexts."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        made = {"block": [], "data": []}
-        asked = [(b, unpack(d)) for b, d in zip(table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True)]
-        pairs = np.concatenate([a[0] for _, a in asked])
-        counts = np.concatenate([a[1].astype(np.int64) for _, a in asked])
-        contexts = np.concatenate([np.repeat(a[2], a[3]) for _, a in asked])
-        distinct, first, inverse = np.unique(pairs, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, counts, minlength=len(distinct)).astype(np.int64)
-        at = 0
-        for block, a in asked:
-            mine = total[inverse[at : at + len(a[0])]]
-            at += len(a[0])
-            if (mine >= KEEP).any():
-                made["block"].append(block)
-                made["data"].append(pack(a[0][mine >= KEEP], mine[mine >= KEEP]))
-        stays = total >= KEEP
-        context, where = np.unique(contexts[first[stays]], return_inverse=True)
-        mass, arcs = np.bincount(where, total[stays], minlength=len(context)), np.bincount(where, minlength=len(context))
-        for b, columns in _split(_bucket(context, n_contexts), n_contexts, context, mass.astype("<i8"), arcs.astype("<i8")):
-            made["block"].append(-1 - b)
-            made["data"].append(pack(*columns))
-        return pa.Table.from_pydict(made, schema=pa.schema([("block", pa.int64()), ("data", pa.binary())]))
+def _meet_bigrams(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Sum up the bigrams of one bucket.
+
+    A block hears which of its bigrams stay, with their counts. Of each that stays
+    the first block that asked is the owner; it also hears how much and how many
+    its own ones add to the states of their first tokens.
+    """
+    asked = [(b, *unpack(d)) for b, d in zip(table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True)]
+    pairs = np.concatenate([low.astype(np.int64) | (high.astype(np.int64) << 32) for _, low, high, _, _ in asked])
+    counts = np.concatenate([c for _, _, _, c, _ in asked])
+    distinct, first, inverse = np.unique(pairs, return_index=True, return_inverse=True)
+    total = np.bincount(inverse, counts, minlength=len(distinct)).astype("<i8")
+    stays, owned = (total >= KEEP)[inverse], np.zeros(len(pairs), bool)
+    owned[first[total >= KEEP]] = True
+    rows, at = [], 0
+    for block, _, _, c, steps in asked:
+        here = slice(at, at + len(c))
+        at += len(c)
+        places = np.flatnonzero(stays[here])
+        if len(places):
+            states, where = np.unique(np.cumsum(steps, dtype=np.int64)[owned[here]], return_inverse=True)
+            mine = total[inverse[here]]
+            mass, arcs = np.bincount(where, mine[owned[here]], minlength=len(states)), np.bincount(where, minlength=len(states))
+            rows.append((block, key[0].as_py(), pack(_steps(places), mine[places], _steps(states), mass.astype("<i8"), arcs.astype("<i8"))))
+    return _rows(ANSWER, rows)
+
+
+def _ask_tokens(n: int):
+    """The tokens of each block by bucket: the hash, the count in training text, and what the block's own bigrams add to the token's state."""
+
+    def run(key: tuple[pa.Scalar, ...], own: pa.Table, heard: pa.Table) -> pa.Table:
+        rows = []
+        for data, hashes in zip(own.column("data").to_pylist(), own.column("hashes").to_pylist(), strict=True):
+            _, _, train, lengths, tokens = unpack(data)
+            (hashes,) = unpack(hashes)
+            count = np.bincount(tokens[np.repeat(train, lengths)], minlength=len(hashes)).astype("<i8")
+            mass, arcs = np.zeros(len(hashes), "<i8"), np.zeros(len(hashes), "<i8")
+            for blob in heard.column("data").to_pylist():
+                _, _, states, m, k = unpack(blob)
+                where = np.cumsum(states, dtype=np.int64)
+                mass[where] += m
+                arcs[where] += k
+            order, cuts = _by_bucket(hashes, n)
+            for b in range(n):
+                some = order[cuts[b] : cuts[b + 1]]
+                if len(some):
+                    rows.append((b, key[0].as_py(), pack(hashes[some], count[some], mass[some], arcs[some])))
+        return _rows(ASKED, rows)
 
     return run
 
 
-def _meet_tokens(key: tuple[pa.Scalar, ...], asked: pa.Table, sums: pa.Table) -> pa.Table:
-    """Sum up the tokens of one bucket and the sums of their states; each block gets its own. ``block`` -1: N and V of the bucket."""
-    made = {"block": [], "data": []}
-    parts = [(b, unpack(d)) for b, d in zip(asked.column("block").to_pylist(), asked.column("data").to_pylist(), strict=True)]
-    if parts:
-        distinct, inverse = np.unique(np.concatenate([a[0] for _, a in parts]), return_inverse=True)
-        count = np.bincount(inverse, np.concatenate([a[1] for _, a in parts]), minlength=len(distinct)).astype("<i8")
-        mass, arcs = np.zeros(len(distinct), "<i8"), np.zeros(len(distinct), "<i8")
-        for data in sums.column("data").to_pylist():
-            context, m, k = unpack(data)
-            where = np.searchsorted(distinct, context)
-            mass[where] += m
-            arcs[where] += k
-        at = 0
-        for block, a in parts:
-            mine = inverse[at : at + len(a[0])]
-            at += len(mine)
-            made["block"].append(block)
-            made["data"].append(pack(a[0], count[mine], mass[mine], arcs[mine]))
-        made["block"].append(-1)
-        made["data"].append(pack(np.array([count.sum(), (count > 0).sum()], "<i8")))
-    return pa.Table.from_pydict(made, schema=pa.schema([("block", pa.int64()), ("data", pa.binary())]))
-
-
-def traverse(tokens: list[int], lengths: list[int], n: int, arcs: dict[int, float], fail: list[float], root: list[float]) -> list[float]:
-    """log10 probabilities of texts: from each state along its arc, or by its failure arc along the root's."""
-    out, at = [], 0
-    follow = arcs.get
-    for length in lengths:
-        state, total = 0, 0.0
-        for w in tokens[at : at + length]:
-            arc = follow(state * n + w)
-            total += fail[state] + root[w] if arc is None else arc
-            state = w
-        out.append(total)
-        at += length
-    return out
+def _meet_tokens(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Sum up the tokens of one bucket; each block hears the sums in the order in which it asked. Block -1: N and V of the bucket."""
+    asked = [(b, *unpack(d)) for b, d in zip(table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True)]
+    distinct, inverse = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
+    count, mass, arcs = (np.bincount(inverse, np.concatenate([a[i] for a in asked]), minlength=len(distinct)).astype("<i8") for i in (2, 3, 4))
+    rows, at, bucket = [(-1, key[0].as_py(), pack(np.array([count.sum(), (count > 0).sum()], "<i8")))], 0, key[0].as_py()
+    for a in asked:
+        mine = inverse[at : at + len(a[1])]
+        at += len(mine)
+        rows.append((a[0], bucket, pack(count[mine], mass[mine], arcs[mine])))
+    return _rows(ANSWER, rows)
 
 
-def _score_block(all_tokens: int, distinct_tokens: int):
+def traverse(tokens: list[int], arcs: list[float], fail: list[float], root: list[float]) -> float:
+    """log10 probability of a text, read from left to right: along the state's arc for the token, or by its failure arc along the root's.
+
+    ``arcs`` holds for each position the weight of the arc that the state before
+    it has for the token, 1 where there is none. The state after a token is the token.
+    """
+    state, total = 0, 0.0
+    for token, arc in zip(tokens, arcs, strict=True):
+        total += arc if arc <= 0.0 else fail[state] + root[token]
+        state = token
+    return total
+
+
+def _score_block(n: int, all_tokens: int, distinct_tokens: int):
     denominator = all_tokens + ADD * (distinct_tokens + 1)
 
-    def run(key: tuple[pa.Scalar, ...], own: pa.Table, parts: pa.Table) -> pa.Table:
-        rows = []
-        for data in own.column("data").to_pylist():
-            ids, known_id, train, lengths, tokens, hashes = unpack(data)
-            got: dict[str, list] = {"tokens": [], "bigrams": []}
-            for kind, part in zip(parts.column("kind").to_pylist(), parts.column("data").to_pylist(), strict=True):
-                got[kind].append(unpack(part))
-            n, order = len(hashes), np.argsort(hashes)
-            count, mass, n_arcs = (np.zeros(n, np.int64) for _ in range(3))
-            for h, c, m, k in got["tokens"]:
-                where = order[np.searchsorted(hashes, h, sorter=order)]
-                count[where], mass[where], n_arcs[where] = c, m, k
+    def run(key: tuple[pa.Scalar, ...], own: pa.Table, heard: pa.Table) -> pa.Table:
+        out = []
+        for data, hashes in zip(own.column("data").to_pylist(), own.column("hashes").to_pylist(), strict=True):
+            ids, known_id, train, lengths, tokens = unpack(data)
+            (hashes,) = unpack(hashes)
+            keys, inverse, pair = _block_pairs(tokens, hashes)
+            token_order, token_cuts = _by_bucket(hashes, n)
+            pair_order, pair_cuts = _by_bucket(pair, n)
+            count, mass, n_arcs = (np.zeros(len(hashes), np.int64) for _ in range(3))
+            kept = np.zeros(len(keys), np.int64)
+            for kind, b, blob in zip(*(heard.column(c).to_pylist() for c in ("kind", "bucket", "data")), strict=True):
+                got = unpack(blob)
+                if kind == "tokens":
+                    some = token_order[token_cuts[b] : token_cuts[b + 1]]
+                    count[some], mass[some], n_arcs[some] = got
+                else:
+                    kept[pair_order[pair_cuts[b] : pair_cuts[b + 1]][np.cumsum(got[0], dtype=np.int64)]] = got[1]
             p_root = (count + ADD) / denominator
             states = np.maximum(count, 1)
-            p_fail = np.where(n_arcs > 0, 1.0 - (mass - DISCOUNT * n_arcs) / states, 1.0)
-            arcs: dict[int, float] = {}
-            if got["bigrams"]:
-                h = np.concatenate([x[0] for x in got["bigrams"]])
-                c = np.concatenate([x[1] for x in got["bigrams"]])
-                by_hash = np.argsort(h)
-                h, c = h[by_hash], c[by_hash]
-                keys = np.unique(_pairs(tokens, n))
-                u, w = np.divmod(keys, n)
-                pair = _pair_hash(hashes[u], hashes[w])
-                where = np.minimum(np.searchsorted(h, pair), len(h) - 1)
-                hit = h[where] == pair
-                u, w, c = u[hit], w[hit], c[where[hit]]
-                arcs = dict(zip(keys[hit].tolist(), np.log10((c - DISCOUNT) / states[u] + p_fail[u] * p_root[w]).tolist(), strict=True))
-            root = np.log10(p_root)
-            score = traverse(tokens.tolist(), lengths.tolist(), n, arcs, np.log10(np.maximum(p_fail, 1e-300)).tolist(), root.tolist())
-            firsts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            base, known = np.add.reduceat(root[tokens], firsts), np.add.reduceat((count > 0)[tokens].astype(np.int64), firsts)
-            rows.append(pa.table({"doc_id": pa.array(ids, mask=~known_id), "held_out": pa.array(~train), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), all_tokens)), "base_score": pa.array(base), "score": pa.array(score, pa.float64())}))
-        return pa.concat_tables(rows) if rows else _SCORES.empty_table()
+            p_fail = 1.0 - (mass - DISCOUNT * n_arcs) / states
+            u, w = np.divmod(keys, len(hashes))
+            weights = np.ones(len(keys))
+            arc = kept >= KEEP
+            weights[arc] = np.log10((kept[arc] - DISCOUNT) / states[u[arc]] + p_fail[u[arc]] * p_root[w[arc]])
+            root, fail = np.log10(p_root), np.log10(np.maximum(p_fail, 1e-300)).tolist()
+            firsts = np.concatenate(([0], np.cumsum(lengths)))
+            listed = root.tolist()
+            score = [traverse(tokens[a:z].tolist(), weights[inverse[a:z]].tolist(), fail, listed) for a, z in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
+            base, known = np.add.reduceat(root[tokens], firsts[:-1]), np.add.reduceat((count > 0)[tokens].astype(np.int64), firsts[:-1])
+            out.append(pa.table([pa.array(ids, mask=~known_id), pa.array(~train), pa.array(lengths), pa.array(known), pa.array(np.full(len(ids), all_tokens)), pa.array(base), pa.array(score, pa.float64())], schema=_SCORES))
+        return pa.concat_tables(out) if out else _SCORES.empty_table()
 
     return run
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [unpack(d)[0] for d in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_pydict({"n": [int(x[0]) for x in got], "v": [int(x[1]) for x in got]})
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,21 +320,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     """
     own = blocks(docs, id_col, text)
     n = 2 * own.count() + 1  # so a bucket gets as much as a block holds, whatever the size
-    asked_schema, answer = "bucket long, block long, data binary", "block long, data binary"
-    bigrams = own.mapInArrow(_ask("bigrams", n), asked_schema).repartition(n, "bucket").groupBy("bucket").applyInArrow(_meet_bigrams(n), answer)
+    asked, answer = "bucket long, block long, data binary", "block long, bucket long, data binary"
+    bigrams = own.mapInArrow(_ask_bigrams(n), asked).repartition(n, "bucket").groupBy("bucket").applyInArrow(_meet_bigrams, answer)
     bigrams = written(bigrams, "bigrams")
-    sums = bigrams.where("block < 0").select((-1 - F.col("block")).alias("bucket"), "data")
-    asked = own.mapInArrow(_ask("tokens", n), asked_schema).repartition(n, "bucket")
-    tokens = written(asked.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(_meet_tokens, answer), "tokens")
-    sizes = tokens.where("block = -1").mapInArrow(_sizes, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    tokens = own.groupBy("block").cogroup(bigrams.groupBy("block")).applyInArrow(_ask_tokens(n), asked)
+    tokens = written(tokens.repartition(n, "bucket").groupBy("bucket").applyInArrow(_meet_tokens, answer), "tokens")
+    sizes = tokens.where("block = -1").select("data").mapInArrow(_sizes, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     if sizes[0] is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    parts = tokens.where("block >= 0").select("block", F.lit("tokens").alias("kind"), "data").union(bigrams.where("block >= 0").select("block", F.lit("bigrams").alias("kind"), "data"))
-    scored = own.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_score_block(*sizes), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored
-
-
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        got = [unpack(d)[0] for d in batch.column("data").to_pylist()]
-        yield pa.RecordBatch.from_pydict({"n": [int(x[0]) for x in got], "v": [int(x[1]) for x in got]})
+        return docs.sparkSession.createDataFrame([], _RESULT)
+    parts = tokens.where("block >= 0").withColumn("kind", F.lit("tokens")).union(bigrams.withColumn("kind", F.lit("bigrams")))
+    return own.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_score_block(n, *sizes), _RESULT)
