@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.words import distinct_words, slices
 from driftline.session import written
 
 #: Documents of a language that are learned from, in expectation.
@@ -34,85 +35,126 @@ SMOOTHING = 0.01
 #: Longer words (mark included) are summed up in logarithms and not learned from.
 SHORT = 33
 #: Words whose probabilities a worker remembers (twice this many at most).
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: Texts that are scored at once.
+TEXTS = 400
 SEED = 71
 
 
+@dataclass(frozen=True)
+class Pieces:
+    """The vocabulary's pieces made of letters, with or without the mark; the number after the last stands for a letter that is no piece.
+
+    Pieces are found by a polynomial hash of their code points modulo 2^64; of
+    ``hashes``, sorted, ``numbers`` are the pieces, and ``perhaps`` tells by the
+    top bits of a hash whether any piece has these.
+    """
+
+    count: int
+    longest: int
+    hashes: np.ndarray
+    numbers: np.ndarray
+    perhaps: np.ndarray
+
+
+STEP = np.uint64(0x9E3779B97F4A7C15)
+TOP = np.uint64(44)
+
+
+def _hash(codes: np.ndarray) -> np.uint64:
+    h = np.zeros(1, np.uint64)
+    for c in codes:
+        h = (h + np.uint64(c)) * STEP
+    return h[0]
+
+
 @lru_cache(maxsize=2)
-def pieces(path: str) -> tuple[dict[str, int], int]:
-    """Pieces made of letters, with or without the mark, by number; and the length of the longest. The number after the last stands for a letter that is no piece."""
+def pieces(path: str) -> Pieces:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = [p for p in (model.id_to_piece(i) for i in range(model.get_piece_size())) if (p.replace(MARK, "", 1) or MARK).replace(MARK, "a").isalpha()]
-    return {p: i for i, p in enumerate(found)}, max(map(len, found))
+    hashes = np.array([_hash(np.frombuffer(p.encode("utf-32-le"), "<u4")) for p in found], np.uint64)
+    order = np.argsort(hashes)
+    if (hashes[order][1:] == hashes[order][:-1]).any():
+        raise ValueError("two pieces have one hash")
+    perhaps = np.zeros(1 << 20, bool)
+    perhaps[(hashes >> TOP).astype(np.int64)] = True
+    return Pieces(len(found), max(map(len, found)), hashes[order], order, perhaps)
 
 
 def lattice(words: list[str], path: str) -> tuple[np.ndarray, ...]:
-    """All edges of the words' segmentation lattices: word, first position, end, piece; sorted by end. And the words' lengths."""
-    vocabulary, longest = pieces(path)
-    get, none = vocabulary.get, len(vocabulary)
-    of, low, high, what = [], [], [], []
-    for k, word in enumerate(words):
-        n = len(word)
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = get(word[i:j])
-                if p is None:
-                    if j > i + 1:
-                        continue
-                    p = none
-                of.append(k)
-                low.append(i)
-                high.append(j)
-                what.append(p)
-    columns = [np.array(x, dtype=np.int64) for x in (of, low, high, what)]
-    order = np.argsort(columns[2], kind="stable")
-    return *(x[order] for x in columns), np.array([len(w) for w in words], dtype=np.int64)
-
-
-def _sweep(steps: np.ndarray, to: np.ndarray, source: np.ndarray, weight: np.ndarray, table: np.ndarray, backward: bool = False) -> None:
-    """Add up ``table[source] * weight`` into ``table[to]``, position by position."""
-    cuts = np.flatnonzero(np.diff(steps)) + 1
-    spans = list(zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(steps)])), strict=True)) if len(steps) else []
+    """All edges of the words' segmentation lattices: word, first position, end, piece. And the words' lengths."""
+    v = pieces(path)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    of = np.repeat(np.arange(len(words)), lengths)
+    ends = np.cumsum(lengths)
+    left = ends[of] - np.arange(len(codes))  # letters from a position to the end of its word
+    places, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for size in range(1, v.longest + 1):
+        h = (h + codes[places + size - 1]) * STEP
+        some = np.flatnonzero(v.perhaps[(h >> TOP).astype(np.int64)])
+        at = np.minimum(np.searchsorted(v.hashes, h[some]), v.count - 1)
+        hit = v.hashes[at] == h[some]
+        found.append((places[some[hit]], np.full(int(hit.sum()), size), v.numbers[at[hit]]))
+        if size == 1:
+            none = np.ones(len(codes), bool)
+            none[found[0][0]] = False
+            rest = np.flatnonzero(none)
+            found.append((rest, np.ones(len(rest), np.int64), np.full(len(rest), v.count)))
+        goes_on = left[places] > size
+        places, h = places[goes_on], h[goes_on]
+    place, size, what = (np.concatenate(x) for x in zip(*found, strict=True))
+    low = place - (ends - lengths)[of[place]]
+    return of[place], low, low + size, what, lengths
+
+
+def _sweep(steps: np.ndarray, word: np.ndarray, source: np.ndarray, weight: np.ndarray, table: np.ndarray, backward: bool = False) -> None:
+    """For one position of all words after the other, set ``table[word, position]`` to the sum of ``table[word, source] * weight`` over the edges that meet there."""
+    n = len(table)
+    order = np.argsort(steps * n + word, kind="stable")
+    key = (steps * n + word)[order]
+    word, source, weight = word[order], source[order], weight[order]
+    groups = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    position = key[groups] // n
+    cuts = np.flatnonzero(np.concatenate(([True], position[1:] != position[:-1], [True]))) if len(groups) else np.zeros(1, np.int64)
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
     for a, b in reversed(spans) if backward else spans:
-        part = table[source[a:b]] * weight[a:b]
-        for c in range(table.shape[1]):
-            table[:, c] += np.bincount(to[a:b], part[:, c], minlength=len(table)) if b - a > len(table) // 8 else 0
-        if b - a <= len(table) // 8:
-            np.add.at(table, to[a:b], part)
+        first, last = groups[a], groups[b] if b < len(groups) else len(key)
+        part = table[word[first:last], source[first:last]] * weight[first:last]
+        table[word[groups[a:b]], position[a]] = np.add.reduceat(part, groups[a:b] - first, axis=0)
 
 
 def forward(words: list[str], probabilities: np.ndarray, path: str) -> np.ndarray:
     """log P(word | language), a row for each word; ``probabilities`` has a row for each piece."""
     out = np.zeros((len(words), probabilities.shape[1]))
-    by_length: dict[int, list[int]] = {}
     for k, word in enumerate(words):
         if len(word) > SHORT:
             out[k] = _long(word, probabilities, path)
-        else:
-            by_length.setdefault(len(word), []).append(k)
-    for n, rows in by_length.items():
-        of, low, high, what, _ = lattice([words[k] for k in rows], path)
+    rows = [k for k, word in enumerate(words) if len(word) <= SHORT]
+    if rows:
+        of, low, high, what, lengths = lattice([words[k] for k in rows], path)
         # an edge is lifted by 2^8 for each of its letters, so that long words don't vanish
         weight = probabilities[what] * (256.0 ** (high - low))[:, None]
-        alpha = np.zeros((len(rows) * (n + 1), probabilities.shape[1]))
-        at = np.arange(len(rows)) * (n + 1)
-        alpha[at] = 1.0
-        _sweep(high, of * (n + 1) + high, of * (n + 1) + low, weight, alpha)
-        out[rows] = np.log(alpha[at + n]) - n * np.log(256.0)
+        alpha = np.zeros((len(rows), int(lengths.max()) + 1, probabilities.shape[1]))
+        alpha[:, 0] = 1.0
+        _sweep(high, of, low, weight, alpha)
+        out[rows] = np.log(alpha[np.arange(len(rows)), lengths]) - (lengths * np.log(256.0))[:, None]
     return out
 
 
 def _long(word: str, probabilities: np.ndarray, path: str) -> np.ndarray:
     _, low, high, what, _ = lattice([word], path)
+    order = np.argsort(high, kind="stable")
     logs = np.log(probabilities)
     alpha = np.full((len(word) + 1, probabilities.shape[1]), -np.inf)
     alpha[0] = 0.0
-    for i, j, p in zip(low.tolist(), high.tolist(), what.tolist(), strict=True):
+    for i, j, p in zip(low[order].tolist(), high[order].tolist(), what[order].tolist(), strict=True):
         alpha[j] = np.logaddexp(alpha[j], alpha[i] + logs[p])
     return alpha[-1]
 
@@ -120,15 +162,13 @@ def _long(word: str, probabilities: np.ndarray, path: str) -> np.ndarray:
 def expected(words: list[str], counts: np.ndarray, langs: np.ndarray, probabilities: np.ndarray, path: str) -> np.ndarray:
     """Expected uses of each piece by each language over words of SHORT letters at most, by forward and backward sums."""
     of, low, high, what, lengths = lattice(words, path)
-    width = int(lengths.max()) + 1
     weight = (probabilities[what, langs[of]] * 256.0 ** (high - low))[:, None]
-    at = np.arange(len(words)) * width
-    alpha, beta = np.zeros((len(words) * width, 1)), np.zeros((len(words) * width, 1))
-    alpha[at], beta[at + lengths] = 1.0, 1.0
-    _sweep(high, of * width + high, of * width + low, weight, alpha)
-    order = np.argsort(low, kind="stable")
-    _sweep(low[order], (of * width + low)[order], (of * width + high)[order], weight[order], beta, backward=True)
-    use = alpha[of * width + low, 0] * weight[:, 0] * beta[of * width + high, 0] / alpha[at + lengths, 0][of] * counts[of]
+    alpha = np.zeros((len(words), int(lengths.max()) + 1, 1))
+    beta = alpha.copy()
+    alpha[:, 0], beta[np.arange(len(words)), lengths] = 1.0, 1.0
+    _sweep(high, of, low, weight, alpha)
+    _sweep(low, of, high, weight, beta, backward=True)
+    use = alpha[of, low, 0] * weight[:, 0] * beta[of, high, 0] / alpha[of, lengths[of], 0] * counts[of]
     n = probabilities.shape
     return np.bincount(what * n[1] + langs[of], use, minlength=n[0] * n[1]).reshape(n)
 
@@ -173,7 +213,7 @@ def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
 
     words = sample.select(lang, text).mapInArrow(count, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = written(words, "words")
-    n_pieces = len(pieces(path)[0]) + 1
+    n_pieces = pieces(path).count + 1
     shape = (n_pieces, len(langs))
     now = np.full(shape, 1.0 / n_pieces)
     for _ in range(ROUNDS):
@@ -207,32 +247,53 @@ class _Scorer:
     """Scores of texts; it remembers those of words as they stand between white space."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.new, self.old = model, {}, {}
-
-    def _learn(self, raw: list[str]) -> None:
-        runs = [[MARK + w for w in LETTERS.findall(r)] for r in raw]
-        flat = sorted({w for ws in runs for w in ws})
+        self.model = model
+        self.rows: dict[str, int] = {}
+        self.scores = np.zeros((0, len(model.langs)))
+        self.old = (self.rows, self.scores)
+
+    def _learn(self, raw: list[str]) -> np.ndarray:
+        """The scores of words: of each run of letters in them, summed up."""
+        runs = [[MARK + r] if r.isalpha() else [MARK + x for x in LETTERS.findall(r)] for r in raw]
+        flat = list({w for ws in runs for w in ws})
         number = {w: k for k, w in enumerate(flat)}
-        scores = np.concatenate([forward(flat[a : a + 8192], self.model.probabilities, self.model.path) for a in range(0, len(flat), 8192)]) if flat else None
-        none = np.zeros(len(self.model.langs))
-        for r, ws in zip(raw, runs, strict=True):
-            self.new[r] = none if not ws else scores[number[ws[0]]] if len(ws) == 1 else scores[[number[w] for w in ws]].sum(axis=0)
-
-    def totals(self, texts: list[str]) -> np.ndarray:
-        split = [t.lower().split() for t in texts]
-        missing = {w for words in split for w in words}.difference(self.new)
-        for w in [w for w in missing if w in self.old]:
-            self.new[w] = self.old[w]
-            missing.discard(w)
-        if missing:
-            self._learn(list(missing))
-        words = {w: k for k, w in enumerate({w for ws in split for w in ws})}
-        table = np.array([self.new[w] for w in words]).reshape(-1, len(self.model.langs))
-        out = np.array([table[[words[w] for w in ws]].sum(axis=0) if ws else np.zeros(len(self.model.langs)) for ws in split])
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
+        scores = [forward(flat[a : a + 8192], self.model.probabilities, self.model.path) for a in range(0, len(flat), 8192)]
+        scores = np.concatenate([*scores, np.zeros((1, len(self.model.langs)))])  # the last: a word without letters
+        firsts = np.fromiter((number[ws[0]] if ws else len(flat) for ws in runs), np.int64, len(runs))
+        out = scores[firsts]
+        for k, ws in enumerate(runs):
+            if len(ws) > 1:
+                out[k] = scores[[number[w] for w in ws]].sum(axis=0)
         return out
 
+    def totals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Summed log-probabilities of texts, and whether a text has a letter."""
+        words, number, bounds = distinct_words(texts, ascii=False)
+        table = np.zeros((len(words), len(self.model.langs)))
+        fresh = [k for k, w in enumerate(words) if w not in self.rows]
+        have = np.ones(len(words), bool)
+        have[fresh] = False
+        known = np.flatnonzero(have)
+        if len(known):
+            table[known] = self.scores[[self.rows[words[k]] for k in known]]
+        rows, scores = self.old
+        again = [k for k in fresh if words[k] in rows]
+        if again:
+            table[again] = scores[[rows[words[k]] for k in again]]
+            fresh = [k for k in fresh if words[k] not in rows]
+        if fresh:
+            table[fresh] = self._learn([words[k] for k in fresh])
+        n, more = len(self.rows), again + fresh
+        self.rows.update(zip((words[k] for k in more), range(n, n + len(more)), strict=True))
+        self.scores = np.concatenate([self.scores, table[more]]) if more else self.scores
+        lettered = np.fromiter((any(map(str.isalpha, w)) for w in words), bool, len(words))
+        sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[number], axis=0)])
+        counts = np.concatenate(([0], np.cumsum(lettered[number])))
+        if len(self.rows) > REMEMBERED:
+            self.old = (self.rows, self.scores)
+            self.rows, self.scores = {}, self.scores[:0]
+        return sums[bounds[1:]] - sums[bounds[:-1]], counts[bounds[1:]] > counts[bounds[:-1]]
+
 
 _scorers: dict[str, _Scorer] = {}
 
@@ -253,17 +314,15 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
             _scorers.clear()
             _scorers[model.key] = _Scorer(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(0).to_pylist()
-                names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                rows = [k for k, t in enumerate(texts) if model is not None and t and LETTERS.search(t)]
-                if rows:
-                    total = _scorers[model.key].totals([texts[k] for k in rows]) + model.prior
+            for part in slices(batch, TEXTS):
+                names, scores = [UNKNOWN] * part.num_rows, [0.0] * part.num_rows
+                if model is not None:
+                    total, lettered = _scorers[model.key].totals(part.column(0))
+                    total += model.prior
                     best = total.argmax(axis=1)
                     sure = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                    for k, b, s in zip(rows, best, sure, strict=True):
-                        names[k], scores[k] = model.langs[b], float(s)
+                    for k in np.flatnonzero(lettered).tolist():
+                        names[k], scores[k] = model.langs[best[k]], float(sure[k])
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names[1:], "lang_pred", "score"])
 
     chosen = docs.select(F.col(text).alias("__text"), F.col(id_col).alias("doc_id"), *carry)
