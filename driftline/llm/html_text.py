@@ -37,12 +37,12 @@ DROPPED_TAGS = frozenset("nav footer aside form select button dialog head menu".
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist".split())
 # Words in class and id that mark what isn't the article.
 DROPPED_WORDS = frozenset(
-    """ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright disqus footer gdpr header login masthead menu modal
-    nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe
-    subscription teaser toolbar widget""".split()
+    """ad adbox ads adslot advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright disqus footer gdpr header login mainmenu masthead menu modal
+    nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion readercomments recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe
+    submenu subscription toolbar topbar usercomments widget""".split()
 )
 HEADERS = frozenset("header banner masthead".split())
-COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+COMMENTS = frozenset("comment comments commentlist disqus readercomments replies respond usercomments".split())
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -75,6 +75,8 @@ def _drops(name: str, attributes: dict[str, str], inside: bool) -> bool:
     """Whether an element can't belong to the article; ``inside``: it lies in an article."""
     if name in DROPPED_TAGS or "hidden" in attributes or (name == "header" and not inside):
         return True
+    if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
+        return True
     if attributes.get("role", "").lower() in DROPPED_ROLES:
         return not (inside and attributes["role"].lower() == "banner")
     words = {w.lower() for key in ("class", "id") for w in WORD_PARTS.findall(attributes.get(key, ""))}
