@@ -29,7 +29,7 @@ def pct_change(before: Column, after: Column) -> Column:
 def format_cents(cents: Column, currency: Column) -> Column:
     amount = F.format_number(F.abs(cents) / 100, 2)
     sign = F.create_map(*[F.lit(x) for pair in SIGNS.items() for x in pair])[currency]
-    return F.concat(F.when(cents < 0, "-").otherwise(""), F.coalesce(sign, F.concat(currency, F.lit(" "))), amount)
+    return F.concat(F.when(cents < 0, "-").otherwise(""), F.coalesce(sign, F.concat(currency, F.lit("\u00a0"))), amount)
 
 
 def list_price_cents(plan: Column, interval: Column) -> Column:

@@ -17,12 +17,12 @@ def normalized_url(raw: Column) -> Column:
     """``host/path`` of an http URL for exact matching: no scheme, ``www.``, query, fragment or single trailing slash; percent escapes decoded where they are valid. Null for anything else."""
     url = F.trim(raw)
     ok = url.rlike(r"(?i)^https?://[^/?#\s]+")
-    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
-    path = F.try_parse_url(url, F.lit("PATH"))
-    path = F.when(F.coalesce(path, F.lit("")) == "", "/").otherwise(path)
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
+    path = F.regexp_extract(url, r"(?i)^https?://[^/?#]*([^?#]*)", 1)
+    path = F.when(path == "", "/").otherwise(path)
     path = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
     path = F.when((F.length(path) > 1) & path.endswith("/"), F.substring(path, 1, F.length(path) - 1)).otherwise(path)
-    return F.when(ok & host.isNotNull(), F.concat(host, path))
+    return F.when(ok & (host != ""), F.concat(host, path))
 
 
 def product_url(domain: Column, handle: Column) -> Column:

@@ -22,6 +22,13 @@ def _key(store: str, entity: str, kind: str, tail: str) -> str:
     return f"substr(sha256(concat_ws('|', {store}, {entity}, '{kind}', {tail})), 1, 40)"
 
 
+#: Stores whose catalog shrank too much to be compared.
+_COLLAPSED = """collapsed AS (
+        SELECT a.store_id FROM (SELECT store_id, count(*) AS n FROM known GROUP BY ALL) a LEFT JOIN (SELECT store_id, count(*) AS n FROM cur GROUP BY ALL) b USING (store_id)
+        WHERE a.n >= 10 AND coalesce(b.n, 0) / a.n::DOUBLE < 0.6
+    )"""
+
+
 def _events_sql() -> str:
     both = "k.store_id IS NOT NULL AND c.store_id IS NOT NULL"
     money = lambda x: f"format('${{:,.2f}}', ({x}) / 100.0)"
@@ -53,7 +60,7 @@ def _events_sql() -> str:
     parts = [f"SELECT c.store_id, c.external_id AS entity_key, '{k}' AS event_type, {head} AS headline, {_score(k, mag, rarity=rar)} AS significance, {_key('c.store_id', 'c.external_id', k, tail)} AS dedupe_key, {seq} AS seq FROM both_ AS b, LATERAL (SELECT b.c AS c, b.k AS k) WHERE {when}" for k, when, seq, mag, tail, head, rar in kinds]
     parts = [p.replace("FROM both_ AS b, LATERAL (SELECT b.c AS c, b.k AS k)", "FROM known k FULL JOIN cur c ON k.store_id = c.store_id AND k.external_id = c.external_id") for p in parts]
     parts.append(f"SELECT k.store_id, k.external_id, 'PRODUCT_REMOVED', k.title || ' discontinued', {_score('PRODUCT_REMOVED', '0.6', 'k.bestseller_rank', 'k.price_min_cents', 1.4)}, {_key('k.store_id', 'k.external_id', 'PRODUCT_REMOVED', 'k.external_id')}, 5 FROM known k LEFT JOIN cur c ON k.store_id = c.store_id AND k.external_id = c.external_id WHERE c.store_id IS NULL AND k.missing_streak + 1 >= 2")
-    return f"WITH {D.STATE}, event AS ({' UNION ALL '.join(parts)})"
+    return f"WITH {D.STATE}, {_COLLAPSED}, event AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE store_id NOT IN (SELECT store_id FROM collapsed))"
 
 
 _EVENTS = _events_sql()
@@ -62,7 +69,7 @@ SHOWN = ["store_id", "entity_key", "event_type", "headline", "significance", "de
 
 def state_1997(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The catalog and the state after two crawls."""
-    catalog = D.catalog(spark, sf)
+    catalog = D.catalog(spark, sf, D.BEFORE, D.CURRENT)
     was = D.first_state(D.year_of(catalog, D.BEFORE), D.at("1996-12-31 12:00:00"))
     state = product_diff.next_state(D.stores(spark, sf), D.headers(spark, sf), D.year_of(catalog, D.SINCE), was, D.at("1997-12-31 12:00:00"))
     return catalog, state
@@ -107,11 +114,14 @@ def event_log_append(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "product_state",
-    f"""WITH {D.STATE} SELECT coalesce(c.store_id, k.store_id) AS store_id, coalesce(c.external_id, k.external_id) AS external_id,
-        coalesce(c.price_min_cents, k.price_min_cents) AS price_min_cents, coalesce(c.available_variants, 0) AS available_variants, c.bestseller_rank,
-        CASE WHEN c.part IS NOT NULL THEN 'ACTIVE' WHEN k.missing_streak + 1 >= 2 THEN 'REMOVED' ELSE 'MISSING' END AS status,
-        CASE WHEN c.part IS NOT NULL THEN 0 ELSE k.missing_streak + 1 END AS missing_streak
-        FROM known k FULL JOIN cur c ON k.store_id = c.store_id AND k.external_id = c.external_id""",
+    f"""WITH {D.STATE}, {_COLLAPSED}, both_ AS (
+        SELECT coalesce(c.store_id, k.store_id) AS store_id, coalesce(c.external_id, k.external_id) AS external_id, c.part IS NOT NULL AS seen, k.store_id IS NOT NULL AS had, k.status AS old_status, k.missing_streak AS old_streak,
+               c.price_min_cents AS new_price, k.price_min_cents AS old_price, c.available_variants AS new_stock, k.available_variants AS old_stock, c.bestseller_rank AS new_rank, k.bestseller_rank AS old_rank
+        FROM known k FULL JOIN cur c ON k.store_id = c.store_id AND k.external_id = c.external_id
+    ), told AS (SELECT *, store_id IN (SELECT store_id FROM collapsed) AS stays FROM both_)
+        SELECT store_id, external_id, CASE WHEN stays THEN old_price ELSE coalesce(new_price, old_price) END AS price_min_cents, CASE WHEN stays THEN old_stock ELSE coalesce(new_stock, 0) END AS available_variants, CASE WHEN stays THEN old_rank ELSE new_rank END AS bestseller_rank,
+               CASE WHEN stays THEN old_status WHEN seen THEN 'ACTIVE' WHEN old_streak + 1 >= 2 THEN 'REMOVED' ELSE 'MISSING' END AS status, CASE WHEN stays THEN old_streak WHEN seen THEN 0 ELSE old_streak + 1 END AS missing_streak
+        FROM told WHERE had OR NOT stays""",
 )
 def product_state(spark: SparkSession, sf: str) -> DataFrame:
     catalog, state = state_1997(spark, sf)
@@ -139,7 +149,7 @@ def shrink_check(spark: SparkSession, sf: str) -> DataFrame:
 )
 def baseline_events(spark: SparkSession, sf: str) -> DataFrame:
     fresh = D.stores(spark, sf).withColumn("baselined", F.lit(False))
-    first = D.year_of(D.catalog(spark, sf), 1995).withColumn("source_created_at", D.at("1995-01-01 00:00:00"))
+    first = D.year_of(D.catalog(spark, sf, until=1995), 1995).withColumn("source_created_at", D.at("1995-01-01 00:00:00"))
     return product_diff.baseline_events(fresh, first, D.at(D.NOW)).select("store_id", "entity_key", "event_type", "backfilled", "significance", "dedupe_key")
 
 
@@ -163,7 +173,7 @@ _ENTITY = f"""WITH {D.CATALOG}, ent AS (SELECT DISTINCT store_id, year, {_KIND}
 
 
 def _entity_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
-    catalog, stores = D.catalog(spark, sf), D.stores(spark, sf)
+    catalog, stores = D.catalog(spark, sf, D.BEFORE, D.CURRENT), D.stores(spark, sf)
     kinds = entity_diff.observed_kinds(D.headers(spark, sf))
     known = entity_diff.next_entities(_entities(catalog, D.SINCE), kinds, _known_entities(_entities(catalog, D.BEFORE), "1996-12-31 12:00:00"), stores, D.at("1997-12-31 12:00:00"))
     return _entities(catalog, D.CURRENT), kinds, known, stores
@@ -202,7 +212,7 @@ def entity_state(spark: SparkSession, sf: str) -> DataFrame:
 def _ads(spark: SparkSession, sf: str, year: int) -> DataFrame:
     """Ads of a year: a supplier's lines of one number, leading to the largest part."""
     supplier = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    lines = table(spark, sf, "lineitem").where(F.year("l_shipdate") == year).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = table(spark, sf, "lineitem").where((F.col("l_shipdate") >= D.at(f"{year}-01-01 00:00:00")) & (F.col("l_shipdate") < D.at(f"{year + 1}-01-01 00:00:00"))).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     rows = lines.groupBy(F.col("n_regionkey").alias("store_id"), "s_suppkey", "s_name", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_returnflag").alias("format"))
     return rows.select(
         "store_id",
@@ -237,7 +247,7 @@ _ADS = f"""WITH {D.CATALOG}, ads AS (
 )
 def ad_events(spark: SparkSession, sf: str) -> DataFrame:
     """Ads of 1997, missing once already, against those of 1998."""
-    products, stores, now = D.year_of(D.catalog(spark, sf), D.CURRENT), D.stores(spark, sf), D.at(D.NOW)
+    products, stores, now = D.year_of(D.catalog(spark, sf, D.CURRENT, D.CURRENT), D.CURRENT), D.stores(spark, sf), D.at(D.NOW)
     matched = lambda y: ad_diff.match_products(_ads(spark, sf, y), products, stores)
     known = matched(D.SINCE).withColumns({"status": F.lit("ACTIVE_EVIDENCE"), "missing_streak": F.lit(1), "first_seen_at": now, "last_seen_at": now})
     return ad_diff.ad_events(matched(D.CURRENT), known, now).select("store_id", "entity_key", "event_type", "significance", "dedupe_key")
@@ -265,5 +275,5 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
 )
 def unchanged_stores(spark: SparkSession, sf: str) -> DataFrame:
     """Stores that a crawl can skip: the hash is that of the crawl before."""
-    sets = D.catalog(spark, sf).where(F.col("year").isin(1997, 1998)).groupBy("store_id", "year").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("vendor")), ","), 256).alias("hash"))
+    sets = D.catalog(spark, sf, D.SINCE, D.CURRENT).groupBy("store_id", "year").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("vendor")), ","), 256).alias("hash"))
     return sets.groupBy("store_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hash").alias("hashes")).where("n = 2 AND hashes = 1").select("store_id")

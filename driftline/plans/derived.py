@@ -20,10 +20,17 @@ def at(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def catalog(spark: SparkSession, sf: str) -> DataFrame:
-    """store_id, external_id, year and what a snapshot of the product holds."""
+def catalog(spark: SparkSession, sf: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    """store_id, external_id, year and what a snapshot of the product holds.
+
+    Years are compared as dates, so that the scan can skip what lies outside.
+    """
     stores = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("store_id"))
     lines = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
+    if since:
+        lines = lines.where(F.col("l_shipdate") >= at(f"{since}-01-01 00:00:00"))
+    if until:
+        lines = lines.where(F.col("l_shipdate") < at(f"{until + 1}-01-01 00:00:00"))
     cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5)
     rows = (
         lines.join(stores, F.col("l_suppkey") == F.col("s_suppkey"))

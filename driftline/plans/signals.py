@@ -15,7 +15,7 @@ _CURRENT = f"WITH {D.CATALOG}, cur AS (SELECT * FROM catalog WHERE year = 1998)"
 
 
 def _current(spark: SparkSession, sf: str) -> DataFrame:
-    return D.year_of(D.catalog(spark, sf), D.CURRENT)
+    return D.year_of(D.catalog(spark, sf, D.CURRENT, D.CURRENT), D.CURRENT)
 
 
 @query("catalog_snapshot", f"{_CURRENT} SELECT store_id, external_id, title, price_min_cents, price_max_cents, compare_at_max_cents, variant_count, available_variants, bestseller_rank FROM cur")
@@ -175,7 +175,8 @@ def review_coverage(spark: SparkSession, sf: str) -> DataFrame:
 _COUNTED = """, n AS (SELECT store_id, count(*) FILTER (WHERE event_type = 'PRODUCT_ADDED') AS added, count(*) FILTER (WHERE event_type = 'PRODUCT_REMOVED') AS removed, count(*) FILTER (WHERE event_type = 'PRODUCT_RESTORED') AS restored,
         count(*) FILTER (WHERE event_type IN ('PRICE_DROP', 'PRICE_INCREASE', 'SALE_STARTED', 'SALE_ENDED')) AS price_changes FROM event GROUP BY ALL),
         s AS (SELECT store_id, count(*) AS products FROM cur GROUP BY ALL),
-        t AS (SELECT s.store_id, products, added, removed, restored, price_changes, products - added + removed AS window_ago, added - removed AS delta FROM s JOIN n USING (store_id))"""
+        u_ AS (SELECT s.store_id, products, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed, coalesce(restored, 0) AS restored, coalesce(price_changes, 0) AS price_changes FROM s LEFT JOIN n USING (store_id)),
+        t AS (SELECT *, products - added + removed AS window_ago, added - removed AS delta FROM u_)"""
 
 
 def _activity(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,8 +218,8 @@ def interpretation(spark: SparkSession, sf: str) -> DataFrame:
     "store_stats",
     f"""{_EVENTS}, n AS (SELECT store_id, count(*) FILTER (WHERE event_type IN ('PRICE_DROP', 'PRICE_INCREASE', 'SALE_STARTED', 'SALE_ENDED')) AS price_changes, count(*) FILTER (WHERE event_type = 'PRODUCT_ADDED') AS products_added FROM event GROUP BY ALL),
         o AS (SELECT store_id, price_min_cents AS x, row_number() OVER (PARTITION BY store_id ORDER BY price_min_cents) - 1 AS i, count(*) OVER (PARTITION BY store_id) AS n FROM cur)
-        SELECT o.store_id, any_value(o.n) AS product_count, max(CASE WHEN i = least(o.n - 1, CAST(floor(0.5 * o.n) AS BIGINT)) THEN x END) AS median_price_cents, 1::BIGINT AS crawls, any_value(price_changes) AS price_changes, any_value(products_added) AS products_added
-        FROM o JOIN n USING (store_id) GROUP BY o.store_id""",
+        SELECT o.store_id, any_value(o.n) AS product_count, max(CASE WHEN i = least(o.n - 1, CAST(floor(0.5 * o.n) AS BIGINT)) THEN x END) AS median_price_cents, 1::BIGINT AS crawls, coalesce(any_value(price_changes), 0) AS price_changes, coalesce(any_value(products_added), 0) AS products_added
+        FROM o LEFT JOIN n USING (store_id) GROUP BY o.store_id""",
 )
 def store_stats(spark: SparkSession, sf: str) -> DataFrame:
     products = _current(spark, sf).withColumn("status", F.lit("ACTIVE"))

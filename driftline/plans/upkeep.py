@@ -26,7 +26,7 @@ MID = "2024-01-15 00:00:00"
 )
 def product_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """A first sighting stays, a last one moves only for what is active, an unknown value doesn't erase a known one."""
-    catalog = D.catalog(spark, sf)
+    catalog = D.catalog(spark, sf, D.SINCE, D.CURRENT)
     shape = lambda y, status: D.year_of(catalog, y).select("store_id", "external_id", F.col("year").alias("first_seen"), F.col("year").alias("last_seen"), "price_min_cents", status.alias("status"), F.col("compare_at_max_cents").alias("compare_at"))
     state = shape(D.SINCE, F.lit("ACTIVE"))
     new = shape(D.CURRENT, F.when(F.col("available_variants") == 0, "MISSING").otherwise("ACTIVE"))
