@@ -35,12 +35,14 @@ SMOOTHING = 0.01
 #: Longer words (mark included) are summed up in logarithms and not learned from.
 SHORT = 33
 #: Words whose probabilities a worker remembers (twice this many at most).
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Texts that are scored at once.
-TEXTS = 400
+TEXTS = 200
+#: Words whose lattices are built at once.
+TOGETHER = 2_048
 SEED = 71
 
 
@@ -222,8 +224,8 @@ def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         def sums(batches: Iterator[pa.RecordBatch], holder=holder) -> Iterator[pa.RecordBatch]:
             total = np.zeros(shape)
             for batch in batches:
-                for at in range(0, batch.num_rows, 8192):
-                    part = batch.slice(at, 8192)
+                for at in range(0, batch.num_rows, TOGETHER):
+                    part = batch.slice(at, TOGETHER)
                     total += expected(part.column(1).to_pylist(), part.column(2).to_numpy(), part.column(0).to_numpy(), holder.value, path)
             where = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"cell": where, "n": total.ravel()[where]})
@@ -257,7 +259,7 @@ class _Scorer:
         runs = [[MARK + r] if r.isalpha() else [MARK + x for x in LETTERS.findall(r)] for r in raw]
         flat = list({w for ws in runs for w in ws})
         number = {w: k for k, w in enumerate(flat)}
-        scores = [forward(flat[a : a + 8192], self.model.probabilities, self.model.path) for a in range(0, len(flat), 8192)]
+        scores = [forward(flat[a : a + TOGETHER], self.model.probabilities, self.model.path) for a in range(0, len(flat), TOGETHER)]
         scores = np.concatenate([*scores, np.zeros((1, len(self.model.langs)))])  # the last: a word without letters
         firsts = np.fromiter((number[ws[0]] if ws else len(flat) for ws in runs), np.int64, len(runs))
         out = scores[firsts]

@@ -22,6 +22,8 @@ from driftline.session import written
 
 WINDOW = 4096
 END_ID = 2
+#: Partitions whose offsets are broadcast at most (16 bytes each); more are joined by shuffling.
+BROADCAST_PARTS = 1_000_000
 
 
 def _placed() -> Callable[[list[bytes]], list[pa.Array]]:
@@ -58,8 +60,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     than the id and the text aren't read.
     """
     rows = encoded(docs, tokenizer, end_id, id_col, text)
-    totals = rows.groupBy("part").agg(F.sum("doc_tokens").alias("tokens"))
+    totals = written(rows.groupBy("part").agg(F.sum("doc_tokens").alias("tokens")), "totals")
     base = totals.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    if totals.count() <= BROADCAST_PARTS:
+        base = F.broadcast(base)
     placed = rows.join(base, "part").withColumn("at", F.col("base") + F.col("before"))
     cut = placed.withColumn("sequence_id", F.explode(F.sequence(F.expr(f"at div {window}"), F.expr(f"(at + doc_tokens - 1) div {window}"))))
     first = F.greatest(F.col("at"), F.col("sequence_id") * window)

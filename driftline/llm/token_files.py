@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.llm.tokens import encoder
+from driftline.llm.tokens import encoded_parts
 from driftline.session import scratch_path, written
 
 END_ID = 1
@@ -75,7 +75,7 @@ class TokenFileWriter:
     def close(self) -> None:
         self._flush()
         index = self.packer.compress(np.array(self.index, dtype=INDEX).tobytes())
-        self.out.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index + struct.pack("<I", len(index)))
+        self.out.write(struct.pack("<II", INDEX_MAGIC, len(index) + 4) + index + struct.pack("<I", len(index)))
         table = np.array(self.frames, dtype=ENTRY).tobytes()
         self.out.write(struct.pack("<II", TABLE_MAGIC, len(table) + FOOTER.size) + table + FOOTER.pack(len(self.frames), 0x80, SEEKABLE))
 
@@ -143,18 +143,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        part, end = task.partitionId(), np.array([end_id], dtype="<u4").tobytes()
+        part = task.partitionId()
         where, path = _opened(f"{folder}/part-{part:08d}.tokens")
         where.create_dir(path.rpartition("/")[0], recursive=True)
         draft = f"{path}.{task.taskAttemptId()}"
         writer = None
         with where.open_output_stream(draft) as out:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    chunk = batch.slice(at, 256)
-                    writer = writer or TokenFileWriter(out)
-                    for doc_id, ids in zip(chunk.column(0).to_pylist(), encoder(tokenizer).encode(chunk.column(1).to_pylist()), strict=True):
-                        writer.add(doc_id, ids + end)
+            for rows, ids in encoded_parts(iter(batches), tokenizer, end_id):
+                writer = writer or TokenFileWriter(out)
+                for doc_id, tokens in zip(rows.column(0).to_pylist(), ids, strict=True):
+                    writer.add(doc_id, tokens)
             if writer:
                 writer.close()
         if writer is None:

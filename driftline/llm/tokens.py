@@ -10,8 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.words import slices
+
 #: Words whose ids a worker remembers (twice this many at most).
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Words that are encoded at once, with SEPARATOR between them.
+TOGETHER = 1_000
+SEPARATOR = "▁"
+#: Texts that are encoded at once.
+TEXTS = 256
 
 
 class WordEncoder:
@@ -31,10 +38,28 @@ class WordEncoder:
         self.old: dict[bytes, bytes] = {}
         apart = self.tokenizer.encode_batch(["Ab a", "ab", "a"], add_special_tokens=False)
         self.by_word = apart[0].ids == apart[1].ids + apart[2].ids
+        self.mark = np.array(self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids, dtype="<u4")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word. Words are encoded together and cut where the separator's ids stand, which no word without the separator has."""
+        texts = [w.decode() for w in words]
+        joined = f" {SEPARATOR} ".join(texts)
+        if len(self.mark) < 2 or joined.count(SEPARATOR) != len(texts) - 1:
+            return self._whole(texts)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        n = len(self.mark)
+        hit = np.ones(max(0, len(ids) - n + 1), dtype=bool)
+        for k in range(n):
+            hit &= ids[k : len(hit) + k] == self.mark[k]
+        cuts = np.flatnonzero(hit).tolist()
+        if len(cuts) != len(words) - 1:
+            return self._whole(texts)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(c + n for c in cuts)], [*cuts, len(ids)], strict=True)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
         texts = [t or "" for t in texts]
@@ -43,14 +68,14 @@ class WordEncoder:
         whole = {i for i, t in enumerate(texts) if "<|" in t}
         split = [[] if i in whole else t.encode().lower().split() for i, t in enumerate(texts)]
         known, old = self.new, self.old
-        missing = {w for words in split for w in words}.difference(known)
-        for w in [w for w in missing if w in old]:
-            known[w] = old[w]
-            missing.discard(w)
-        if missing:
-            missing = list(missing)
-            known.update(zip(missing, self._whole([w.decode() for w in missing]), strict=True))
-        out = [b"".join([known[w] for w in words]) for words in split]
+        missing = set().union(*split).difference(known)
+        again = [w for w in missing if w in old]
+        known.update((w, old[w]) for w in again)
+        todo = list(missing.difference(again))
+        for at in range(0, len(todo), TOGETHER):
+            some = todo[at : at + TOGETHER]
+            known.update(zip(some, self._words(some), strict=True))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
         for i in whole:
             out[i] = self._whole([texts[i]])[0]
         if len(known) > REMEMBERED:
@@ -67,7 +92,15 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def map_tokens(docs: DataFrame, id_col: str, text: str, path: str, end_id: int, make: Callable[[list[bytes]], list[pa.Array]], schema: str, names: list[str]) -> DataFrame:
+def encoded_parts(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of (doc_id, text) batches, each with the ids of its texts, the end id included."""
+    end = np.array([end_id], dtype="<u4").tobytes()
+    for batch in batches:
+        for part in slices(batch, TEXTS, column=1):
+            yield part, [ids + end for ids in encoder(path).encode(part.column(1).to_pylist())]
+
+
+def map_tokens(docs: DataFrame, id_col: str, text: str, path: str, end_id: int, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], schema: str, names: list[str]) -> DataFrame:
     """``doc_id`` and what ``make`` builds from the ids (with the end id) of a batch of documents.
 
     ``make`` is called once per task, so that it can keep a running total: it
@@ -75,11 +108,8 @@ def map_tokens(docs: DataFrame, id_col: str, text: str, path: str, end_id: int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, build = np.array([end_id], dtype="<u4").tobytes(), make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [x + end for x in encoder(path).encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *build(ids)], names=["doc_id", *names])
+        build = make()
+        for part, ids in encoded_parts(batches, path, end_id):
+            yield pa.RecordBatch.from_arrays([part.column(0), *build(ids)], names=["doc_id", *names])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, f"doc_id long, {schema}")

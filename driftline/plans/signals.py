@@ -195,7 +195,8 @@ def store_activity(spark: SparkSession, sf: str) -> DataFrame:
     f"""{_EVENTS}{_COUNTED}, u AS (SELECT *, floor(delta / window_ago::DOUBLE * 1000 + 0.5) / 10 AS pct FROM t)
         SELECT store_id, 'CATALOG_EXPANSION' AS kind, '+' || delta || ' products (+' || pct || '%) over the last 30 days' AS detail FROM u WHERE delta > 0
         UNION ALL SELECT store_id, 'CATALOG_CONTRACTION', delta || ' products (' || pct || '%) over the last 30 days' FROM u WHERE delta < 0
-        UNION ALL SELECT store_id, 'PRICE_ACTIVITY', price_changes || ' price changes observed in the last 30 days' FROM u WHERE price_changes > 1""",
+        UNION ALL SELECT store_id, 'PRICE_ACTIVITY', price_changes || CASE WHEN price_changes = 1 THEN ' price change' ELSE ' price changes' END || ' observed in the last 30 days' FROM u WHERE price_changes > 0
+        UNION ALL SELECT store_id, 'STEADY', 'No catalog or price changes observed in the last 30 days' FROM u WHERE delta = 0 AND price_changes = 0""",
 )
 def growth_signals(spark: SparkSession, sf: str) -> DataFrame:
     return _activity(spark, sf).select("store_id", F.inline(S.growth_signals(F.col("delta"), F.col("delta_pct"), F.col("price_changes"), 30)))
