@@ -111,7 +111,9 @@ def slot_table(targets: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "shard long, number long, draw long, block long, take long")
     counts = _counts(spark, quotas, all_slots)
     start = F.coalesce(F.sum("n").over(Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slots = counts.select("shard", "number", "n", start.alias("start")).select("shard", "number", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("draw"))
+    # dealt out by number before they are multiplied: the few rows of counts would else meet in one task
+    spread = counts.select("shard", "number", "n", start.alias("start")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "number")
+    slots = spread.select("shard", "number", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("draw"))
     slots = slots.join(quotas, "number")
     slots = slots.withColumns({"__pass": F.expr("draw div blocks"), "__i": F.expr("draw % blocks")})
     block = F.when(F.col("__i") < F.col("full"), permuted(F.col("__i"), F.greatest(F.col("full"), F.lit(1)), F.col("number"))).otherwise(F.col("full"))
