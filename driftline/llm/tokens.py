@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.words import slices
+from driftline.llm.words import distinct_words, slices
 
 #: Words whose ids a worker remembers (twice this many at most).
 REMEMBERED = 250_000
@@ -24,7 +24,7 @@ TEXTS = 256
 class WordEncoder:
     """Ids of texts for tokenizers that drop white space and lower-case, so that each word can be encoded alone.
 
-    Words are keyed by their bytes with A-Z lowered. A text that holds ``<|``,
+    Words are keyed with A-Z lowered. A text that holds ``<|``,
     and so perhaps a special token, is encoded whole by the library.
     """
 
@@ -34,8 +34,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         apart = self.tokenizer.encode_batch(["Ab a", "ab", "a"], add_special_tokens=False)
         self.by_word = apart[0].ids == apart[1].ids + apart[2].ids
         self.mark = np.array(self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids, dtype="<u4")
@@ -43,12 +43,11 @@ class WordEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
+    def _words(self, words: list[str]) -> list[bytes]:
         """The ids of each word. Words are encoded together and cut where the separator's ids stand, which no word without the separator has."""
-        texts = [w.decode() for w in words]
-        joined = f" {SEPARATOR} ".join(texts)
-        if len(self.mark) < 2 or joined.count(SEPARATOR) != len(texts) - 1:
-            return self._whole(texts)
+        joined = f" {SEPARATOR} ".join(words)
+        if len(self.mark) < 2 or joined.count(SEPARATOR) != len(words) - 1:
+            return self._whole(words)
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
         n = len(self.mark)
         hit = np.ones(max(0, len(ids) - n + 1), dtype=bool)
@@ -56,7 +55,7 @@ class WordEncoder:
             hit &= ids[k : len(hit) + k] == self.mark[k]
         cuts = np.flatnonzero(hit).tolist()
         if len(cuts) != len(words) - 1:
-            return self._whole(texts)
+            return self._whole(words)
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *(c + n for c in cuts)], [*cuts, len(ids)], strict=True)]
 
@@ -66,16 +65,21 @@ class WordEncoder:
         if not self.by_word:
             return self._whole(texts)
         whole = {i for i, t in enumerate(texts) if "<|" in t}
-        split = [[] if i in whole else t.encode().lower().split() for i, t in enumerate(texts)]
+        words, number, bounds = distinct_words(pa.array([None if i in whole else t for i, t in enumerate(texts)], pa.large_string()))
         known, old = self.new, self.old
-        missing = set().union(*split).difference(known)
-        again = [w for w in missing if w in old]
-        known.update((w, old[w]) for w in again)
-        todo = list(missing.difference(again))
+        missing = [w for w in words if w not in known]
+        known.update((w, old[w]) for w in missing if w in old)
+        todo = [w for w in missing if w not in known]
         for at in range(0, len(todo), TOGETHER):
             some = todo[at : at + TOGETHER]
             known.update(zip(some, self._words(some), strict=True))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        of_word = [known[w] for w in words]
+        flat, length = np.frombuffer(b"".join(of_word), dtype="<u4"), np.fromiter(map(len, of_word), np.int64, len(words)) // 4
+        first, here = np.cumsum(length) - length, length[number]
+        ends = np.concatenate(([0], np.cumsum(here)))
+        raw = flat[np.repeat(first[number] - ends[:-1], here) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[bounds]).tolist()
+        out = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         for i in whole:
             out[i] = self._whole([texts[i]])[0]
         if len(known) > REMEMBERED:
