@@ -3,8 +3,9 @@
 The model is a bigram model over all training text, smoothed by absolute
 discounting and backed off to the smoothed unigrams:
 
-* a state is the last token; its arcs are the bigrams that training text holds at
-  least KEEP times, with probability ``(c(u, w) - DISCOUNT) / c(u) + b(u) P(w)``;
+* a state is the last token; its arcs are all bigrams that training text holds
+  (KEEP times at least, which is once), with probability
+  ``(c(u, w) - DISCOUNT) / c(u) + b(u) P(w)``;
 * its failure arc has weight ``b(u) = 1 - sum of (c(u, w) - DISCOUNT) / c(u)`` over
   its arcs and leads to the root, whose arcs are the unigrams ``P(w)``, with
   ``(c(w) + 0.1) / (N + 0.1 (V + 1))``, an unknown token being one more with c = 0.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from driftline.session import bucketed, written
 
-KEEP = 2
+KEEP = 1
 DISCOUNT = 0.75
 ADD = 0.1
 #: Tokens of a block, but for one document that is longer.

@@ -135,6 +135,15 @@ def test_scores_against_a_plain_model(spark, docs, plain):
     assert whole == pytest.approx(1)
 
 
+def test_a_bigram_seen_once_has_its_arc(spark):
+    held = next(i for i in range(1, 1000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    one, two = [i for i in range(1, 1000) if zlib.crc32(str(i).encode()) % 10][:2]
+    got = {r.doc_id: r.score for r in ngram.score(spark.createDataFrame([(one, "a b c"), (two, "b a"), (held, "a b")], "doc_id long, text string")).collect()}
+    root = 2.1 / 7.5  # of a, b and the end token; each has two arcs that were seen once
+    arc = 0.25 / 2 + 0.75 * root
+    assert got[held] == pytest.approx(math.log10(arc * arc * 0.75 * root))
+
+
 def test_small_blocks_change_nothing(spark, docs, monkeypatch):
     want = {r.doc_id: r.score for r in ngram.score(docs).collect()}
     monkeypatch.setattr(ngram, "BLOCK_TOKENS", 3000)
