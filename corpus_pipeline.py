@@ -22,12 +22,12 @@ LEAST_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognisable language, and write the predicted one into ``lang``."""
+    """Drop documents without a recognisable language or in none of the learned ones, and write the predicted one into ``lang``."""
     path = vocabulary("piece_bpe_32k.model")
     model = language.fit(docs.where(~language.held_out("doc_id")), path)
     carried = [c for c in docs.columns if c != "doc_id"]
-    known = language.predict(docs, model, carry=tuple(carried))
-    kept = known.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    known = written(language.predict(docs, model, carry=tuple(carried)), "predicted")
+    kept = known.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & language.plausible(known))
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 

@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.words import distinct_words, slices
@@ -44,6 +44,8 @@ TEXTS = 200
 #: Words whose lattices are built at once.
 TOGETHER = 2_048
 SEED = 71
+#: A text is of no learned language if its log-probability is below TIMES the POOR quantile of labelled ones, by SLACK or more.
+POOR, TIMES, SLACK = 0.01, 2.0, 30.0
 
 
 @dataclass(frozen=True)
@@ -246,12 +248,15 @@ def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
 
 
 class _Scorer:
-    """Scores of texts; it remembers those of words as they stand between white space."""
+    """Scores of texts; it remembers those of words as they stand between white space.
+
+    A row of scores ends with the number of letters (marks included) that it is of.
+    """
 
     def __init__(self, model: LanguageModel):
         self.model = model
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.langs)))
+        self.scores = np.zeros((0, len(model.langs) + 1))
         self.old = (self.rows, self.scores)
 
     def _learn(self, raw: list[str]) -> np.ndarray:
@@ -261,6 +266,7 @@ class _Scorer:
         number = {w: k for k, w in enumerate(flat)}
         scores = [forward(flat[a : a + TOGETHER], self.model.probabilities, self.model.path) for a in range(0, len(flat), TOGETHER)]
         scores = np.concatenate([*scores, np.zeros((1, len(self.model.langs)))])  # the last: a word without letters
+        scores = np.column_stack((scores, [*map(len, flat), 0]))
         firsts = np.fromiter((number[ws[0]] if ws else len(flat) for ws in runs), np.int64, len(runs))
         out = scores[firsts]
         for k, ws in enumerate(runs):
@@ -268,10 +274,10 @@ class _Scorer:
                 out[k] = scores[[number[w] for w in ws]].sum(axis=0)
         return out
 
-    def totals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log-probabilities of texts, and whether a text has a letter."""
+    def totals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Summed log-probabilities of texts, the number of their letters, and whether a text has a letter."""
         words, number, bounds = distinct_words(texts, ascii=False)
-        table = np.zeros((len(words), len(self.model.langs)))
+        table = np.zeros((len(words), len(self.model.langs) + 1))
         fresh = [k for k, w in enumerate(words) if w not in self.rows]
         have = np.ones(len(words), bool)
         have[fresh] = False
@@ -294,16 +300,19 @@ class _Scorer:
         if len(self.rows) > REMEMBERED:
             self.old = (self.rows, self.scores)
             self.rows, self.scores = {}, self.scores[:0]
-        return sums[bounds[1:]] - sums[bounds[:-1]], counts[bounds[1:]] > counts[bounds[:-1]]
+        sums = sums[bounds[1:]] - sums[bounds[:-1]]
+        return sums[:, :-1], sums[:, -1], counts[bounds[1:]] > counts[bounds[:-1]]
 
 
 _scorers: dict[str, _Scorer] = {}
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, ``lang_pred`` and ``score``, and the columns ``carry``.
+    """``doc_id``, ``lang_pred`` and ``score``, the columns ``carry``, and ``__fit`` and ``__letters``.
 
-    ``score`` is the posterior probability of the predicted language. A null text,
+    ``score`` is the posterior probability of the predicted language, which says
+    nothing of languages that weren't learned; ``__fit`` is the log-probability of the
+    text under it, of ``__letters`` letters (marks of words included). A null text,
     one without a letter, and every text where no model could be fitted, gets
     ``und`` with score 0.
     """
@@ -318,17 +327,34 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
         for batch in batches:
             for part in slices(batch, TEXTS):
                 names, scores = [UNKNOWN] * part.num_rows, [0.0] * part.num_rows
+                fit, letters = np.zeros(part.num_rows), np.zeros(part.num_rows)
                 if model is not None:
-                    total, lettered = _scorers[model.key].totals(part.column(0))
-                    total += model.prior
+                    alone, letters, lettered = _scorers[model.key].totals(part.column(0))
+                    total = alone + model.prior
                     best = total.argmax(axis=1)
+                    fit = alone[np.arange(len(best)), best]
                     sure = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                     for k in np.flatnonzero(lettered).tolist():
                         names[k], scores[k] = model.langs[best[k]], float(sure[k])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names[1:], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fit, pa.float64()), pa.array(letters, pa.float64())], names=[*part.schema.names[1:], "lang_pred", "score", "__fit", "__letters"])
 
     chosen = docs.select(F.col(text).alias("__text"), F.col(id_col).alias("doc_id"), *carry)
-    return chosen.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]) + ", lang_pred string, score double")
+    return chosen.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]) + ", lang_pred string, score double, __fit double, __letters double")
+
+
+def plausible(known: DataFrame, lang: str = "lang") -> Column:
+    """Whether a predicted text reads like its language at all, which the posterior can't tell: it only weighs the learned languages.
+
+    The bound of a language is TIMES the POOR quantile of the log-probabilities a
+    letter over all of its labelled documents that are predicted so, and SLACK lower for a whole
+    text. A language without such documents has none.
+    """
+    right = known.where((F.col(lang) == F.col("lang_pred")) & (F.col("__letters") > 0))
+    found = right.groupBy("lang_pred").agg(F.percentile_approx(F.col("__fit") / F.col("__letters"), POOR).alias("x")).collect()  # a row for each language
+    ok = F.lit(True)
+    for row in found:
+        ok = F.when(F.col("lang_pred") == row.lang_pred, F.col("__fit") >= TIMES * row.x * F.col("__letters") - SLACK).otherwise(ok)
+    return ok
 
 
 def identify(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -658,6 +658,23 @@ def test_pipeline(spark, small, plain, encode):
     assert docs.count() >= len(ids["language"])
 
 
+def test_texts_of_other_languages_are_rejected(spark, small):
+    import corpus_pipeline
+
+    strange = [
+        (-1, "Всеобщая декларация прав человека. Все люди рождаются свободными и равными в своем достоинстве и правах"),
+        (-2, "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており"),
+        (-3, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto"),
+        (-4, "Zbigniew"),
+        (-5, "The committee adopted a resolution yesterday"),
+    ]
+    docs = table(spark, small, "documents")
+    more = docs.unionByName(spark.createDataFrame(strange, "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, more, small).select("doc_id").collect()}
+    assert {i for i in kept if i < 0} == {-4, -5}
+    assert kept >= {r.doc_id for r in docs.where("text rlike '[a-z]'").select("doc_id").collect()}
+
+
 def test_the_rest_works_without_this_subpackage(tmp_path):
     import shutil
     from pathlib import Path
