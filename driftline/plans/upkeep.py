@@ -165,7 +165,8 @@ def conversion_dispatch(spark: SparkSession, sf: str) -> DataFrame:
 @query("erased_audit", "SELECT event_id, CASE WHEN user_id % 10 <> 0 THEN user_id END AS actor_id, CASE WHEN (user_id + 5) % 10 <> 0 THEN user_id + 5 END AS subject_id, user_id % 10 = 0 OR (user_id + 5) % 10 = 0 AS changed FROM events")
 def erased_audit(spark: SparkSession, sf: str) -> DataFrame:
     audit = table(spark, sf, "events").select("event_id", F.col("user_id").alias("actor_id"), (F.col("user_id") + 5).alias("subject_id"))
-    gone = spark.range(0, 1_000_000, 10).select(F.col("id").alias("user_id"))
+    ids = audit.select(F.explode(F.array("actor_id", "subject_id")).alias("user_id"))
+    gone = ids.where(F.col("user_id") % 10 == 0).distinct()
     return U.erased(audit, gone)
 
 

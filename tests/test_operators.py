@@ -100,6 +100,12 @@ def test_quota_against_a_loop(spark, small):
     assert dict(zip(got.request_id, got.outcome, strict=True)) == want and len(set(want.values())) == 3
 
 
+def test_erasure_has_no_greatest_id(spark, tmp_path):
+    spark.createDataFrame([(1, 1_000_000), (2, 7), (3, 2_000_005), (4, 20), (5, None)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: (r.actor_id, r.subject_id, r.changed) for r in QUERIES["erased_audit"](spark, str(tmp_path)).collect()}
+    assert got == {1: (None, 1_000_005, True), 2: (7, 12, False), 3: (2_000_005, None, True), 4: (None, 25, True), 5: (None, None, False)}
+
+
 def test_stream_and_batch_limits_agree(spark, small):
     stream = QUERIES["stream_rate_limit"](spark, small).toPandas().set_index("event_id").allowed
     rows = table(spark, small, "events").select(F.col("event_id").alias("request_id"), "user_id", F.col("ts").alias("created_at"))
