@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,6 +54,36 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
+def list_hashes(rows: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
+    """The SHA-256 of each key's texts in order, as a list ``[a,b]``: ``keys`` and ``hash``. Null texts are left out.
+
+    A key's rows are sorted and read batch by batch; only its running digest is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, digest, first = None, None, True
+
+        def closed() -> pa.RecordBatch:
+            digest.update(b"]")
+            return pa.RecordBatch.from_arrays([*[pa.array([k], t) for k, t in zip(last, types, strict=True)], pa.array([digest.hexdigest()])], names=[*keys, "hash"])
+
+        for batch in batches:
+            types = [c.type for c in batch.columns[:-1]]
+            for *key, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if digest is None or key != last:
+                    if digest is not None:
+                        yield closed()
+                    last, digest, first = key, hashlib.sha256(b"["), True
+                if t is not None:
+                    digest.update((t if first else "," + t).encode("utf-8"))
+                    first = False
+        if digest is not None:
+            yield closed()
+
+    chosen = rows.repartition(*keys).sortWithinPartitions(*keys, *order, text).select(*keys, text)
+    return chosen.mapInArrow(run, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", hash string")
+
+
 class VersionedTable:
     """A table of which each version is a folder ``v=<n>``; readers see the last complete one.
 

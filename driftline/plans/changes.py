@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftline.config import BASE_SCORES
 from driftline.operators import ad_diff, entity_diff, product_diff
 from driftline.operators.events import appended
+from driftline.operators.state import list_hashes
 from driftline.plans import derived as D
 from driftline.plans.registry import query
 from driftline.session import table
@@ -263,9 +264,14 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
     word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     quoted = F.concat(F.lit('"'), "external_id", F.lit('"'))
     line = F.concat(F.lit("["), F.concat_ws(",", quoted, *[word(c) for c in ("price_min_cents", "price_max_cents", "compare_at_max_cents", "variant_count", "available_variants")]), F.lit("]"))
-    rows = D.catalog(spark, sf).select("store_id", "year", F.struct("external_id", line.alias("t")).alias("p"), F.struct("bestseller_rank", quoted.alias("t")).alias("r"))
-    text = lambda c: F.sha2(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), ","), F.lit("]")), 256)
-    return rows.groupBy("store_id", "year").agg(text("p").alias("catalog_hash"), text("r").alias("rank_hash"))
+    rows = D.catalog(spark, sf)
+    parts = F.array(
+        F.struct(F.lit("catalog_hash").alias("kind"), "external_id", F.lit(None).cast(rows.schema["bestseller_rank"].dataType).alias("rank"), line.alias("t")),
+        F.struct(F.lit("rank_hash").alias("kind"), F.lit(None).cast("string").alias("external_id"), F.col("bestseller_rank").alias("rank"), quoted.alias("t")),
+    )
+    hashes = list_hashes(rows.select("store_id", "year", F.inline(parts)), ["store_id", "year", "kind"], ["external_id", "rank"], "t")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("hash"))).alias(kind)
+    return hashes.groupBy("store_id", "year").agg(of("catalog_hash"), of("rank_hash"))
 
 
 @query(

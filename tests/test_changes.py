@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,22 @@ PREVIOUS = CURRENT + ", status string, missing_streak int, missing_since timesta
 SEEN = dt.datetime(2026, 6, 1)
 
 
+def test_hashes_of_lists_hold_no_group(spark, small):
+    from driftline.operators.state import list_hashes
+    from driftline.plans import QUERIES
+
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.createDataFrame([(k, n, None if n == 3 else f"{k}{n}") for n in range(9, -1, -1) for k in ("a", None)], "k string, n int, t string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.k: r.hash for r in list_hashes(rows, ["k"], ["n"], "t").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want = {k: hashlib.sha256(("[" + ",".join(f"{k}{n}" for n in range(10) if n != 3) + "]").encode()).hexdigest() for k in ("a", None)}
+    assert got == want
+    assert "collect_list" not in QUERIES["content_hashes"](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
 def now_():
     return F.lit("2026-08-08 12:00:00").cast("timestamp_ntz")
 
