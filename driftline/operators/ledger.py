@@ -1,91 +1,110 @@
 """Ledgers in which each decision depends on the decisions before it.
 
 A refused request uses up nothing, so that no window over the requests can tell
-what was accepted. Requests are grouped by their key, ordered by time, and decided
-in turn by a small loop over one key's requests.
+what was accepted. Requests are brought together by their key and sorted by time;
+a small loop decides them in turn, batch by batch, and carries no more from one to
+the next than the current key's state, however many requests a key has.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _decided(requests: DataFrame, key: str, order: list[str], decide: Callable[[Iterator[tuple], list[str]], list], result: str) -> DataFrame:
+def _decided(requests: DataFrame, key: str, order: list[str], start: Callable[[], Callable[..., Any]], reads: list[str], result: str) -> DataFrame:
+    """``start`` begins a key and returns what decides its requests in turn, from the columns ``reads``."""
     columns = [f for f in requests.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + f", {result}"
-    name = result.split()[0]
+    name, kind = result.split()
+    out_type = {"string": pa.string(), "boolean": pa.bool_()}[kind]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        return rows.assign(**{name: decide(rows)})
+    def values(column: pa.Array) -> Any:
+        return column.to_pandas() if pa.types.is_timestamp(column.type) else column.to_pylist()
 
-    return requests.groupBy(key).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, decide = object(), None
+        for batch in batches:
+            out = []
+            for this, *row in zip(*(values(batch.column(c)) for c in [key, *reads]), strict=True):
+                if decide is None or this != last:
+                    last, decide = this, start()
+                out.append(decide(*row))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, out_type)], names=[*batch.schema.names, name])
+
+    ordered = requests.repartition(key).sortWithinPartitions(key, *[F.col(c).asc_nulls_last() for c in order])
+    return ordered.mapInArrow(run, schema)
 
 
 def quota(requests: DataFrame, key: str = "user_id", limit: str = "quota", hours: int = 24, at: str = "created_at", store: str = "store_id", tie: str = "request_id") -> DataFrame:
     """Add ``outcome`` to analysis requests: ALLOWED, REPEATED (a store analysed in the window is free) or REFUSED.
 
-    A null quota is unlimited. Each key's requests are its own group.
+    A null quota is unlimited. Each key's requests are decided on their own; its state is the uses in the window.
     """
     span = pd.Timedelta(hours=hours)
 
-    def decide(rows: pd.DataFrame) -> list[str]:
+    def start() -> Callable[..., str]:
         used: deque = deque()
-        out = []
-        for now, most, what in zip(rows[at], rows[limit], rows[store], strict=True):
+
+        def decide(now: pd.Timestamp, most: int | None, what: Any) -> str:
             while used and used[0][0] <= now - span:
                 used.popleft()
             if any(w == what for _, w in used):
-                out.append("REPEATED")
-            elif pd.isna(most) or len(used) < most:
+                return "REPEATED"
+            if pd.isna(most) or len(used) < most:
                 used.append((now, what))
-                out.append("ALLOWED")
-            else:
-                out.append("REFUSED")
-        return out
+                return "ALLOWED"
+            return "REFUSED"
 
-    return _decided(requests, key, [at, tie], decide, "outcome string")
+        return decide
+
+    return _decided(requests, key, [at, tie], start, [at, limit, store], "outcome string")
 
 
 def rate_limit(requests: DataFrame, key: str, limit: int, seconds: int, at: str = "created_at", tie: str = "request_id") -> DataFrame:
     """Add ``allowed``: a window opens at a key's first request and lasts ``seconds``; the next opens at the first request after it."""
     span = pd.Timedelta(seconds=seconds)
 
-    def decide(rows: pd.DataFrame) -> list[bool]:
-        begun, n, out = None, 0, []
-        for now in rows[at]:
+    def start() -> Callable[..., bool]:
+        begun, n = None, 0
+
+        def decide(now: pd.Timestamp) -> bool:
+            nonlocal begun, n
             if begun is None or now >= begun + span:
                 begun, n = now, 0
             n += 1
-            out.append(n <= limit)
-        return out
+            return n <= limit
 
-    return _decided(requests, key, [at, tie], decide, "allowed boolean")
+        return decide
+
+    return _decided(requests, key, [at, tie], start, [at], "allowed boolean")
 
 
 def slots(requests: DataFrame, key: str = "user_id", limit: str = "slots", at: str = "created_at", until: str = "expires_at", store: str = "store_id", tie: str = "request_id") -> DataFrame:
     """Add ``outcome`` to requests to watch a store: STARTED, ALREADY_ACTIVE or NO_SLOT; a watch holds its slot until it expires."""
 
-    def decide(rows: pd.DataFrame) -> list[str]:
+    def start() -> Callable[..., str]:
         active: dict = {}
-        out = []
-        for now, end, most, what in zip(rows[at], rows[until], rows[limit], rows[store], strict=True):
+
+        def decide(now: pd.Timestamp, end: pd.Timestamp, most: int | None, what: Any) -> str:
+            nonlocal active
             active = {w: e for w, e in active.items() if pd.isna(e) or e > now}
             if what in active:
-                out.append("ALREADY_ACTIVE")
-            elif pd.isna(most) or len(active) < most:
+                return "ALREADY_ACTIVE"
+            if pd.isna(most) or len(active) < most:
                 active[what] = end
-                out.append("STARTED")
-            else:
-                out.append("NO_SLOT")
-        return out
+                return "STARTED"
+            return "NO_SLOT"
+
+        return decide
 
-    return _decided(requests, key, [at, tie], decide, "outcome string")
+    return _decided(requests, key, [at, tie], start, [at, until, limit, store], "outcome string")
 
 
 def promo_verdict(promo: dict[str, Column], user_id: Column, plan: Column, now: Column) -> Column:

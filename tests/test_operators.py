@@ -100,6 +100,31 @@ def test_quota_against_a_loop(spark, small):
     assert dict(zip(got.request_id, got.outcome, strict=True)) == want and len(set(want.values())) == 3
 
 
+def test_a_hot_key_is_decided_batch_by_batch(spark):
+    rows = [(i, None if i % 4 == 3 else i % 2, day(0) + dt.timedelta(minutes=7 * (i * 37 % 101)), i % 3, 1, day(1) if i % 2 else None) for i in range(101)]
+    requests = spark.createDataFrame(rows, "request_id long, user_id long, created_at timestamp_ntz, store_id long, quota int, expires_at timestamp_ntz").withColumn("slots", F.col("quota"))
+    runs = [lambda: ledger.quota(requests, hours=1), lambda: ledger.rate_limit(requests, "user_id", 3, 3600), lambda: ledger.slots(requests)]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {}
+    try:
+        for size in ("2", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got[size] = [{r.request_id: r[-1] for r in run().collect()} for run in runs]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert got["2"] == got["10000"] and all(len(x) == 101 for x in got["2"])
+    want = {}
+    for key in (None, 0, 1):
+        begun, n = None, 0
+        for r in sorted((r for r in rows if r[1] == key), key=lambda r: r[2]):
+            if begun is None or r[2] >= begun + dt.timedelta(hours=1):
+                begun, n = r[2], 0
+            n += 1
+            want[r[0]] = n <= 3
+    assert got["2"][1] == want
+    assert not any("InPandas" in run()._jdf.queryExecution().executedPlan().toString() for run in runs)
+
+
 def test_erasure_has_no_greatest_id(spark, tmp_path):
     spark.createDataFrame([(1, 1_000_000), (2, 7), (3, 2_000_005), (4, 20), (5, None)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id: (r.actor_id, r.subject_id, r.changed) for r in QUERIES["erased_audit"](spark, str(tmp_path)).collect()}
