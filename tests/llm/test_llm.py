@@ -335,15 +335,48 @@ def test_quality_tells_junk_from_prose(spark):
 def test_ratios(spark):
     rows = [(i, "good plain words here" if i % 2 else "bad bad junk") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    raw, targets = quality.count_features(docs, docs.where("doc_id % 2 = 1"))
-    assert sum(raw) == 20 * 7 + 20 * 5 and sum(map(sum, targets)) == 20 * 7 and all(map(any, targets))
-    ratios = quality.ratios(raw, [a + b for a, b in zip(*targets, strict=True)])
+    raw, target = quality.count_features(docs, docs.where("doc_id % 2 = 1"))
+    assert sum(raw) == 20 * 7 + 20 * 5 and sum(target) == 20 * 7
+    ratios = quality.ratios(raw, target)
     spark_hash = lambda w: docs.select(F.pmod(F.xxhash64(F.lit(w)), F.lit(quality.BUCKETS))).first()[0]
     assert ratios[spark_hash("good")] > 0 > ratios[spark_hash("junk")]
     p = 21 / (sum(raw) + quality.BUCKETS)
     assert ratios[spark_hash("good")] == pytest.approx(math.log((20 + quality.PRIOR * p) / (20 * 7 + quality.PRIOR) / p), abs=1e-4)
 
 
+def test_verdicts_against_a_plain_version(spark, small, plain):
+    """Score, threshold and verdict; hashes as Spark has them, n-grams by their words."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    word = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
+    raw8 = lambda x: (x & (1 << 64) - 1).to_bytes(8, "little")
+    pair = lambda a, b: signed(xxhash.xxh64_intdigest(raw8(b), xxhash.xxh64_intdigest(raw8(a), 42)))
+    trusted = {r.doc_id for r in table(spark, small, "labels").where("quality = 1").collect()}
+    grams = {}
+    for i, t, _, _ in plain:
+        h = [word(w) for w in WORD.findall(t or "")]
+        grams[i] = [x % quality.BUCKETS for x in h + [pair(a, b) for a, b in zip(h, h[1:], strict=False)]]
+    raw, target = collections.Counter(), collections.Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        if i in trusted:
+            target.update(g)
+    n_raw, n_target = raw.total() + quality.BUCKETS, target.total()
+
+    def score(g, without=False):
+        own, n = (collections.Counter(g), len(g)) if without else (collections.Counter(), 0)
+        each = [math.log((target[f] - own[f] + quality.PRIOR * p) / (n_target - n + quality.PRIOR) / p) for f in g for p in [(raw[f] + 1) / n_raw]]
+        return sum(each) / len(each) if each else 0.0
+
+    threshold = np.quantile([score(grams[i], True) for i, t, _, _ in plain if i in trusted and len(WORD.findall(t or "")) >= quality.MIN_WORDS], quality.LEAST)
+    got = QUERIES["op5_quality_rules"](spark, small).collect()
+    assert len(got) == len(plain)
+    for r in got:
+        want = score(grams[r.doc_id])
+        assert r.score == pytest.approx(want, abs=2e-4)
+        if abs(want - threshold) > 2e-4:
+            assert r.kept == (not r.base_failed and want > threshold)
+
+
 # 6 and 9
 
 
