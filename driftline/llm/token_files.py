@@ -31,12 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.llm.tokens import encoded_parts
+from driftline.llm.tokens import map_tokens
 from driftline.session import scratch_path, written
 
 END_ID = 1
 #: Bytes of ids in a frame; a longer document goes on in further frames.
 FRAME = 1 << 18
+#: Tokens of a file, about.
+FILE_TOKENS = 1 << 23
+#: Documents whose places a writer holds as Python objects.
+HELD = 1 << 14
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FOOTER, ENTRY = struct.Struct("<IBI"), np.dtype([("packed", "<u4"), ("size", "<u4"), ("sum", "<u4")])
 INDEX = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u8")])
@@ -48,7 +52,7 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 class TokenFileWriter:
     def __init__(self, out):
-        self.out, self.frames, self.index, self.tokens, self.held = out, [], [], 0, bytearray()
+        self.out, self.frames, self.index, self.recent, self.tokens, self.held = out, [], [], [], 0, bytearray()
         self.packer = zstandard.ZstdCompressor(level=3)
 
     def _frame(self, content: bytes) -> None:
@@ -60,7 +64,9 @@ class TokenFileWriter:
         """``ids``: little-endian unsigned 32-bit."""
         if self.held and len(self.held) + len(ids) > FRAME:
             self._flush()
-        self.index.append((doc_id is not None, doc_id or 0, self.tokens, len(ids) // 4))
+        self.recent.append((doc_id is not None, doc_id or 0, self.tokens, len(ids) // 4))
+        if len(self.recent) >= HELD:
+            self._settle()
         self.tokens += len(ids) // 4
         self.held += ids
         while len(self.held) >= FRAME:
@@ -72,9 +78,14 @@ class TokenFileWriter:
             self._frame(bytes(self.held))
             self.held.clear()
 
+    def _settle(self) -> None:
+        self.index.append(np.array(self.recent, dtype=INDEX))
+        self.recent = []
+
     def close(self) -> None:
         self._flush()
-        index = self.packer.compress(np.array(self.index, dtype=INDEX).tobytes())
+        self._settle()
+        index = self.packer.compress(np.concatenate(self.index).tobytes())
         self.out.write(struct.pack("<II", INDEX_MAGIC, len(index) + 4) + index + struct.pack("<I", len(index)))
         table = np.array(self.frames, dtype=ENTRY).tobytes()
         self.out.write(struct.pack("<II", TABLE_MAGIC, len(table) + FOOTER.size) + table + FOOTER.pack(len(self.frames), 0x80, SEEKABLE))
@@ -133,40 +144,44 @@ class TokenFiles:
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text", parts: int | None = None) -> TokenFiles:
     """Encode ``docs`` and write the ids in ascending order of the id, null first.
 
-    Documents with equal ids come in the order of their texts' hashes. A null
-    text is empty. Each task writes one file under a name of its own attempt and
-    then renames it, so that a task that is run again leaves the same file.
+    Texts are encoded where they lie; only ids are dealt out by range. Documents
+    with equal ids come in the order of their texts' hashes. A null text is empty;
+    an empty table makes no file. There are about FILE_TOKENS tokens to a file
+    unless ``parts`` says how many files there are. A file bears the name of the
+    task attempt that wrote it, and the manifest lists those of the attempts that
+    ended well, so that a task that is run again does no harm.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-files")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = map_tokens(docs.withColumn("__tie", F.xxhash64(text)), id_col, text, tokenizer, end_id, _counted, "ids binary, tokens long", ["ids", "tokens"], carry=("__tie",))
+    encoded = written(made, "encoded")
+    parts = parts or (encoded.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] // FILE_TOKENS + 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        part = task.partitionId()
-        where, path = _opened(f"{folder}/part-{part:08d}.tokens")
-        where.create_dir(path.rpartition("/")[0], recursive=True)
-        draft = f"{path}.{task.taskAttemptId()}"
-        writer = None
-        with where.open_output_stream(draft) as out:
-            for rows, ids in encoded_parts(iter(batches), tokenizer, end_id):
-                writer = writer or TokenFileWriter(out)
-                for doc_id, tokens in zip(rows.column(0).to_pylist(), ids, strict=True):
+        task, writer = TaskContext.get(), None
+        name = f"{folder}/part-{task.partitionId():08d}-{task.taskAttemptId()}.tokens"
+        where, path = _opened(name)
+        for batch in batches:
+            if writer is None and batch.num_rows:
+                where.create_dir(path.rpartition("/")[0], recursive=True)
+                writer = TokenFileWriter(where.open_output_stream(path))
+            for at in range(0, batch.num_rows, 256):
+                for doc_id, tokens in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
                     writer.add(doc_id, tokens)
-            if writer:
-                writer.close()
-        if writer is None:
-            where.delete_file(draft)
-            return
-        where.move(draft, path)
-        yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:08d}.tokens"], "docs": [len(writer.index)], "tokens": [writer.tokens]})
-
-    doc_id = F.col(id_col).cast("long")
-    chosen = docs.select(doc_id.alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-    placed = chosen.repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.asc("tie")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc("tie"))
-    made = written(placed.select("doc_id", "text").mapInArrow(run, "part long, path string, docs long, tokens long"), "manifest")
+        if writer is not None:
+            writer.close()
+            writer.out.close()
+            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [name], "docs": [sum(map(len, writer.index))], "tokens": [writer.tokens]})
+
+    order = F.asc_nulls_first("doc_id"), F.asc("__tie")
+    placed = encoded.select("doc_id", "__tie", "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    manifest = written(placed.select("doc_id", "ids").mapInArrow(run, "part long, path string, docs long, tokens long"), "manifest")
     base = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return TokenFiles(folder, made.withColumn("base", base))
+    return TokenFiles(folder, manifest.withColumn("base", base))
+
+
+def _counted():
+    return lambda ids: [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
 
 
 def read_tokens(files: TokenFiles, with_ids: bool = False, wanted: list[int] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -17,6 +19,8 @@ REMEMBERED = 250_000
 #: Words that are encoded at once, with SEPARATOR between them.
 TOGETHER = 1_000
 SEPARATOR = "▁"
+#: Lower-case letters of ASCII and Latin-1, which no normal form or lower-casing changes, and ASCII punctuation behind them, without the apostrophe.
+WORD = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Texts that are encoded at once.
 TEXTS = 256
 
@@ -24,8 +28,11 @@ TEXTS = 256
 class WordEncoder:
     """Ids of texts for tokenizers that drop white space and lower-case, so that each word can be encoded alone.
 
-    Words are keyed by their bytes with A-Z lowered. A text that holds ``<|``,
-    and so perhaps a special token, is encoded whole by the library.
+    Words are keyed by their bytes with A-Z lowered. A word of letters with
+    punctuation behind it has the ids of the letters and those of the punctuation,
+    if the tokenizer parts the two. Words of letters that its normalizer leaves as
+    they are go past the normalizer and are cut where a token ends a word. A text
+    that holds ``<|``, and so perhaps a special token, is encoded whole by the library.
     """
 
     def __init__(self, path: str):
@@ -36,16 +43,47 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        apart = self.tokenizer.encode_batch(["Ab a", "ab", "a"], add_special_tokens=False)
-        self.by_word = apart[0].ids == apart[1].ids + apart[2].ids
-        self.mark = np.array(self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids, dtype="<u4")
+        probe = lambda *texts: [e.ids for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
+        both, ab, a = probe("Ab a", "ab", "a")
+        self.by_word = both == ab + a
+        self.mark = np.array(probe(SEPARATOR)[0], dtype="<u4")
+        self.parts = self.by_word and all(x == y + z for x, y, z in (probe(f"ab{t}", "ab", t) for t in (",", ".", "...", ");", "%%%", "-", '".', "$&#*")))
+        self.bare = self._without_normalizer(path)
+
+    def _without_normalizer(self, path: str):
+        """The tokenizer without a normalizer, and which tokens end a word; None if its parts aren't known to leave lower-case letters as they are."""
+        with open(path, encoding="utf-8") as source:
+            made = json.load(source)
+        kinds = [x["type"] for x in ((made.get("normalizer") or {}).get("normalizers") or [{"type": None}])]
+        suffix = made["model"].get("end_of_word_suffix")
+        if not self.parts or not suffix or not {"NFC", "Lowercase", "Replace"} >= set(kinds):
+            return None
+        bare = type(self.tokenizer).from_file(path)
+        bare.no_truncation()
+        bare.no_padding()
+        bare.normalizer = None
+        ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+        ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        plain = "abz naïve éß"
+        return (bare, ends) if bare.encode(plain, add_special_tokens=False).ids == self.tokenizer.encode(plain, add_special_tokens=False).ids else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
+    def _letters(self, texts: list[str]) -> list[bytes]:
+        """The ids of words of letters that match LETTERS."""
+        if self.bare is None:
+            return self._words(texts)
+        bare, ends = self.bare
+        ids = np.array(bare.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) != len(texts) or cuts[-1] != len(ids):
+            return self._words(texts)
+        raw, at = ids.tobytes(), (4 * cuts).tolist()
+        return [raw[a:z] for a, z in zip([0, *at[:-1]], at, strict=True)]
+
+    def _words(self, texts: list[str]) -> list[bytes]:
         """The ids of each word. Words are encoded together and cut where the separator's ids stand, which no word without the separator has."""
-        texts = [w.decode() for w in words]
         joined = f" {SEPARATOR} ".join(texts)
         if len(self.mark) < 2 or joined.count(SEPARATOR) != len(texts) - 1:
             return self._whole(texts)
@@ -55,11 +93,42 @@ class WordEncoder:
         for k in range(n):
             hit &= ids[k : len(hit) + k] == self.mark[k]
         cuts = np.flatnonzero(hit).tolist()
-        if len(cuts) != len(words) - 1:
+        if len(cuts) != len(texts) - 1:
             return self._whole(texts)
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *(c + n for c in cuts)], [*cuts, len(ids)], strict=True)]
 
+    def _learn(self, missing: set[bytes]) -> None:
+        """Put the ids of words that ``new`` lacks into it."""
+        known, old = self.new, self.old
+        again = [w for w in missing if w in old] if old else []
+        known.update((w, old[w]) for w in again)
+        letters: dict[str, bytes] = {}
+        others: list[tuple[str, bytes]] = []
+        parted: list[tuple[bytes, bytes, bytes]] = []
+        for word in missing.difference(again):
+            text = word.decode()
+            found = WORD.fullmatch(text) if self.parts else None
+            if not found:
+                others.append((text, word))
+            elif not found[2]:
+                letters[text] = word
+            else:
+                stem, tail = found[1].encode(), found[2].encode()
+                parted.append((word, stem, tail))
+                for part in (stem, tail):
+                    if part not in known and part in old:
+                        known[part] = old[part]
+                if stem not in known:
+                    letters[found[1]] = stem
+                if tail not in known:
+                    known[tail] = self._whole([found[2]])[0]
+        for encode, todo in ((self._letters, list(letters.items())), (self._words, others)):
+            for at in range(0, len(todo), TOGETHER):
+                some = todo[at : at + TOGETHER]
+                known.update(zip([w for _, w in some], encode([t for t, _ in some]), strict=True))
+        known.update((word, known[stem] + known[tail]) for word, stem, tail in parted)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
         texts = [t or "" for t in texts]
@@ -67,19 +136,12 @@ class WordEncoder:
             return self._whole(texts)
         whole = {i for i, t in enumerate(texts) if "<|" in t}
         split = [[] if i in whole else t.encode().lower().split() for i, t in enumerate(texts)]
-        known, old = self.new, self.old
-        missing = set().union(*split).difference(known)
-        again = [w for w in missing if w in old]
-        known.update((w, old[w]) for w in again)
-        todo = list(missing.difference(again))
-        for at in range(0, len(todo), TOGETHER):
-            some = todo[at : at + TOGETHER]
-            known.update(zip(some, self._words(some), strict=True))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        self._learn(set().union(*split).difference(self.new))
+        out = [b"".join(map(self.new.__getitem__, words)) for words in split]
         for i in whole:
             out[i] = self._whole([texts[i]])[0]
-        if len(known) > REMEMBERED:
-            self.old, self.new = known, {}
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
         return out
 
 
@@ -100,8 +162,8 @@ def encoded_parts(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
             yield part, [ids + end for ids in encoder(path).encode(part.column(1).to_pylist())]
 
 
-def map_tokens(docs: DataFrame, id_col: str, text: str, path: str, end_id: int, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], schema: str, names: list[str]) -> DataFrame:
-    """``doc_id`` and what ``make`` builds from the ids (with the end id) of a batch of documents.
+def map_tokens(docs: DataFrame, id_col: str, text: str, path: str, end_id: int, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], schema: str, names: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``carry``, and what ``make`` builds from the ids (with the end id) of a batch of documents.
 
     ``make`` is called once per task, so that it can keep a running total: it
     returns the function for the batches.
@@ -110,6 +172,8 @@ def map_tokens(docs: DataFrame, id_col: str, text: str, path: str, end_id: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         build = make()
         for part, ids in encoded_parts(batches, path, end_id):
-            yield pa.RecordBatch.from_arrays([part.column(0), *build(ids)], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *build(ids)], names=["doc_id", *carry, *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, f"doc_id long, {schema}")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text), *carry)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[2:]]
+    return chosen.mapInArrow(run, ", ".join(["doc_id long", *kept, schema]))
