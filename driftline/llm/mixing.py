@@ -8,8 +8,11 @@ source is mapped by a pseudorandom permutation of the source's block indices
 (swap-or-not, ROUNDS rounds) to a block, which is found by joining on its index.
 The last slot of a source takes only the words that its target still lacks.
 
-Everything is a function of the seed and the rows, so that reruns agree, and
-everything is made of DataFrame functions.
+The words of a source lie in the order of hashes of whole rows, and rows that are
+equal can stand for one another, so that everything is a function of the seed and
+the rows: reruns agree, however the rows are partitioned. Everything is made of
+DataFrame functions. The tables of sources and of shards are ordered in one task;
+they have a row per source and per SLOTS_PER_SHARD blocks of words.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.llm.columns import running_start, words_of
+from driftline.llm.columns import let, running_start, words_of
 from driftline.session import written
 
 BLOCK = 64
@@ -137,11 +140,34 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", **how) -> D
     """
     added = ("row", "size", "number", "source_size", "target", "taken", "pieces")
     others = [c for c in docs.columns if c not in (*added, text)]
-    return mix_rows(written(docs.select(*others, F.size(words_of(F.col(text))).cast("long").alias("size"), F.monotonically_increasing_id().alias("row")), "sizes"), source, **how)
+    sizes = docs.select(*others, F.size(words_of(F.col(text))).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"), *_content(docs.columns))
+    return mix_rows(written(sizes, "sizes"), source, **how).drop("__h1", "__h2")
+
+
+def _content(columns: list[str]) -> list[Column]:
+    """Two hashes of a row's content, ``__h1`` and ``__h2``."""
+    names = sorted(columns)
+    return [F.xxhash64(F.lit(SEED + k), *names).alias(f"__h{k}") for k in (1, 2)]
+
+
+def _starts(slim: DataFrame, buckets: int) -> DataFrame:
+    """Add ``start``, the words of the source before a row, in the order of content.
+
+    ``slim``: ``row``, ``number``, ``size``, ``__h1``, ``__h2``. The first hash deals
+    rows into buckets; equal rows share one, and so that however many they are no
+    task holds them all, they are dealt once more by a salt, which only says which of them
+    comes first. Row totals are ordered within buckets, buckets within sources.
+    """
+    dealt = slim.withColumns({"__bucket": F.pmod("__h1", F.lit(buckets)), "__salt": F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(buckets))})
+    keys = ["number", "__bucket", "__h1", "__h2", "__salt"]
+    groups = dealt.groupBy(*keys).agg(F.sum("size").alias("__words"))
+    placed = running_start(groups, ["number"], "__bucket", [F.col(k) for k in keys[2:]], "__words", "__first")
+    local = F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("__local", local).join(placed.drop("__words"), keys).withColumn("start", F.col("__first") + F.col("__local"))
 
 
 def mix_rows(sized: DataFrame, source: str = "source", **how) -> DataFrame:
-    """As ``mix``, from a written table that has ``size`` and ``row`` already."""
+    """As ``mix``, from a written table that has ``size``, ``row`` and the content hashes already."""
     targets = written(source_targets(sized, source=source, **how), "targets")
     slots = slot_table(targets)
     whole = F.least(F.lit(BLOCK), F.col("source_size") - F.col("block") * BLOCK)
@@ -152,8 +178,7 @@ def mix_rows(sized: DataFrame, source: str = "source", **how) -> DataFrame:
     )
     buckets = max(64, sized.count() // 5000 + 1)
     known = sized.join(targets.withColumnRenamed(source, "__source"), F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
-    slim = known.select("row", "number", "size").withColumn("__bucket", F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(buckets)))
-    placed = running_start(slim, ["number"], "__bucket", [F.col("row")], "size", "start").where(F.col("size") > 0)
+    placed = _starts(known.select("row", "number", "size", "__h1", "__h2").where("size > 0"), buckets)
     cut = placed.select("row", "number", "start", "size", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))).alias("block"))
     low = F.greatest(F.col("start") - F.col("block") * BLOCK, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * BLOCK, F.lit(BLOCK))
@@ -174,7 +199,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     """
     names = docs.columns
     whole = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    sized = written(whole.select(F.col("__row").alias("row"), F.col(source).alias("__from"), F.size(words_of(F.col(text))).cast("long").alias("size")), "sizes")
+    sized = written(whole.select(F.col("__row").alias("row"), F.col(source).alias("__from"), F.size(words_of(F.col(text))).cast("long").alias("size"), *_content(names)), "sizes")
     taken = mix_rows(sized, "__from", **how).where(F.col("taken") > 0).select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("pieces").alias("__pieces"))
 
     def length(p: Column, turn: Column) -> Column:
@@ -184,8 +209,9 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     rows = whole.join(taken, "__row").withColumn("__turn", turns)
     rows = rows.withColumn("__runs", F.filter(F.transform("__pieces", lambda p: F.struct(p["at"].alias("at"), length(p, F.col("__turn")).alias("n"))), lambda r: r["n"] > 0)).where(F.size("__runs") > 0)
     n = F.aggregate("__runs", F.lit(0).cast("long"), lambda s, r: s + r["n"])
-    words = rows.withColumn("__n", n).withColumn("__words", words_of(F.col(text)))
-    some = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice("__words", (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")
+    words = rows.withColumn("__n", n)
+    # bound once: inside the inner function the text would be split again for each run
+    some = let(words_of(F.col(text)), lambda w: F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(w, (r["at"] + 1).cast("int"), r["n"].cast("int")))), " "))
     new = words.withColumn(text, F.when(F.col("__n") == F.col("__size"), F.col(text)).otherwise(some))
     if "n_chars" in names:
         new = new.withColumn("n_chars", F.char_length(text).cast("long"))

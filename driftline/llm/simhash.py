@@ -59,14 +59,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+    """``doc_id``, ``fp``, the fingerprint as a signed long, and ``content``, a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["doc_id", "fp", "content"])
 
-    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long"), text, F.xxhash64(text)).mapInArrow(run, "doc_id long, fp long, content long")
 
 
 def _flips() -> list[tuple[int, int, int, int]]:
@@ -105,18 +105,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     Texts under three words are one shingle. Repeated rows fall into one
     component. An empty table gives an empty result; other columns aren't read.
     """
+    known, rooted = _rooted(docs, id_col, text)
+    least = rooted.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
+    ids = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return known.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _rooted(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint of every document, and for each distinct one the ``root`` of its component and ``least``, the smallest (doc_id, content) with an id that has it."""
     known = written(fingerprints(docs, id_col, text), "fingerprints")
-    distinct = written(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "content")))
+    distinct = written(known.groupBy("fp").agg(first.alias("least")), "distinct-fingerprints")
     found = components(links(distinct.select("fp")), "a", "b")
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return known.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return known, written(rooted, "rooted")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is their component's, one row each; rows whose component has no id all stay."""
-    chosen = near_duplicates(docs, id_col, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    first = docs.join(chosen, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    """One document of each component: that with the smallest id and, if several texts bear it, the smallest hash of the text.
+
+    Of rows that are repeated with id and text one stays. Rows without an id all stay.
+    """
+    _, rooted = _rooted(docs, id_col, text)
+    chosen = rooted.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.doc_id").alias("__kept"), F.col("first.content").alias("__content"))
+    marked = docs.withColumn("__hash", F.xxhash64(text))
+    first = marked.join(chosen, (F.col(id_col) == F.col("__kept")) & (F.col("__hash") == F.col("__content")), "left_semi").dropDuplicates([id_col, "__hash"])
+    return first.drop("__hash").unionByName(docs.where(F.col(id_col).isNull()))

@@ -282,6 +282,15 @@ def test_near_duplicates(spark, docs, plain, odd, empty):
     assert kept.count(5) == 1 and kept.count(None) == 2 and 7 not in kept and 2 not in kept
 
 
+def test_one_id_on_two_texts(spark):
+    """An id that stands on two texts of different components stays once in each."""
+    a, b = "der erste text ist hier ganz anders als alle", "and this one is about quite another thing instead"
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (1, b), (1, a + " "), (4, "third of them")], "doc_id long, text string")
+    for n in (1, 5):
+        kept = simhash.drop_near_duplicates(docs.repartition(n)).collect()
+        assert sorted((r.doc_id, r.text.strip()) for r in kept) == sorted([(1, a), (1, b), (4, "third of them")])
+
+
 def test_long_chains_are_one_component(spark):
     edges = spark.range(500).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
     extra = spark.createDataFrame([(900, 901), (901, 900), (7, 7), (900, 902)], "x long, y long")
@@ -560,6 +569,16 @@ def test_mix(spark, small, odd, which):
     assert again == {r.row: r.taken for r in got}
 
 
+def test_a_mix_does_not_depend_on_partitions(spark, docs, odd):
+    many = docs.unionByName(odd).unionByName(odd.where("doc_id = 6").withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("x"))
+    taken = lambda d: sorted((str(r.doc_id), r.size, r.taken) for r in mixing.mix(d).select("doc_id", "size", "taken").collect())
+    want = taken(many)
+    for n in (1, 7, 211):
+        assert taken(many.repartition(n)) == want
+    text = lambda d: sorted((str(r.doc_id), str(r.source), r.text) for r in mixing.mixed_documents(d).collect())
+    assert text(many.repartition(5)) == text(many)
+
+
 def test_mixed_texts(odd, empty):
     rows = mixing.mixed_documents(odd).collect()
     words = sum(len(WORD.findall(r.text)) for r in rows)
