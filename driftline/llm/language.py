@@ -14,7 +14,6 @@ of which there are at most languages * pieces.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +21,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +33,16 @@ from driftline.session import written
 TRAIN_DOCS = 4_000
 ROUNDS = 3
 SMOOTHING = 0.01
-#: Longer words (mark included) are summed up in logarithms and not learned from.
+#: The sums of longer words (mark included) are taken in logarithms.
 SHORT = 33
+#: Positions of a word that are summed up at once; a longer run of letters is learned from in parts of this length.
+WINDOW = 1 << 16
+#: Cells (words by positions) of lattices that are summed up at once.
+CELLS = 1 << 20
 #: Words whose probabilities a worker remembers (twice this many at most).
 REMEMBERED = 50_000
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
 #: Texts that are scored at once.
 TEXTS = 200
@@ -118,8 +123,9 @@ def lattice(words: list[str], path: str) -> tuple[np.ndarray, ...]:
     return of[place], low, low + size, what, lengths
 
 
-def _sweep(steps: np.ndarray, word: np.ndarray, source: np.ndarray, weight: np.ndarray, table: np.ndarray, backward: bool = False) -> None:
-    """For one position of all words after the other, set ``table[word, position]`` to the sum of ``table[word, source] * weight`` over the edges that meet there."""
+def _sweep(steps: np.ndarray, word: np.ndarray, source: np.ndarray, weight: np.ndarray, table: np.ndarray, backward: bool = False, logs: bool = False) -> None:
+    """For one position of all words after the other, set ``table[word, position]`` to the sum of ``table[word, source] * weight`` over the edges that meet there; ``logs``: all of it in logarithms."""
+    join, total = (np.add, np.logaddexp) if logs else (np.multiply, np.add)
     n = len(table)
     order = np.argsort(steps * n + word, kind="stable")
     key = (steps * n + word)[order]
@@ -130,16 +136,13 @@ def _sweep(steps: np.ndarray, word: np.ndarray, source: np.ndarray, weight: np.n
     spans = list(zip(cuts[:-1], cuts[1:], strict=True))
     for a, b in reversed(spans) if backward else spans:
         first, last = groups[a], groups[b] if b < len(groups) else len(key)
-        part = table[word[first:last], source[first:last]] * weight[first:last]
-        table[word[groups[a:b]], position[a]] = np.add.reduceat(part, groups[a:b] - first, axis=0)
+        part = join(table[word[first:last], source[first:last]], weight[first:last])
+        table[word[groups[a:b]], position[a]] = total.reduceat(part, groups[a:b] - first, axis=0)
 
 
 def forward(words: list[str], probabilities: np.ndarray, path: str) -> np.ndarray:
     """log P(word | language), a row for each word; ``probabilities`` has a row for each piece."""
     out = np.zeros((len(words), probabilities.shape[1]))
-    for k, word in enumerate(words):
-        if len(word) > SHORT:
-            out[k] = _long(word, probabilities, path)
     rows = [k for k, word in enumerate(words) if len(word) <= SHORT]
     if rows:
         of, low, high, what, lengths = lattice([words[k] for k in rows], path)
@@ -149,36 +152,73 @@ def forward(words: list[str], probabilities: np.ndarray, path: str) -> np.ndarra
         alpha[:, 0] = 1.0
         _sweep(high, of, low, weight, alpha)
         out[rows] = np.log(alpha[np.arange(len(rows)), lengths]) - (lengths * np.log(256.0))[:, None]
+    with np.errstate(divide="ignore"):
+        logs = np.log(probabilities)
+    for rows in _groups(words, [k for k, word in enumerate(words) if SHORT < len(word) <= WINDOW]):
+        of, low, high, what, lengths = lattice([words[k] for k in rows], path)
+        alpha = np.full((len(rows), int(lengths.max()) + 1, probabilities.shape[1]), -np.inf)
+        alpha[:, 0] = 0.0
+        _sweep(high, of, low, logs[what], alpha, logs=True)
+        out[rows] = alpha[np.arange(len(rows)), lengths]
+    for k, word in enumerate(words):
+        if len(word) > WINDOW:
+            out[k] = _long(word, logs, path)
     return out
 
 
-def _long(word: str, probabilities: np.ndarray, path: str) -> np.ndarray:
-    _, low, high, what, _ = lattice([word], path)
-    order = np.argsort(high, kind="stable")
-    logs = np.log(probabilities)
-    alpha = np.full((len(word) + 1, probabilities.shape[1]), -np.inf)
-    alpha[0] = 0.0
-    for i, j, p in zip(low[order].tolist(), high[order].tolist(), what[order].tolist(), strict=True):
-        alpha[j] = np.logaddexp(alpha[j], alpha[i] + logs[p])
-    return alpha[-1]
+def _groups(words: list[str], rows: list[int]) -> Iterator[list[int]]:
+    """Words of like length together, CELLS cells at most to a group, or one word."""
+    group: list[int] = []
+    for k in sorted(rows, key=lambda k: len(words[k])):
+        if group and (len(group) + 1) * len(words[k]) > CELLS:
+            yield group
+            group = []
+        group.append(k)
+    if group:
+        yield group
+
+
+def _long(word: str, logs: np.ndarray, path: str) -> np.ndarray:
+    """One word in windows; from one to the next go the sums of as many positions as a piece is long."""
+    longest, at = pieces(path).longest, 0
+    last = np.zeros((1, logs.shape[1]))
+    while at < len(word):
+        first, end = max(0, at - longest), min(len(word), at + WINDOW)
+        _, low, high, what, _ = lattice([word[first:end]], path)
+        new = high > at - first
+        alpha = np.full((1, end - first + 1, logs.shape[1]), -np.inf)
+        alpha[0, : at - first + 1] = last[-(at - first + 1) :]
+        _sweep(high[new], np.zeros(int(new.sum()), np.int64), low[new], logs[what[new]], alpha, logs=True)
+        last, at = alpha[0, -(longest + 1) :], end
+    return last[-1]
 
 
 def expected(words: list[str], counts: np.ndarray, langs: np.ndarray, probabilities: np.ndarray, path: str) -> np.ndarray:
-    """Expected uses of each piece by each language over words of SHORT letters at most, by forward and backward sums."""
-    of, low, high, what, lengths = lattice(words, path)
-    weight = (probabilities[what, langs[of]] * 256.0 ** (high - low))[:, None]
-    alpha = np.zeros((len(words), int(lengths.max()) + 1, 1))
-    beta = alpha.copy()
-    alpha[:, 0], beta[np.arange(len(words)), lengths] = 1.0, 1.0
-    _sweep(high, of, low, weight, alpha)
-    _sweep(low, of, high, weight, beta, backward=True)
-    use = alpha[of, low, 0] * weight[:, 0] * beta[of, high, 0] / alpha[of, lengths[of], 0] * counts[of]
+    """Expected uses of each piece by each language, by forward and backward sums over the words' lattices."""
     n = probabilities.shape
-    return np.bincount(what * n[1] + langs[of], use, minlength=n[0] * n[1]).reshape(n)
+    total = np.zeros(n[0] * n[1])
+    short = [k for k, word in enumerate(words) if len(word) <= SHORT]
+    long = _groups(words, [k for k, word in enumerate(words) if len(word) > SHORT])
+    for logs, rows in [*([(False, short)] if short else []), *((True, g) for g in long)]:
+        of, low, high, what, lengths = lattice([words[k] for k in rows], path)
+        lang = langs[rows][of]
+        zero, one = (-np.inf, 0.0) if logs else (0.0, 1.0)
+        weight = np.log(probabilities[what, lang])[:, None] if logs else (probabilities[what, lang] * 256.0 ** (high - low))[:, None]
+        alpha = np.full((len(rows), int(lengths.max()) + 1, 1), zero)
+        beta = alpha.copy()
+        alpha[:, 0], beta[np.arange(len(rows)), lengths] = one, one
+        _sweep(high, of, low, weight, alpha, logs=logs)
+        _sweep(low, of, high, weight, beta, backward=True, logs=logs)
+        parts = alpha[of, low, 0], weight[:, 0], beta[of, high, 0], alpha[of, lengths[of], 0]
+        use = np.exp(parts[0] + parts[1] + parts[2] - parts[3]) if logs else parts[0] * parts[1] * parts[2] / parts[3]
+        total += np.bincount(what * n[1] + lang, use * counts[rows][of], minlength=len(total))
+    return total.reshape(n)
 
 
 def words_of(text: str) -> list[str]:
-    return [MARK + w for w in LETTERS.findall(text.lower())]
+    """The runs of letters of a lowered text, for learning."""
+    marked = (MARK + w for w in LETTERS.findall(text))
+    return [w[a : a + WINDOW] for w in marked for a in range(0, len(w), WINDOW)]
 
 
 @dataclass(frozen=True)
@@ -210,8 +250,13 @@ def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
         for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault(name, Counter()).update(w for w in words_of(body) if len(w) <= SHORT)
+            for part in slices(batch, TEXTS, column=1):
+                for name in part.column(0).unique().to_pylist():
+                    raw, number, _ = distinct_words(part.column(1).filter(pc.equal(part.column(0), name)), ascii=False)
+                    own = seen.setdefault(name, Counter())
+                    for word, n in zip(raw, np.bincount(number, minlength=len(raw)).tolist(), strict=True):
+                        for piece in words_of(word):
+                            own[piece] += n
         for name, words in seen.items():
             yield pa.RecordBatch.from_pydict({"lang": [langs.index(name)] * len(words), "word": list(words), "n": list(words.values())}, schema=pa.schema([("lang", pa.int32()), ("word", pa.string()), ("n", pa.int64())]))
 
@@ -295,12 +340,13 @@ class _Scorer:
         self.rows.update(zip((words[k] for k in more), range(n, n + len(more)), strict=True))
         self.scores = np.concatenate([self.scores, table[more]]) if more else self.scores
         lettered = np.fromiter((any(map(str.isalpha, w)) for w in words), bool, len(words))
-        sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[number], axis=0)])
+        # each text alone, so that its sums don't depend on its neighbours
+        sums = np.add.reduceat(np.concatenate([table[number], np.zeros((1, table.shape[1]))]), bounds[:-1], axis=0)
+        sums[bounds[1:] == bounds[:-1]] = 0.0
         counts = np.concatenate(([0], np.cumsum(lettered[number])))
         if len(self.rows) > REMEMBERED:
             self.old = (self.rows, self.scores)
             self.rows, self.scores = {}, self.scores[:0]
-        sums = sums[bounds[1:]] - sums[bounds[:-1]]
         return sums[:, :-1], sums[:, -1], counts[bounds[1:]] > counts[bounds[:-1]]
 
 

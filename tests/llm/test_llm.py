@@ -185,11 +185,34 @@ def test_forward_sums_all_segmentations():
 
     words = ["▁the", "▁thereandthe", "▁ж漢", "▁" + "ab" * 16, "▁" + "ab" * 30, "▁" + "漢" * 33, "▁" + "漢" * 32]
     assert language.forward(words, p, path) == pytest.approx(np.array([[sums(w, c) for c in (0, 1)] for w in words]))
-    short = [w for w in words if len(w) <= language.SHORT]
-    used = language.expected(short, np.ones(len(short)), np.zeros(len(short), int), p, path)
+    used = language.expected(words, np.ones(len(words)), np.zeros(len(words), int), p, path)
     letters = np.array([1] * (v.count + 1))
     letters[: v.count] = [len(x) for x in names]
-    assert (used[:, 0] * letters).sum() == pytest.approx(sum(map(len, short)))  # pieces cover every letter once
+    assert (used[:, 0] * letters).sum() == pytest.approx(sum(map(len, words)))  # pieces cover every letter once
+
+
+def test_long_words_are_summed_up_alike(monkeypatch):
+    path = vocabulary("piece_bpe_32k.model")
+    p = np.random.default_rng(2).random((language.pieces(path).count + 1, 3))
+    p /= p.sum(axis=0)
+    words = ["▁" + "".join(random.Random(k).choices("abethisnor漢字", k=k)) for k in (5, 31, 32, 40, 90, 300)]
+    want, n, lang = language.forward(words, p, path), np.arange(1.0, 7.0), np.array([0, 1, 2, 0, 1, 2])
+    used = language.expected(words, n, lang, p, path)
+    for short, window, cells in ((33, 50, 1 << 20), (3, 1 << 16, 64), (3, 37, 1 << 20)):
+        monkeypatch.setattr(language, "SHORT", short)
+        monkeypatch.setattr(language, "WINDOW", window)
+        monkeypatch.setattr(language, "CELLS", cells)
+        assert language.forward(words, p, path) == pytest.approx(want)
+        assert language.expected(words, n, lang, p, path) == pytest.approx(used)
+
+
+def test_a_language_without_spaces_is_learned(spark):
+    rng = random.Random(8)
+    script = {"zh": "的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年", "ja": "のにはをたがでてとしれさあるいもなかられよりこそやまっきくけ", "th": "กขคงจชซดตถทนบปผพฟมยรลวศสหอฮ"}
+    rows = [(i, "".join(rng.choices(script[lang], k=rng.randint(60, 400))), lang if i % 7 else None) for i in range(120) for lang in [("zh", "ja", "th")[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, vocabulary("piece_bpe_32k.model")).collect()}
+    assert all(got[i] == ("zh", "ja", "th")[i % 3] for i in got)
 
 
 def test_languages(spark, small, plain):
