@@ -52,14 +52,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Like ``written``, as a table bucketed by ``key``: joining or grouping it by the key doesn't shuffle it."""
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Like ``written``, as a table bucketed by ``key``: joining or grouping it by the key doesn't shuffle it.
+
+    There are as many buckets as shuffle partitions unless ``buckets`` says how
+    many. Only the writer needs the catalog; the table's name leaves it at once.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     to = "driftline_" + path.rpartition("/")[2].replace("-", "_")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).format("parquet").saveAsTable(to)
-    return spark.table(to)
+    made = spark.table(to)
+    spark.sql(f"DROP TABLE {to}")  # its files lie outside the warehouse and stay
+    return made
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
