@@ -19,12 +19,16 @@ are summed where these meet by hash, and each block gets back the part of the
 automaton that its own texts can reach. The blocks lie in a table that is bucketed
 by block, so that they stay where they are while the answers come to them.
 
-Tokens are known by 64-bit hashes. Within a bucket, of which there are as many as
-blocks, bigrams are known by 48 bits of theirs.
+Hashes meet in buckets, of which there is one for every two blocks, so that what
+a bucket holds doesn't grow with the corpus. A block sends a bucket one message
+with all that it asks there, and none if it asks nothing: there are never more
+messages than entries, and entries grow with the text. Tokens are known by 64-bit
+hashes, bigrams within a bucket by 48 bits of theirs.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,30 +46,34 @@ DISCOUNT = 0.75
 ADD = 0.1
 #: Tokens of a block, but for one document that is longer.
 BLOCK_TOKENS = 2_500_000
+#: Text for a bucket of the table of blocks, which has as many buckets as there are shuffle partitions at least.
+BUCKET_BYTES = 1 << 28
 #: The end token holds white space and so is no word.
 END = b" "
 FOLDS = 10
 
 
+_HEAD = struct.Struct("<QB")
+_TYPES = {np.dtype(t).num: np.dtype(t) for t in ("u2", "i4", "u4", "i8", "u8", "f8", "?")}
+
+
 def held_out(id_col: str, folds: int = FOLDS):
     """Whether the CRC-32 of the id, written as text, is a multiple of ``folds``. A null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one zstandard frame."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.num))], dtype="<i8").tobytes()
+    """Arrays as one zstandard frame: their number, the length and type of each, and the entries."""
+    head = bytes([len(arrays)]) + b"".join(_HEAD.pack(len(a), a.dtype.num) for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     raw, out = zstandard.ZstdDecompressor().decompress(data), []
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    head, at = np.frombuffer(raw, "<i8", 2 * n, 8), 8 * (1 + 2 * n)
-    types = {np.dtype(t).num: np.dtype(t) for t in ("u2", "i4", "u4", "i8", "u8", "f8", "?")}
-    for size, kind in head.reshape(-1, 2):
-        out.append(np.frombuffer(raw, types[int(kind)], int(size), at))
-        at += int(size) * types[int(kind)].itemsize
+    at = 1 + raw[0] * _HEAD.size
+    for size, kind in _HEAD.iter_unpack(raw[1:at]):
+        out.append(np.frombuffer(raw, _TYPES[kind], size, at))
+        at += size * _TYPES[kind].itemsize
     return out
 
 
@@ -130,7 +138,9 @@ def blocks(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             yield flush()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), (~held_out(id_col)).alias("train"), F.col(text).alias("text"))
-    return bucketed(chosen.mapInArrow(run, "block long, data binary, hashes binary"), "blocks", "block")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES, 100_000))
+    return bucketed(chosen.mapInArrow(run, "block long, data binary, hashes binary"), "blocks", "block", buckets)
 
 
 def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -320,7 +330,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     bytes. An empty table gives an empty result; other columns aren't read.
     """
     own = blocks(docs, id_col, text)
-    n = 2 * own.count() + 1  # so a bucket gets as much as a block holds, whatever the size
+    n = own.count() // 2 + 1  # so a bucket gets what two blocks hold, whatever the size
     asked, answer = "bucket long, block long, data binary", "block long, bucket long, data binary"
     bigrams = own.mapInArrow(_ask_bigrams(n), asked).repartition(n, "bucket").groupBy("bucket").applyInArrow(_meet_bigrams, answer)
     bigrams = written(bigrams, "bigrams")
