@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.llm.tokens import map_tokens
+from driftline.llm.tokens import map_tokens, token_counts
 from driftline.session import written
 
 WINDOW = 4096
@@ -26,17 +27,16 @@ END_ID = 2
 BROADCAST_PARTS = 1_000_000
 
 
-def _placed() -> Callable[[list[bytes]], list[pa.Array]]:
+def _placed() -> Callable[[pa.RecordBatch, pa.Array], list[pa.Array]]:
     """Ids with the number of tokens, the partition, and the tokens before the document in its partition."""
     part, before = TaskContext.get().partitionId(), 0
 
-    def build(ids: list[bytes]) -> list[pa.Array]:
+    def build(rows: pa.RecordBatch, ids: pa.Array) -> list[pa.Array]:
         nonlocal before
-        tokens, starts = [len(x) // 4 for x in ids], []
-        for n in tokens:
-            starts.append(before)
-            before += n
-        return [pa.array(ids, pa.binary()), pa.array(tokens, pa.int64()), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64())]
+        tokens = token_counts(ids)
+        starts = before + np.cumsum(tokens) - tokens
+        before += int(tokens.sum())
+        return [ids, pa.array(tokens), pa.array(np.full(len(tokens), part, np.int64)), pa.array(starts)]
 
     return build
 

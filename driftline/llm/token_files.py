@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -37,8 +38,10 @@ from driftline.session import scratch_path, written
 END_ID = 1
 #: Bytes of ids in a frame; a longer document goes on in further frames.
 FRAME = 1 << 18
-#: Tokens of a file, about.
-FILE_TOKENS = 1 << 23
+#: Bytes of text whose ids make a file, about.
+FILE_BYTES = 1 << 25
+#: Keys for each file from which the files' ends are read off.
+SAMPLED = 200
 #: Documents whose places a writer holds as Python objects.
 HELD = 1 << 14
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -146,16 +149,23 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
     Texts are encoded where they lie; only ids are dealt out by range. Documents
     with equal ids come in the order of their texts' hashes. A null text is empty;
-    an empty table makes no file. There are about FILE_TOKENS tokens to a file
-    unless ``parts`` says how many files there are. A file bears the name of the
+    an empty table makes no file. There are about FILE_BYTES of text to a file
+    unless ``parts`` says how many files there are. Where files end is read off a
+    sample of keys; a key is the id, the text's hash and the row's place. A file bears the name of the
     task attempt that wrote it, and the manifest lists those of the attempts that
     ended well, so that a task that is run again does no harm.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-files")
-    made = map_tokens(docs.withColumn("__tie", F.xxhash64(text)), id_col, text, tokenizer, end_id, _counted, "ids binary, tokens long", ["ids", "tokens"], carry=("__tie",))
-    encoded = written(made, "encoded")
-    parts = parts or (encoded.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] // FILE_TOKENS + 1)
+    keys = [F.col(id_col).cast("long"), F.xxhash64(text), F.monotonically_increasing_id()]
+    keyed = docs.select(F.col(text), *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
+    bounds = _bounds(keyed, text, parts)
+
+    def dealt() -> Callable[[pa.RecordBatch, pa.Array], list[pa.Array]]:
+        return lambda rows, ids: [rows.column(2), rows.column(3), pa.array(_range_of(bounds, rows)), ids]
+
+    made = map_tokens(keyed, "__k0", text, tokenizer, end_id, dealt, "k1 long, k2 long, range int, ids binary", ["k1", "k2", "range", "ids"], carry=("__k1", "__k2"))
+    placed = made.repartitionById(len(bounds[0]) + 1, "range").sortWithinPartitions(F.asc_nulls_first("doc_id"), "k1", "k2")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, writer = TaskContext.get(), None
@@ -173,15 +183,36 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
             writer.out.close()
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [name], "docs": [sum(map(len, writer.index))], "tokens": [writer.tokens]})
 
-    order = F.asc_nulls_first("doc_id"), F.asc("__tie")
-    placed = encoded.select("doc_id", "__tie", "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     manifest = written(placed.select("doc_id", "ids").mapInArrow(run, "part long, path string, docs long, tokens long"), "manifest")
     base = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return TokenFiles(folder, manifest.withColumn("base", base))
 
 
-def _counted():
-    return lambda ids: [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+def _bounds(keyed: DataFrame, text: str, parts: int | None) -> list[np.ndarray]:
+    """Where one file ends and the next begins: of about SAMPLED keys a file, drawn from all rows, every so many-th."""
+    n, size = keyed.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    parts = parts or (size or 0) // FILE_BYTES + 1
+    if parts == 1:
+        return [np.zeros(0, np.int64)] * 4
+    share = min(1.0, SAMPLED * parts / max(n, 1))
+    drawn = keyed.where(F.pmod(F.xxhash64("__k0", "__k1", "__k2"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20)))) if share < 1 else keyed
+    table = drawn.select(F.col("__k0").isNotNull().cast("long"), F.coalesce("__k0", F.lit(0)), "__k1", "__k2").toArrow()
+    keys = [c.to_numpy() for c in table.columns]
+    order = np.lexsort(keys[::-1])
+    at = order[np.unique(np.arange(1, parts) * len(order) // parts)] if len(order) else order
+    return [k[at] for k in keys]
+
+
+def _range_of(bounds: list[np.ndarray], rows: pa.RecordBatch) -> np.ndarray:
+    """How many bounds a row's key reaches."""
+    known = rows.column(0).is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+    keys = [known, *(pc.fill_null(rows.column(i), 0).to_numpy() for i in (0, 2, 3))]
+    n = len(bounds[0])
+    order = np.lexsort([np.concatenate((b, k)) for b, k in zip(bounds, keys, strict=True)][::-1])  # stable: a bound comes before a row like it
+    out = np.zeros(len(known), np.int32)
+    here = order >= n
+    out[order[here] - n] = np.cumsum(~here)[here]
+    return out
 
 
 def read_tokens(files: TokenFiles, with_ids: bool = False, wanted: list[int] | None = None) -> DataFrame:

@@ -3,32 +3,37 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.words import slices
+from driftline.llm.words import distinct_words, slices
 
-#: Words whose ids a worker remembers (twice this many at most).
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers, and those of one more slice of texts.
+REMEMBERED = 500_000
 #: Words that are encoded at once, with SEPARATOR between them.
 TOGETHER = 1_000
 SEPARATOR = "▁"
-#: Lower-case letters of ASCII and Latin-1, which no normal form or lower-casing changes, and ASCII punctuation behind them, without the apostrophe.
-WORD = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Texts that are encoded at once.
-TEXTS = 256
+#: Texts that are encoded at once, and bytes of text, about.
+TEXTS, BYTES = 1 << 14, 1 << 23
+#: Lower-case letters of ASCII and Latin-1, which no normal form or lower-casing changes.
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+#: ASCII punctuation without the apostrophe.
+POINTS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 
 
 class WordEncoder:
     """Ids of texts for tokenizers that drop white space and lower-case, so that each word can be encoded alone.
 
-    Words are keyed by their bytes with A-Z lowered. A word of letters with
+    Of a slice of texts Arrow's kernels find the distinct words, with A-Z lowered;
+    only these pass through Python, and the ids of all words are gathered from
+    theirs by arrays. A word of letters with
     punctuation behind it has the ids of the letters and those of the punctuation,
     if the tokenizer parts the two. Words of letters that its normalizer leaves as
     they are go past the normalizer and are cut where a token ends a word. A text
@@ -41,8 +46,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self._forget()
         probe = lambda *texts: [e.ids for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
         both, ab, a = probe("Ab a", "ab", "a")
         self.by_word = both == ab + a
@@ -67,11 +71,17 @@ class WordEncoder:
         plain = "abz naïve éß"
         return (bare, ends) if bare.encode(plain, add_special_tokens=False).ids == self.tokenizer.encode(plain, add_special_tokens=False).ids else None
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ids, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
-    def _letters(self, texts: list[str]) -> list[bytes]:
-        """The ids of words of letters that match LETTERS."""
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts end to end, and how many each has."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_whole`` for words of LETTERS."""
         if self.bare is None:
             return self._words(texts)
         bare, ends = self.bare
@@ -79,11 +89,10 @@ class WordEncoder:
         cuts = np.flatnonzero(ends[ids]) + 1
         if len(cuts) != len(texts) or cuts[-1] != len(ids):
             return self._words(texts)
-        raw, at = ids.tobytes(), (4 * cuts).tolist()
-        return [raw[a:z] for a, z in zip([0, *at[:-1]], at, strict=True)]
+        return ids, np.diff(cuts, prepend=0)
 
-    def _words(self, texts: list[str]) -> list[bytes]:
-        """The ids of each word. Words are encoded together and cut where the separator's ids stand, which no word without the separator has."""
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_whole`` for any words. They are encoded together and cut where the separator's ids stand, which no word without the separator has."""
         joined = f" {SEPARATOR} ".join(texts)
         if len(self.mark) < 2 or joined.count(SEPARATOR) != len(texts) - 1:
             return self._whole(texts)
@@ -92,57 +101,75 @@ class WordEncoder:
         hit = np.ones(max(0, len(ids) - n + 1), dtype=bool)
         for k in range(n):
             hit &= ids[k : len(hit) + k] == self.mark[k]
-        cuts = np.flatnonzero(hit).tolist()
+        cuts = np.flatnonzero(hit)
         if len(cuts) != len(texts) - 1:
             return self._whole(texts)
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *(c + n for c in cuts)], [*cuts, len(ids)], strict=True)]
-
-    def _learn(self, missing: set[bytes]) -> None:
-        """Put the ids of words that ``new`` lacks into it."""
-        known, old = self.new, self.old
-        again = [w for w in missing if w in old] if old else []
-        known.update((w, old[w]) for w in again)
-        letters: dict[str, bytes] = {}
-        others: list[tuple[str, bytes]] = []
-        parted: list[tuple[bytes, bytes, bytes]] = []
-        for word in missing.difference(again):
-            text = word.decode()
-            found = WORD.fullmatch(text) if self.parts else None
-            if not found:
-                others.append((text, word))
-            elif not found[2]:
-                letters[text] = word
-            else:
-                stem, tail = found[1].encode(), found[2].encode()
-                parted.append((word, stem, tail))
-                for part in (stem, tail):
-                    if part not in known and part in old:
-                        known[part] = old[part]
-                if stem not in known:
-                    letters[found[1]] = stem
-                if tail not in known:
-                    known[tail] = self._whole([found[2]])[0]
-        for encode, todo in ((self._letters, list(letters.items())), (self._words, others)):
-            for at in range(0, len(todo), TOGETHER):
-                some = todo[at : at + TOGETHER]
-                known.update(zip([w for _, w in some], encode([t for t, _ in some]), strict=True))
-        known.update((word, known[stem] + known[tail]) for word, stem, tail in parted)
+        marks = np.zeros(len(ids), dtype=bool)
+        for k in range(n):
+            marks[cuts + k] = True
+        return ids[~marks], np.append(cuts, len(ids)) - np.concatenate(([0], cuts + n))
+
+    def _rows(self, words: pa.Array, encode) -> np.ndarray:
+        """The rows of distinct words in the table of ids; ``encode`` gives the ids of those that it lacks."""
+        names = words.to_pylist()
+        missing = [w for w in names if w not in self.rows]
+        n = len(self.rows)
+        self.rows.update(zip(missing, range(n, n + len(missing)), strict=True))
+        parts = [encode(missing[at : at + TOGETHER]) for at in range(0, len(missing), TOGETHER)]
+        self.ids = np.concatenate([self.ids, *(p[0] for p in parts)])
+        self.lengths = np.concatenate([self.lengths, *(p[1] for p in parts)])
+        return np.fromiter(map(self.rows.__getitem__, names), np.int64, len(names))
+
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words end to end, and how many each has."""
+        stems = pc.utf8_rtrim(words, characters=POINTS)
+        plain = pc.and_(pc.equal(pc.utf8_trim(stems, characters=LETTERS), ""), pc.not_equal(stems, ""))
+        if not self.parts:
+            plain = pa.array(np.zeros(len(words), bool))
+        rows = np.full((len(words), 2), -1)
+        for column, some, texts, encode in (
+            (0, plain, stems, self._letters),
+            (0, pc.invert(plain), words, self._words),
+            (1, pc.and_(plain, pc.not_equal(stems, words)), pc.utf8_ltrim(words, characters=LETTERS), self._whole),
+        ):
+            encoded = texts.filter(some).dictionary_encode()
+            rows[some.to_numpy(zero_copy_only=False), column] = self._rows(encoded.dictionary, encode)[encoded.indices.to_numpy()]
+        firsts = np.concatenate(([0], np.cumsum(self.lengths)))
+        flat = rows.ravel()
+        lengths = np.append(self.lengths, 0)[flat]  # row -1: no punctuation
+        return self.ids[_runs(firsts[flat], lengths)], lengths.reshape(-1, 2).sum(axis=1)
+
+    def encode_array(self, texts: pa.Array, end: tuple[int, ...] = ()) -> pa.Array:
+        """The ids of each text, and ``end``, as little-endian unsigned 32-bit integers; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
+        words, number, bounds = distinct_words(pc.if_else(pa.array(whole), "", texts), as_array=True)
+        ids, lengths = self._table(words)
+        firsts = np.concatenate(([0], np.cumsum(lengths)))
+        ids = np.append(ids, np.array(end, "<u4"))  # the end ids are one more word, behind each text's last
+        firsts, lengths, end_row = np.append(firsts, firsts[-1])[: len(lengths) + 1], np.append(lengths, len(end)), len(lengths)
+        number = np.insert(number.astype(np.int64), bounds[1:], end_row)
+        each = lengths[number]
+        made = ids[_runs(firsts[number], each)]
+        offsets = 4 * np.concatenate(([0], np.cumsum(each)))[bounds + np.arange(len(bounds))]
+        if len(self.rows) > REMEMBERED:
+            self._forget()
+        out = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(made)])
+        if not whole.any():
+            return out.cast(pa.binary())
+        parts, tail = out.to_pylist(), np.array(end, "<u4").tobytes()
+        for k in np.flatnonzero(whole).tolist():
+            parts[k] = self._whole([texts[k].as_py()])[0].tobytes() + tail
+        return pa.array(parts, pa.binary())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        texts = [t or "" for t in texts]
-        if not self.by_word:
-            return self._whole(texts)
-        whole = {i for i, t in enumerate(texts) if "<|" in t}
-        split = [[] if i in whole else t.encode().lower().split() for i, t in enumerate(texts)]
-        self._learn(set().union(*split).difference(self.new))
-        out = [b"".join(map(self.new.__getitem__, words)) for words in split]
-        for i in whole:
-            out[i] = self._whole([texts[i]])[0]
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        return out
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
+
+
+def _runs(firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``first``, ``first + 1`` and so on for each first, ``length`` numbers each."""
+    ends = np.cumsum(lengths)
+    return np.repeat(firsts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @lru_cache(maxsize=2)
@@ -154,16 +181,15 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encoded_parts(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of (doc_id, text) batches, each with the ids of its texts, the end id included."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+def encoded_parts(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Parts of (doc_id, text, ...) batches, each with the ids of its texts, the end id included."""
     for batch in batches:
-        for part in slices(batch, TEXTS, column=1):
-            yield part, [ids + end for ids in encoder(path).encode(part.column(1).to_pylist())]
+        for part in slices(batch, TEXTS, BYTES, column=1):
+            yield part, encoder(path).encode_array(part.column(1), (end_id,))
 
 
-def map_tokens(docs: DataFrame, id_col: str, text: str, path: str, end_id: int, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], schema: str, names: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, the columns ``carry``, and what ``make`` builds from the ids (with the end id) of a batch of documents.
+def map_tokens(docs: DataFrame, id_col: str, text: str, path: str, end_id: int, make: Callable[[], Callable[[pa.RecordBatch, pa.Array], list[pa.Array]]], schema: str, names: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id`` and what ``make`` builds from the rows (id, text, ``carry``) and ids (with the end id) of a batch of documents.
 
     ``make`` is called once per task, so that it can keep a running total: it
     returns the function for the batches.
@@ -172,8 +198,10 @@ def map_tokens(docs: DataFrame, id_col: str, text: str, path: str, end_id: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         build = make()
         for part, ids in encoded_parts(batches, path, end_id):
-            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *build(ids)], names=["doc_id", *carry, *names])
+            yield pa.RecordBatch.from_arrays([part.column(0), *build(part, ids)], names=["doc_id", *names])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text), *carry).mapInArrow(run, f"doc_id long, {schema}")
+
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text), *carry)
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[2:]]
-    return chosen.mapInArrow(run, ", ".join(["doc_id long", *kept, schema]))
+def token_counts(ids: pa.Array) -> np.ndarray:
+    return pc.binary_length(ids).to_numpy().astype(np.int64) // 4

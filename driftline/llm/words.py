@@ -19,7 +19,7 @@ def slices(batch: pa.RecordBatch, rows: int, size: int = 1 << 24, column: int =
         at = end
 
 
-def distinct_words(texts: pa.Array, ascii: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
+def distinct_words(texts: pa.Array, ascii: bool = True, as_array: bool = False) -> tuple[list[str] | pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of texts, the number of each position's word, and where each text begins (and the last one ends).
 
     ``ascii``: A-Z are lowered and words end at ASCII white space; else all
@@ -28,13 +28,13 @@ def distinct_words(texts: pa.Array, ascii: bool = True) -> tuple[list[str], np.n
     filled = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(filled)) if ascii else pc.utf8_split_whitespace(pc.utf8_lower(filled))
     encoded = lists.flatten().dictionary_encode()
-    words, number = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
+    words, number = encoded.dictionary, encoded.indices.to_numpy()
     bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))))
-    if "" in words:  # what white space at an end of a text leaves
-        empty = words.index("")
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:  # what white space at an end of a text leaves
         real = number != empty
         bounds = np.concatenate(([0], np.cumsum(real)))[bounds]
         number = number[real]
         number = number - (number > empty)
-        del words[empty]
-    return words, number, bounds
+        words = words.filter(pc.not_equal(words, ""))
+    return words if as_array else words.to_pylist(), number, bounds
