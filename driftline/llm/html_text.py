@@ -5,7 +5,13 @@ their length, the density of stop words and the density of link text; blocks tha
 this leaves open, most of them short, inherit in the second pass the label of the
 nearest decided neighbours. Elements that can't belong to an article (menus,
 forms, adverts, reader comments and so on) are left out by their names, roles and
-classes before.
+classes before; if a page has no good block but in what its classes or a form
+leave out, these don't count. Where no list of stop words fits a page, length and
+links decide alone.
+
+Markup is scanned once, in time that grows with the page, by the rules of HTML for
+tags and attributes. A quote that never ends is part of the value, which then ends at
+white space or ``>``; a ``<`` that no ``>`` follows is text.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ BLOCK_TAGS = frozenset(
     section select summary table tbody td tfoot th thead tr ul""".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+LITERAL_TAGS = frozenset("script style textarea title xmp noembed noframes".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe svg math template object canvas noembed noframes xmp audio video".split())
 DROPPED_TAGS = frozenset("nav footer aside form select button dialog head menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist".split())
@@ -44,15 +51,21 @@ DROPPED_WORDS = frozenset(
 HEADERS = frozenset("header banner masthead".split())
 COMMENTS = frozenset("comment comments commentlist disqus readercomments replies respond usercomments".split())
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Words beside one of these that tell of a page's state, not of what an element holds.
+STATE_WORDS = frozenset("active closed disabled enabled has is layout left no page right show template with without".split())
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
+
+NEXT = re.compile(r">|=\s*([\"']?)")
+UNQUOTED = re.compile(r"[^\s>]*")
+NAME = re.compile(r"[^\s/>]*")
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 SHORT = 70
 LONG = 200
 STOP_LOW, STOP_HIGH = 0.15, 0.30
-LINKS_HIGH = 0.5
+LINKS_LOW, LINKS_HIGH = 0.2, 0.5
 
 
 @dataclass
@@ -68,55 +81,106 @@ class _Open:
     name: str
     serial: int
     drops: bool
-    can_hold: bool
-
-
-def _drops(name: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element can't belong to the article; ``inside``: it lies in an article."""
-    if name in DROPPED_TAGS or "hidden" in attributes or (name == "header" and not inside):
-        return True
-    if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
-    if attributes.get("role", "").lower() in DROPPED_ROLES:
-        return not (inside and attributes["role"].lower() == "banner")
-    words = {w.lower() for key in ("class", "id") for w in WORD_PARTS.findall(attributes.get(key, ""))}
-    hints = words & DROPPED_WORDS
-    if inside:
-        hints -= HEADERS
-    if name in ("article", "main"):
-        hints &= COMMENTS
-    return bool(hints) and name not in ("html", "body", "h1")
-
-
-def blocks_of(html: str) -> list[Block]:
-    """The blocks of a page that no dropped element holds, in page order, without labels. ``root``: the outermost article or main element, or 0."""
+    block: bool
+    holder: int  # the innermost element that drops, this one included, or 0
+    root: int
+    nested: int = 0  # open elements of this name inside an inline one
+
+
+def _drops(name: str, attributes: dict[str, str], inside: bool) -> int:
+    """Whether an element can't belong to the article: 2 certainly, 1 by a hint, 0 no; ``inside``: it lies in an article."""
+    if name in DROPPED_TAGS:
+        return 1 if name == "form" else 2
+    if "hidden" in attributes or (name == "header" and not inside):
+        return 2
+    if "style" in attributes and re.search(r"display\s*:\s*none", attributes["style"], re.I):
+        return 2
+    role = attributes.get("role", "").lower()
+    if role in DROPPED_ROLES:
+        return 0 if inside and role == "banner" else 2
+    if name in ("html", "body", "h1"):
+        return 0
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = {w.lower() for w in WORD_PARTS.findall(token)}
+        hints = words & DROPPED_WORDS
+        if inside:
+            hints -= HEADERS
+        if name in ("article", "main"):
+            hints &= COMMENTS
+        if hints and not words & STATE_WORDS:
+            return 1
+    return 0
+
+
+class _Scanner:
+    """Where tags end. What was looked for in vain is not looked for again, so that a page is read once."""
+
+    def __init__(self, html: str):
+        self.html, self.missing, self.sound = html, set(), True
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at ``at``; -1 if it doesn't."""
+        begin = at
+        while self.sound:
+            found = NEXT.search(self.html, at)
+            if not found:
+                self.sound = False  # from here on quotes don't count
+            elif found[0] == ">":
+                return found.start()
+            elif found[1] and (close := self.find(found[1], found.end())) >= 0:
+                at = close + 1
+            else:
+                at = UNQUOTED.match(self.html, found.start(1)).end()
+        return self.find(">", begin)
+
+
+def blocks_of(html: str, hints: bool = True) -> list[Block]:
+    """The blocks of a page that no dropped element holds, in page order, without labels. ``root``: the outermost article or main element, or 0; ``hints``: whether elements are dropped by hints too."""
     blocks: list[Block] = []
-    marks: list[list[int]] = []  # for each block the dropped elements that hold it
-    cancelled: set[int] = set()  # dropped by a class, but they hold the article
+    marks: list[int] = []  # for each block the innermost dropped element that holds it
+    holders: dict[int, int] = {0: 0}  # for each dropped element the next outer one
+    cancelled: set[int] = {0}  # dropped, but they hold the article
+    certain: set[int] = set()
     stack: list[_Open] = []
+    open_names: dict[str, int] = {}
     parts: list[str] = []
     link_parts: list[str] = []
+    link = -1  # depth at which a link is open
+    scan = _Scanner(html)
     serial = at = 0
 
-    def root() -> int:
-        return next((x.serial for x in stack if x.name in ("article", "main")), 0)
-
     def flush() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 links = " ".join(unescape("".join(link_parts)).split()) if link_parts else ""
-                blocks.append(Block(text, root(), len(links)))
-                marks.append([x.serial for x in stack if x.drops])
+                blocks.append(Block(text, stack[-1].root if stack else 0, len(links)))
+                marks.append(stack[-1].holder if stack else 0)
             parts.clear()
             link_parts.clear()
 
     def say(text: str) -> None:
         if text:
             parts.append(text)
-            if any(x.name == "a" for x in stack):
+            if link >= 0:
                 link_parts.append(text)
 
+    def close(depth: int) -> None:
+        nonlocal link
+        for x in stack[depth:]:
+            open_names[x.name] -= 1
+        del stack[depth:]
+        if link > len(stack):
+            link = -1
+
     size = len(html)
     while at < size:
         begin = html.find("<", at)
@@ -124,72 +188,128 @@ def blocks_of(html: str) -> list[Block]:
             say(html[at:])
             break
         say(html[at:begin])
-        found = MARKUP.match(html, begin)
-        if not found:
-            say("&lt;")
-            at = begin + 1
+        after = html[begin + 1 : begin + 2]
+        if html.startswith("<!--", begin):
+            end = scan.find("-->", begin + 2)
+            at = size if end < 0 else end + 3
+            continue
+        if html.startswith("<![CDATA[", begin):
+            end = scan.find("]]>", begin)
+            say(html[begin + 9 : size if end < 0 else end])
+            at = size if end < 0 else end + 3
             continue
-        at = found.end()
-        if found["cdata"] is not None:
-            say(found["cdata"])
+        closing = after == "/"
+        named = begin + 2 if closing else begin + 1
+        letter = html[named : named + 1]
+        if after in "!?" and after or closing and not (letter.isascii() and letter.isalpha()):
+            end = scan.find(">", begin)
+            if end < 0:
+                say("&lt;")
+            at = begin + 1 if end < 0 else end + 1
             continue
-        name = (found["name"] or "").lower()
-        if not name:
+        end = scan.end(named) if letter.isascii() and letter.isalpha() else -1
+        if end < 0:
+            say("&lt;")
+            at = begin + 1
             continue
+        at = end + 1
+        name_end = NAME.match(html, named).end()
+        name, rest = html[named:name_end].lower(), html[name_end:end].strip()
         if name == "br":
             parts.append(" ")
             continue
         block = name in BLOCK_TAGS
         if block:
             flush()
-        if found["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].name == name:
-                    if not block and any(x.name in BLOCK_TAGS for x in stack[k:]):
-                        del stack[k]  # an inline element that was left open
-                    else:
-                        del stack[k:]
-                    break
+        if closing:
+            if name == "a":
+                link = -1
+            elif open_names.get(name):
+                depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name)
+                if not block and stack[depth].nested:
+                    stack[depth].nested -= 1
+                else:
+                    flush()
+                    close(depth)
             continue
+        if open_names.get("head") and name not in HEAD_TAGS:  # its end tag may be left out
+            flush()
+            close(next(k for k, x in enumerate(stack) if x.name == "head"))
         if name in RAW_TAGS:
-            if not found["rest"].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = end.end() if end else size
+            if not rest.endswith("/") and f"</{name}" not in scan.missing:
+                found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                if found:
+                    at = found.end()
+                elif name in LITERAL_TAGS:
+                    at = size
+                else:
+                    scan.missing.add(f"</{name}")
             continue
         if name in VOID_TAGS:
             continue
-        if block:  # a paragraph ends at the next block, and what is inline in it too
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].name == "p":
-                    del stack[k:]
-                    break
-                if stack[k].name in BLOCK_TAGS:
-                    break
-        rest = found["rest"].rstrip()
+        if block:  # a paragraph ends at the next block
+            depth = len(stack) - 1
+            while depth >= 0 and not stack[depth].block:
+                depth -= 1
+            if depth >= 0 and stack[depth].name == "p":
+                close(depth)
+        if name == "a":
+            link = len(stack)
         attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if rest else {}
+        outer = stack[-1] if stack else None
+        root = outer.root if outer else 0
+        drops = _drops(name, attributes, root > 0)
+        drops = drops if hints or drops == 2 else 0
         serial += 1
-        inside = root() > 0
-        drops = _drops(name, attributes, inside)
         if name in ("article", "main") and not drops:
-            cancelled.update(x.serial for x in stack if x.drops and x.can_hold)
-        if not rest.endswith("/"):
-            stack.append(_Open(name, serial, drops, name not in DROPPED_TAGS))
+            holder = outer.holder if outer else 0
+            while holder not in cancelled:
+                if holder not in certain:
+                    cancelled.add(holder)
+                holder = holders[holder]
+            root = root or serial
+        if rest.endswith("/"):
+            continue
+        if not block and not drops:
+            if open_names.get(name):
+                next(x for x in reversed(stack) if x.name == name).nested += 1
+            continue
+        if not block:
+            flush()
+        if drops:
+            holders[serial] = outer.holder if outer else 0
+            if name in DROPPED_TAGS and name != "form":
+                certain.add(serial)
+        stack.append(_Open(name, serial, bool(drops), block, serial if drops else (outer.holder if outer else 0), root))
+        open_names[name] = open_names.get(name, 0) + 1
     flush()
-    return [b for b, held in zip(blocks, marks, strict=True) if cancelled.issuperset(held)]
+    kept = {0: True}
+    for x in sorted(holders):  # outer elements come first
+        if x:
+            kept[x] = x in cancelled and kept[holders[x]]
+    return [b for b, mark in zip(blocks, marks, strict=True) if kept[mark]]
 
 
-def _decide(block: Block) -> bool | None:
-    size = len(block.text)
-    links = block.links / size
-    if links > LINKS_HIGH:
-        return False
-    if size < SHORT:
-        return None
-    words = block.text.lower().split()
-    stops = sum(w in STOP_WORDS or EDGES.sub("", w) in STOP_WORDS for w in words) / len(words)
-    if stops >= STOP_HIGH or (stops >= STOP_LOW and size >= LONG):
-        return True
-    return None if stops >= STOP_LOW or block.root else False
+def _stops(text: str) -> float:
+    words = text.lower().split()
+    return sum(w in STOP_WORDS or EDGES.sub("", w) in STOP_WORDS for w in words) / len(words)
+
+
+def _first_pass(blocks: list[Block]) -> None:
+    """Label the blocks that length, links and stop words decide."""
+    long = []
+    for b in blocks:
+        b.label = False if b.links > LINKS_HIGH * len(b.text) else None
+        if b.label is None and len(b.text) >= SHORT:
+            long.append((b, _stops(b.text)))
+    fits = any(stops >= STOP_LOW for _, stops in long)  # some list of stop words is of the page's language
+    for b, stops in long:
+        if not fits:
+            b.label = True if len(b.text) >= LONG and b.links <= LINKS_LOW * len(b.text) else None
+        elif stops >= STOP_HIGH or (stops >= STOP_LOW and len(b.text) >= LONG):
+            b.label = True
+        elif stops < STOP_LOW and not b.root:
+            b.label = False
 
 
 def main_text(html: str | None) -> str:
@@ -199,11 +319,18 @@ def main_text(html: str | None) -> str:
     decided blocks on either side differ, the nearer one counts, and the good one
     if they are as near. Without any decided neighbour a block is good, unless the
     page has an article elsewhere. Where an article or main element holds good
-    blocks, blocks outside are bad.
+    blocks, blocks outside are bad. If nothing is good, hints don't count.
     """
-    blocks = blocks_of(html or "")
-    for b in blocks:
-        b.label = _decide(b)
+    for hints in (True, False):
+        blocks = _labelled(blocks_of(html or "", hints))
+        if blocks:
+            break
+    return "\n".join(b.text for b in blocks)
+
+
+def _labelled(blocks: list[Block]) -> list[Block]:
+    """The good blocks."""
+    _first_pass(blocks)
     by_root: dict[int, list[Block]] = {}
     for b in blocks:
         by_root.setdefault(b.root, []).append(b)
@@ -227,13 +354,14 @@ def main_text(html: str | None) -> str:
                 b.label = labels[before] if k - before < after - k else labels[after] if after - k < k - before else True
     if any(b.label and b.root for b in blocks):
         blocks = [b for b in blocks if b.root]
-    return "\n".join(b.text for b in blocks if b.label)
+    return [b for b in blocks if b.label]
 
 
 def extract(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``carry``, ``text`` and ``n_chars`` of every page, from its whole html.
 
-    A null or empty html gives an empty text. Repeated rows give repeated rows, an
+    A null or empty html gives an empty text; broken markup and very long pages
+    take time that grows with their length. Repeated rows give repeated rows, an
     empty table an empty result; columns that aren't named aren't read.
     """
 

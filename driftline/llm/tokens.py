@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from driftline.llm.words import distinct_words, slices
 
 #: Words whose ids a worker remembers, and those of one more slice of texts.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Words that are encoded at once, with SEPARATOR between them.
 TOGETHER = 1_000
 SEPARATOR = "▁"
 #: Texts that are encoded at once, and bytes of text, about.
-TEXTS, BYTES = 1 << 14, 1 << 23
+TEXTS, BYTES = 1 << 14, 1 << 22
 #: Lower-case letters of ASCII and Latin-1, which no normal form or lower-casing changes.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 #: ASCII punctuation without the apostrophe.

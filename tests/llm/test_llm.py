@@ -71,6 +71,8 @@ def page(body, head=""):
 
 PROSE = "This is the first of the paragraphs of the article and it is long enough to be decided by the rules of the reader."
 MORE = "And this is the second one, which has to be as long as the first, so that it is a part of the text as well."
+ITALIAN = "Gli abitanti del villaggio si sono riuniti ieri sera nella piazza principale per discutere il progetto della nuova scuola, che dovrebbe essere costruita entro il prossimo anno vicino alla vecchia chiesa."
+RUSSIAN = "Жители деревни собрались вчера вечером на главной площади, чтобы обсудить проект новой школы, которая должна быть построена в следующем году рядом со старой церковью, недалеко от реки и леса, где гуляют дети."
 PAGES = [
     ("article", page(f"<nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{PROSE}</p><p>Short.</p><p>{MORE}<script>x('</p>')</script></p></article><footer>&copy; me</footer>"), f"Title\n{PROSE}\nShort.\n{MORE}"),
     ("no article element", page(f"<div id=header>Site</div><div class='nav-menu'><a href=/a>{PROSE}</a></div><div><p>{PROSE}</p>Yes<p>{MORE}</p></div><div class=sidebar>{PROSE}</div>"), f"{PROSE}\nYes\n{MORE}"),
@@ -80,6 +82,17 @@ PAGES = [
     ("unclosed", f"<article><p><b>{PROSE}<br><p>{MORE}<!-- <p>no</p>", f"{PROSE}\n{MORE}"),
     ("a class that holds the article", page(f"<div class='with-sidebar'><article><p>{PROSE}</p></article></div>"), PROSE),
     ("foreign words", page("<article><p>" + "これは記事です。" * 20 + "</p></article>"), "これは記事です。" * 20),
+    ("a quote in an unquoted value", page(f"<article><p><a href=x title=Bob's>link</a> {PROSE}</p><p>{MORE} It's over.</p></article>"), f"link {PROSE}\n{MORE} It's over."),
+    ("a stray quote", page(f'<article><p title="abc>{PROSE}</p><p>{MORE}</p></article>'), f"{PROSE}\n{MORE}"),
+    ("a tag's end in a value", page(f"<article><p title='a > b'>{PROSE}</p></article>"), PROSE),
+    *[(f"class {c}", page(f"<div class='content {c}'><p>{PROSE}</p><p>{MORE}</p></div>"), f"{PROSE}\n{MORE}") for c in ("has-sidebar", "with-header", "page-login", "no-comments", "share-enabled", "social")],
+    ("a form around the page", f"<html><body><form id=f><div><p>{PROSE}</p><p>{MORE}</p></div></form></body></html>", f"{PROSE}\n{MORE}"),
+    ("a form around the article", f"<html><body><form id=f><article><p>{PROSE}</p></article></form></body></html>", PROSE),
+    ("no end of the head", f"<html><head><title>t</title><body><p>{PROSE}</p>", PROSE),
+    ("Italian", page(f"<nav><a href=/>Inizio</a></nav><div><p>{ITALIAN}</p></div>"), ITALIAN),
+    ("Russian", page(f"<ul><li><a href=/>Главная</a></li></ul><div><p>{RUSSIAN}</p><p>Коротко.</p></div>"), f"{RUSSIAN}\nКоротко."),
+    ("an object that isn't closed", page(f"<article><p>{PROSE}</p><object data=x><p>{MORE}</p></article>"), f"{PROSE}\n{MORE}"),
+    ("inline elements that are dropped", page(f"<article><p>{PROSE}<span class=ad>Buy <span>now</span> cheap</span></p></article>"), PROSE),
     ("nothing", "", ""),
     ("null", None, ""),
     ("only text", PROSE, PROSE),
@@ -95,6 +108,23 @@ def test_main_text(html, want):
         html_text.main_text(html)
 
 
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<b><div>", "<a x='", '<a x=">" ', "<object>", "<!-- ", "</p", "<p class=ad>", "<span class=ad>", "<", "&amp;", "<article>", "<script>"])
+def test_broken_pages_take_linear_time(part):
+    import time
+
+    begin = time.time()
+    html_text.main_text(part * (2_000_000 // len(part)) + "</b>" * 1000)
+    assert time.time() - begin < 30
+
+
+def test_pages_with_clashing_columns(spark, small, empty):
+    pages = table(spark, small, "pages").limit(3)
+    more = pages.withColumns({n: F.lit("x") for n in ("text", "n_chars", "__html2")})
+    assert html_text.extract(more).collect() == html_text.extract(pages).collect()
+    odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", ""), (2, None, "<p>" + "a " * 200_000)], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in html_text.extract(odd).collect()) == [0, 0, 0, 399_999]
+
+
 def test_pages(spark, small):
     got = QUERIES["op1_html_text"](spark, small).collect()
     source = {r.page_id: r.html for r in table(spark, small, "pages").collect()}
