@@ -699,7 +699,33 @@ def test_embedding_blocks_far_apart_are_skipped(spark, monkeypatch):
     axes = embedding_dedup._axes(frame, 4)
     blocks = embedding_dedup._blocks(embedding_dedup._grid_order(frame, axes, eps), axes, 2)
     n = blocks.count()
-    assert 0 < embedding_dedup._block_pairs(blocks, axes.shape[1], eps).count() < 0.6 * n * (n + 1) / 2
+    assert 0 < embedding_dedup._block_pairs(blocks, axes.shape[1] + 1, eps).count() < 0.6 * n * (n + 1) / 2
+
+
+def test_parts_of_blocks_lose_no_link(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PART", 4)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 5))
+    x = embedding_dedup._unit(np.repeat(centres, 8, axis=0) + 0.05 * rng.normal(size=(240, 5)))
+    a, b, eps = x[:200], x[100:], math.sqrt(2 * 0.05) + 1e-9
+    axes = np.linalg.eigh(np.cov(x.T))[1]
+    assert (embedding_dedup._apart(a @ axes, b @ axes) > eps * eps).mean() > 0.5
+    i, j, close = embedding_dedup._close(a, b, 0.95, eps, axes)
+    want = np.argwhere(a @ b.T >= 0.95).tolist()
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, want)) and close == pytest.approx((a @ b.T)[i, j])
+
+
+def test_embeddings_with_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 4)
+    monkeypatch.setattr(embedding_dedup, "TILE", 2)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = sorted(embedding_dedup.near_duplicates(frame).collect())
+    more = frame.withColumns({n: F.lit("x") for n in ("node", "root", "links", "copies", "least", "block", "h1", "h2", "cell", "label")})
+    assert sorted(embedding_dedup.near_duplicates(more.repartition(7)).collect()) == want
+    link = plain_links([np.float32(v).tolist() for _, v in rows])
+    assert [r.n_links for r in want] == link.sum(axis=1).tolist()
 
 
 def test_empty_embeddings(spark):
