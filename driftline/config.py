@@ -55,6 +55,9 @@ ENTITY_MAGNITUDES = {"PIXEL": 0.85, "APP": 0.7, "PAYMENT_PROVIDER": 0.6, "COLLEC
 PLANS = ("FREE", "BASIC", "BUSINESS")
 PLAN_CENTS = {"FREE": 0, "BASIC": 1900, "BUSINESS": 4900}
 PLAN_LABELS = {"FREE": "Free", "BASIC": "Basic", "BUSINESS": "Business"}
+# Analyses in 24 hours and monitored stores of each plan; days of a trial.
+PLAN_LIMITS = {"FREE": {"analyses": 10, "slots": 1}, "BASIC": {"analyses": 50, "slots": 20}, "BUSINESS": {"analyses": 100, "slots": 50}}
+TRIAL_DAYS = 30
 #: Cents for one paid vendor call.
 VENDOR_CALL_CENTS = 1.5
 

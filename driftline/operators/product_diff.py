@@ -35,6 +35,15 @@ def shrink_check(current: DataFrame, previous: DataFrame, config: DiffConfig = D
     return both.withColumn("aborted", F.when(F.col("n_previous") >= config.min_products_for_shrink, fell).otherwise(F.lit(False)))
 
 
+def changed_stores(rows: DataFrame, before: DataFrame, now: DataFrame) -> DataFrame:
+    """The rows of stores whose content hash (``store_id``, ``hash``) isn't that of the crawl before: only these need a diff.
+
+    A store without a hash before, or with a null one on either side, has changed.
+    """
+    same = before.select("store_id", F.col("hash").alias("__before")).join(now.select("store_id", F.col("hash").alias("__now")), "store_id").where(F.col("__before") == F.col("__now"))
+    return rows.join(same.select("store_id"), "store_id", "left_anti")
+
+
 def matched(stores: DataFrame, headers: DataFrame, current: DataFrame, previous: DataFrame, config: DiffConfig = DiffConfig()) -> DataFrame:
     """Full outer join of state (p_) and snapshot (c_) for the stores whose diff isn't aborted."""
     c = current.select("store_id", "external_id", F.lit(True).alias("c_here"), *[F.col(x).alias(f"c_{x}") for x in ("title", "handle", *STATE)])

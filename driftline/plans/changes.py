@@ -11,7 +11,7 @@ from driftline.operators.events import appended
 from driftline.operators.state import list_hashes
 from driftline.plans import derived as D
 from driftline.plans.registry import query
-from driftline.session import table
+from driftline.session import table, written
 
 
 def _score(kind: str, magnitude: str, rank: str | None = "c.bestseller_rank", cents: str = "c.price_min_cents", rarity: float = 1.0) -> str:
@@ -69,11 +69,11 @@ SHOWN = ["store_id", "entity_key", "event_type", "headline", "significance", "de
 
 
 def state_1997(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The catalog and the state after two crawls."""
-    catalog = D.catalog(spark, sf, D.BEFORE, D.CURRENT)
+    """The catalog and the state after two crawls, both written, as between crawls of a real job."""
+    catalog = written(D.catalog(spark, sf, D.BEFORE, D.CURRENT), "catalog")
     was = D.first_state(D.year_of(catalog, D.BEFORE), D.at("1996-12-31 12:00:00"))
     state = product_diff.next_state(D.stores(spark, sf), D.headers(spark, sf), D.year_of(catalog, D.SINCE), was, D.at("1997-12-31 12:00:00"))
-    return catalog, state
+    return catalog, written(state, "state")
 
 
 def events_1998(spark: SparkSession, sf: str, cap: bool = False) -> DataFrame:
@@ -167,10 +167,10 @@ def _known_entities(rows: DataFrame, stamp: str) -> DataFrame:
     return rows.select("store_id", "kind", "key", "meta", F.lit("ACTIVE").alias("status"), F.lit(0).alias("missing_streak"), F.lit(None).cast("timestamp_ntz").alias("missing_since"), now.alias("first_seen_at"), now.alias("last_seen_at"))
 
 
-_ENTITY = f"""WITH {D.CATALOG}, ent AS (SELECT DISTINCT store_id, year, {_KIND} AS kind, vendor || '/' || size AS key FROM catalog),
+_ENTITY = f"""WITH {D.CATALOG}, ent AS MATERIALIZED (SELECT DISTINCT store_id, year, {_KIND} AS kind, vendor || '/' || size AS key, store_id || '|' || {_KIND} || '|' || vendor || '/' || size AS id FROM catalog),
     a AS (SELECT * FROM ent WHERE year = 1996), b AS (SELECT * FROM ent WHERE year = 1997), c AS (SELECT * FROM ent WHERE year = 1998),
-    was AS (SELECT coalesce(b.store_id, a.store_id) AS store_id, coalesce(b.kind, a.kind) AS kind, coalesce(b.key, a.key) AS key, b.store_id IS NULL AS missing
-            FROM a FULL JOIN b ON a.store_id = b.store_id AND a.kind = b.kind AND a.key = b.key)"""
+    was AS MATERIALIZED (SELECT coalesce(b.store_id, a.store_id) AS store_id, coalesce(b.kind, a.kind) AS kind, coalesce(b.key, a.key) AS key, coalesce(b.id, a.id) AS id, b.store_id IS NULL AS missing
+            FROM a FULL JOIN b ON a.id = b.id)"""
 
 
 def _entity_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
@@ -190,9 +190,9 @@ def _entity_score(added: bool) -> str:
 @query(
     "entity_events",
     f"""{_ENTITY} SELECT store_id, CASE WHEN kind = 'PIXEL' THEN 'pixel:' || key ELSE key END AS entity_key, kind || '_ADDED' AS event_type, {_entity_score(True)} AS significance,
-        substr(sha256(concat_ws('|', store_id, key, kind || '_ADDED', key || ':added')), 1, 40) AS dedupe_key FROM c ANTI JOIN was USING (store_id, kind, key)
+        substr(sha256(concat_ws('|', store_id, key, kind || '_ADDED', key || ':added')), 1, 40) AS dedupe_key FROM c WHERE id NOT IN (SELECT id FROM was)
         UNION ALL SELECT store_id, CASE WHEN kind = 'PIXEL' THEN 'pixel:' || key ELSE key END, kind || '_REMOVED', {_entity_score(False)},
-        substr(sha256(concat_ws('|', store_id, key, kind || '_REMOVED', key || ':removed')), 1, 40) FROM was ANTI JOIN c USING (store_id, kind, key) WHERE missing""",
+        substr(sha256(concat_ws('|', store_id, key, kind || '_REMOVED', key || ':removed')), 1, 40) FROM was WHERE missing AND id NOT IN (SELECT id FROM c)""",
 )
 def entity_events(spark: SparkSession, sf: str) -> DataFrame:
     observed, kinds, known, stores = _entity_frames(spark, sf)
@@ -203,7 +203,7 @@ def entity_events(spark: SparkSession, sf: str) -> DataFrame:
     "entity_state",
     f"""{_ENTITY} SELECT coalesce(c.store_id, was.store_id) AS store_id, coalesce(c.kind, was.kind) AS kind, coalesce(c.key, was.key) AS key,
         CASE WHEN c.store_id IS NOT NULL THEN 'ACTIVE' WHEN missing THEN 'REMOVED' ELSE 'MISSING' END AS status
-        FROM was FULL JOIN c ON was.store_id = c.store_id AND was.kind = c.kind AND was.key = c.key""",
+        FROM was FULL JOIN c ON was.id = c.id""",
 )
 def entity_state(spark: SparkSession, sf: str) -> DataFrame:
     observed, kinds, known, stores = _entity_frames(spark, sf)
@@ -276,10 +276,20 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "unchanged_stores",
-    f"""WITH {D.CATALOG}, h AS (SELECT store_id, year, sha256(string_agg(vendor, ',' ORDER BY vendor)) AS vendors FROM (SELECT DISTINCT store_id, year, vendor FROM catalog) GROUP BY ALL)
-        SELECT a.store_id FROM h a JOIN h b ON a.store_id = b.store_id AND a.year = 1997 AND b.year = 1998 AND a.vendors = b.vendors""",
+    f"""WITH {D.CATALOG}, snap AS (
+            SELECT store_id, external_id, price_min_cents, available_variants, bestseller_rank, 1 AS crawl FROM catalog WHERE year = 1997
+            UNION ALL SELECT store_id, external_id, price_min_cents, available_variants, bestseller_rank, 2 FROM catalog WHERE year = CASE WHEN store_id % 2 = 0 THEN 1997 ELSE 1998 END),
+        h AS (SELECT store_id, crawl, string_agg(external_id || ',' || price_min_cents || ',' || available_variants || ',' || bestseller_rank, ';' ORDER BY external_id) AS content FROM snap GROUP BY ALL),
+        same AS (SELECT a.store_id FROM h a JOIN h b ON a.store_id = b.store_id AND a.crawl = 1 AND b.crawl = 2 AND a.content = b.content)
+        SELECT store_id, count(*) FILTER (WHERE store_id NOT IN (SELECT store_id FROM same)) AS compared, count(*) AS products FROM snap WHERE crawl = 2 GROUP BY ALL""",
 )
 def unchanged_stores(spark: SparkSession, sf: str) -> DataFrame:
-    """Stores that a crawl can skip: the hash is that of the crawl before."""
-    sets = D.catalog(spark, sf, D.SINCE, D.CURRENT).groupBy("store_id", "year").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("vendor")), ","), 256).alias("hash"))
-    return sets.groupBy("store_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hash").alias("hashes")).where("n = 2 AND hashes = 1").select("store_id")
+    """How many products a diff has to compare: stores with an even number come as they were in the crawl before."""
+    rows = D.catalog(spark, sf, D.SINCE, D.CURRENT)
+    was = D.year_of(rows, D.SINCE)
+    again = rows.where(F.col("year") == F.when(F.col("store_id") % 2 == 0, D.SINCE).otherwise(D.CURRENT))
+    line = F.concat_ws(",", "external_id", *[F.col(c).cast("string") for c in ("price_min_cents", "available_variants", "bestseller_rank")])
+    hashes = lambda r: list_hashes(r.select("store_id", "external_id", line.alias("t")), ["store_id"], ["external_id"], "t")
+    to_do = product_diff.changed_stores(again, hashes(was), hashes(again))
+    compared = to_do.groupBy("store_id").agg(F.count(F.lit(1)).alias("compared"))
+    return again.groupBy("store_id").agg(F.count(F.lit(1)).alias("products")).join(compared, "store_id", "left").select("store_id", F.coalesce("compared", F.lit(0)).alias("compared"), "products")

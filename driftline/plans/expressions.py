@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import fingerprint as P
@@ -51,10 +51,27 @@ def page_technology(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.array_join(P.found(html, P.APPS), ",").alias("apps"), F.array_join(P.found(html, P.PAYMENTS), ",").alias("payments"), F.coalesce(P.email_platform(html), F.lit("none")).alias("email_platform"), F.regexp_extract(html, '<html lang="([a-z]+)"', 1).alias("lang"))
 
 
-@query("page_reviews", "SELECT 'ABSENT' AS status, count(*) AS pages FROM pages")
+@query(
+    "page_reviews",
+    """SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'ABSENT' WHEN p_size % 6 = 3 THEN 'PRESENT_BUT_INVALID' WHEN p_size % 6 IN (4, 5) THEN 'AMBIGUOUS' ELSE 'PRESENT' END AS status,
+        CASE WHEN p_size % 6 IN (1, 2) THEN p_partkey END AS review_count, CASE WHEN p_size % 6 IN (1, 2) THEN p_size / 10.0::DOUBLE END AS rating_value FROM part""",
+)
 def page_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    rows = reviews.observed_reviews(table(spark, sf, "pages"), handle=F.lit("any"))
-    return rows.groupBy(F.col("review.status").alias("status")).agg(F.count(F.lit(1)).alias("pages"))
+    """Pages made of parts: no data, a product, a rating that names its product, a broken count, two ratings, a broken block."""
+    part, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    block = lambda *xs: F.concat(F.lit('<script type="application/ld+json">'), *[x if isinstance(x, Column) else F.lit(x) for x in xs], F.lit("</script>"))
+    rating = lambda count: F.concat(F.lit('{"@type":"AggregateRating","reviewCount":'), count, F.lit(',"ratingValue":"'), (size / 10.0).cast("string"), F.lit('"}'))
+    product = lambda count: F.concat(F.lit('{"@type":"Product","url":"/products/part-'), part, F.lit('","aggregateRating":'), rating(count), F.lit("}"))
+    html = (
+        F.when(size % 6 == 0, F.lit("<p>nothing</p>"))
+        .when(size % 6 == 1, block(product(part)))
+        .when(size % 6 == 2, block('{"@graph":[', F.lit('{"@type":"WebPage"},'), product(F.concat(F.lit('"'), part, F.lit('"'))), "]}"))
+        .when(size % 6 == 3, block(product(F.lit('"many"'))))
+        .when(size % 6 == 4, F.concat(block('{"@type":"Product","aggregateRating":', rating(part), "}"), block('{"@type":"Product","aggregateRating":', rating(part), "}")))
+        .otherwise(block('{"@type":"Product",,'))
+    )
+    rows = reviews.observed_reviews(table(spark, sf, "part").select("p_partkey", html.alias("html")), handle=F.concat(F.lit("part-"), part))
+    return rows.select("p_partkey", "review.*")
 
 
 @query("price_texts", "SELECT p_partkey, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS cents FROM part")

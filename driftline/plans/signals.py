@@ -204,15 +204,18 @@ def growth_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "interpretation",
-    f"""{_EVENTS}{_COUNTED}, o AS (SELECT store_id, external_id, year, bestseller_rank AS rank, lag(bestseller_rank) OVER (PARTITION BY store_id, external_id ORDER BY year) AS before FROM catalog),
-        g AS (SELECT store_id, external_id, count(*) AS n, coalesce(bool_or(rank < before), false) AS up, coalesce(bool_or(rank > before), false) AS down FROM o GROUP BY ALL),
-        m AS (SELECT store_id, CASE WHEN n >= 4 AND up AND NOT down THEN 'I' WHEN n >= 4 AND down AND NOT up THEN 'D' WHEN n >= 4 AND NOT up AND NOT down THEN 'S' END AS x FROM g),
-        c AS (SELECT store_id, count(x) AS decided, count(*) FILTER (WHERE x = 'I') AS i, count(*) FILTER (WHERE x = 'D') AS d FROM m GROUP BY ALL)
-        SELECT t.store_id, CASE WHEN delta > 0 AND decided >= 2 AND i * 2 > decided THEN 'Storefront activity increasing' WHEN delta < 0 AND decided >= 2 AND d * 2 > decided THEN 'Storefront activity decreasing' END AS headline FROM t JOIN c USING (store_id)""",
+    f"""WITH {D.CATALOG}, o AS (SELECT store_id, external_id, year, units, bestseller_rank AS rank, lag(bestseller_rank) OVER w AS before FROM catalog WHERE year >= 1998 WINDOW w AS (PARTITION BY store_id, external_id ORDER BY year)),
+        g AS (SELECT store_id, external_id, count(*) AS n, coalesce(bool_or(rank < before), false) AS up, coalesce(bool_or(rank > before), false) AS down, arg_max(units, year) - arg_min(units, year) AS delta FROM o GROUP BY ALL),
+        m AS (SELECT *, n >= 4 AND up AND NOT down AS better, n >= 4 AND down AND NOT up AS worse FROM g)
+        SELECT coalesce(CASE WHEN delta > 0 AND better THEN 'Storefront activity increasing' WHEN delta < 0 AND worse THEN 'Storefront activity decreasing' END, 'none') AS headline, count(*) AS products FROM m GROUP BY ALL""",
 )
 def interpretation(spark: SparkSession, sf: str) -> DataFrame:
-    momentum = S.overall_momentum(S.rank_signals(_observations(spark, sf)))
-    return _activity(spark, sf).join(momentum, "store_id").select("store_id", S.interpretation(F.col("delta"), F.col("momentum")).alias("headline"))
+    """Each product stands for a store: its sales moved by ``delta`` since 1998, its ranks have a momentum."""
+    rows = D.catalog(spark, sf, D.CURRENT)
+    ranks = S.rank_signals(rows.select("store_id", "external_id", F.col("year").alias("crawl_id"), F.make_date("year", F.lit(12), F.lit(31)).cast("timestamp_ntz").alias("captured_at"), F.col("bestseller_rank").alias("rank")))
+    moved = rows.groupBy("store_id", "external_id").agg((F.max_by("units", "year") - F.min_by("units", "year")).alias("delta"))
+    said = ranks.drop("delta").join(moved, ["store_id", "external_id"]).select(S.interpretation(F.col("delta"), F.col("momentum")).alias("headline"))
+    return said.groupBy(F.coalesce("headline", F.lit("none")).alias("headline")).agg(F.count(F.lit(1)).alias("products"))
 
 
 @query(
