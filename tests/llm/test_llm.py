@@ -142,36 +142,50 @@ def test_scores_against_a_plain_model(spark, docs, plain):
     got = {r.doc_id: r for r in ngram.score(docs).collect()}
     text = {i: [*lowered(t), ngram.END] for i, t, _, _ in plain}
     train = {i for i in text if zlib.crc32(str(i).encode()) % 10}
-    c = collections.Counter(w for i in train for w in text[i])
-    n, v = sum(c.values()), len(c)
-    pairs = collections.Counter(p for i in train for p in zip([ngram.END, *text[i]], text[i], strict=False))
-    pairs = {p: k for p, k in pairs.items() if k >= ngram.KEEP}
-    mass, arcs = collections.Counter(), collections.Counter()
-    for (u, _), k in pairs.items():
-        mass[u] += k
-        arcs[u] += 1
-    root = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    fail = lambda u: 1 - (mass[u] - ngram.DISCOUNT * arcs[u]) / max(c[u], 1)
+    c, after, histories = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    n = sum(len(text[i]) for i in train)
+    for i in train:
+        padded = [ngram.END, *text[i]]
+        c.update((w,) for w in text[i])
+        for k in (2, 3):
+            for gram in zip(*(padded[j:] for j in range(k)), strict=False):
+                c[gram] += 1
+                after[gram[:-1]] += 1
+                histories[gram[:-1]].add(gram[-1])
+    v = sum(len(g) == 1 for g in c)
+
+    def probability(history, w):
+        if not history:
+            return (c[w,] + 0.1) / (n + 0.1 * (v + 1))
+        shorter = probability(history[1:], w)
+        if not after[history]:
+            return shorter
+        return (max(c[*history, w] - ngram.DISCOUNT, 0) + ngram.DISCOUNT * len(histories[history]) * shorter) / after[history]
+
     for i, words in text.items():
-        total, u = 0.0, ngram.END
-        for w in words:
-            total += math.log10((pairs[u, w] - ngram.DISCOUNT) / c[u] + fail(u) * root(w) if (u, w) in pairs else fail(u) * root(w))
-            u = w
+        padded = [ngram.END, *words]
+        total = sum(math.log10(probability(tuple(padded[max(0, j - 2) : j]), padded[j])) for j in range(1, len(padded)))
         r = got[i]
-        assert r.score == pytest.approx(total, abs=1e-6) and r.base_score == pytest.approx(sum(math.log10(root(w)) for w in words), abs=1e-6)
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(words), sum(c[w] > 0 for w in words), n)
-    u = max(arcs, key=arcs.get)
-    whole = sum((k - ngram.DISCOUNT) / c[u] for (x, _), k in pairs.items() if x == u) + fail(u) * (sum(map(root, c)) + root(b"?"))
-    assert whole == pytest.approx(1)
+        assert r.score == pytest.approx(total, abs=1e-6) and r.base_score == pytest.approx(sum(math.log10(probability((), w)) for w in words), abs=1e-6)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(words), sum(c[w,] > 0 for w in words), n)
+    for k in (1, 2):
+        state = max((h for h in histories if len(h) == k), key=lambda h: len(histories[h]))
+        assert sum(probability(state, w) for (w,) in [g for g in c if len(g) == 1] + [(b"?",)]) == pytest.approx(1)
 
 
-def test_a_bigram_seen_once_has_its_arc(spark):
+def test_ngrams_seen_once_have_their_arcs(spark):
     held = next(i for i in range(1, 1000) if zlib.crc32(str(i).encode()) % 10 == 0)
     one, two = [i for i in range(1, 1000) if zlib.crc32(str(i).encode()) % 10][:2]
     got = {r.doc_id: r.score for r in ngram.score(spark.createDataFrame([(one, "a b c"), (two, "b a"), (held, "a b")], "doc_id long, text string")).collect()}
     root = 2.1 / 7.5  # of a, b and the end token; each has two arcs that were seen once
     arc = 0.25 / 2 + 0.75 * root
-    assert got[held] == pytest.approx(math.log10(arc * arc * 0.75 * root))
+    assert got[held] == pytest.approx(math.log10(arc * (0.25 + 0.75 * arc) * 0.75 * 0.75 * root))
+
+
+def test_packed_arrays_come_back():
+    arrays = [np.array([], "<u8"), np.arange(5, dtype="<u4"), np.array([True, False]), np.array([-1, 1 << 40], "<i8"), np.array([-7], "<i4")]
+    for got, want in zip(ngram.unpack(ngram.pack(*arrays)), arrays, strict=True):
+        assert got.dtype == want.dtype and got.tolist() == want.tolist()
 
 
 def test_small_blocks_change_nothing(spark, docs, monkeypatch):
