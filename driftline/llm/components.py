@@ -9,8 +9,14 @@ from driftline.session import written
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (u, v) with ``m``, the smallest of u and all its v. The minimum is combined before the shuffle, so that a hub costs one row per task."""
-    lowest = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    """``pairs`` (u, v) with ``m``, the smallest of u and all its v.
+
+    The minimum is combined before the shuffle, so that a hub costs one row per
+    task. The minima are written before they are joined: Spark then knows their
+    size and broadcasts them below its threshold, and beyond it both sides of the
+    join are plain exchanges, of which adaptive execution can split a hub's one.
+    """
+    lowest = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "lowest")
     return pairs.join(lowest, "u")
 
 
@@ -39,7 +45,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = written(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
     before = _mark(now)
     while before[0]:
-        now = written(_small_star(_large_star(now)), "star")
+        now = written(_small_star(written(_large_star(now), "large-star")), "star")
         after = _mark(now)
         if after == before:
             break
