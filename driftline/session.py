@@ -28,10 +28,13 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     Read from ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is made and remembered in the session.
+    machine) a temporary folder is made and remembered in the session; on a
+    cluster, whose machines don't share such a folder, an unset one is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="driftline-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators import analytics, ledger, signals, state, upkeep
 from driftline.plans import QUERIES
-from driftline.session import table
+from driftline.session import scratch_root, table
 from driftline.sources import catalog, reviews, sinks, vendors
 
 
@@ -247,3 +248,9 @@ def test_exports(spark, tmp_path):
 
 def test_promo(spark):
     assert list(spark.range(1).select(ledger.discounted(F.lit(1900), F.lit(33), F.lit(None).cast("int")), ledger.discounted(F.lit(1900), F.lit(None).cast("int"), F.lit(5000))).first()) == [1273, 0]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(SimpleNamespace(conf={}, sparkContext=context))
