@@ -53,3 +53,23 @@ def running_start(df: DataFrame, group: list[str], bucket: str, order: list[Colu
         .withColumn(out, (F.col("__base") + F.col("__local")).cast("long"))
         .drop("__local", "__base", *[f"__k{i}" for i in range(len(keys))])
     )
+
+
+def join_counted(rows: DataFrame, known: DataFrame, on: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
+    """Join to each row the one row of ``known`` with its key, of which ``weight`` says how many rows have it; null keys are equal.
+
+    A key that more than one in ``share`` of the ``total`` rows have would burden one
+    task. There are fewer than ``share`` such keys: they are broadcast, and only the
+    other rows are shuffled.
+    """
+    least = total // share + 1
+    new = [c for c in known.columns if c not in on]
+    renamed = known.select(*[F.col(c).alias(f"__on_{c}") for c in on], *new)
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__on_{c}"))
+    keys = [f"__on_{c}" for c in on]
+    hot = rows.join(F.broadcast(renamed.where(F.col(weight) >= least)), same, "inner").drop(*keys)
+    named = renamed.where(F.col(weight) >= least).select(*keys)
+    rest = rows.join(F.broadcast(named), same, "left_anti").join(renamed.where(F.col(weight) < least).hint("merge"), same).drop(*keys)
+    return hot.unionByName(rest)

@@ -19,14 +19,17 @@ def slices(batch: pa.RecordBatch, rows: int, size: int = 1 << 24, column: int =
         at = end
 
 
-def distinct_words(texts: pa.Array, ascii: bool = True, as_array: bool = False) -> tuple[list[str] | pa.Array, np.ndarray, np.ndarray]:
+def distinct_words(texts: pa.Array, ascii: bool = True, as_array: bool = False, lower: bool = True) -> tuple[list[str] | pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of texts, the number of each position's word, and where each text begins (and the last one ends).
 
-    ``ascii``: A-Z are lowered and words end at ASCII white space; else all
-    letters and white space. A null text has no words.
+    ``ascii``: A-Z are lowered (unless ``lower`` is false) and words end at ASCII
+    white space; else all letters and white space. A null text has no words.
     """
     filled = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(filled)) if ascii else pc.utf8_split_whitespace(pc.utf8_lower(filled))
+    if ascii:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(filled) if lower else filled)
+    else:
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(filled))
     encoded = lists.flatten().dictionary_encode()
     words, number = encoded.dictionary, encoded.indices.to_numpy()
     bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))))
