@@ -3,11 +3,15 @@
 A page is cut into blocks at block-level tags. The first pass decides blocks by
 their length, the density of stop words and the density of link text; blocks that
 this leaves open, most of them short, inherit in the second pass the label of the
-nearest decided neighbours. Elements that can't belong to an article (menus,
-forms, adverts, reader comments and so on) are left out by their names, roles and
-classes before; if a page has no good block but in what its classes or a form
-leave out, these don't count. Where no list of stop words fits a page, length and
-links decide alone.
+nearest decided neighbours. A letter of a script without spaces counts as three.
+Where no list of stop words fits an element, length and links decide alone; a block
+of hardly any known word (code, names, another language) is left open.
+
+Elements that can't belong to an article (menus, adverts, reader comments and so on)
+are left out before by their names, roles and classes. Most classes, and forms, are
+hints that are weighed against what they would drop: an element that holds most of
+the page's prose stays. If a page has no good block but in what hints leave out,
+none of them counts.
 
 Markup is scanned once, in time that grows with the page, by the rules of HTML for
 tags and attributes. A quote that never ends is part of the value, which then ends at
@@ -51,10 +55,22 @@ DROPPED_WORDS = frozenset(
 HEADERS = frozenset("header banner masthead".split())
 COMMENTS = frozenset("comment comments commentlist disqus readercomments replies respond usercomments".split())
 
-# Words beside one of these that tell of a page's state, not of what an element holds.
-STATE_WORDS = frozenset("active closed disabled enabled has is layout left no page right show template with without".split())
+# Words that hold even for an element with most of the prose, if no word of another kind stands beside them.
+FIRM_WORDS = COMMENTS | frozenset(
+    """ad adbox ads adslot advert adverts advertisement advertising adsense breadcrumb breadcrumbs captcha consent cookie cookies gdpr mainmenu menu modal nav navbar navigation newsletter pager pagination popup
+    promo promoted promotion sponsor sponsored submenu topbar""".split()
+)
+NEUTRAL_WORDS = frozenset("area author bar block body bottom box container content feed form holder inner item items list main meta module outer panel post root section text thread top unit wrap wrapper".split())
+
+# Words beside one of these tell of a page's state, not of what an element holds.
+STATE_WORDS = frozenset("active allowed closed disabled enabled has is layout left no open page right show template with without".split())
 HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 
+#: Elements that hold one block, so that what holds them is what the block belongs to.
+LEAF_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote caption figcaption figure legend summary".split())
+LIST_TAGS = frozenset("li dt dd td th option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 NEXT = re.compile(r">|=\s*([\"']?)")
 UNQUOTED = re.compile(r"[^\s>]*")
 NAME = re.compile(r"[^\s/>]*")
@@ -62,44 +78,61 @@ ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
+ANCHOR = re.compile(r"<(/?)a[\s/>]", re.I)
+#: Letters of scripts that don't part words by spaces, from Thai to Chinese, Japanese and Korean.
+DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]+")
+
 SHORT = 70
 LONG = 200
-STOP_LOW, STOP_HIGH = 0.15, 0.30
+#: Density of stop words: below the first no list knows the language, from the second on a long block is good, from the third on any.
+STOP_NONE, STOP_LOW, STOP_HIGH = 0.05, 0.15, 0.30
 LINKS_LOW, LINKS_HIGH = 0.2, 0.5
+#: How much of the page's prose an element holds in two blocks or more, or in one, that isn't dropped by a hint.
+MOST, NEARLY_ALL = 1 / 2, 2 / 3
+CERTAIN, FIRM, HINT = 3, 2, 1
 
 
 @dataclass
 class Block:
     text: str
     root: int
-    links: int
+    links: int  # letters of it that are links
+    name: str  # its element
+    group: int  # the element that it lies in with its like
     label: bool | None = None
 
+    def size(self) -> int:
+        """Letters, those of dense scripts counted three times."""
+        return len(self.text) + 2 * sum(map(len, DENSE.findall(self.text)))
+
 
 @dataclass
 class _Open:
     name: str
     serial: int
-    drops: bool
+    depth: int  # its place on the stack
     block: bool
+    nearest: int  # the depth of the innermost block element, this one included, or -1
     holder: int  # the innermost element that drops, this one included, or 0
     root: int
+    group: int
     nested: int = 0  # open elements of this name inside an inline one
 
 
 def _drops(name: str, attributes: dict[str, str], inside: bool) -> int:
-    """Whether an element can't belong to the article: 2 certainly, 1 by a hint, 0 no; ``inside``: it lies in an article."""
+    """Whether an element can't belong to the article: CERTAIN, FIRM (whatever it holds), HINT (to be weighed) or 0; ``inside``: it lies in an article."""
     if name in DROPPED_TAGS:
-        return 1 if name == "form" else 2
+        return HINT if name == "form" else CERTAIN
     if "hidden" in attributes or (name == "header" and not inside):
-        return 2
+        return CERTAIN
     if "style" in attributes and re.search(r"display\s*:\s*none", attributes["style"], re.I):
-        return 2
+        return CERTAIN
     role = attributes.get("role", "").lower()
     if role in DROPPED_ROLES:
-        return 0 if inside and role == "banner" else 2
+        return 0 if inside and role == "banner" else CERTAIN
     if name in ("html", "body", "h1"):
         return 0
+    most = 0
     for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         words = {w.lower() for w in WORD_PARTS.findall(token)}
         hints = words & DROPPED_WORDS
@@ -108,8 +141,9 @@ def _drops(name: str, attributes: dict[str, str], inside: bool) -> int:
         if name in ("article", "main"):
             hints &= COMMENTS
         if hints and not words & STATE_WORDS:
-            return 1
-    return 0
+            alone = all(w in DROPPED_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in words)
+            most = max(most, FIRM if alone and hints & FIRM_WORDS else HINT)
+    return most
 
 
 class _Scanner:
@@ -147,13 +181,16 @@ def blocks_of(html: str, hints: bool = True) -> list[Block]:
     blocks: list[Block] = []
     marks: list[int] = []  # for each block the innermost dropped element that holds it
     holders: dict[int, int] = {0: 0}  # for each dropped element the next outer one
-    cancelled: set[int] = {0}  # dropped, but they hold the article
-    certain: set[int] = set()
+    levels: dict[int, int] = {}
+    cancelled: set[int] = set()  # dropped, but they hold the article
+    fixed: set[int] = set()  # dropped by their names, even if they hold one
+    walked: set[int] = {0}
     stack: list[_Open] = []
-    open_names: dict[str, int] = {}
+    by_name: dict[str, list[_Open]] = {}
     parts: list[str] = []
     link_parts: list[str] = []
     link = -1  # depth at which a link is open
+    whole = False  # that link has an end, so that blocks may lie in it
     scan = _Scanner(html)
     serial = at = 0
 
@@ -162,8 +199,9 @@ def blocks_of(html: str, hints: bool = True) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 links = " ".join(unescape("".join(link_parts)).split()) if link_parts else ""
-                blocks.append(Block(text, stack[-1].root if stack else 0, len(links)))
-                marks.append(stack[-1].holder if stack else 0)
+                inner = stack[-1] if stack else None
+                blocks.append(Block(text, inner.root, len(links), stack[inner.nearest].name if inner.nearest >= 0 else "", inner.group) if inner else Block(text, 0, len(links), "", 0))
+                marks.append(inner.holder if inner else 0)
             parts.clear()
             link_parts.clear()
 
@@ -176,7 +214,7 @@ def blocks_of(html: str, hints: bool = True) -> list[Block]:
     def close(depth: int) -> None:
         nonlocal link
         for x in stack[depth:]:
-            open_names[x.name] -= 1
+            by_name[x.name].pop()
         del stack[depth:]
         if link > len(stack):
             link = -1
@@ -221,20 +259,22 @@ def blocks_of(html: str, hints: bool = True) -> list[Block]:
         block = name in BLOCK_TAGS
         if block:
             flush()
+            if link >= 0 and not closing and not whole:
+                link = -1
         if closing:
             if name == "a":
                 link = -1
-            elif open_names.get(name):
-                depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name)
-                if not block and stack[depth].nested:
-                    stack[depth].nested -= 1
+            elif by_name.get(name):
+                last = by_name[name][-1]
+                if not block and last.nested:
+                    last.nested -= 1
                 else:
                     flush()
-                    close(depth)
+                    close(last.depth)
             continue
-        if open_names.get("head") and name not in HEAD_TAGS:  # its end tag may be left out
+        if by_name.get("head") and name not in HEAD_TAGS:  # its end tag may be left out
             flush()
-            close(next(k for k, x in enumerate(stack) if x.name == "head"))
+            close(by_name["head"][0].depth)
         if name in RAW_TAGS:
             if not rest.endswith("/") and f"</{name}" not in scan.missing:
                 found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
@@ -248,48 +288,74 @@ def blocks_of(html: str, hints: bool = True) -> list[Block]:
         if name in VOID_TAGS:
             continue
         if block:  # a paragraph ends at the next block
-            depth = len(stack) - 1
-            while depth >= 0 and not stack[depth].block:
-                depth -= 1
+            depth = stack[-1].nearest if stack else -1
             if depth >= 0 and stack[depth].name == "p":
                 close(depth)
-        if name == "a":
-            link = len(stack)
         attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if rest else {}
+        if name == "a":
+            goes = "href" in attributes and not attributes["href"].startswith("#")
+            link = len(stack) if goes else -1
+            if goes:
+                after_it = ANCHOR.search(html, at) if "<a" not in scan.missing else None
+                if after_it is None:
+                    scan.missing.add("<a")
+                whole = after_it is not None and after_it[1] == "/"
         outer = stack[-1] if stack else None
         root = outer.root if outer else 0
         drops = _drops(name, attributes, root > 0)
-        drops = drops if hints or drops == 2 else 0
+        drops = drops if hints or drops == CERTAIN else 0
         serial += 1
         if name in ("article", "main") and not drops:
             holder = outer.holder if outer else 0
-            while holder not in cancelled:
-                if holder not in certain:
+            while holder not in walked:
+                walked.add(holder)
+                if holder not in fixed:
                     cancelled.add(holder)
                 holder = holders[holder]
             root = root or serial
         if rest.endswith("/"):
             continue
         if not block and not drops:
-            if open_names.get(name):
-                next(x for x in reversed(stack) if x.name == name).nested += 1
+            if by_name.get(name):
+                by_name[name][-1].nested += 1
             continue
         if not block:
             flush()
         if drops:
             holders[serial] = outer.holder if outer else 0
+            levels[serial] = drops
             if name in DROPPED_TAGS and name != "form":
-                certain.add(serial)
-        stack.append(_Open(name, serial, bool(drops), block, serial if drops else (outer.holder if outer else 0), root))
-        open_names[name] = open_names.get(name, 0) + 1
+                fixed.add(serial)
+        depth = len(stack)
+        nearest = depth if block else outer.nearest if outer else -1
+        group = outer.group if outer and (name in LEAF_TAGS or not block) else serial
+        stack.append(_Open(name, serial, depth, block, nearest, serial if drops else (outer.holder if outer else 0), root, group))
+        by_name.setdefault(name, []).append(stack[-1])
     flush()
+    if levels:
+        cancelled |= _outweighed(blocks, marks, holders, levels, cancelled)
     kept = {0: True}
-    for x in sorted(holders):  # outer elements come first
-        if x:
-            kept[x] = x in cancelled and kept[holders[x]]
+    for x in sorted(levels):  # outer elements come first
+        kept[x] = x in cancelled and kept[holders[x]]
     return [b for b, mark in zip(blocks, marks, strict=True) if kept[mark]]
 
 
+def _outweighed(blocks: list[Block], marks: list[int], holders: dict[int, int], levels: dict[int, int], cancelled: set[int]) -> set[int]:
+    """Elements dropped by a hint that hold most of the prose that nothing firmer drops."""
+    prose, number = dict.fromkeys(holders, 0), dict.fromkeys(holders, 0)
+    barred = {0: False}
+    for x in sorted(levels):
+        barred[x] = barred[holders[x]] or levels[x] >= FIRM and x not in cancelled
+    for b, mark in zip(blocks, marks, strict=True):
+        if not barred[mark] and (n := b.size()) >= SHORT and b.links <= LINKS_HIGH * len(b.text):
+            prose[mark] += n
+            number[mark] += 1
+    for x in sorted(levels, reverse=True):  # inner elements first
+        prose[holders[x]] += prose[x]
+        number[holders[x]] += number[x]
+    return {x for x, level in levels.items() if level == HINT and prose[x] > (MOST if number[x] > 1 else NEARLY_ALL) * prose[0]}
+
+
 def _stops(text: str) -> float:
     words = text.lower().split()
     return sum(w in STOP_WORDS or EDGES.sub("", w) in STOP_WORDS for w in words) / len(words)
@@ -297,18 +363,22 @@ def _stops(text: str) -> float:
 
 def _first_pass(blocks: list[Block]) -> None:
     """Label the blocks that length, links and stop words decide."""
-    long = []
-    for b in blocks:
-        b.label = False if b.links > LINKS_HIGH * len(b.text) else None
-        if b.label is None and len(b.text) >= SHORT:
-            long.append((b, _stops(b.text)))
-    fits = any(stops >= STOP_LOW for _, stops in long)  # some list of stop words is of the page's language
-    for b, stops in long:
-        if not fits:
-            b.label = True if len(b.text) >= LONG and b.links <= LINKS_LOW * len(b.text) else None
-        elif stops >= STOP_HIGH or (stops >= STOP_LOW and len(b.text) >= LONG):
+    linked = [b.links > LINKS_HIGH * len(b.text) for b in blocks]
+    decided = []
+    for k, b in enumerate(blocks):
+        if linked[k]:
+            beside = any(0 <= j < len(blocks) and linked[j] and blocks[j].root == b.root for j in (k - 1, k + 1))
+            alone = not beside and (b.name in HEADINGS or b.root and b.name not in LIST_TAGS)
+            b.label = None if alone else False
+        elif (n := b.size()) >= SHORT:
+            decided.append((b, n, _stops(b.text)))
+    fits = {b.group for b, _, stops in decided if stops >= STOP_LOW}  # some list of stop words is of the element's language
+    for b, n, stops in decided:
+        if b.group not in fits:
+            b.label = True if n >= LONG and b.links <= LINKS_LOW * len(b.text) else None
+        elif stops >= STOP_HIGH or (stops >= STOP_LOW and n >= LONG):
             b.label = True
-        elif stops < STOP_LOW and not b.root:
+        elif STOP_NONE <= stops < STOP_LOW and not b.root:
             b.label = False
 
 

@@ -35,7 +35,7 @@ ROUNDS = 3
 SMOOTHING = 0.01
 #: The sums of longer words (mark included) are taken in logarithms.
 SHORT = 33
-#: Positions of a word that are summed up at once; a longer run of letters is learned from in parts of this length.
+#: Positions of a word that are summed up at once; the sums of a longer one go from window to window.
 WINDOW = 1 << 16
 #: Cells (words by positions) of lattices that are summed up at once.
 CELLS = 1 << 20
@@ -178,27 +178,58 @@ def _groups(words: list[str], rows: list[int]) -> Iterator[list[int]]:
         yield group
 
 
+def _long_forward(word: str, at: int, last: np.ndarray, logs: np.ndarray, path: str) -> tuple[np.ndarray, int, int]:
+    """Forward sums of the window that begins at ``at``, and the positions of the first and the last; ``last``: those of as many positions before as a piece is long."""
+    first, end = max(0, at - pieces(path).longest), min(len(word), at + WINDOW)
+    _, low, high, what, _ = lattice([word[first:end]], path)
+    new = high > at - first
+    alpha = np.full((1, end - first + 1, logs.shape[1]), -np.inf)
+    alpha[0, : at - first + 1] = last[-(at - first + 1) :]
+    _sweep(high[new], np.zeros(int(new.sum()), np.int64), low[new], logs[what[new]], alpha, logs=True)
+    return alpha, first, end
+
+
 def _long(word: str, logs: np.ndarray, path: str) -> np.ndarray:
     """One word in windows; from one to the next go the sums of as many positions as a piece is long."""
-    longest, at = pieces(path).longest, 0
     last = np.zeros((1, logs.shape[1]))
-    while at < len(word):
-        first, end = max(0, at - longest), min(len(word), at + WINDOW)
-        _, low, high, what, _ = lattice([word[first:end]], path)
-        new = high > at - first
-        alpha = np.full((1, end - first + 1, logs.shape[1]), -np.inf)
-        alpha[0, : at - first + 1] = last[-(at - first + 1) :]
-        _sweep(high[new], np.zeros(int(new.sum()), np.int64), low[new], logs[what[new]], alpha, logs=True)
-        last, at = alpha[0, -(longest + 1) :], end
+    for at in range(0, len(word), WINDOW):
+        alpha, _, _ = _long_forward(word, at, last, logs, path)
+        last = alpha[0, -(pieces(path).longest + 1) :]
     return last[-1]
 
 
+def _long_expected(word: str, logs: np.ndarray, path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces and their expected uses in one word of one language (``logs`` has one column), window by window.
+
+    Forward sums are kept at the beginning of each window only; from the last window
+    to the first they are taken again, and met by the backward sums.
+    """
+    longest = pieces(path).longest
+    begins, kept, last = range(0, len(word), WINDOW), [], np.zeros((1, 1))
+    for at in begins:
+        kept.append(last)
+        alpha, _, _ = _long_forward(word, at, last, logs, path)
+        last = alpha[0, -(longest + 1) :]
+    whole, after = last[-1, 0], np.zeros((1, 1))
+    for at, before in zip(reversed(begins), reversed(kept), strict=True):
+        alpha, first, end = _long_forward(word, at, before, logs, path)
+        stop = min(len(word), end + longest)
+        _, low, high, what, _ = lattice([word[at:stop]], path)
+        own = low < end - at
+        low, high, what = low[own], high[own], what[own]
+        beta = np.full((1, stop - at + 1, 1), -np.inf)
+        beta[0, end - at :] = after[: stop - end + 1]
+        _sweep(low, np.zeros(len(low), np.int64), high, logs[what], beta, backward=True, logs=True)
+        yield what, np.exp(alpha[0, low + at - first, 0] + logs[what, 0] + beta[0, high, 0] - whole)
+        after = beta[0, : longest + 1]
+
+
 def expected(words: list[str], counts: np.ndarray, langs: np.ndarray, probabilities: np.ndarray, path: str) -> np.ndarray:
     """Expected uses of each piece by each language, by forward and backward sums over the words' lattices."""
     n = probabilities.shape
     total = np.zeros(n[0] * n[1])
     short = [k for k, word in enumerate(words) if len(word) <= SHORT]
-    long = _groups(words, [k for k, word in enumerate(words) if len(word) > SHORT])
+    long = _groups(words, [k for k, word in enumerate(words) if SHORT < len(word) <= WINDOW])
     for logs, rows in [*([(False, short)] if short else []), *((True, g) for g in long)]:
         of, low, high, what, lengths = lattice([words[k] for k in rows], path)
         lang = langs[rows][of]
@@ -212,13 +243,16 @@ def expected(words: list[str], counts: np.ndarray, langs: np.ndarray, probabilit
         parts = alpha[of, low, 0], weight[:, 0], beta[of, high, 0], alpha[of, lengths[of], 0]
         use = np.exp(parts[0] + parts[1] + parts[2] - parts[3]) if logs else parts[0] * parts[1] * parts[2] / parts[3]
         total += np.bincount(what * n[1] + lang, use * counts[rows][of], minlength=len(total))
+    for k, word in enumerate(words):
+        if len(word) > WINDOW:
+            for what, use in _long_expected(word, np.log(probabilities[:, langs[k] : langs[k] + 1]), path):
+                total += np.bincount(what * n[1] + langs[k], use * counts[k], minlength=len(total))
     return total.reshape(n)
 
 
 def words_of(text: str) -> list[str]:
     """The runs of letters of a lowered text, for learning."""
-    marked = (MARK + w for w in LETTERS.findall(text))
-    return [w[a : a + WINDOW] for w in marked for a in range(0, len(w), WINDOW)]
+    return [MARK + w for w in LETTERS.findall(text)]
 
 
 @dataclass(frozen=True)

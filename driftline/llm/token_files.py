@@ -40,8 +40,10 @@ END_ID = 1
 FRAME = 1 << 18
 #: Bytes of text whose ids make a file, about.
 FILE_BYTES = 1 << 25
-#: Keys for each file from which the files' ends are read off.
-SAMPLED = 200
+#: Files at most: beyond MOST_FILES * FILE_BYTES of text they grow instead.
+MOST_FILES = 1 << 16
+#: Keys for each file from which the files' ends are read off, and keys in all at most, about.
+SAMPLED, SAMPLED_IN_ALL = 200, 1 << 20
 #: Documents whose places a writer holds as Python objects.
 HELD = 1 << 14
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -149,7 +151,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
     Texts are encoded where they lie; only ids are dealt out by range. Documents
     with equal ids come in the order of their texts' hashes. A null text is empty;
-    an empty table makes no file. There are about FILE_BYTES of text to a file
+    an empty table makes no file. There are about FILE_BYTES of text to a file, more
+    where that would make over MOST_FILES files,
     unless ``parts`` says how many files there are. Where files end is read off a
     sample of keys; a key is the id, the text's hash and the row's place. A file bears the name of the
     task attempt that wrote it, and the manifest lists those of the attempts that
@@ -160,9 +163,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     keys = [F.col(id_col).cast("long"), F.xxhash64(text), F.monotonically_increasing_id()]
     keyed = docs.select(F.col(text), *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
     bounds = _bounds(keyed, text, parts)
+    sent = spark.sparkContext.broadcast(bounds)  # 32 bytes for each of MOST_FILES files at most
 
     def dealt() -> Callable[[pa.RecordBatch, pa.Array], list[pa.Array]]:
-        return lambda rows, ids: [rows.column(2), rows.column(3), pa.array(_range_of(bounds, rows)), ids]
+        return lambda rows, ids: [rows.column(2), rows.column(3), pa.array(_range_of(sent.value, rows)), ids]
 
     made = map_tokens(keyed, "__k0", text, tokenizer, end_id, dealt, "k1 long, k2 long, range int, ids binary", ["k1", "k2", "range", "ids"], carry=("__k1", "__k2"))
     placed = made.repartitionById(len(bounds[0]) + 1, "range").sortWithinPartitions(F.asc_nulls_first("doc_id"), "k1", "k2")
@@ -189,12 +193,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
 
 def _bounds(keyed: DataFrame, text: str, parts: int | None) -> list[np.ndarray]:
-    """Where one file ends and the next begins: of about SAMPLED keys a file, drawn from all rows, every so many-th."""
+    """Where one file ends and the next begins: of about SAMPLED keys a file (SAMPLED_IN_ALL in all), drawn from all rows, every so many-th."""
     n, size = keyed.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
-    parts = parts or (size or 0) // FILE_BYTES + 1
+    parts = min(MOST_FILES, parts or (size or 0) // FILE_BYTES + 1)
     if parts == 1:
         return [np.zeros(0, np.int64)] * 4
-    share = min(1.0, SAMPLED * parts / max(n, 1))
+    share = min(1.0, min(SAMPLED * parts, SAMPLED_IN_ALL) / max(n, 1))
     drawn = keyed.where(F.pmod(F.xxhash64("__k0", "__k1", "__k2"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20)))) if share < 1 else keyed
     table = drawn.select(F.col("__k0").isNotNull().cast("long"), F.coalesce("__k0", F.lit(0)), "__k1", "__k2").toArrow()
     keys = [c.to_numpy() for c in table.columns]

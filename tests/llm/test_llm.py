@@ -73,6 +73,9 @@ PROSE = "This is the first of the paragraphs of the article and it is long enoug
 MORE = "And this is the second one, which has to be as long as the first, so that it is a part of the text as well."
 ITALIAN = "Gli abitanti del villaggio si sono riuniti ieri sera nella piazza principale per discutere il progetto della nuova scuola, che dovrebbe essere costruita entro il prossimo anno vicino alla vecchia chiesa."
 RUSSIAN = "Жители деревни собрались вчера вечером на главной площади, чтобы обсудить проект новой школы, которая должна быть построена в следующем году рядом со старой церковью, недалеко от реки и леса, где гуляют дети."
+OTHER = "Around here is another block of prose that is not of the article, and it should be left out if it can be told from it."
+CHINESE = "这是一个关于村庄新学校的报道居民们昨天晚上在中心广场聚集讨论了这个项目的细节和预算学校预计在明年年底之前在老教堂旁边建成许多家长表示支持但也有人担心交通和费用问题"
+NAMES = "Smith Jones Miller Brown Davies Wilson Evans Thomas Johnson Roberts Walker Wright Robinson"
 PAGES = [
     ("article", page(f"<nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{PROSE}</p><p>Short.</p><p>{MORE}<script>x('</p>')</script></p></article><footer>&copy; me</footer>"), f"Title\n{PROSE}\nShort.\n{MORE}"),
     ("no article element", page(f"<div id=header>Site</div><div class='nav-menu'><a href=/a>{PROSE}</a></div><div><p>{PROSE}</p>Yes<p>{MORE}</p></div><div class=sidebar>{PROSE}</div>"), f"{PROSE}\nYes\n{MORE}"),
@@ -96,16 +99,30 @@ PAGES = [
     ("nothing", "", ""),
     ("null", None, ""),
     ("only text", PROSE, PROSE),
-    ("markup only", "<div><<<>></div", ""),
+    ("markup only", "<div><<<>></div", "<<<>></div"),
+    ("an anchor without href", f"<body><a name=top><h1>T</h1><p>{PROSE}</p><p>{MORE}</p>", f"T\n{PROSE}\n{MORE}"),
+    ("an anchor in a paragraph", f"<body><p><a name='1'>{PROSE}</p><p>{MORE}</p>", f"{PROSE}\n{MORE}"),
+    ("a link without an end", f"<body><div><a href=/x>Home<p>{PROSE}</p><p>{MORE}</p></div>", f"{PROSE}\n{MORE}"),
+    ("a link around blocks", page(f"<div><p>{PROSE}</p><p>{MORE}</p></div><div><a href=/x><div>{MORE}</div></a></div>"), f"{PROSE}\n{MORE}"),
+    (
+        "linked headings and paragraphs",
+        page(f"<div>{OTHER}</div><article><h2><a href='#s'>Section one</a></h2><p>{PROSE}</p><h2><a href='/s'>Section two</a></h2><p>{MORE}</p><p><a href=/z>{PROSE}</a></p><p>{MORE}</p></article>"),
+        f"Section one\n{PROSE}\nSection two\n{MORE}\n{PROSE}\n{MORE}",
+    ),
+    ("runs of links", page(f"<article><p>{PROSE}</p><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul><p>{MORE}</p><p><a href=/a>x y</a></p><p><a href=/b>c d</a></p></article>"), f"{PROSE}\n{MORE}"),
+    *[(f"most prose in class {c}", page(f"<div>{OTHER}</div><div class='{c}'><p>{PROSE}</p><p>{MORE}</p></div>"), f"{OTHER}\n{PROSE}\n{MORE}") for c in ("comments-open", "social-post", "public-notice-article", "share-prices")],
+    *[(f"little prose in class {c}", page(f"<div class='{c}'>{OTHER}</div><div><p>{PROSE}</p><p>{MORE}</p></div>"), f"{PROSE}\n{MORE}") for c in ("social-box", "related", "cookie-bar")],
+    ("more comments than article", page(f"<div><p>{PROSE}</p></div><div id=comments><p>{MORE}</p><p>{MORE}</p><p>{MORE}</p></div>"), PROSE),
+    ("a notice in another language", page(f"<div class='cookie-notice'>{PROSE}</div><div><p>{ITALIAN}</p><p>{ITALIAN}</p></div>"), f"{ITALIAN}\n{ITALIAN}"),
+    ("a plain notice in another language", page(f"<div>{PROSE}</div><div><p>{ITALIAN}</p><p>{ITALIAN}</p></div>"), f"{PROSE}\n{ITALIAN}\n{ITALIAN}"),
+    ("no spaces", page(f"<ul><li><a href=/>主页</a></li><li><a href=/x>新闻</a></li></ul><div><p>{CHINESE}</p><p>{CHINESE}</p><p>{CHINESE}</p></div>"), "\n".join([CHINESE] * 3)),
+    ("code and names", page(f"<div><p>{PROSE}</p><pre>def f(x): return [y for y in range(x)]; print(f(3), f(4), f(5), f(6), f(7))</pre><p>{MORE}</p><p>{NAMES}</p><p>{PROSE}</p></div>"), f"{PROSE}\ndef f(x): return [y for y in range(x)]; print(f(3), f(4), f(5), f(6), f(7))\n{MORE}\n{NAMES}\n{PROSE}"),
 ]
 
 
 @pytest.mark.parametrize(("html", "want"), [p[1:] for p in PAGES], ids=[p[0] for p in PAGES])
 def test_main_text(html, want):
-    if want or not html:
-        assert html_text.main_text(html) == want
-    else:
-        html_text.main_text(html)
+    assert html_text.main_text(html) == want
 
 
 @pytest.mark.parametrize("part", ["<a ", "<div>", "<b><div>", "<a x='", '<a x=">" ', "<object>", "<!-- ", "</p", "<p class=ad>", "<span class=ad>", "<", "&amp;", "<article>", "<script>"])
@@ -117,6 +134,15 @@ def test_broken_pages_take_linear_time(part):
     assert time.time() - begin < 30
 
 
+@pytest.mark.parametrize("parts", [("<span hidden>", "<div>", "<span></span>"), ("<nav>", "<article>", ""), ("<span hidden>", "<span hidden>", "<div></div>"), ("", "<a href=x>", ""), ("", "<a href=x><div>", ""), ("", "<p class=share>", "")])
+def test_deep_pages_take_linear_time(parts):
+    import time
+
+    begin, n = time.time(), 2_000_000 // len("".join(parts))
+    html_text.main_text(parts[0] + parts[1] * n + parts[2] * n if parts[0] != "<nav>" else parts[0] * n + parts[1] * n)
+    assert time.time() - begin < 30
+
+
 def test_pages_with_clashing_columns(spark, small, empty):
     pages = table(spark, small, "pages").limit(3)
     more = pages.withColumns({n: F.lit("x") for n in ("text", "n_chars", "__html2")})
@@ -250,6 +276,21 @@ def test_long_words_are_summed_up_alike(monkeypatch):
         assert language.expected(words, n, lang, p, path) == pytest.approx(used)
 
 
+def test_long_words_are_learned_from_alike(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choices("abcdefg" if i % 2 else "tuvwxyz", k=rng.randint(1, 400))) for _ in range(3)), "a" if i % 2 else "z") for i in range(40)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string, lang string"), vocabulary("piece_bpe_32k.model")
+    whole = language.fit(docs, path).probabilities
+    monkeypatch.setattr(language, "WINDOW", 37)
+    words = {lang: collections.Counter(language.MARK + w for _, text, own in rows if own == lang for w in text.split()) for lang in "az"}
+    now = np.full(whole.shape, 1.0 / len(whole))
+    for _ in range(language.ROUNDS):
+        every = [(w, n, k) for k, lang in enumerate("az") for w, n in words[lang].items()]
+        total = language.expected([w for w, _, _ in every], np.array([n for _, n, _ in every]), np.array([k for _, _, k in every]), now, path) + language.SMOOTHING
+        now = total / total.sum(axis=0)
+    assert now == pytest.approx(whole)
+
+
 def test_a_language_without_spaces_is_learned(spark):
     rng = random.Random(8)
     script = {"zh": "的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年", "ja": "のにはをたがでてとしれさあるいもなかられよりこそやまっきくけ", "th": "กขคงจชซดตถทนบปผพฟมยรลวศสหอฮ"}
@@ -499,6 +540,15 @@ def test_token_files(spark, docs, plain, odd, empty, encode):
     assert token_files.read_tokens(token_files.write_tokens(empty, vocabulary())).count() == 0
 
 
+def test_files_and_samples_are_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_FILES", 3)
+    monkeypatch.setattr(token_files, "SAMPLED_IN_ALL", 20)
+    files = token_files.write_tokens(docs, vocabulary(), parts=50)
+    assert 1 < files.manifest.count() <= 3
+    got = token_files.read_tokens(files).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
 def test_frames(tmp_path, monkeypatch):
     import zstandard
 
