@@ -99,21 +99,48 @@ def scrubbed(json: Column, keys: tuple[str, ...]) -> Column:
     return F.to_json(F.map_filter(entries, lambda k, v: ~k.isin(*keys)))
 
 
+# Ranges of addresses that aren't public hosts: private, local, shared, test, multicast, tunnels, reserved.
+CLOSED_IPV4 = """0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/3"""
+CLOSED_IPV6 = """::/128 ::1/128 ::ffff:0:0:0/96 64:ff9b::/96 100::/64 2001::/32 2001:2::/48 2001:3::/32 2001:4:112::/48 2001:10::/28 2001:20::/28 2001:30::/28 2001:db8::/32 2002::/16 fc00::/7 fe80::/10 ff00::/8"""
+
+
+def _ranges(four: str, six: str) -> list[tuple[str, str]]:
+    """First and last address of networks as 32 hexadecimal digits, IPv4 as it is mapped to IPv6."""
+    import ipaddress
+
+    found = [(int(n[0]) + (0xFFFF << 32), int(n[-1]) + (0xFFFF << 32)) for n in map(ipaddress.ip_network, four.split())]
+    found += [(int(n[0]), int(n[-1])) for n in map(ipaddress.ip_network, six.split())]
+    return [(f"{low:032x}", f"{high:032x}") for low, high in sorted(found)]
+
+
+def _ipv4_hex(ip: Column) -> Column:
+    """Eight hexadecimal digits; null if it isn't four numbers up to 255."""
+    parts = F.split(ip, r"\.")
+    digits = F.transform(parts, lambda x: F.lpad(F.lower(F.hex(x.try_cast("bigint"))), 2, "0"))
+    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(parts, lambda x: x.try_cast("int") <= 255), F.array_join(digits, ""))
+
+
+def address_hex(ip: Column) -> Column:
+    """An IPv4 or IPv6 address as 32 hexadecimal digits, which order as addresses do; null if it is none.
+
+    IPv4 is taken as the IPv6 address that it is mapped to. An IPv6 address may leave
+    out one run of zeros, and end in an IPv4 address.
+    """
+    tail = F.regexp_extract(ip, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+    last = _ipv4_hex(tail)
+    whole = F.when(tail == "", ip).otherwise(F.concat(F.regexp_extract(ip, r"^(.*:)\d+\.\d+\.\d+\.\d+$", 1), F.substring(last, 1, 4), F.lit(":"), F.substring(last, 5, 4)))
+    sides = F.split(whole, "::")
+    none = F.array().cast("array<string>")
+    left, right = (F.when(F.get(sides, F.lit(i)) != "", F.split(F.get(sides, F.lit(i)), ":")).otherwise(none) for i in (0, 1))
+    missing = 8 - F.size(left) - F.size(right)
+    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    shaped = ((F.size(sides) == 2) & (missing >= 1)) | ((F.size(sides) == 1) & (missing == 0))
+    six = F.when(shaped & F.forall(groups, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")), F.lower(F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")))
+    return F.coalesce(F.concat(F.lit("0" * 20 + "ffff"), _ipv4_hex(ip)), six)
+
+
 def is_public_unicast(ip: Column) -> Column:
-    """Whether an IPv4 address is routable: not private, local, shared, test, multicast or reserved."""
-    octets = F.transform(F.split(ip, r"\."), lambda x: x.try_cast("int"))
-    a, b, c = (F.try_element_at(octets, F.lit(i)) for i in (1, 2, 3))
-    valid = ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(octets, lambda x: x.between(0, 255))
-    closed = (
-        a.isin(0, 10, 127)
-        | (a >= 224)
-        | ((a == 100) & b.between(64, 127))
-        | ((a == 169) & (b == 254))
-        | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168))
-        | ((a == 192) & (b == 0) & c.isin(0, 2))
-        | ((a == 198) & b.isin(18, 19))
-        | ((a == 198) & (b == 51) & (c == 100))
-        | ((a == 203) & (b == 0) & (c == 113))
-    )
-    return F.coalesce(valid & ~closed, F.lit(False))
+    """Whether an IPv4 or IPv6 address is routable: in none of the closed ranges, also if it is an IPv4 one mapped to IPv6. What is no address isn't."""
+    ranges = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in _ranges(CLOSED_IPV4, CLOSED_IPV6)])
+    closed = F.get(F.transform(F.array(address_hex(ip)), lambda h: F.when(h.isNotNull(), F.exists(ranges, lambda r: (h >= r["low"]) & (h <= r["high"])))), F.lit(0))
+    return F.coalesce(~closed, F.lit(False))

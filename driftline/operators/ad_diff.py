@@ -10,6 +10,7 @@ from driftline.functions import scoring
 from driftline.functions.text import normalized_url, product_url
 from driftline.functions.time import day_bucket
 from driftline.operators.events import draft, emitted
+from driftline.operators.state import last_of
 
 FIELDS = ("destination_url", "advertiser_external_id", "advertiser_name", "format")
 MATCH = ("matched_product_id", "match_method", "match_confidence")
@@ -18,11 +19,13 @@ MATCH = ("matched_product_id", "match_method", "match_confidence")
 def match_products(ads: DataFrame, products: DataFrame, stores: DataFrame) -> DataFrame:
     """Add the match columns: the product whose page is the ad's destination, or nulls.
 
-    ``products``: store_id, external_id, handle; ``stores``: store_id, domain. Of
-    products with the same page that with the largest id counts.
+    ``products``: store_id, external_id, handle and perhaps position, its place in the
+    catalog; ``stores``: store_id, domain. Of products with the same page the last
+    counts: by position, then by id.
     """
-    pages = products.join(stores.select("store_id", "domain"), "store_id").select("store_id", normalized_url(product_url(F.col("domain"), F.col("handle"))).alias("page"), "external_id")
-    index = pages.where(F.col("page").isNotNull()).groupBy("store_id", "page").agg(F.max("external_id").alias("matched_product_id"))
+    place = F.col("position") if "position" in products.columns else F.lit(0)
+    pages = products.join(stores.select("store_id", "domain"), "store_id").select("store_id", normalized_url(product_url(F.col("domain"), F.col("handle"))).alias("page"), "external_id", place.alias("position"))
+    index = pages.where(F.col("page").isNotNull()).groupBy("store_id", "page").agg(F.max_by("external_id", F.struct("position", "external_id")).alias("matched_product_id"))
     found = ads.drop(*MATCH).withColumn("page", normalized_url(F.col("destination_url"))).join(index, ["store_id", "page"], "left")
     hit = F.col("matched_product_id").isNotNull()
     return found.withColumns({"match_method": F.when(hit, "EXACT_PRODUCT_URL"), "match_confidence": F.when(hit, "HIGH")}).drop("page")
@@ -30,7 +33,7 @@ def match_products(ads: DataFrame, products: DataFrame, stores: DataFrame) -> Da
 
 def _matched(observed: DataFrame, previous: DataFrame) -> DataFrame:
     keys = ["store_id", "platform", "external_ad_id"]
-    now = observed.dropDuplicates(keys).select(*keys, F.lit(True).alias("here"), *[F.col(c).alias(f"o_{c}") for c in (*FIELDS, "source_metadata", *MATCH)])
+    now = last_of(observed, keys).select(*keys, F.lit(True).alias("here"), *[F.col(c).alias(f"o_{c}") for c in (*FIELDS, "source_metadata", *MATCH)])
     return previous.join(now, keys, "full_outer")
 
 

@@ -167,11 +167,11 @@ def operational(watches: DataFrame, stores: DataFrame, crawls: DataFrame, now: C
 
 
 def failed_logins(attempts: DataFrame, minutes: int = 15) -> DataFrame:
-    """At each attempt the earlier failures of its e-mail, since that e-mail's last success, and of its address, within ``minutes``."""
+    """At each attempt the earlier failures of its e-mail, since that e-mail's last success, and of its address, within ``minutes``. Attempts of one moment don't see each other."""
     at = F.unix_micros(F.col("created_at").cast("timestamp"))
     span = (-minutes * 60_000_000, -1)
     failed = (~F.col("succeeded")).cast("long")
-    ok_at = F.max(F.when(F.col("succeeded"), at)).over(Window.partitionBy("email").orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    ok_at = F.max(F.when(F.col("succeeded"), at)).over(Window.partitionBy("email").orderBy(at).rangeBetween(Window.unboundedPreceding, -1))
     rows = attempts.withColumn("__era", F.coalesce(ok_at, F.lit(0)))
     by_email = Window.partitionBy("email", "__era").orderBy(at).rangeBetween(*span)
     by_ip = Window.partitionBy("ip").orderBy(at).rangeBetween(*span)

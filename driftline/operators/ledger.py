@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
+from itertools import count
 from typing import Any
 
 import pandas as pd
@@ -17,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.session import written
+
 
 def _decided(requests: DataFrame, key: str, order: list[str], start: Callable[[], Callable[..., Any]], reads: list[str], result: str) -> DataFrame:
     """``start`` begins a key and returns what decides its requests in turn, from the columns ``reads``."""
@@ -51,14 +55,16 @@ def quota(requests: DataFrame, key: str = "user_id", limit: str = "quota", hours
 
     def start() -> Callable[..., str]:
         used: deque = deque()
+        held: set = set()  # the stores in it, each once
 
         def decide(now: pd.Timestamp, most: int | None, what: Any) -> str:
             while used and used[0][0] <= now - span:
-                used.popleft()
-            if any(w == what for _, w in used):
+                held.discard(used.popleft()[1])
+            if what in held:
                 return "REPEATED"
             if pd.isna(most) or len(used) < most:
                 used.append((now, what))
+                held.add(what)
                 return "ALLOWED"
             return "REFUSED"
 
@@ -86,19 +92,101 @@ def rate_limit(requests: DataFrame, key: str, limit: int, seconds: int, at: str
     return _decided(requests, key, [at, tie], start, [at], "allowed boolean")
 
 
+def anonymous(requests: DataFrame, most: int, ceiling: int, key: str = "address", hours: int = 24, breaker_hours: int = 1, at: str = "created_at", tie: str = "request_id", rounds: int | None = None) -> DataFrame:
+    """Add ``outcome`` to requests of anonymous callers: RECORDED, LIMIT_REACHED or CIRCUIT_OPEN.
+
+    If ``ceiling`` requests of all callers were recorded in the last ``breaker_hours``, the
+    circuit is open; else if ``most`` of the caller's were in the last ``hours``, its limit is
+    reached. What is refused isn't recorded. A request at the very beginning of a window counts.
+    The result is that of one loop over all requests by time, then ``tie``.
+
+    Time is cut into slices of ``hours``, which are decided side by side. What a slice
+    has to know of those before it is what the last one recorded, at most ``ceiling`` for
+    each ``breaker_hours``. At first each believes that this is nothing; a slice
+    whose predecessor recorded something else than it believed is decided again, until none is. The first slice is
+    right at once and each round makes at least one more right, mostly all but those behind an open circuit.
+    A slice is read batch by batch; its state is what the window holds. ``rounds`` may bound the rounds (an error
+    if they don't suffice). Requests without a time are refused as CIRCUIT_OPEN.
+    """
+    span, short = hours * 3_600_000_000, breaker_hours * 3_600_000_000
+    rows = requests.withColumn("__at", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("__slice", F.expr(f"floor(__at / {span})"))
+    rows = written(rows.withColumns({"__key": F.col(key).cast("string"), "__tie": F.col(tie).cast("long")}), "anonymous-requests")
+    core = [F.col("__slice"), F.col("__at"), F.col("__tie"), F.col("__key"), F.lit(False).alias("__before")]
+    timed = rows.where(F.col("__at").isNotNull())
+    light = timed.select(*core)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, window, recent, own = None, deque(), deque(), {}
+        for batch in batches:
+            out = []
+            for part, now, _, who, before in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+                if part != last:
+                    last, window, recent, own = part, deque(), deque(), {}
+                while window and window[0][0] < now - span:
+                    _, gone = window.popleft()
+                    own[gone] -= 1
+                    if not own[gone]:
+                        del own[gone]
+                while recent and recent[0] < now - short:
+                    recent.popleft()
+                verdict = "RECORDED"
+                if not before:
+                    verdict = "CIRCUIT_OPEN" if len(recent) >= ceiling else "LIMIT_REACHED" if own.get(who, 0) >= most else "RECORDED"
+                if verdict == "RECORDED":
+                    window.append((now, who))
+                    recent.append(now)
+                    own[who] = own.get(who, 0) + 1
+                out.append(verdict)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "outcome"])
+
+    def decided(some: DataFrame, recorded: DataFrame | None) -> DataFrame:
+        if recorded is not None:
+            some = some.unionByName(recorded.select((F.col("__slice") + 1).alias("__slice"), "__at", "__tie", "__key", F.lit(True).alias("__before")), allowMissingColumns=True)
+        ordered = some.repartition("__slice").sortWithinPartitions("__slice", "__at", "__tie", F.desc("__before"))
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema.fields)
+        return ordered.mapInArrow(run, f"{kinds}, outcome string").where(~F.col("__before"))
+
+    recorded = written(decided(light, None).where("outcome = 'RECORDED'").drop("outcome"), "recorded")
+    told, done = None, 0
+    while True:
+        mark = recorded.groupBy("__slice").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("__at", "__tie", "__key").cast("decimal(20,0)")).alias("sum"))
+        mark = written(mark, "recorded-marks")
+        fresh = mark if told is None else mark.join(told.withColumnRenamed("n", "m").withColumnRenamed("sum", "was"), "__slice", "left").where(~(F.col("n").eqNullSafe(F.col("m")) & F.col("sum").eqNullSafe(F.col("was")))).select("__slice")
+        gone = None if told is None else told.join(mark, "__slice", "left_anti").select("__slice")
+        stale = fresh.select("__slice") if gone is None else fresh.select("__slice").unionByName(gone)
+        # slices that haven't been told what the one before them recorded
+        again = light.join(stale.select((F.col("__slice") + 1).alias("__slice")), "__slice", "left_semi")
+        if again.isEmpty():
+            break
+        if done == rounds:
+            raise ValueError(f"not settled after {rounds} rounds")
+        done += 1
+        redone = written(again.select("__slice").distinct(), "slices-again")
+        here = recorded.join(redone.select((F.col("__slice") - 1).alias("__slice")), "__slice", "left_semi")
+        better = decided(again, here).where("outcome = 'RECORDED'").drop("outcome")
+        recorded, told = written(recorded.join(redone, "__slice", "left_anti").unionByName(better), "recorded"), mark
+    columns = requests.columns
+    untimed = rows.where(F.col("__at").isNull()).select(*columns, F.lit("CIRCUIT_OPEN").alias("outcome"))
+    return decided(timed.select(*core, *columns), recorded).select(*columns, "outcome").unionByName(untimed)
+
+
 def slots(requests: DataFrame, key: str = "user_id", limit: str = "slots", at: str = "created_at", until: str = "expires_at", store: str = "store_id", tie: str = "request_id") -> DataFrame:
     """Add ``outcome`` to requests to watch a store: STARTED, ALREADY_ACTIVE or NO_SLOT; a watch holds its slot until it expires."""
 
     def start() -> Callable[..., str]:
-        active: dict = {}
+        active: set = set()
+        ends: list = []  # a heap of the watches that end, by their end
+        number = count()
 
         def decide(now: pd.Timestamp, end: pd.Timestamp, most: int | None, what: Any) -> str:
-            nonlocal active
-            active = {w: e for w, e in active.items() if pd.isna(e) or e > now}
+            while ends and ends[0][0] <= now:
+                active.discard(heappop(ends)[2])
             if what in active:
                 return "ALREADY_ACTIVE"
             if pd.isna(most) or len(active) < most:
-                active[what] = end
+                active.add(what)
+                if not pd.isna(end):
+                    heappush(ends, (end, next(number), what))
                 return "STARTED"
             return "NO_SLOT"
 

@@ -23,6 +23,9 @@ from driftline.functions.money import format_cents, half_up, pct_change
 from driftline.functions.time import day_bucket
 from driftline.operators.events import capped, draft, emitted, json
 
+#: Changed stores whose numbers are broadcast at most (16 bytes each), so that the partitions of others are left unread.
+BROADCAST_STORES = 1_000_000
+
 STATE = ("price_min_cents", "price_max_cents", "compare_at_max_cents", "variant_count", "available_variants", "bestseller_rank")
 
 
@@ -35,13 +38,19 @@ def shrink_check(current: DataFrame, previous: DataFrame, config: DiffConfig = D
     return both.withColumn("aborted", F.when(F.col("n_previous") >= config.min_products_for_shrink, fell).otherwise(F.lit(False)))
 
 
-def changed_stores(rows: DataFrame, before: DataFrame, now: DataFrame) -> DataFrame:
-    """The rows of stores whose content hash (``store_id``, ``hash``) isn't that of the crawl before: only these need a diff.
+def changed_stores(before: DataFrame, now: DataFrame) -> DataFrame:
+    """``store_id`` of stores whose content isn't that of the crawl before; only these need a diff.
 
-    A store without a hash before, or with a null one on either side, has changed.
+    ``before`` and ``now``: store_id and any number of hashes (catalog, ranking,
+    technology). All of them have to be equal; a store without hashes before, or with
+    a null one on either side, has changed.
     """
-    same = before.select("store_id", F.col("hash").alias("__before")).join(now.select("store_id", F.col("hash").alias("__now")), "store_id").where(F.col("__before") == F.col("__now"))
-    return rows.join(same.select("store_id"), "store_id", "left_anti")
+    names = [c for c in now.columns if c != "store_id"]
+    both = now.join(before.select("store_id", *[F.col(c).alias(f"__{c}") for c in names]), "store_id", "left")
+    differs = F.lit(False)
+    for c in names:  # a missing hash is like no other; a comparison of columns is what partitions can be pruned by
+        differs = differs | (F.coalesce(F.col(c), F.lit("none now")) != F.coalesce(F.col(f"__{c}"), F.lit("none before")))
+    return both.where(differs).select("store_id")
 
 
 def matched(stores: DataFrame, headers: DataFrame, current: DataFrame, previous: DataFrame, config: DiffConfig = DiffConfig()) -> DataFrame:
@@ -121,11 +130,19 @@ def _drafts(now: Column, config: DiffConfig, crosses: bool = False) -> list[Colu
     ]
 
 
-def product_events(stores: DataFrame, headers: DataFrame, current: DataFrame, previous: DataFrame, now: Column, config: DiffConfig = DiffConfig(), cap: bool = True, cross_stores: DataFrame | None = None) -> DataFrame:
+def product_events(stores: DataFrame, headers: DataFrame, current: DataFrame, previous: DataFrame, now: Column, config: DiffConfig = DiffConfig(), cap: bool = True, cross_stores: DataFrame | None = None, hashes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Events of the stores that have a baseline; a single shuffle by (store, product), then the cap by store.
 
     ``cross_stores`` (store_id, external_id, cross_stores) may tell how many stores make the same move.
+    ``hashes``: those of the crawl before and of this one, see ``changed_stores``. Stores
+    whose content is the same are left out of the catalog and of the state before anything is
+    joined; where these lie partitioned by store, their files aren't read.
     """
+    if hashes is not None:
+        to_do = changed_stores(*hashes)
+        if to_do.count() <= BROADCAST_STORES:
+            to_do = F.broadcast(to_do)
+        stores, current, previous = (x.join(to_do, "store_id", "left_semi") for x in (stores, current, previous))
     rows = matched(stores.where("baselined"), headers, current, previous, config)
     if cross_stores is not None:
         rows = rows.join(cross_stores, ["store_id", "external_id"], "left")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.fingerprint import REVIEW_APPS
 from driftline.functions.plans import plan_limit
 from driftline.functions.time import days_remaining
 from driftline.operators import signals
 from driftline.operators.state import latest
 
 KEYS = ["store_id", "external_id"]
+# Reasons of reports, here and below.
+NOT_CRAWLED = "This store has not completed an initial crawl yet."
 
 
 def growth_highlights(products: DataFrame, ranks: DataFrame, presence: DataFrame, crawls: DataFrame, reviews: DataFrame, budget: Column | int = 20) -> DataFrame:
@@ -68,6 +71,72 @@ def marketing_report(stores: DataFrame, runs: DataFrame, ads: DataFrame) -> Data
     return heads.join(shown.withColumn("__shown", F.lit("OBSERVED")), (heads["store_id"] == shown["store_id"]) & (heads["status"] == F.col("__shown")), "left").drop(shown["store_id"]).drop("__shown")
 
 
+def observed(value: Column, reason: str | None = None, when: Column | None = None) -> Column:
+    """A field of a report: OBSERVED with a value or, where it is null (or ``when`` is false), UNAVAILABLE with a reason."""
+    known = value.isNotNull() if when is None else F.coalesce(when, F.lit(False))
+    return F.struct(F.when(known, "OBSERVED").otherwise("UNAVAILABLE").alias("status"), F.when(known, value).alias("value"), F.when(~known, F.lit(reason)).alias("reason"))
+
+
+def review_infrastructure(stores: DataFrame, entities: DataFrame) -> DataFrame:
+    """store_id and ``infrastructure``: the apps of a store that collect reviews, whatever their status, once it has been crawled.
+
+    They tell that reviews are collected, not how many there are. There is at most one
+    entry for each app that is known to collect reviews.
+    """
+    mine = entities.where((F.col("kind") == "APP") & F.col("key").isin(*REVIEW_APPS))
+    apps = mine.groupBy("store_id").agg(F.array_sort(F.collect_list(F.struct("key", "status", "first_seen_at", "last_seen_at"))).alias("__apps"))
+    empty = F.array().cast(apps.schema["__apps"].dataType)
+    rows = stores.select("store_id", "baselined").join(apps, "store_id", "left")
+    return rows.select("store_id", observed(F.coalesce("__apps", empty), NOT_CRAWLED, F.col("baselined")).alias("infrastructure"))
+
+
+def intelligence_report(stores: DataFrame, products: DataFrame, entities: DataFrame, crawls: DataFrame, activity: DataFrame, coverage: DataFrame, days: int = 30) -> DataFrame:
+    """One nested row per store with all that is known of it; each field is observed or unavailable for a reason.
+
+    ``stores``: store_id, domain, baselined, tier, theme_name, theme_version, registered_at, archived_at, last_crawled_at, next_crawl_at;
+    ``products``: store_id, external_id, status, price_min_cents, bestseller_rank,
+    first_seen_at; ``entities`` as of ``next_entities``; ``crawls``: store_id, status;
+    ``activity``: store_id, delta, delta_pct, price_changes; ``coverage``: store_id, sampled, with_count.
+
+    Products are summed up before they are shuffled; of them only the highlights (20, or
+    5 where no app collects reviews) are brought together, which the sort cuts off in
+    each task. Names of technology are bounded by what can be recognised.
+    """
+    live = products.where(F.col("status") == "ACTIVE")
+    infrastructure = review_infrastructure(stores, entities)
+    provider = F.exists("infrastructure.value", lambda a: a["status"] == "ACTIVE")
+    budgets = infrastructure.select("store_id", "infrastructure", signals.review_budget(F.coalesce(provider, F.lit(False))).alias("__budget"))
+    facts = live.groupBy("store_id").agg(F.count(F.lit(1)).alias("__n"), F.floor(F.avg("price_min_cents") + 0.5).alias("__price"))
+    best = signals.highlights(live, 20).join(budgets.select("store_id", "__budget"), "store_id").where(F.col("place") <= F.col("__budget"))
+    top = best.groupBy("store_id").agg(F.array_sort(F.collect_list(F.struct("place", "external_id", "bestseller_rank"))).alias("__top"))
+    named = entities.where((F.col("status") == "ACTIVE") & F.col("kind").isin("APP", "PIXEL", "PAYMENT_PROVIDER"))
+    kinds = {"APP": "apps", "PIXEL": "pixels", "PAYMENT_PROVIDER": "payment_providers"}
+    tech = named.groupBy("store_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("first_seen_at", "key")))).alias(f"__{n}") for k, n in kinds.items()])
+    visits = crawls.where(F.col("status").isin("OK", "PARTIAL")).groupBy("store_id").agg(F.count(F.lit(1)).alias("__crawls"))
+    rows = stores
+    for part in (budgets, facts, top, tech, visits, activity, coverage):
+        rows = rows.join(part, "store_id", "left")
+    names = lambda n: F.coalesce(F.transform(f"__{n}", lambda e: e["key"]), F.array().cast("array<string>"))
+    never = lambda why: F.struct(F.lit("UNAVAILABLE").alias("status"), F.lit(why).alias("reason"), F.lit(True).alias("permanent"))
+    on = F.col("tier") != "DISABLED"
+    return rows.select(
+        "store_id",
+        F.struct(
+            "domain",
+            observed(F.struct(F.col("theme_name").alias("name"), F.col("theme_version").alias("version"))).alias("theme"),
+            observed(F.col("registered_at"), "No public registration date found for this domain.").alias("registered"),
+            observed(F.col("archived_at"), "No archived storefront snapshot found for this domain.").alias("archived"),
+        ).alias("identity"),
+        F.struct(*[names(n).alias(n) for n in kinds.values()]).alias("technology"),
+        F.struct(F.coalesce("__n", F.lit(0)).alias("products"), observed(F.col("__price"), "No active products to average").alias("average_price")).alias("catalog"),
+        F.coalesce("__top", F.array().cast(top.schema["__top"].dataType)).alias("highlights"),
+        F.struct("delta", "delta_pct", signals.growth_signals(F.col("delta"), F.col("delta_pct"), F.col("price_changes"), days).alias("signals"), F.col("delta").isNotNull().alias("has_enough_history")).alias("growth"),
+        F.struct("infrastructure", never("Review history is not yet reliably collected").alias("velocity"), F.coalesce("sampled", F.lit(0)).alias("sampled"), F.coalesce("with_count", F.lit(0)).alias("with_count")).alias("reviews"),
+        F.struct(never("No validated revenue model implemented yet").alias("revenue"), never("No validated traffic estimation model implemented yet").alias("traffic")).alias("commercial"),
+        F.struct("tier", on.alias("active"), "last_crawled_at", F.when(on, F.col("next_crawl_at")).alias("next_crawl_at"), F.coalesce("__crawls", F.lit(0)).alias("total_crawls")).alias("monitoring"),
+    )
+
+
 def store_access(asked: DataFrame, usage: DataFrame) -> DataFrame:
     """What a user (null: not signed in) may see of a store: ``full`` if they ever analysed it, else a preview."""
     done = usage.select("user_id", "store_id").distinct().withColumn("__done", F.lit(True))

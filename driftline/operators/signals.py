@@ -41,6 +41,28 @@ def catalog_sizes(products: DataFrame, samples: DataFrame) -> DataFrame:
     return steps.unionByName(asked).withColumn("products", running).where("sample = 1").select("store_id", "at", "products")
 
 
+def catalog_trend(crawls: DataFrame, products: DataFrame, most: int = 180, least: int = 3, points: int = 12) -> DataFrame:
+    """How the catalog of each store grew: a row for each of at most ``points`` times, with ``products`` at that time.
+
+    ``crawls``: store_id, finished_at (of real ones); ``products``: store_id, first_seen_at, missing_since,
+    source_created_at. The times are those of the last ``most`` crawls, evenly
+    sampled. A store with fewer than ``least`` of them has its past ``reconstructed`` from
+    its products' launches, at even times from the first of these to the last crawl. Where there is no
+    launch either, or no crawl, one row without a time says INSUFFICIENT_HISTORY. ``crawls`` is their number.
+    """
+    place = F.row_number().over(Window.partitionBy("store_id").orderBy(F.desc("finished_at")))
+    recent = crawls.where(F.col("finished_at").isNotNull()).select("store_id", "finished_at").withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+    heads = recent.groupBy("store_id").agg(F.count(F.lit(1)).alias("crawls"), F.max("finished_at").alias("__last"))
+    launched = products.groupBy("store_id").agg(F.min("source_created_at").alias("__first"))
+    told = heads.join(launched, "store_id", "full_outer").withColumn("crawls", F.coalesce("crawls", F.lit(0)))
+    enough, rebuilt = F.col("crawls") >= least, F.col("__first").isNotNull() & F.col("__last").isNotNull()
+    told = told.withColumns({"status": F.when(enough | rebuilt, "OBSERVED").otherwise("INSUFFICIENT_HISTORY"), "reconstructed": ~enough & rebuilt})
+    seen = sampled_evenly(recent.join(told.where(enough).select("store_id"), "store_id", "left_semi"), ["store_id"], "finished_at", points).withColumnRenamed("finished_at", "at")
+    made = told.where(F.col("reconstructed")).select("store_id", F.explode(evenly_spaced(F.col("__first"), F.col("__last"), points)).alias("at")).distinct()
+    sizes = catalog_sizes(products, seen.unionByName(made))
+    return told.select("store_id", "status", "crawls", "reconstructed").join(sizes, "store_id", "left")
+
+
 def rank_signals(observations: DataFrame, last: int = 20) -> DataFrame:
     """Per product: its last ranks, the move since the rank differed, and the momentum.
 

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def merge(state: DataFrame, upserts: DataFrame, keys: list[str], keep: tuple[str, ...] = (), fill: tuple[str, ...] = (), when_active: tuple[str, ...] = (), status: str = "status") -> DataFrame:
+def merge(state: DataFrame, upserts: DataFrame, keys: list[str], keep: tuple[str, ...] = (), fill: tuple[str, ...] = (), when_active: tuple[str, ...] = (), status: str = "status", order: tuple[str, ...] = (), newest: str | None = None) -> DataFrame:
     """Insert or update rows of ``state`` by ``keys``, with the columns of ``state``.
 
     ``keep``: columns that a known row never changes (its id, its first sighting);
     ``fill``: columns whose old value stays where the new one is null;
     ``when_active``: columns that change only if the new status is ACTIVE. Of
-    repeated upserts of a key any one counts.
+    repeated upserts of a key the last by ``order`` counts (by all other columns if
+    there is none), so that a rerun takes the same one. ``newest``: a column by which an
+    upsert that is older than the known row changes nothing.
     """
-    new = upserts.dropDuplicates(keys).select(*keys, F.lit(True).alias("__new"), *[F.col(c).alias(f"__n_{c}") for c in upserts.columns if c not in keys])
+    new = last_of(upserts, keys, order).select(*keys, F.lit(True).alias("__new"), *[F.col(c).alias(f"__n_{c}") for c in upserts.columns if c not in keys])
     rows = state.withColumn("__old", F.lit(True)).join(new, keys, "full_outer")
 
     def merged(c: str) -> Column:
@@ -30,6 +29,8 @@ def merge(state: DataFrame, upserts: DataFrame, keys: list[str], keep: tuple[str
         if c in fill:
             return F.coalesce(fresh, F.col(c))
         takes = F.col("__new")
+        if newest:
+            takes = takes & (F.col(newest).isNull() | (F.col(f"__n_{newest}") >= F.col(newest)))
         if c in when_active:
             takes = takes & (F.col("__old").isNull() | (F.col(f"__n_{status}") == "ACTIVE"))
         return F.when(takes, fresh).otherwise(F.col(c))
@@ -38,11 +39,21 @@ def merge(state: DataFrame, upserts: DataFrame, keys: list[str], keep: tuple[str
 
 
 def insert_missing(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``target`` and those rows whose keys it lacks, once each."""
-    fresh = rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    """``target`` and those rows whose keys it lacks, once each: the last by all other columns."""
+    fresh = last_of(rows, keys).join(target.select(*keys), keys, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 
+def last_of(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """One row of each key, the last by ``order`` and then by all other columns that can be ordered; equal rows are alike."""
+    others = [f.name for f in rows.schema if f.name not in (*keys, *order) and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    best = F.max_by(F.struct(*[F.col(c) for c in rows.columns if c not in keys]), F.struct(*order, *others)) if len(rows.columns) > len(keys) and (order or others) else None
+    if best is None:
+        return rows.dropDuplicates(keys)
+    made = rows.groupBy(*keys).agg(best.alias("__best"))
+    return made.select(*[F.col(c) if c in keys else F.col("__best")[c].alias(c) for c in rows.columns])
+
+
 def purge(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys aren't in ``gone``: what a cascading delete leaves."""
     return rows.join(gone.select(*keys), keys, "left_anti")
@@ -54,34 +65,20 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
-def list_hashes(rows: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
-    """The SHA-256 of each key's texts in order, as a list ``[a,b]``: ``keys`` and ``hash``. Null texts are left out.
+def bag_hash(text: Column) -> Column:
+    """An aggregate: a hash of the bag of texts, whatever their order. Null texts aren't in the bag.
 
-    A key's rows are sorted and read batch by batch; only its running digest is held.
+    It is their number and the sums of two parts of 60 bits of their SHA-256, so that
+    tasks add up what they have and only sums are shuffled.
     """
+    digest = F.sha2(text, 256)
+    sums = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 16)]
+    return F.concat_ws("-", F.count(text).cast("string"), *sums)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, digest, first = None, None, True
-
-        def closed() -> pa.RecordBatch:
-            digest.update(b"]")
-            return pa.RecordBatch.from_arrays([*[pa.array([k], t) for k, t in zip(last, types, strict=True)], pa.array([digest.hexdigest()])], names=[*keys, "hash"])
-
-        for batch in batches:
-            types = [c.type for c in batch.columns[:-1]]
-            for *key, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if digest is None or key != last:
-                    if digest is not None:
-                        yield closed()
-                    last, digest, first = key, hashlib.sha256(b"["), True
-                if t is not None:
-                    digest.update((t if first else "," + t).encode("utf-8"))
-                    first = False
-        if digest is not None:
-            yield closed()
-
-    chosen = rows.repartition(*keys).sortWithinPartitions(*keys, *order, text).select(*keys, text)
-    return chosen.mapInArrow(run, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", hash string")
+def content_hashes(rows: DataFrame, keys: list[str], **texts: Column) -> DataFrame:
+    """``keys`` and a ``bag_hash`` under each name; equal hashes mean equal content. Where order counts, a text says its row's place."""
+    return rows.groupBy(*keys).agg(*[bag_hash(t).alias(name) for name, t in texts.items()])
 
 
 class VersionedTable:

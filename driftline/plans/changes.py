@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.config import BASE_SCORES
-from driftline.operators import ad_diff, entity_diff, product_diff
+from driftline.operators import ad_diff, entity_diff, history, product_diff
 from driftline.operators.events import appended
-from driftline.operators.state import list_hashes
+from driftline.operators.state import content_hashes
 from driftline.plans import derived as D
 from driftline.plans.registry import query
-from driftline.session import table, written
+from driftline.session import partitioned, table, written
 
 
 def _score(kind: str, magnitude: str, rank: str | None = "c.bestseller_rank", cents: str = "c.price_min_cents", rarity: float = 1.0) -> str:
@@ -254,42 +254,106 @@ def ad_events(spark: SparkSession, sf: str) -> DataFrame:
     return ad_diff.ad_events(matched(D.CURRENT), known, now).select("store_id", "entity_key", "event_type", "significance", "dedupe_key")
 
 
-@query(
-    "content_hashes",
-    f"""WITH {D.CATALOG} SELECT store_id, year, sha256('[' || string_agg('["' || external_id || '",' || price_min_cents || ',' || price_max_cents || ',' || coalesce(CAST(compare_at_max_cents AS VARCHAR), 'null') || ',' || variant_count || ',' || available_variants || ']', ',' ORDER BY external_id) || ']') AS catalog_hash,
-        sha256('[' || string_agg('"' || external_id || '"', ',' ORDER BY bestseller_rank) || ']') AS rank_hash FROM catalog GROUP BY store_id, year""",
-)
-def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
+_LINE = "concat_ws('|', external_id, price_min_cents, price_max_cents, coalesce(CAST(compare_at_max_cents AS VARCHAR), '-'), variant_count, available_variants)"
+_PLACE = "concat_ws('|', external_id, bestseller_rank)"
+
+
+def _bag(text: str) -> str:
+    part = "sum(('0x' || substr(sha256({}), {}, 15))::HUGEINT)"
+    return f"concat_ws('-', count({text}), {part.format(text, 1)}, {part.format(text, 16)})"
+
+
+def _hashes(rows: DataFrame, *keys: str) -> DataFrame:
+    """Hashes of catalogs and of their rankings, which change far more often."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("price_min_cents", "price_max_cents", "compare_at_max_cents", "variant_count", "available_variants")]
+    return content_hashes(rows, list(keys), catalog_hash=F.concat_ws("|", "external_id", *fields), rank_hash=F.concat_ws("|", "external_id", "bestseller_rank"))
+
+
+@query("content_hashes", f"WITH {D.CATALOG} SELECT store_id, year, {_bag(_LINE)} AS catalog_hash, {_bag(_PLACE)} AS rank_hash FROM catalog GROUP BY store_id, year")
+def content_hashes_by_store(spark: SparkSession, sf: str) -> DataFrame:
     """Hashes of each store's catalog and of its ranking alone."""
-    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    quoted = F.concat(F.lit('"'), "external_id", F.lit('"'))
-    line = F.concat(F.lit("["), F.concat_ws(",", quoted, *[word(c) for c in ("price_min_cents", "price_max_cents", "compare_at_max_cents", "variant_count", "available_variants")]), F.lit("]"))
-    rows = D.catalog(spark, sf)
-    parts = F.array(
-        F.struct(F.lit("catalog_hash").alias("kind"), "external_id", F.lit(None).cast(rows.schema["bestseller_rank"].dataType).alias("rank"), line.alias("t")),
-        F.struct(F.lit("rank_hash").alias("kind"), F.lit(None).cast("string").alias("external_id"), F.col("bestseller_rank").alias("rank"), quoted.alias("t")),
-    )
-    hashes = list_hashes(rows.select("store_id", "year", F.inline(parts)), ["store_id", "year", "kind"], ["external_id", "rank"], "t")
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("hash"))).alias(kind)
-    return hashes.groupBy("store_id", "year").agg(of("catalog_hash"), of("rank_hash"))
+    return _hashes(D.catalog(spark, sf), "store_id", "year")
+
+
+def _half_unchanged(catalog: DataFrame) -> DataFrame:
+    """The crawl of 1998, in which stores with an even number come as in 1997."""
+    return catalog.where(F.col("year") == F.when(F.col("store_id") % 2 == 0, D.SINCE).otherwise(D.CURRENT))
 
 
 @query(
     "unchanged_stores",
     f"""WITH {D.CATALOG}, snap AS (
-            SELECT store_id, external_id, price_min_cents, available_variants, bestseller_rank, 1 AS crawl FROM catalog WHERE year = 1997
-            UNION ALL SELECT store_id, external_id, price_min_cents, available_variants, bestseller_rank, 2 FROM catalog WHERE year = CASE WHEN store_id % 2 = 0 THEN 1997 ELSE 1998 END),
-        h AS (SELECT store_id, crawl, string_agg(external_id || ',' || price_min_cents || ',' || available_variants || ',' || bestseller_rank, ';' ORDER BY external_id) AS content FROM snap GROUP BY ALL),
+            SELECT *, 1 AS crawl FROM catalog WHERE year = 1997
+            UNION ALL SELECT *, 2 FROM catalog WHERE year = CASE WHEN store_id % 2 = 0 THEN 1997 ELSE 1998 END),
+        h AS (SELECT store_id, crawl, string_agg({_LINE} || '#' || bestseller_rank, ';' ORDER BY external_id) AS content FROM snap GROUP BY ALL),
         same AS (SELECT a.store_id FROM h a JOIN h b ON a.store_id = b.store_id AND a.crawl = 1 AND b.crawl = 2 AND a.content = b.content)
         SELECT store_id, count(*) FILTER (WHERE store_id NOT IN (SELECT store_id FROM same)) AS compared, count(*) AS products FROM snap WHERE crawl = 2 GROUP BY ALL""",
 )
 def unchanged_stores(spark: SparkSession, sf: str) -> DataFrame:
-    """How many products a diff has to compare: stores with an even number come as they were in the crawl before."""
-    rows = D.catalog(spark, sf, D.SINCE, D.CURRENT)
-    was = D.year_of(rows, D.SINCE)
-    again = rows.where(F.col("year") == F.when(F.col("store_id") % 2 == 0, D.SINCE).otherwise(D.CURRENT))
-    line = F.concat_ws(",", "external_id", *[F.col(c).cast("string") for c in ("price_min_cents", "available_variants", "bestseller_rank")])
-    hashes = lambda r: list_hashes(r.select("store_id", "external_id", line.alias("t")), ["store_id"], ["external_id"], "t")
-    to_do = product_diff.changed_stores(again, hashes(was), hashes(again))
-    compared = to_do.groupBy("store_id").agg(F.count(F.lit(1)).alias("compared"))
-    return again.groupBy("store_id").agg(F.count(F.lit(1)).alias("products")).join(compared, "store_id", "left").select("store_id", F.coalesce("compared", F.lit(0)).alias("compared"), "products")
+    """How many products a diff has to compare."""
+    catalog = D.catalog(spark, sf, D.SINCE, D.CURRENT)
+    again = _half_unchanged(catalog)
+    to_do = product_diff.changed_stores(_hashes(D.year_of(catalog, D.SINCE), "store_id"), _hashes(again, "store_id")).withColumn("changed", F.lit(True))
+    sizes = again.groupBy("store_id").agg(F.count(F.lit(1)).alias("products"))
+    return sizes.join(to_do, "store_id", "left").select("store_id", F.when(F.col("changed"), F.col("products")).otherwise(F.lit(0)).alias("compared"), "products")
+
+
+def short_circuit(spark: SparkSession, sf: str) -> DataFrame:
+    """The diff of a crawl in which half of the stores are as they were; catalog and state lie partitioned by store."""
+    catalog = written(D.catalog(spark, sf, D.BEFORE, D.CURRENT), "catalog")
+    was = D.first_state(D.year_of(catalog, D.BEFORE), D.at("1996-12-31 12:00:00"))
+    state = partitioned(product_diff.next_state(D.stores(spark, sf), D.headers(spark, sf), D.year_of(catalog, D.SINCE), was, D.at("1997-12-31 12:00:00")), "state-by-store", "store_id")
+    now = partitioned(_half_unchanged(catalog), "catalog-by-store", "store_id")
+    hashes = written(_hashes(D.year_of(catalog, D.SINCE), "store_id"), "hashes"), written(_hashes(now, "store_id"), "hashes")
+    return product_diff.product_events(D.stores(spark, sf), D.headers(spark, sf), now, state, D.at(D.NOW), cap=False, hashes=hashes)
+
+
+@query("diff_events_changed", _EVENTS + " SELECT store_id, entity_key, event_type, headline, significance, dedupe_key FROM event WHERE store_id % 2 = 1")
+def diff_events_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of the stores whose content hashes differ; what the others are made of isn't read."""
+    return short_circuit(spark, sf).select(*SHOWN)
+
+
+_HISTORY = f"""WITH {D.STATE}, {_COLLAPSED}, s96 AS (
+        SELECT store_id, external_id, price_min_cents, available_variants, bestseller_rank, 'ACTIVE' AS status, TIMESTAMP '1996-12-31 12:00:00' AS at_ FROM catalog WHERE year = 1996
+    ), s97 AS (
+        SELECT k.store_id, k.external_id, k.price_min_cents, k.available_variants, k.bestseller_rank, k.status, TIMESTAMP '1997-12-31 12:00:00' AS at_
+        FROM known k LEFT JOIN (SELECT * FROM catalog WHERE year = 1996) a USING (store_id, external_id)
+        WHERE k.status = 'MISSING' OR a.part IS NULL OR (k.price_min_cents, k.price_max_cents, k.variant_count, k.available_variants, k.bestseller_rank) <> (a.price_min_cents, a.price_max_cents, a.variant_count, a.available_variants, a.bestseller_rank) OR k.compare_at_max_cents IS DISTINCT FROM a.compare_at_max_cents
+    ), s98 AS (
+        SELECT coalesce(c.store_id, k.store_id) AS store_id, coalesce(c.external_id, k.external_id) AS external_id, coalesce(c.price_min_cents, k.price_min_cents) AS price_min_cents, coalesce(c.available_variants, 0) AS available_variants, c.bestseller_rank,
+               CASE WHEN c.part IS NOT NULL THEN 'ACTIVE' WHEN k.missing_streak = 1 THEN 'REMOVED' ELSE 'MISSING' END AS status, TIMESTAMP '1998-12-31 12:00:00' AS at_
+        FROM known k FULL JOIN cur c ON k.store_id = c.store_id AND k.external_id = c.external_id
+        WHERE coalesce(c.store_id, k.store_id) NOT IN (SELECT store_id FROM collapsed) AND (
+              c.part IS NULL OR k.status IS NULL OR k.status <> 'ACTIVE' OR (k.price_min_cents, k.price_max_cents, k.variant_count, k.available_variants) <> (c.price_min_cents, c.price_max_cents, c.variant_count, c.available_variants)
+              OR k.bestseller_rank IS DISTINCT FROM c.bestseller_rank OR k.compare_at_max_cents IS DISTINCT FROM c.compare_at_max_cents)
+    ), told AS (SELECT * FROM s96 UNION ALL SELECT * FROM s97 UNION ALL SELECT * FROM s98),
+    history AS (SELECT * EXCLUDE at_, at_ AS valid_from, lead(at_) OVER (PARTITION BY store_id, external_id ORDER BY at_) AS valid_to FROM told)"""
+
+
+def _history(spark: SparkSession, sf: str) -> history.History:
+    """Three crawls, each of which adds intervals for what it changes."""
+    catalog = written(D.catalog(spark, sf, D.BEFORE, D.CURRENT), "catalog")
+    stamps = [f"{y}-12-31 12:00:00" for y in (D.BEFORE, D.SINCE, D.CURRENT)]
+    held = ["store_id", "external_id", "price_min_cents", "available_variants", "bestseller_rank", "status"]
+    state = D.first_state(D.year_of(catalog, D.BEFORE), D.at(stamps[0]))
+    told = history.begun(state.select(*held), D.at(stamps[0]))
+    for year, stamp in zip((D.SINCE, D.CURRENT), stamps[1:], strict=True):
+        after = written(product_diff.next_state(D.stores(spark, sf), D.headers(spark, sf), D.year_of(catalog, year), state, D.at(stamp)), "state")
+        told, _ = history.advanced(told, after.select(*held, "state_changed"), "state_changed", ["store_id", "external_id"], D.at(stamp))
+        told = history.History(written(told.open, "open"), written(told.closed, "closed"))
+        state = after.drop("state_changed")
+    return told
+
+
+@query("state_history", _HISTORY + " SELECT * FROM history")
+def state_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The states of products as intervals; a crawl that finds a product as it was adds none."""
+    told = _history(spark, sf)
+    return told.open.unionByName(told.closed)
+
+
+@query("state_as_of", _HISTORY + " SELECT * EXCLUDE (valid_from, valid_to) FROM history WHERE valid_from <= TIMESTAMP '1998-06-30 00:00:00' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1998-06-30 00:00:00')")
+def state_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog as it was known in the middle of 1998."""
+    return history.as_of(_history(spark, sf), D.at("1998-06-30 00:00:00"))

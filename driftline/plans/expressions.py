@@ -231,9 +231,17 @@ def promo_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", verdict.alias("verdict"), L.discounted(M.list_price_cents(F.lit("BUSINESS"), F.lit("MONTHLY")), key % 120, none.cast("long")).alias("price"))
 
 
-@query("client_addresses", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'unknown' ELSE '10.0.' || (user_id % 256) || '.7' END AS ip, false AS public FROM events")
+@query(
+    "client_addresses",
+    """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'unknown' WHEN 1 THEN '10.0.' || user_id % 256 || '.7' WHEN 2 THEN '93.184.' || user_id % 256 || '.7' WHEN 3 THEN '2606:4700::' || to_hex(user_id) WHEN 4 THEN '::ffff:10.0.0.' || user_id % 256
+        WHEN 5 THEN 'FE80::1:' || to_hex(user_id) WHEN 6 THEN '::ffff:93.184.0.' || user_id % 256 ELSE '2001:db8:0:1:2:3:4:' || to_hex(user_id) END AS ip, event_id % 8 IN (2, 3, 6) AS public FROM events""",
+)
 def client_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    own = F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".7"))
-    header = F.when(F.col("event_id") % 4 == 0, F.lit("junk")).otherwise(F.concat(F.lit("8.8.8.8, nonsense, "), own))
+    """The caller's address out of a header of both families, and whether it is a public one."""
+    low, hexed = (F.col("user_id") % 256).cast("string"), F.hex("user_id")
+    kinds = [F.lit("junk"), F.concat(F.lit("10.0."), low, F.lit(".7")), F.concat(F.lit("93.184."), low, F.lit(".7")), F.concat(F.lit("2606:4700::"), hexed), F.concat(F.lit("::ffff:10.0.0."), low)]
+    kinds += [F.concat(F.lit("FE80::1:"), hexed), F.concat(F.lit("::ffff:93.184.0."), low), F.concat(F.lit("2001:db8:0:1:2:3:4:"), hexed)]
+    own = F.get(F.array(*kinds), (F.col("event_id") % 8).cast("int"))
+    header = F.when(F.col("event_id") % 8 == 0, F.lit("junk")).otherwise(F.concat(F.lit("8.8.8.8, nonsense, "), own))
     ip = X.client_ip(header, 1)
     return table(spark, sf, "events").select("event_id", ip.alias("ip"), X.is_public_unicast(ip).alias("public"))

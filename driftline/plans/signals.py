@@ -120,6 +120,28 @@ def catalog_trend(spark: SparkSession, sf: str) -> DataFrame:
     return S.catalog_sizes(products.withColumn("source_created_at", F.lit(None).cast("timestamp_ntz")), crawls.select("store_id", F.col("finished_at").alias("at")))
 
 
+@query(
+    "catalog_history",
+    f"""WITH {D.CATALOG}, r AS (SELECT store_id, external_id, min(year) AS first, max(year) AS last FROM catalog GROUP BY ALL), e AS (SELECT store_id, max(year) AS fin FROM catalog GROUP BY ALL),
+        y AS (SELECT DISTINCT store_id, year, make_timestamp(year, 12, 31, 0, 0, 0) AS t FROM catalog JOIN e USING (store_id) WHERE store_id NOT IN (1, 2, 3) OR store_id IN (1, 2) AND year > fin - store_id),
+        n AS (SELECT r_regionkey AS store_id, (SELECT count(*) FROM y WHERE y.store_id = r_regionkey) AS crawls, (SELECT max(t) FROM y WHERE y.store_id = r_regionkey) AS final, CASE WHEN r_regionkey <> 1 THEN (SELECT make_timestamp(min(first), 6, 30, 0, 0, 0) FROM r WHERE r.store_id = r_regionkey) END AS launch FROM region),
+        told AS (SELECT *, CASE WHEN crawls >= 3 OR crawls > 0 AND launch IS NOT NULL THEN 'OBSERVED' ELSE 'INSUFFICIENT_HISTORY' END AS status, crawls > 0 AND crawls < 3 AND launch IS NOT NULL AS reconstructed FROM n),
+        at_ AS (SELECT store_id, t FROM y JOIN told USING (store_id) WHERE crawls >= 3 UNION ALL SELECT store_id, make_timestamp((epoch_ms(launch) + CAST(floor((epoch_ms(final) - epoch_ms(launch)) * j / 11.0::DOUBLE) AS BIGINT)) * 1000) FROM told, range(12) k(j) WHERE reconstructed),
+        born AS (SELECT store_id, CASE WHEN store_id <> 1 THEN make_timestamp(first, 6, 30, 0, 0, 0) ELSE make_timestamp(first, 12, 31, 0, 0, 0) END AS born, CASE WHEN last < fin THEN make_timestamp(last + 1, 12, 31, 0, 0, 0) END AS gone FROM r JOIN e USING (store_id)),
+        size AS (SELECT a.store_id, a.t, count(*) FILTER (WHERE born <= t AND (gone IS NULL OR gone > t)) AS products FROM at_ a JOIN born b USING (store_id) GROUP BY ALL)
+        SELECT store_id, status, crawls, reconstructed, t AS at, products FROM told LEFT JOIN size USING (store_id)""",
+)
+def catalog_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Store 1 has one crawl and no launches, 2 has two crawls, 3 has none; a product's launch is in the middle of its first year."""
+    crawls, products, _ = _presence(spark, sf)
+    k = F.col("store_id")
+    end = F.max("finished_at").over(Window.partitionBy("store_id"))
+    ago = F.year(F.col("end")) - F.year("finished_at")
+    mine = crawls.withColumn("end", end).where(~k.isin(1, 2, 3) | (k.isin(1, 2) & (ago < k))).drop("end")
+    launch = F.when(k != 1, F.make_date(F.year("first_seen_at"), F.lit(6), F.lit(30)).cast("timestamp_ntz"))
+    return S.catalog_trend(mine, products.withColumn("source_created_at", launch))
+
+
 @query(
     "trend_samples",
     """WITH d AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY ALL)),

@@ -1,7 +1,8 @@
 """Streaming queries over the events, drained to the end.
 
 Windows that the last watermark doesn't close stay open, as in any stream; these
-queries report closed ones, so that SQL can tell them too.
+queries report those that end an hour before the newest event, so that SQL can tell
+them too. The files may come in any order and number: see ``Replay``.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from driftline.session import scratch_path, table
 from driftline.streaming import streams as T
 
 
+def _path(sf: str) -> str:
+    return f"{sf.rstrip('/')}/event[s].parquet"
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return T.event_stream(spark, f"{sf.rstrip('/')}/event[s].parquet")
+    return T.event_stream(spark, _path(sf))
 
 
 _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -35,7 +40,8 @@ def stream_unique_events(spark: SparkSession, sf: str) -> DataFrame:
         SELECT start, start + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n, max(value) AS largest FROM w GROUP BY start, event_type HAVING start + INTERVAL 1 HOUR <= {_CLOSED}""",
 )
 def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
-    return T.ntz(T.drained(T.tumbling(_events(spark, sf)), "tumbling"), "start", "end")
+    replay = T.Replay(spark, _path(sf))
+    return T.ntz(replay.drained(T.tumbling(replay.stream(), delay=replay.delay), "tumbling"), "start", "end")
 
 
 @query(
@@ -44,7 +50,8 @@ def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
         SELECT start, start + INTERVAL 6 HOUR AS "end", event_type, count(*) AS n FROM w GROUP BY ALL HAVING start + INTERVAL 6 HOUR <= {_CLOSED}""",
 )
 def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
-    return T.ntz(T.drained(T.sliding(_events(spark, sf)), "sliding"), "start", "end")
+    replay = T.Replay(spark, _path(sf))
+    return T.ntz(replay.drained(T.sliding(replay.stream(), delay=replay.delay), "sliding"), "start", "end")
 
 
 @query(
@@ -54,28 +61,57 @@ def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
         SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM b GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOSED}""",
 )
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return T.ntz(T.drained(T.sessions(_events(spark, sf)), "sessions"), "start", "end")
+    replay = T.Replay(spark, _path(sf))
+    return T.ntz(replay.drained(T.sessions(replay.stream(), delay=replay.delay), "sessions"), "start", "end")
 
 
 @query("stream_join", "SELECT s.user_id, s.event_id AS signup_id, p.event_id AS purchase_id FROM events s JOIN events p ON s.user_id = p.user_id AND s.event_type = 'signup' AND p.event_type = 'purchase' AND p.ts >= s.ts AND p.ts <= s.ts + INTERVAL 1 DAY")
 def stream_join(spark: SparkSession, sf: str) -> DataFrame:
-    return T.drained(T.signups_then_purchases(_events(spark, sf)), "joined")
+    replay = T.Replay(spark, _path(sf))
+    return replay.drained(T.signups_then_purchases(replay.stream(), delay=replay.delay), "joined")
 
 
 @query("stream_upserts", "SELECT user_id, arg_max(event_id, event_id) AS event_id FROM events GROUP BY user_id")
 def stream_upserts(spark: SparkSession, sf: str) -> DataFrame:
     """The newest event of each user, kept as a versioned table that batches are merged into."""
     target = VersionedTable(spark, scratch_path(spark, "last-event"))
-    sink = T.upsert_sink(target, ["user_id"])
+    sink = T.upsert_sink(target, ["user_id"], newest="event_id")
     T.drained_each(_events(spark, sf), "upserts", lambda batch, n: sink(batch.groupBy("user_id").agg(F.max("event_id").alias("event_id")), n))
     return target.read()
 
 
-@query("stream_rate_limit")
+_LIMIT = """WITH RECURSIVE r AS (SELECT {id} AS id, user_id, {at} AS t, row_number() OVER (PARTITION BY user_id ORDER BY {at}, {id}) AS place FROM events {where}),
+    d AS (SELECT id, user_id, place, t AS begun, 1 AS n FROM r WHERE place = 1
+          UNION ALL SELECT r.id, r.user_id, r.place, CASE WHEN r.t >= d.begun + INTERVAL 6 HOUR THEN r.t ELSE d.begun END, CASE WHEN r.t >= d.begun + INTERVAL 6 HOUR THEN 1 ELSE d.n + 1 END
+          FROM d JOIN r ON r.user_id = d.user_id AND r.place = d.place + 1)"""
+
+
+@query("stream_rate_limit", _LIMIT.format(id="event_id", at="ts", where="") + " SELECT id AS event_id, user_id, n <= 3 AS allowed FROM d")
 def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    """Which requests a limit of 3 in 6 hours per user lets through; a test holds it against a loop."""
-    rows = T.drained(T.limited(_events(spark, sf).select("event_id", "user_id", "ts"), "user_id", 3, 21_600), "limited")
-    return rows.select("event_id", "user_id", "allowed")
+    """Which requests a limit of 3 in 6 hours per user lets through."""
+    replay = T.Replay(spark, _path(sf), beyond=1)
+    return replay.drained(T.limited(replay.stream(), "user_id", 3, 21_600, delay=replay.delay), "limited")
+
+
+@query(
+    "stream_stale_runs",
+    f"""SELECT user_id, event_id, ts AS started, ts + INTERVAL 1 DAY AS deadline FROM events s WHERE event_type = 'signup' AND ts + INTERVAL 1 DAY < {_CLOSED}
+        AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = s.user_id AND p.event_type = 'purchase' AND p.ts >= s.ts AND p.ts <= s.ts + INTERVAL 1 DAY)""",
+)
+def stream_stale_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Sign-ups that no purchase has followed within a day, told when the day is over though nothing has come."""
+    replay = T.Replay(spark, _path(sf))
+    rows = replay.drained(T.stale_runs(replay.stream(), "user_id", "event_type", "signup", "purchase", 86_400, delay=replay.delay), "stale")
+    return T.ntz(rows, "started", "deadline")
+
+
+@query("stream_append_log", "SELECT user_id, event_type, props FROM events WHERE user_id IS NOT NULL GROUP BY ALL")
+def stream_append_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Each kind of event of a user once, whatever the time between its repetitions."""
+    log = T.KeyedLog(spark, scratch_path(spark, "log"))
+    key = F.concat_ws("|", F.col("user_id").cast("string"), "event_type", "props")
+    T.drained_each(_events(spark, sf).select("user_id", "event_type", "props", key.alias("dedupe_key")), "append", log.append)
+    return log.read().drop("dedupe_key")
 
 
 @query("batch_sessions", "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events) SELECT user_id, CAST(sum(fresh) AS BIGINT) AS sessions, count(*) AS events FROM a GROUP BY user_id")

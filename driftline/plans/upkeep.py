@@ -180,23 +180,66 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
     return D.events(spark, sf).where("event_type IN ('click', 'view')").select(F.col("event_id").alias("request_id"), "user_id", "created_at", (F.col("event_id") % 3).alias("store_id"))
 
 
-@query("quota_ledger")
+_REQUESTS = """r AS (SELECT event_id AS request_id, user_id, ts AS created_at, event_id % 3 AS store_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place
+    FROM events WHERE event_type IN ('click', 'view'))"""
+
+
+@query(
+    "quota_ledger",
+    f"""WITH RECURSIVE {_REQUESTS}, d AS (
+            SELECT request_id, user_id, created_at, store_id, place, [{{'at': created_at, 'store': store_id}}] AS used, 'ALLOWED' AS outcome FROM r WHERE place = 1
+            UNION ALL SELECT request_id, user_id, created_at, store_id, place, CASE WHEN outcome = 'ALLOWED' THEN list_append(used, {{'at': created_at, 'store': store_id}}) ELSE used END, outcome FROM (
+                SELECT *, CASE WHEN list_contains(list_transform(used, lambda u: u.store), store_id) THEN 'REPEATED' WHEN len(used) < 2 THEN 'ALLOWED' ELSE 'REFUSED' END AS outcome FROM (
+                    SELECT r.*, list_filter(d.used, lambda u: u.at > r.created_at - INTERVAL 24 HOUR) AS used FROM d JOIN r ON r.user_id = d.user_id AND r.place = d.place + 1)))
+        SELECT request_id, user_id, created_at, store_id, 2 AS quota, outcome FROM d""",
+)
 def quota_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Which analyses a quota of 2 stores in 24 hours lets through; a test holds it against a loop."""
+    """Which analyses a quota of 2 stores in 24 hours lets through."""
     return L.quota(_requests(spark, sf).withColumn("quota", F.lit(2)))
 
 
-@query("rate_limit")
+@query(
+    "rate_limit",
+    f"""WITH RECURSIVE {_REQUESTS}, d AS (SELECT r.*, created_at AS begun, 1 AS n FROM r WHERE place = 1
+            UNION ALL SELECT r.*, CASE WHEN r.created_at >= begun + INTERVAL 6 HOUR THEN r.created_at ELSE begun END, CASE WHEN r.created_at >= begun + INTERVAL 6 HOUR THEN 1 ELSE n + 1 END
+            FROM d JOIN r ON r.user_id = d.user_id AND r.place = d.place + 1)
+        SELECT request_id, user_id, created_at, store_id, n <= 3 AS allowed FROM d""",
+)
 def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return L.rate_limit(_requests(spark, sf), "user_id", 3, 21_600)
 
 
-@query("watch_slots")
+@query(
+    "watch_slots",
+    f"""WITH RECURSIVE {_REQUESTS}, d AS (
+            SELECT r.*, [{{'store': store_id, 'until': created_at + INTERVAL 2 DAY}}] AS active, 'STARTED' AS outcome FROM r WHERE place = 1
+            UNION ALL SELECT request_id, user_id, created_at, store_id, place, CASE WHEN outcome = 'STARTED' THEN list_append(active, {{'store': store_id, 'until': created_at + INTERVAL 2 DAY}}) ELSE active END, outcome FROM (
+                SELECT *, CASE WHEN list_contains(list_transform(active, lambda a: a.store), store_id) THEN 'ALREADY_ACTIVE' WHEN len(active) < 1 THEN 'STARTED' ELSE 'NO_SLOT' END AS outcome FROM (
+                    SELECT r.*, list_filter(d.active, lambda a: a.until > r.created_at) AS active FROM d JOIN r ON r.user_id = d.user_id AND r.place = d.place + 1)))
+        SELECT request_id, user_id, created_at, store_id, 1 AS slots, created_at + INTERVAL 2 DAY AS expires_at, outcome FROM d""",
+)
 def watch_slots(spark: SparkSession, sf: str) -> DataFrame:
     rows = _requests(spark, sf).withColumns({"slots": F.lit(1), "expires_at": F.col("created_at") + F.expr("INTERVAL 2 DAY")})
     return L.slots(rows)
 
 
+@query(
+    "anonymous_quota",
+    """WITH RECURSIVE r AS (SELECT event_id AS request_id, 'ip-' || user_id % 40 AS address, ts AS created_at, row_number() OVER (ORDER BY ts, event_id) AS place FROM events WHERE event_type = 'view'),
+        d AS (
+            SELECT 0::BIGINT AS place, NULL::BIGINT AS request_id, NULL::VARCHAR AS address, NULL::TIMESTAMP AS created_at, []::STRUCT(t TIMESTAMP, who VARCHAR)[] AS recorded, '' AS outcome
+            UNION ALL SELECT place, request_id, address, created_at, CASE WHEN outcome = 'RECORDED' THEN list_append(recorded, {'t': created_at, 'who': address}) ELSE recorded END, outcome FROM (
+                SELECT *, CASE WHEN len(list_filter(recorded, lambda x: x.t >= created_at - INTERVAL 3 HOUR)) >= 4 THEN 'CIRCUIT_OPEN' WHEN len(list_filter(recorded, lambda x: x.who = address)) >= 2 THEN 'LIMIT_REACHED' ELSE 'RECORDED' END AS outcome
+                FROM (SELECT r.*, list_filter(d.recorded, lambda x: x.t >= r.created_at - INTERVAL 24 HOUR) AS recorded FROM d JOIN r ON r.place = d.place + 1)))
+        SELECT request_id, address, created_at, outcome FROM d WHERE place > 0""",
+)
+def anonymous_quota(spark: SparkSession, sf: str) -> DataFrame:
+    """Two analyses in 24 hours for each of 40 addresses, while no more than four were recorded in three hours by all."""
+    views = D.events(spark, sf).where("event_type = 'view'")
+    requests = views.select(F.col("event_id").alias("request_id"), F.concat(F.lit("ip-"), (F.col("user_id") % 40).cast("string")).alias("address"), "created_at")
+    return L.anonymous(requests, most=2, ceiling=4, breaker_hours=3)
+
+
 @query("needs_details", "SELECT store_id, ad FROM (SELECT DISTINCT l_suppkey AS store_id, CAST(l_partkey AS VARCHAR) AS ad FROM lineitem WHERE year(l_shipdate) = 1998) ANTI JOIN (SELECT DISTINCT l_suppkey AS store_id, CAST(l_partkey AS VARCHAR) AS ad FROM lineitem WHERE year(l_shipdate) = 1997 AND l_linenumber > 2) USING (store_id, ad)")
 def needs_details(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "driftline", cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -71,5 +72,17 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) ->
     return made
 
 
+def partitioned(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``written``, with a folder for each value of ``key``, so that a join can leave whole values unread.
+
+    Rows are brought together by the key first; adaptive execution splits a value that is large.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.hint("rebalance", key).write.option("compression", "zstd").partitionBy(key).parquet(path)
+    columns = [c for c in df.columns if c != key]
+    return spark.read.schema(StructType([*[df.schema[c] for c in columns], df.schema[key]])).parquet(path).select(*df.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{os.fspath(sf_dir).rstrip('/')}/{name}.parquet")

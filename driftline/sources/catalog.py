@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftline.functions.fingerprint import footprint
 from driftline.functions.money import to_cents
 from driftline.functions.text import normalized_tags
 
@@ -136,5 +137,4 @@ def probe(landing: DataFrame) -> DataFrame:
 
 
 def currency(html: Column) -> Column:
-    found = F.regexp_extract(html, r"Shopify\.currency\s*=\s*(\{[^;<]*\})", 1)
-    return F.get_json_object(F.when(found != "", found), "$.active")
+    return F.get_json_object(footprint(html, "currency"), "$.active")

@@ -1,17 +1,26 @@
-"""Event streams: deduplicated sinks, windows, keyed state and limits."""
+"""Event streams: replays of stored events, deduplicated sinks, windows and keyed state with timers.
+
+A row is late, and left out, if a stream has seen one that is newer by more than its
+delay in an earlier micro-batch. Stored files may come in any order of time; ``Replay``
+measures how far they are apart and allows for it, so that no stored row is late.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import StringType, StructField, StructType, TimestampType
+from pyspark.sql.window import Window
 
 from driftline.operators.state import VersionedTable, merge
 from driftline.session import scratch_path
 
+#: The state store that keyed state with timers needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def event_stream(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
     """A stream over Parquet files whose time column can carry a watermark. A path to a single file must be a pattern."""
@@ -19,6 +28,57 @@ def event_stream(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path).withColumn(time, F.col(time).cast("timestamp"))
 
 
+class Replay:
+    """Stored events as a stream that is drained to its end, with the result of an ordered one.
+
+    ``delay`` is ``slack`` seconds and the disorder of the files: how much older a row can
+    be than one in a file that the stream may have read before. Files come by their time
+    of modification; of those with the same one any may come first. Bounded disorder
+    keeps the state bounded, sorted files add nothing to it.
+
+    A watermark that trails by the disorder leaves the last windows open. Once all
+    files are read, a row of nulls at a later time moves it to where that of an ordered stream
+    would be, ``slack`` before the newest event (or ``beyond`` it, where every row has to be
+    decided). Rows without a time take no part in the measure.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, time: str = "ts", slack: int = 3600, beyond: int | None = None):
+        self.spark, self.time, self.slack = spark, time, slack
+        stored = spark.read.parquet(path)
+        files = stored.groupBy("_metadata.file_path", "_metadata.file_modification_time").agg(F.min(time).alias("low"), F.max(time).alias("high"))
+        times = files.groupBy("file_modification_time").agg(F.count(F.lit(1)).alias("files"), F.min("low").alias("low"), F.max("high").alias("high"))
+        earlier = Window.orderBy("file_modification_time").rowsBetween(Window.unboundedPreceding, -1)  # a row per time at which files were written
+        before = F.greatest(F.max("high").over(earlier), F.when(F.col("files") > 1, F.col("high")))
+        seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
+        far = times.withColumn("apart", seconds(before) - seconds(F.col("low"))).agg(F.max("apart").alias("apart"), F.max(seconds(F.col("high"))).alias("end")).first()
+        self.disorder = int(max(0.0, far.apart or 0.0)) + (1 if far.apart and far.apart > 0 else 0)
+        self.delay = f"{slack + self.disorder} seconds"
+        self._ends = None if far.end is None else far.end + self.disorder + (0 if beyond is None else slack + beyond)
+        self._marked = self.disorder > 0 or beyond is not None
+        self._markers = scratch_path(spark, "markers")
+        self.schema = StructType([StructField(f.name, TimestampType() if f.name == time else f.dataType) for f in stored.schema])
+        spark.createDataFrame([], self.schema).write.parquet(self._markers)
+        self.events = event_stream(spark, path, time)
+
+    def stream(self) -> DataFrame:
+        """The events and, at the end, the row of nulls."""
+        if not self._marked:
+            return self.events
+        markers = self.spark.readStream.schema(self.schema).parquet(self._markers)
+        return self.events.unionByName(markers.withColumn(self.time, F.col(self.time).cast("timestamp")))
+
+    def drained(self, stream: DataFrame, name: str) -> DataFrame:
+        """Run a stream that was made from this one over all there is, close what is to be closed, and read what it wrote."""
+        path = scratch_path(self.spark, name)
+        rows = drained(stream, name, path=path)
+        if self._marked and self._ends is not None:
+            end = F.timestamp_micros(F.lit(int(self._ends * 1_000_000)))
+            marker = self.spark.range(1).select(*[(end if f.name == self.time else F.lit(None).cast(f.dataType)).alias(f.name) for f in self.schema])
+            marker.write.mode("append").parquet(self._markers)
+            rows = drained(stream, name, path=path)
+        return rows
+
+
 def unique_events(stream: DataFrame, key: str = "dedupe_key", time: str = "ts", delay: str = "1 hour") -> DataFrame:
     """The first event of each key; keys are forgotten once ``delay`` has passed."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
@@ -47,25 +107,146 @@ def signups_then_purchases(stream: DataFrame, time: str = "ts", within: str = "1
     return left.join(right, on).select(F.col("s_user").alias("user_id"), "signup_id", "purchase_id")
 
 
-def limited(stream: DataFrame, key: str, limit: int, seconds: int, time: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Add ``allowed``: a window opens at a key's first request, which alone sets its end; a key's state is its window and its count."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields) + ", allowed boolean"
-    span = pd.Timedelta(seconds=seconds)
+class _Ordered(StatefulProcessor):
+    """Rows of a key, decided in order of time once the watermark has passed them.
+
+    Rows wait in a list; a timer fires when the watermark has passed the newest of those
+    that came together. Of a key only the rows within the delay and what ``decide`` remembers are held.
+    """
 
-    def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begun, n = state.get if state.exists else (None, 0)
-        begun = None if begun is None else pd.Timestamp(begun, unit="us")
-        rows = pd.concat(list(parts)).sort_values([time, tie], kind="stable")
+    def __init__(self, waiting: str, memory: str):
+        self.waiting, self.memory = waiting, memory
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.list = handle.getListState("waiting", self.waiting)
+        self.kept = handle.getValueState("memory", self.memory)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        some = []
+        for row in rows:
+            if self.counts(row):
+                some.append(self.wait(row))
+                if len(some) == 1024:
+                    self.keep(some)
+                    some = []
+        if some:
+            self.keep(some)
+        return iter(())
+
+    def keep(self, some: list[tuple]) -> None:
+        self.list.appendList(some)
+        for at in self.alarms(some):
+            self.handle.registerTimer(self.due(at) // 1000 + 1)
+
+    def alarms(self, some: list[tuple]) -> set[int]:
+        return {max(w[0] for w in some)}
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting = list(self.list.get()) if self.list.exists() else []
+        ready = sorted(w for w in waiting if self.due(w[0]) < passed)
+        left = [w for w in waiting if self.due(w[0]) >= passed]
+        memory, out = self.decided(key, ready, self.kept.get() if self.kept.exists() else None, passed)
+        if left:
+            self.list.put(left)
+        else:
+            self.list.clear()
+        if memory is None:
+            self.kept.clear()
+        else:
+            self.kept.update(memory)
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+class _Limit(_Ordered):
+    def __init__(self, limit: int, span: int, time: str, tie: str):
+        super().__init__("at long, id long", "begun long, n long")
+        self.limit, self.span, self.time, self.tie = limit, span, time, tie
+
+    def counts(self, row: Row) -> bool:
+        return row[self.time] is not None and row[self.tie] is not None
+
+    def wait(self, row: Row) -> tuple:
+        return (row[self.time], row[self.tie])
+
+    def due(self, at: int) -> int:
+        return at
+
+    def decided(self, key: tuple, ready: list[tuple], memory: tuple | None, passed: int) -> tuple[tuple | None, list[Row]]:
+        begun, n = memory or (None, 0)
         out = []
-        for now in rows[time]:
-            if begun is None or now >= begun + span:
-                begun, n = now, 0
+        for at, tie in ready:
+            if begun is None or at >= begun + self.span:
+                begun, n = at, 0
             n += 1
-            out.append(n <= limit)
-        state.update((int(begun.value // 1000), n))
-        yield rows.assign(allowed=out)
+            out.append(Row(key=key[0], id=tie, allowed=n <= self.limit))
+        if begun is None or begun + self.span < passed:
+            return None, out  # the window is over: the key is forgotten
+        self.handle.registerTimer((begun + self.span) // 1000 + 1)
+        return (begun, n), out
+
+
+def limited(stream: DataFrame, key: str, limit: int, seconds: int, time: str = "ts", tie: str = "event_id", delay: str = "1 hour") -> DataFrame:
+    """The key, ``tie`` and ``allowed`` of each request: a window opens at a key's first request, which alone sets its end.
+
+    Requests of one key are decided by time, then ``tie``, as soon as the watermark
+    has passed them, whatever their order of arrival; a key is forgotten once its window is over.
+    Rows without a time or ``tie`` aren't requests.
+    """
+    rows = stream.withWatermark(time, delay).select(F.col(key).alias("key"), F.col(tie).cast("long").alias("id"), F.unix_micros(time).alias("at"), F.col(time))
+    made = rows.groupBy("key").transformWithState(_Limit(limit, seconds * 1_000_000, "at", "id"), f"key {rows.schema['key'].dataType.simpleString()}, id long, allowed boolean", "Append", "EventTime")
+    return made.select(F.col("key").alias(key), F.col("id").alias(tie), "allowed")
 
-    return stream.groupBy(key).applyInPandasWithState(run, schema, "begun long, n long", "append", GroupStateTimeout.NoTimeout)
+
+class _Stale(_Ordered):
+    """Starts wait for their deadline; an end waits as long, by when no start before it is open."""
+
+    def __init__(self, span: int, starts: str, ends: str):
+        super().__init__("at long, id long, ends boolean", "unused boolean")
+        self.span, self.starts, self.ends = span, starts, ends
+
+    def counts(self, row: Row) -> bool:
+        return row["at"] is not None and row["id"] is not None and row["kind"] in (self.starts, self.ends)
+
+    def wait(self, row: Row) -> tuple:
+        return (row["at"], row["id"], row["kind"] == self.ends)
+
+    def alarms(self, some: list[tuple]) -> set[int]:
+        return {at for at, _, ends in some if not ends} | {max(w[0] for w in some)}
+
+    def due(self, at: int) -> int:
+        return at + self.span
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting = sorted(self.list.get()) if self.list.exists() else []
+        out, following = [], None
+        for at, i, ends in reversed(waiting):  # the next end at or after each start
+            if ends:
+                following = at
+            elif at + self.span < passed and not (following is not None and following <= at + self.span):
+                out.append(Row(key=key[0], id=i, at=at, deadline=at + self.span))
+        left = [w for w in waiting if self.due(w[0]) >= passed]
+        if left:
+            self.list.put(left)
+        else:
+            self.list.clear()
+        return iter(out)
+
+
+def stale_runs(stream: DataFrame, key: str, kind: str, starts: str, ends: str, seconds: int, time: str = "ts", tie: str = "event_id", delay: str = "1 hour") -> DataFrame:
+    """Starts that no end of the same key has followed within ``seconds``: the key, ``tie``, ``started`` and ``deadline``.
+
+    Nothing has to arrive for a row to come out: each start sets a timer for its
+    deadline, and is forgotten then. An end at the very time of a start ends it.
+    """
+    rows = stream.withWatermark(time, delay).select(F.col(key).alias("key"), F.col(tie).cast("long").alias("id"), F.col(kind).alias("kind"), F.unix_micros(time).alias("at"), F.col(time))
+    made = rows.groupBy("key").transformWithState(_Stale(seconds * 1_000_000, starts, ends), f"key {rows.schema['key'].dataType.simpleString()}, id long, at long, deadline long", "Append", "EventTime")
+    return made.select(F.col("key").alias(key), F.col("id").alias(tie), F.timestamp_micros("at").alias("started"), F.timestamp_micros("deadline").alias("deadline"))
 
 
 def upsert_sink(table: VersionedTable, keys: list[str], **rules) -> Callable[[DataFrame, int], None]:
@@ -83,26 +264,68 @@ def upsert_sink(table: VersionedTable, keys: list[str], **rules) -> Callable[[Da
     return write
 
 
-def append_sink(spark: SparkSession, path: str, key: str = "dedupe_key") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: append events whose key the log doesn't hold, whatever its age; each batch owns a folder, so that it can be run again."""
+PREFIX = "__prefix"
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        earlier = VersionedTable(spark, path)
-        for v in [v for v in earlier.versions() if v < batch_id][-1:]:
-            log = spark.read.parquet(*[f"{path}/v={n}" for n in earlier.versions() if n <= v])
-            fresh = fresh.join(log.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
-    return write
+class KeyedLog:
+    """An append-only log of rows with distinct keys, whatever their age.
 
+    Batch ``n`` owns the folders ``v=n/__prefix=..``, of which there is one for each first ``digits`` hexadecimal
+    digits of the key's hash. A batch looks for its keys only under the prefixes that it
+    has itself, and a batch that is run again replaces what it wrote, so that it changes nothing.
+    """
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now, into Parquet, and read that."""
+    def __init__(self, spark: SparkSession, path: str, key: str = "dedupe_key", digits: int = 2):
+        self.table, self.key, self.digits = VersionedTable(spark, path), key, digits
+
+    def _prefix(self) -> Column:
+        return F.substring(F.sha2(F.col(self.key).cast("string"), 256), 1, self.digits)
+
+    def earlier(self, batch_id: int, prefixes: list[str]) -> DataFrame | None:
+        """The rows of batches before this one under some prefixes; None if there is no such batch."""
+        before = [v for v in self.table.versions() if v < batch_id]
+        if not before:
+            return None
+        spark, path = self.table.spark, self.table.path
+        log = spark.read.schema(self._schema()).parquet(*[f"{path}/v={v}" for v in before])
+        return log.where(F.col(PREFIX).isin(prefixes))
+
+    def _schema(self) -> StructType:
+        files = self.table.spark.read.parquet(f"{self.table.path}/v={self.table.versions()[0]}").drop(PREFIX).schema
+        return StructType([*files, StructField(PREFIX, StringType())])
+
+    def append(self, batch: DataFrame, batch_id: int) -> None:
+        """Add the rows whose key the log doesn't hold yet; of equal keys in a batch the first by all columns. Rows without a key are left out."""
+        columns = batch.columns
+        keyed = batch.where(F.col(self.key).isNotNull()).withColumn(PREFIX, self._prefix())
+        place = F.row_number().over(Window.partitionBy(PREFIX, self.key).orderBy(*[c for c in columns if c != self.key] or [F.lit(0)]))
+        fresh = keyed.withColumn("__place", place).where("__place = 1").drop("__place")
+        prefixes = [r[PREFIX] for r in keyed.select(PREFIX).distinct().collect()]  # 16 ** digits at most
+        log = self.earlier(batch_id, prefixes)
+        if log is not None:
+            fresh = fresh.join(log.select(PREFIX, self.key), [PREFIX, self.key], "left_anti")
+        fresh.select(*columns, PREFIX).write.mode("overwrite").partitionBy(PREFIX).parquet(f"{self.table.path}/v={batch_id}")
+
+    def read(self) -> DataFrame | None:
+        versions = self.table.versions()
+        if not versions:
+            return None
+        path = self.table.path
+        return self.table.spark.read.schema(self._schema()).parquet(*[f"{path}/v={v}" for v in versions]).drop(PREFIX)
+
+
+def drained(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now, into Parquet, and read that. A ``path`` that was drained into before is gone on with."""
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint")
-    writer.format("parquet").option("path", path).start().awaitTermination()
+    path = path or scratch_path(spark, name)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    usual = spark.conf.get(store, None)
+    spark.conf.set(store, ROCKS)  # read when the stream starts
+    try:
+        writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint")
+        writer.format("parquet").option("path", path).start().awaitTermination()
+    finally:
+        spark.conf.unset(store) if usual is None else spark.conf.set(store, usual)
     return spark.read.schema(stream.schema).parquet(path)
 
 

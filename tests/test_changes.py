@@ -13,20 +13,71 @@ PREVIOUS = CURRENT + ", status string, missing_streak int, missing_since timesta
 SEEN = dt.datetime(2026, 6, 1)
 
 
-def test_hashes_of_lists_hold_no_group(spark, small):
-    from driftline.operators.state import list_hashes
+def test_hashes_of_bags(spark, small):
+    """Order and partitions don't count, repetitions do; the sums are combined before they are shuffled, without Python."""
+    from driftline.operators.state import content_hashes
     from driftline.plans import QUERIES
 
-    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    rows = spark.createDataFrame([(k, n, None if n == 3 else f"{k}{n}") for n in range(9, -1, -1) for k in ("a", None)], "k string, n int, t string")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-    try:
-        got = {r.k: r.hash for r in list_hashes(rows, ["k"], ["n"], "t").collect()}
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
-    want = {k: hashlib.sha256(("[" + ",".join(f"{k}{n}" for n in range(10) if n != 3) + "]").encode()).hexdigest() for k in ("a", None)}
-    assert got == want
-    assert "collect_list" not in QUERIES["content_hashes"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    frame = lambda *texts: spark.createDataFrame([("k", t) for t in texts], "k string, t string")
+    got = lambda df: content_hashes(df, ["k"], hash=F.col("t")).first().hash
+    parts = [int(hashlib.sha256(t).hexdigest()[a : a + 15], 16) for a in (0, 15) for t in (b"x", b"y")]
+    assert got(frame("x", "y", None)) == got(frame("y", None, "x").repartition(3)) == f"2-{parts[0] + parts[1]}-{parts[2] + parts[3]}"
+    assert len({got(frame("x", "y")), got(frame("x", "y", "y")), got(frame("x")), got(frame(None))}) == 4
+    assert content_hashes(frame("x").limit(0), ["k"], hash=F.col("t")).count() == 0
+    plan = QUERIES["content_hashes"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_unchanged_stores_are_not_read(spark, small):
+    from driftline.plans import changes
+
+    before = spark.createDataFrame([(1, "a", "r"), (2, "b", "r"), (3, None, "r"), (5, "c", "r")], "store_id int, catalog_hash string, rank_hash string")
+    now = spark.createDataFrame([(1, "a", "r"), (2, "b", "s"), (3, None, "r"), (4, "x", "r")], "store_id int, catalog_hash string, rank_hash string")
+    assert sorted(r.store_id for r in product_diff.changed_stores(before, now).collect()) == [2, 3, 4]
+
+    events = changes.short_circuit(spark, small)
+    assert {r.store_id for r in events.select("store_id").distinct().collect()} == {3}  # at this size the catalog of 1 shrinks too much
+    plan = events._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert text.count("dynamicpruning") >= 2  # catalog and state
+
+
+def test_history_holds_a_row_for_each_change(spark):
+    from driftline.operators import history
+
+    at = lambda day: F.lit(f"2026-01-0{day} 00:00:00").cast("timestamp_ntz")
+    rows = lambda *r: spark.createDataFrame([(k, v, c) for k, v, c in r], "k string, v int, changed boolean")
+    told = history.begun(rows(("a", 1, True), ("b", 1, True)).drop("changed"), at(1))
+    told, ended = history.advanced(told, rows(("a", 1, False), ("b", 9, None)), "changed", ["k"], at(2))
+    assert ended.count() == 0 and told.closed.count() == 0 and told.open.count() == 2
+    told, ended = history.advanced(told, rows(("a", 2, True), ("c", 5, True)), "changed", ["k"], at(3))
+    assert [(r.k, r.v) for r in ended.collect()] == [("a", 1)]
+    told, ended = history.advanced(told, rows(("a", 3, True)), "changed", ["k"], at(3))  # at the time at which the interval began
+    assert ended.count() == 0
+    told, _ = history.advanced(told, rows(("a", 4, True)).limit(0), "changed", ["k"], at(4))
+    state = lambda day: {(r.k, r.v) for r in history.as_of(told, at(day)).collect()}
+    assert state(1) == state(2) == {("a", 1), ("b", 1)}
+    assert state(3) == state(4) == {("a", 3), ("b", 1), ("c", 5)}
+
+
+def test_repeated_keys_count_by_an_order(spark):
+    from driftline.operators.state import insert_missing, last_of, merge
+
+    rows = spark.createDataFrame([("a", 1, "z"), ("a", 2, "y"), ("a", 2, "x"), ("b", None, None)], "k string, n int, t string")
+    for some in (rows, rows.repartition(3), rows.orderBy(F.desc("t"))):
+        assert sorted(map(tuple, last_of(some, ["k"], ("n",)).collect())) == [("a", 2, "y"), ("b", None, None)]
+        assert sorted(map(tuple, last_of(some, ["k"], ("t",)).collect()))[0] == ("a", 1, "z")
+    state = spark.createDataFrame([("a", 5, "old")], "k string, n int, t string")
+    assert [tuple(r) for r in merge(state, rows.where("k = 'a'"), ["k"], newest="n").collect()] == [("a", 5, "old")]
+    assert insert_missing(state, rows, ["k"]).count() == 2
+
+
+def test_of_products_with_one_page_the_last_counts(spark):
+    ads = spark.createDataFrame([("s", "https://shop.example/products/w")], "store_id string, destination_url string")
+    stores = spark.createDataFrame([("s", "shop.example")], "store_id string, domain string")
+    products = spark.createDataFrame([("s", "9", "w", 0), ("s", "10", "w", 1)], "store_id string, external_id string, handle string, position int")
+    assert ad_diff.match_products(ads, products, stores).first().matched_product_id == "10"
+    assert ad_diff.match_products(ads, products.drop("position"), stores).first().matched_product_id == "9"
 
 
 def now_():

@@ -129,3 +129,39 @@ def test_fingerprint(spark):
 def test_fingerprint_of_nothing(spark):
     tech = spark.range(1).select(fingerprint.technology(F.lit("<html></html>")).alias("t")).first().t
     assert tech.theme_name is None and tech.theme_version is None and tech.apps == [] and tech.pixels == {} and tech.email_platform is None
+
+
+def test_theme_versions(spark):
+    pages = [
+        ('<meta name="theme-version" content="15.2.0">', "15.2.0"),
+        ("<META content='1.2' name='Theme Version'>", "1.2"),
+        ("<meta name=theme_version content=3.4>", "3.4"),
+        ('<meta name="theme-version" content="latest"><meta name="x-theme-version" content="2.0.1">', "2.0.1"),
+        ('<meta name="version" content="9.9"><script>theme-version: "4.5.6"</script>', "4.5.6"),
+        ('<meta name="generator" content="9.9">', None),
+        (None, None),
+    ]
+    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "i int, html string")
+    got = {r.i: r.v for r in rows.select("i", fingerprint.theme_version(F.col("html")).alias("v")).collect()}
+    assert [got[i] for i in range(len(pages))] == [v for _, v in pages]
+
+
+PUBLIC = ["8.8.8.8", "93.184.216.34", "2606:4700:4700::1111", "2001:4860:4860::8888", "::ffff:8.8.8.8", "::ffff:808:808", "2A00:1450::1", "1:2:3:4:5:6:7:8", "1::", "1:2:3:4:5:6:7::"]
+CLOSED = ["::", "::1", "fe80::1", "febf::1", "fc00::1", "fd12::", "ff02::1", "::ffff:10.0.0.1", "::ffff:169.254.169.254", "::ffff:a00:1", "2002:808:808::", "2001::1", "2001:db8::1", "64:ff9b::808:808", "100::1", "10.0.0.1", "255.255.255.255", "100.64.0.1"]
+NOT_ADDRESSES = ["", ":::", "1::2::3", "1:2:3", "12345::", "g::1", "::ffff:8.8.8", "::ffff:8.8.8.256", "1:2:3:4:5:6:7:8:9", "8.8.8", "8.8.8.8.8", "256.1.1.1", "localhost", None]
+
+
+def test_public_addresses_of_both_families(spark):
+    rows = spark.createDataFrame([(a,) for a in PUBLIC + CLOSED + NOT_ADDRESSES], "a string")
+    got = {r.a: r.p for r in rows.select("a", text.is_public_unicast(F.col("a")).alias("p")).collect()}
+    assert [a for a in PUBLIC if not got[a]] == [] and [a for a in CLOSED + NOT_ADDRESSES if got[a]] == []
+
+
+def test_addresses_order_as_numbers_do(spark):
+    import ipaddress
+
+    known = PUBLIC + CLOSED
+    rows = spark.createDataFrame([(a,) for a in known], "a string")
+    for r in rows.select("a", text.address_hex(F.col("a")).alias("h")).collect():
+        address = ipaddress.ip_address(r.a)
+        assert int(r.h, 16) == int(address) + (0xFFFF << 32 if address.version == 4 else 0)
