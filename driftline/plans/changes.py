@@ -174,10 +174,11 @@ _ENTITY = f"""WITH {D.CATALOG}, ent AS MATERIALIZED (SELECT DISTINCT store_id, y
 
 
 def _entity_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
-    catalog, stores = D.catalog(spark, sf, D.BEFORE, D.CURRENT), D.stores(spark, sf)
+    catalog = D.catalog(spark, sf, D.BEFORE, D.CURRENT).select("store_id", "year", "vendor", "size")
+    catalog, stores = written(catalog.distinct(), "entities"), D.stores(spark, sf)
     kinds = entity_diff.observed_kinds(D.headers(spark, sf))
     known = entity_diff.next_entities(_entities(catalog, D.SINCE), kinds, _known_entities(_entities(catalog, D.BEFORE), "1996-12-31 12:00:00"), stores, D.at("1997-12-31 12:00:00"))
-    return _entities(catalog, D.CURRENT), kinds, known, stores
+    return _entities(catalog, D.CURRENT), kinds, written(known, "known-entities"), stores
 
 
 def _entity_score(added: bool) -> str:
@@ -210,12 +211,13 @@ def entity_state(spark: SparkSession, sf: str) -> DataFrame:
     return entity_diff.next_entities(observed, kinds, known, stores, D.at(D.NOW)).select("store_id", "kind", "key", "status")
 
 
-def _ads(spark: SparkSession, sf: str, year: int) -> DataFrame:
-    """Ads of a year: a supplier's lines of one number, leading to the largest part."""
+def _ads(spark: SparkSession, sf: str) -> DataFrame:
+    """Ads of 1997 and 1998: a supplier's lines of one number in a year, leading to the largest part."""
     supplier = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    lines = table(spark, sf, "lineitem").where((F.col("l_shipdate") >= D.at(f"{year}-01-01 00:00:00")) & (F.col("l_shipdate") < D.at(f"{year + 1}-01-01 00:00:00"))).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = lines.groupBy(F.col("n_regionkey").alias("store_id"), "s_suppkey", "s_name", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_returnflag").alias("format"))
+    lines = table(spark, sf, "lineitem").where((F.col("l_shipdate") >= D.at(f"{D.SINCE}-01-01 00:00:00")) & (F.col("l_shipdate") < D.at(f"{D.CURRENT + 1}-01-01 00:00:00"))).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = lines.groupBy(F.year("l_shipdate").alias("year"), F.col("n_regionkey").alias("store_id"), "s_suppkey", "s_name", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_returnflag").alias("format"))
     return rows.select(
+        "year",
         "store_id",
         F.lit("GOOGLE").alias("platform"),
         F.concat_ws("-", F.col("s_suppkey").cast("string"), F.col("l_linenumber").cast("string")).alias("external_ad_id"),
@@ -249,7 +251,8 @@ _ADS = f"""WITH {D.CATALOG}, ads AS (
 def ad_events(spark: SparkSession, sf: str) -> DataFrame:
     """Ads of 1997, missing once already, against those of 1998."""
     products, stores, now = D.year_of(D.catalog(spark, sf, D.CURRENT, D.CURRENT), D.CURRENT), D.stores(spark, sf), D.at(D.NOW)
-    matched = lambda y: ad_diff.match_products(_ads(spark, sf, y), products, stores)
+    both = written(ad_diff.match_products(_ads(spark, sf), products, stores), "matched-ads")
+    matched = lambda y: both.where(F.col("year") == y).drop("year")
     known = matched(D.SINCE).withColumns({"status": F.lit("ACTIVE_EVIDENCE"), "missing_streak": F.lit(1), "first_seen_at": now, "last_seen_at": now})
     return ad_diff.ad_events(matched(D.CURRENT), known, now).select("store_id", "entity_key", "event_type", "significance", "dedupe_key")
 

@@ -35,7 +35,7 @@ TODAY = "2024-01-20 00:00:00"
 def growth_report(spark: SparkSession, sf: str) -> DataFrame:
     """Ranks of 15 and more aren't shown, and a third of the products never had their reviews sampled."""
     rows = written(D.catalog(spark, sf), "catalog")
-    crawls, products, moves = _presence(spark, sf)
+    crawls, products, moves = _presence(spark, sf, rows)
     seen = rows.select("store_id", "external_id", "part", F.col("year").alias("crawl_id"), F.make_date("year", F.lit(12), F.lit(31)).cast("timestamp_ntz").alias("captured_at"), F.col("bestseller_rank").alias("rank"), F.when(F.col("variant_count") > 1, F.col("variant_count")).alias("review_count"))
     ranks = S.rank_signals(seen).select("store_id", "external_id", "current_rank", "previous_rank", "momentum")
     ended = products.join(ranks.select("store_id", "external_id", F.when(F.col("current_rank") < 15, F.col("current_rank")).alias("bestseller_rank")), ["store_id", "external_id"])

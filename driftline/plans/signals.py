@@ -10,6 +10,7 @@ from driftline.operators import signals as S
 from driftline.plans import derived as D
 from driftline.plans.changes import _EVENTS, events_1998
 from driftline.plans.registry import query
+from driftline.session import written
 
 _CURRENT = f"WITH {D.CATALOG}, cur AS (SELECT * FROM catalog WHERE year = 1998)"
 
@@ -84,9 +85,10 @@ def overall_momentum(spark: SparkSession, sf: str) -> DataFrame:
     return S.overall_momentum(S.rank_signals(_observations(spark, sf)))
 
 
-def _presence(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Crawls (years), products and their transitions, read out of the years in which a product was there."""
-    rows = D.catalog(spark, sf).select("store_id", "external_id", "year")
+def _presence(spark: SparkSession, sf: str, catalog: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Crawls (years), products and their transitions, read out of the years in which a product was there (``catalog``, written once, if there is none yet)."""
+    columns = ["store_id", "external_id", "year"]
+    rows = written(D.catalog(spark, sf).select(*columns), "presence") if catalog is None else catalog.select(*columns)
     stamp = lambda y: F.make_date(y, F.lit(12), F.lit(31)).cast("timestamp_ntz")
     crawls = rows.select("store_id", stamp(F.col("year")).alias("finished_at")).distinct()
     w = Window.partitionBy("store_id", "external_id").orderBy("year")

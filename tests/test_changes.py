@@ -250,3 +250,11 @@ def test_ads_find_their_products(spark):
     ads = spark.createDataFrame([("s", "a", "http://www.shop.example/products/cool-shirt/?utm=1"), ("s", "b", "https://shop.example/"), ("s", "c", None)], "store_id string, external_ad_id string, destination_url string")
     got = {r.external_ad_id: (r.matched_product_id, r.match_confidence) for r in ad_diff.match_products(ads, products, stores).collect()}
     assert got == {"a": ("p1", "HIGH"), "b": (None, None), "c": (None, None)}
+
+
+@pytest.mark.parametrize(("name", "most"), [("ad_events", 6), ("entity_events", 6), ("entity_state", 6), ("persistence", 6), ("growth_report", 10), ("diff_events", 6)])
+def test_tables_are_scanned_few_times(spark, small, name, most):
+    from driftline.plans import QUERIES
+
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= most
