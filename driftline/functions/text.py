@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json as J
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,6 +102,55 @@ def scrubbed(json: Column, keys: tuple[str, ...]) -> Column:
     return F.to_json(F.map_filter(entries, lambda k, v: ~k.isin(*keys)))
 
 
+def changed_json(json: Column, remove: tuple[str, ...] = (), put: dict[str, str | None] | None = None, anywhere: tuple[str, ...] = ()) -> Column:
+    """A JSON text without the values at the paths ``remove`` and with other ones at the paths ``put`` (JSON texts; None is null).
+
+    A path is keys parted by dots; ``*`` stands for all entries of an array. ``anywhere``:
+    keys that go at any depth, in arrays too. A path that isn't there
+    changes nothing, but the last key of a put is added to an object that is there. Other values,
+    their order and nesting stay; numbers are written in their shortest form. Null and
+    broken texts give null. One Arrow batch is read at a time.
+    """
+    gone, new, names = [p.split(".") for p in remove], {tuple(p.split(".")): v for p, v in (put or {}).items()}, frozenset(anywhere)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        values = {p: None if v is None else J.loads(v) for p, v in new.items()}
+
+        def holders(node, path):
+            if not path:
+                yield node
+            elif path[0] == "*" and isinstance(node, list):
+                for x in node:
+                    yield from holders(x, path[1:])
+            elif isinstance(node, dict) and path[0] in node:
+                yield from holders(node[path[0]], path[1:])
+
+        def stripped(node):
+            if isinstance(node, dict):
+                return {k: stripped(v) for k, v in node.items() if k not in names}
+            return [stripped(x) for x in node] if isinstance(node, list) else node
+
+        def change(text):
+            try:
+                node = J.loads(text)
+            except (TypeError, ValueError, RecursionError):
+                return None
+            for path in gone:
+                for holder in holders(node, path[:-1]):
+                    if isinstance(holder, dict):
+                        holder.pop(path[-1], None)
+            for path, value in values.items():
+                for holder in holders(node, path[:-1]):
+                    if isinstance(holder, dict):
+                        holder[path[-1]] = value
+            return J.dumps(stripped(node) if names else node, ensure_ascii=False, separators=(",", ":"))
+
+        return texts.map(change)
+
+    return run(json)
+
+
 # Ranges of addresses that aren't public hosts: private, local, shared, test, multicast, tunnels, reserved.
 CLOSED_IPV4 = """0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/3"""
 CLOSED_IPV6 = """::/128 ::1/128 ::ffff:0:0:0/96 64:ff9b::/96 100::/64 2001::/32 2001:2::/48 2001:3::/32 2001:4:112::/48 2001:10::/28 2001:20::/28 2001:30::/28 2001:db8::/32 2002::/16 fc00::/7 fe80::/10 ff00::/8"""

@@ -82,15 +82,15 @@ def content_hashes(rows: DataFrame, keys: list[str], **texts: Column) -> DataFra
 
 
 class VersionedTable:
-    """A table of which each version is a folder ``v=<n>``; readers see the last complete one.
+    """A table of which each version is a folder ``v=<n>`` (or another ``label``); readers see the last complete one.
 
     A version is complete once its writer has left ``_SUCCESS``, so that readers
     never see half a version. Writing a version again replaces it, which makes a
     batch that is run twice harmless.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, label: str = "v"):
+        self.spark, self.path, self.label = spark, path.rstrip("/"), label
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -100,7 +100,7 @@ class VersionedTable:
         fs, path = self._fs()
         if not fs.exists(path):
             return []
-        found = [(re.fullmatch(r"v=(\d+)", s.getPath().getName()), s.getPath()) for s in fs.listStatus(path)]
+        found = [(re.fullmatch(rf"{self.label}=(\d+)", s.getPath().getName()), s.getPath()) for s in fs.listStatus(path)]
         done = self.spark._jvm.org.apache.hadoop.fs.Path
         return sorted(int(m[1]) for m, p in found if m and fs.exists(done(p, "_SUCCESS")))
 
@@ -108,15 +108,66 @@ class VersionedTable:
         known = self.versions()
         if not known:
             return None
-        return self.spark.read.parquet(f"{self.path}/v={known[-1] if version is None else version}")
+        return self.spark.read.parquet(f"{self.path}/{self.label}={known[-1] if version is None else version}")
 
     def write(self, rows: DataFrame, version: int | None = None) -> int:
         known = self.versions()
         at = (known[-1] + 1 if known else 0) if version is None else version
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={at}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/{self.label}={at}")
         return at
 
     def vacuum(self, keep: int = 2) -> None:
         fs, path = self._fs()
         for v in self.versions()[:-keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"v={v}"), True)
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"{self.label}={v}"), True)
+
+
+class VersionedSet:
+    """Several tables that change together.
+
+    A batch writes a version of each table that it changes and then one commit, which
+    names the version of every table. Readers go by the newest commit, so that they see
+    all of a batch or nothing of it. A batch begins with the commit before its own
+    number, whatever a broken run of it has left, so that running it again repeats all phases.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, tables: list[str]):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.tables = {t: VersionedTable(spark, f"{self.path}/{t}") for t in tables}
+
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def commits(self) -> list[int]:
+        fs, folder = self._file("x")
+        folder = folder.getParent()
+        if not fs.exists(folder):
+            return []
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit())
+
+    def versions(self, before: int | None = None) -> dict[str, int]:
+        """The version of each table at the newest commit (before a number)."""
+        known = [c for c in self.commits() if before is None or c < before]
+        if not known:
+            return {}
+        return {r.table: r.version for r in self.spark.read.json(self._file(str(known[-1]))[1].toString(), schema="table string, version int").collect()}
+
+    def read(self, table: str, before: int | None = None) -> DataFrame | None:
+        at = self.versions(before).get(table)
+        return None if at is None else self.tables[table].read(at)
+
+    def commit(self, batch_id: int, changed: dict[str, DataFrame]) -> None:
+        """Write the tables that the batch changes, in order, and then its commit."""
+        versions = self.versions(before=batch_id)
+        for name, rows in changed.items():
+            self.tables[name].write(rows, batch_id)
+            versions[name] = batch_id
+        fs, path = self._file(str(batch_id))
+        lines = "".join(f'{{"table": "{t}", "version": {v}}}\n' for t, v in sorted(versions.items()))
+        part = self._file(f"_{batch_id}")[1]
+        out = fs.create(part, True)
+        out.write(bytearray(lines.encode()))
+        out.close()
+        fs.delete(path, False)
+        fs.rename(part, path)  # at once

@@ -245,3 +245,16 @@ def client_addresses(spark: SparkSession, sf: str) -> DataFrame:
     header = F.when(F.col("event_id") % 8 == 0, F.lit("junk")).otherwise(F.concat(F.lit("8.8.8.8, nonsense, "), own))
     ip = X.client_ip(header, 1)
     return table(spark, sf, "events").select("event_id", ip.alias("ip"), X.is_public_unicast(ip).alias("public"))
+
+
+@query(
+    "json_scrub_nested",
+    """SELECT event_id, '{"id":' || event_id || ',"user":{"no":' || user_id || ',"seen":true,"tags":[{"k":1},{"k":' || event_id % 7 || ',"n":[1,2.5,null]}]},"kind":"' || event_type || '"}' AS props FROM events""",
+)
+def json_scrub_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """E-mail addresses go at any depth, one path goes, another is set; the rest stays as it is nested."""
+    e, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    text = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    json = text('{"id": ', e, ', "email": "a@b.c", "user": {"email": {"x": 1}, "no": ', u, ', "seen": false, "phone": "1", "tags": [{"k": 1, "email": "d@e.f"}, {"k": ', (F.col("event_id") % 7).cast("string"), ', "n": [1, 2.50, null], "ip": "::1"}]}, "kind": "', F.col("event_type"), '"}')
+    props = X.changed_json(json, remove=("user.phone", "user.tags.*.ip", "no.such"), put={"user.seen": "true"}, anywhere=("email",))
+    return table(spark, sf, "events").select("event_id", props.alias("props"))

@@ -14,7 +14,7 @@ from driftline.operators import entity_diff, product_diff, reports
 from driftline.plans import derived as D
 from driftline.plans.changes import _key, _score
 from driftline.plans.registry import query
-from driftline.session import table, written
+from driftline.session import scratch_path, table, written
 
 def _k() -> Column:
     return F.col("store_id")
@@ -188,3 +188,30 @@ def plan_texts(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     plan = F.when(k % 4 == 0, "BUSINESS").when(k % 4 == 1, "BASIC").when(k % 4 == 2, "FREE").otherwise("LEGACY")
     return table(spark, sf, "orders").select("o_orderkey", X.plan_label(plan).alias("label"), X.format_limit(F.when(k % 5 > 0, k % 5)).alias("shown"))
+
+
+@query(
+    "vendor_search",
+    """WITH s AS (SELECT s_suppkey AS k FROM supplier), p AS (SELECT k, page, k % 5 = 0 AND page = 1 AS lost, CASE WHEN page = 1 AND k % 2 = 1 THEN 2 ELSE 1 END AS attempts FROM s, range(3) r(page) WHERE page <= k % 3)
+        SELECT k AS store_id, sum(CASE WHEN NOT lost THEN 2 ELSE 0 END)::BIGINT AS ads, sum(CASE WHEN lost THEN 3 ELSE attempts END)::BIGINT AS attempts, CASE WHEN bool_or(lost) THEN 'status 503' END AS reason
+        FROM p WHERE NOT (k % 5 = 0 AND page > 1) GROUP BY k""",
+)
+def vendor_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Ads of each supplier by way of the vendor's pages: up to three of two ads each; some fail once, some for good."""
+    from driftline.sources.adsource import AdSearch
+    from driftline.sources.vendors import ad_summaries
+
+    spark.dataSource.register(AdSearch)
+    pages = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("store_id")).withColumn("page", F.explode(F.sequence(F.lit(0), (_k() % 3).cast("int"))))
+    ad = lambda i: F.struct(F.concat(_k().cast("string"), F.lit("-"), F.col("page").cast("string"), F.lit(f"-{i}")).alias("ad_creative_id"), F.lit("a").alias("advertiser_id"))
+    body = F.to_json(F.struct(F.array(ad(0), ad(1)).alias("ad_creatives"), F.when(F.col("page") < _k() % 3, F.concat(F.lit("t"), (F.col("page") + 1).cast("string"))).alias("next")))
+    down, good = F.struct(F.lit(503).alias("status"), F.lit(None).cast("string").alias("body")), F.struct(F.lit(200).alias("status"), body.alias("body"))
+    told = F.when((_k() % 5 == 0) & (F.col("page") == 1), F.array(down)).when((F.col("page") == 1) & (_k() % 2 == 1), F.array(down, good)).otherwise(F.array(good))
+    request = F.concat(_k().cast("string"), F.lit("-shop"), _k().cast("string"), F.lit(".example"))
+    path = scratch_path(spark, "ad-search")
+    recorded = pages.select(F.to_json(told).alias("value"), request.alias("request"), F.when(F.col("page") == 0, "first").otherwise(F.concat(F.lit("t"), F.col("page").cast("string"))).alias("page"))
+    recorded.write.partitionBy("request", "page").text(path)
+    answers = written(spark.read.format("ad_search").option("path", path).option("backoffMs", "1").option("retries", "2").load(), "answers")
+    ads = ad_summaries(answers.where("outcome = 'OK'").select("domain", "body")).groupBy("domain").agg(F.count(F.lit(1)).alias("ads"))
+    asked = answers.groupBy("request", "domain").agg(F.sum("attempts").alias("attempts"), F.max("reason").alias("reason"))
+    return asked.join(ads, "domain", "left").select(F.col("request").alias("store_id"), F.coalesce("ads", F.lit(0)).alias("ads"), "attempts", "reason")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators.state import VersionedTable
+from driftline.operators.state import VersionedSet, VersionedTable
 from driftline.plans.registry import query
 from driftline.session import scratch_path, table
 from driftline.streaming import streams as T
@@ -80,6 +80,28 @@ def stream_upserts(spark: SparkSession, sf: str) -> DataFrame:
     return target.read()
 
 
+@query(
+    "stream_tick",
+    """SELECT 'last' AS part, user_id AS key, max(event_id) AS value FROM events GROUP BY user_id UNION ALL SELECT 'visits', user_id, count(*) FROM events GROUP BY user_id
+       UNION ALL SELECT 'open', s.user_id, max(s.event_id) FROM events s WHERE event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = s.user_id AND p.event_type = 'purchase') GROUP BY s.user_id""",
+)
+def stream_tick(spark: SparkSession, sf: str) -> DataFrame:
+    """Three tables that each batch of events changes together: the last event and the visits of users, and the sign-ups of those that never bought."""
+    tables = VersionedSet(spark, scratch_path(spark, "tick"), ["last", "visits", "open"])
+    either = lambda state, rows: rows if state is None else state.unionByName(rows)
+    best = lambda df: df.groupBy("user_id").agg(F.max("value").alias("value"))
+    phases = {
+        "last": lambda batch, state: best(either(state, batch.select("user_id", F.col("event_id").alias("value")))),
+        "visits": lambda batch, state: either(state, batch.select("user_id", F.lit(1).cast("long").alias("value"))).groupBy("user_id").agg(F.sum("value").alias("value")),
+        "open": lambda batch, state: either(state, batch.where("event_type IN ('signup', 'purchase')").select("user_id", F.when(F.col("event_type") == "signup", F.col("event_id")).alias("value"), (F.col("event_type") == "purchase").alias("bought")))
+        .groupBy("user_id")
+        .agg(F.max("value").alias("value"), F.bool_or("bought").alias("bought")),
+    }
+    T.drained_each(_events(spark, sf), "tick", T.tick(tables, phases))
+    shown = lambda name, df: df.where("value IS NOT NULL").select(F.lit(name).alias("part"), F.col("user_id").alias("key"), "value")
+    return shown("last", tables.read("last")).unionByName(shown("visits", tables.read("visits"))).unionByName(shown("open", tables.read("open").where("NOT bought")))
+
+
 _LIMIT = """WITH RECURSIVE r AS (SELECT {id} AS id, user_id, {at} AS t, row_number() OVER (PARTITION BY user_id ORDER BY {at}, {id}) AS place FROM events {where}),
     d AS (SELECT id, user_id, place, t AS begun, 1 AS n FROM r WHERE place = 1
           UNION ALL SELECT r.id, r.user_id, r.place, CASE WHEN r.t >= d.begun + INTERVAL 6 HOUR THEN r.t ELSE d.begun END, CASE WHEN r.t >= d.begun + INTERVAL 6 HOUR THEN 1 ELSE d.n + 1 END

@@ -12,10 +12,10 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
-from pyspark.sql.types import StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType, TimestampType
 from pyspark.sql.window import Window
 
-from driftline.operators.state import VersionedTable, merge
+from driftline.operators.state import VersionedSet, VersionedTable, merge
 from driftline.session import scratch_path
 
 #: The state store that keyed state with timers needs.
@@ -264,19 +264,28 @@ def upsert_sink(table: VersionedTable, keys: list[str], **rules) -> Callable[[Da
     return write
 
 
-PREFIX = "__prefix"
+def tick(tables: VersionedSet, phases: dict[str, Callable[[DataFrame, DataFrame | None], DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a phase for each table makes its next state of the batch and its last state (None at first); all become visible by one commit."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        tables.commit(batch_id, {name: phase(batch, tables.read(name, before=batch_id)) for name, phase in phases.items()})
+
+    return write
+
+
+BATCH, PREFIX = "__batch", "__prefix"
 
 
 class KeyedLog:
     """An append-only log of rows with distinct keys, whatever their age.
 
-    Batch ``n`` owns the folders ``v=n/__prefix=..``, of which there is one for each first ``digits`` hexadecimal
+    Batch ``n`` owns the folders ``__batch=n/__prefix=..``, of which there is one for each first ``digits`` hexadecimal
     digits of the key's hash. A batch looks for its keys only under the prefixes that it
     has itself, and a batch that is run again replaces what it wrote, so that it changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "dedupe_key", digits: int = 2):
-        self.table, self.key, self.digits = VersionedTable(spark, path), key, digits
+        self.table, self.key, self.digits = VersionedTable(spark, path, BATCH), key, digits
 
     def _prefix(self) -> Column:
         return F.substring(F.sha2(F.col(self.key).cast("string"), 256), 1, self.digits)
@@ -286,13 +295,13 @@ class KeyedLog:
         before = [v for v in self.table.versions() if v < batch_id]
         if not before:
             return None
-        spark, path = self.table.spark, self.table.path
-        log = spark.read.schema(self._schema()).parquet(*[f"{path}/v={v}" for v in before])
-        return log.where(F.col(PREFIX).isin(prefixes))
+        return self._read(before).where(F.col(PREFIX).isin(prefixes))
 
-    def _schema(self) -> StructType:
-        files = self.table.spark.read.parquet(f"{self.table.path}/v={self.table.versions()[0]}").drop(PREFIX).schema
-        return StructType([*files, StructField(PREFIX, StringType())])
+    def _read(self, batches: list[int]) -> DataFrame:
+        spark, paths = self.table.spark, [f"{self.table.path}/{BATCH}={n}" for n in batches]
+        files = spark.read.option("basePath", self.table.path).parquet(*paths).drop(BATCH, PREFIX).schema
+        schema = StructType([*files, StructField(BATCH, IntegerType()), StructField(PREFIX, StringType())])
+        return spark.read.option("basePath", self.table.path).schema(schema).parquet(*paths).drop(BATCH)
 
     def append(self, batch: DataFrame, batch_id: int) -> None:
         """Add the rows whose key the log doesn't hold yet; of equal keys in a batch the first by all columns. Rows without a key are left out."""
@@ -301,17 +310,18 @@ class KeyedLog:
         place = F.row_number().over(Window.partitionBy(PREFIX, self.key).orderBy(*[c for c in columns if c != self.key] or [F.lit(0)]))
         fresh = keyed.withColumn("__place", place).where("__place = 1").drop("__place")
         prefixes = [r[PREFIX] for r in keyed.select(PREFIX).distinct().collect()]  # 16 ** digits at most
+        if not prefixes:
+            return
         log = self.earlier(batch_id, prefixes)
         if log is not None:
             fresh = fresh.join(log.select(PREFIX, self.key), [PREFIX, self.key], "left_anti")
-        fresh.select(*columns, PREFIX).write.mode("overwrite").partitionBy(PREFIX).parquet(f"{self.table.path}/v={batch_id}")
+        fresh.select(*columns, PREFIX).write.mode("overwrite").partitionBy(PREFIX).parquet(f"{self.table.path}/{BATCH}={batch_id}")
 
     def read(self) -> DataFrame | None:
         versions = self.table.versions()
         if not versions:
             return None
-        path = self.table.path
-        return self.table.spark.read.schema(self._schema()).parquet(*[f"{path}/v={v}" for v in versions]).drop(PREFIX)
+        return self._read(versions).drop(PREFIX)
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:

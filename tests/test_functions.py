@@ -165,3 +165,11 @@ def test_addresses_order_as_numbers_do(spark):
     for r in rows.select("a", text.address_hex(F.col("a")).alias("h")).collect():
         address = ipaddress.ip_address(r.a)
         assert int(r.h, 16) == int(address) + (0xFFFF << 32 if address.version == 4 else 0)
+
+
+def test_json_at_any_depth(spark):
+    change = lambda json, **how: one(spark, text.changed_json(F.lit(json).cast("string"), **how))[0]
+    assert change('{"a": [1, {"b": "x", "c": [{"b": 2}]}], "b": {"b": 1}}', anywhere=("b",)) == '{"a":[1,{"c":[{}]}]}'
+    assert change('{"a": {"b": {"c": 1, "d": "ü"}}}', remove=("a.b.c", "a.x.y")) == '{"a":{"b":{"d":"ü"}}}'
+    assert change('{"a": [{"b": 1}, {"c": 2}, 3]}', remove=("a.*.b",), put={"a.*.e": None, "x.y": "1", "f": '{"g": [1]}'}) == '{"a":[{"e":null},{"c":2,"e":null},3],"f":{"g":[1]}}'
+    assert change("[1, 2]", remove=("a",)) == "[1,2]" and change("broken {") is None and change(None) is None

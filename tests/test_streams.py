@@ -12,7 +12,7 @@ from driftline.plans import QUERIES, SQL
 from driftline.session import scratch_path
 from driftline.streaming import streams as T
 
-STREAMS = ["stream_tumbling", "stream_sliding", "stream_sessions", "stream_join", "stream_rate_limit", "stream_stale_runs", "stream_append_log", "stream_unique_events", "stream_upserts"]
+STREAMS = ["stream_tumbling", "stream_sliding", "stream_sessions", "stream_join", "stream_rate_limit", "stream_stale_runs", "stream_append_log", "stream_unique_events", "stream_upserts", "stream_tick"]
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +77,8 @@ def test_limits_of_a_live_stream(spark, tmp_path):
 def test_a_log_reads_the_prefixes_of_a_batch_only(spark):
     log = T.KeyedLog(spark, scratch_path(spark, "log"), key="k", digits=1)
     frame = lambda keys: spark.createDataFrame([(k, f"v{k}") for k in keys], "k string, v string")
+    log.append(frame([None]), 0)
+    assert log.read() is None
     log.append(frame([str(i) for i in range(100)] + ["5", None]), 0)
     log.append(frame(["5", "x"]), 1)
     first = sorted((r.k, r.v) for r in log.read().collect())
@@ -88,6 +90,36 @@ def test_a_log_reads_the_prefixes_of_a_batch_only(spark):
     assert set(r[T.PREFIX] for r in log.earlier(2, ["a", "b"]).collect()) == {"a", "b"}
 
 
+def test_a_batch_changes_all_tables_or_none(spark):
+    """A batch that breaks off between phases and runs again gives what an undisturbed one gives."""
+    from driftline.operators.state import VersionedSet
+
+    frame = lambda *n: spark.createDataFrame([(i,) for i in n], "n long")
+    add = lambda batch, state: batch if state is None else state.unionByName(batch)
+    broken = [True]
+
+    def breaks(batch, state):
+        if broken[0]:
+            raise RuntimeError("killed")
+        return add(batch, state)
+
+    tables = VersionedSet(spark, scratch_path(spark, "set"), ["a", "b"])
+    assert tables.read("a") is None and tables.commits() == []
+    T.tick(tables, {"a": add, "b": add})(frame(1), 0)
+    got = lambda: {t: sorted(r.n for r in tables.read(t).collect()) for t in ("a", "b")}
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            T.tick(tables, {"a": add, "b": breaks})(frame(2), 1)
+        tables.tables["a"].write(frame(1, 2), 1)  # as if the first phase had been written
+        assert got() == {"a": [1], "b": [1]}
+    broken[0] = False
+    for _ in range(2):
+        T.tick(tables, {"a": add, "b": breaks})(frame(2), 1)
+        assert got() == {"a": [1, 2], "b": [1, 2]} and tables.commits() == [0, 1]
+    T.tick(tables, {"b": add})(frame(3), 2)
+    assert got() == {"a": [1, 2], "b": [1, 2, 3]}
+
+
 def plain_anonymous(requests, most, ceiling, hours, breaker):
     kept, out = [], {}
     for i, who, at in sorted(requests, key=lambda r: (r[2], r[0])):
