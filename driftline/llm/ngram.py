@@ -27,7 +27,9 @@ Hashes meet in buckets, of which there is one for every two blocks, so that what
 a bucket holds doesn't grow with the corpus. A block sends a bucket one message
 with all that it asks there, and none if it asks nothing: there are never more
 messages than entries, and entries grow with the text. Within a block n-grams are
-known by 64-bit hashes, within a bucket by HASH_BITS of them beyond the bucket's own.
+known by 64-bit hashes, within a bucket by HASH_BITS of them beyond the bucket's own;
+tokens, whose counts have to be exact, by all 64. A shuffle partition holds many buckets
+where there would be over MOST_PARTITIONS, and meets them one after another.
 """
 
 from __future__ import annotations
@@ -54,6 +56,8 @@ BLOCK_TOKENS = 1_500_000
 #: Text for a bucket of the table of blocks, which has as many buckets as there are shuffle partitions at least.
 BUCKET_BYTES = 1 << 28
 HASH_BITS = 46
+#: Shuffle partitions at most; beyond MOST_PARTITIONS buckets each has several.
+MOST_PARTITIONS = 20_000
 #: The end token holds white space and so is no word.
 END = b" "
 FOLDS = 10
@@ -191,9 +195,9 @@ def _cuts(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
 
 
-def _steps(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending hashes without the last bits: the first one, and the differences of the others."""
-    short = hashes >> np.uint64(max(0, 64 - HASH_BITS - (n.bit_length() - 1)))
+def _steps(hashes: np.ndarray, n: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes, of n-grams beyond tokens without the last bits: the first one, and the differences of the others."""
+    short = hashes >> np.uint64(0 if order == 1 else max(0, 64 - HASH_BITS - (n.bit_length() - 1)))
     steps = np.diff(short)
     return short[:1], steps.astype("<u4") if not len(steps) or steps.max() < 1 << 32 else steps
 
@@ -238,7 +242,7 @@ def _ask(order: int, n: int):
             cuts = _cuts(mine.hashes, n)
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 here = slice(cuts[b], cuts[b + 1])
-                rows.append((b, key[0].as_py(), pack(*_steps(mine.hashes[here], n), counts[here], arcs[here])))
+                rows.append((b, key[0].as_py(), pack(*_steps(mine.hashes[here], n, order), counts[here], arcs[here])))
         return _rows(ASKED, rows)
 
     def alone(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
@@ -350,7 +354,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             asks = mine.cogroup(answers[order + 1].where("block >= 0").groupBy("block")).applyInArrow(_ask(order, n), asked)
         else:
             asks = mine.applyInArrow(_ask(order, n), asked)
-        met = asks.repartition(n, "bucket").groupBy("bucket").applyInArrow(_meet, answer)
+        met = asks.repartition(min(n, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(_meet, answer)
         answers[order] = written(met, f"{order}-grams")
     sizes = answers[1].where("block = -1").select("data").mapInArrow(_sizes, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     if sizes[0] is None:

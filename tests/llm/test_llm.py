@@ -219,8 +219,10 @@ def test_small_blocks_change_nothing(spark, docs, monkeypatch):
     monkeypatch.setattr(ngram, "BLOCK_TOKENS", 3000)
     blocks = ngram.blocks(docs.repartition(3, "doc_id"), "doc_id", "text")
     assert blocks.count() >= 3
-    got = {r.doc_id: r.score for r in ngram.score(docs.repartition(3, "doc_id")).collect()}
-    assert got == pytest.approx(want)
+    for most in (ngram.MOST_PARTITIONS, 2):  # several buckets to a partition
+        monkeypatch.setattr(ngram, "MOST_PARTITIONS", most)
+        got = {r.doc_id: r.score for r in ngram.score(docs.repartition(3, "doc_id")).collect()}
+        assert got == pytest.approx(want)
 
 
 def test_scores_of_odd_rows(odd, empty):
