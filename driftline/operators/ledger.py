@@ -228,3 +228,11 @@ def redemptions(requests: DataFrame, at: str = "created_at", tie: str = "request
     all_firsts = F.sum((F.col("__mine") == 1).cast("long")).over(Window.partitionBy("promo").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0))
     redeemed = (F.col("__mine") == 1) & (F.col("max_redemptions").isNull() | (all_firsts <= F.col("max_redemptions")))
     return rows.withColumn("redeemed", redeemed).drop("__mine")
+
+
+def promo_listing(promos: DataFrame, redeemed: DataFrame) -> DataFrame:
+    """Codes with the number of their redemptions, users and what is left of them (null: no bound); codes that nobody used are listed too."""
+    used = redeemed.groupBy("promo").agg(F.count(F.lit(1)).alias("redemptions"), F.count_distinct("user_id").alias("users"))
+    rows = promos.join(used, "promo", "left").na.fill(0, ["redemptions", "users"])
+    left = F.col("max_redemptions") - F.col("redemptions")
+    return rows.withColumn("left", F.when(left > 0, left).when(left <= 0, F.lit(0)))

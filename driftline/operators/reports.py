@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.fingerprint import REVIEW_APPS
 from driftline.functions.plans import plan_limit
+from driftline.functions.text import region_names
 from driftline.functions.time import days_remaining
 from driftline.operators import signals
 from driftline.operators.state import latest
@@ -54,9 +55,12 @@ def dashboard_watches(watches: DataFrame, stores: DataFrame, now: Column) -> Dat
     return rows.select("user_id", "domain", "started_at", "expires_at", left.alias("days_remaining"), "tier", F.when(F.col("tier") != "DISABLED", F.col("next_crawl_at")).alias("next_crawl_at"))
 
 
-def marketing_report(stores: DataFrame, runs: DataFrame, ads: DataFrame) -> DataFrame:
+def marketing_report(stores: DataFrame, runs: DataFrame, ads: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """A row per shown ad of each store, and one without an ad where none is shown.
 
+    Where the ads have ``source_metadata``, ``regions`` are the names in it; with
+    ``products`` (store_id, external_id, handle, title) an ad's matched product is told.
+
     ``runs``: store_id, started_at, finished_at, outcome (null: didn't finish),
     reason. The latest run decides: never checked, not completed, unavailable or
     observed. Ads without active evidence aren't shown.
@@ -68,6 +72,11 @@ def marketing_report(stores: DataFrame, runs: DataFrame, ads: DataFrame) -> Data
     reason = F.when(~done, open_).when(F.col("outcome") == "UNAVAILABLE", F.coalesce("reason", F.lit("Advertising data could not be checked")))
     heads = stores.select("store_id", "domain").join(last, "store_id", "left").select("store_id", "domain", status.alias("status"), reason.alias("reason"), F.when(done, F.col("finished_at")).alias("last_checked_at"))
     shown = ads.where(F.col("status") == "ACTIVE_EVIDENCE").drop("status")
+    if "source_metadata" in ads.columns:
+        shown = shown.withColumn("regions", region_names(F.col("source_metadata")))
+    if products is not None:
+        told = products.select("store_id", F.col("external_id").alias("matched_product_id"), F.col("handle").alias("matched_handle"), F.col("title").alias("matched_title"))
+        shown = shown.join(told, ["store_id", "matched_product_id"], "left")
     return heads.join(shown.withColumn("__shown", F.lit("OBSERVED")), (heads["store_id"] == shown["store_id"]) & (heads["status"] == F.col("__shown")), "left").drop(shown["store_id"]).drop("__shown")
 
 

@@ -28,10 +28,10 @@ def pruned(stored: DataFrame) -> DataFrame:
     return stored.withColumn("__newest", newest).where(~rolled | (F.col("window_end") == F.col("__newest"))).drop("__newest")
 
 
-def is_due(stored: DataFrame, now: Column, minutes: int = 55) -> DataFrame:
-    """One row: whether the last computation is long enough ago."""
+def due_by(stored: DataFrame, keys: list[str], now: Column, minutes: int = 55) -> DataFrame:
+    """Per key (or in all) whether the last computation is long enough ago; where nothing was computed it is due."""
     last = F.max("computed_at")
-    return stored.agg(F.coalesce(last <= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)), F.lit(True)).alias("due"))
+    return stored.groupBy(*keys).agg(F.coalesce(last <= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)), F.lit(True)).alias("due"))
 
 
 def latest_per_dimension(stored: DataFrame, metric_key: str) -> DataFrame:
@@ -39,10 +39,6 @@ def latest_per_dimension(stored: DataFrame, metric_key: str) -> DataFrame:
     return stored.where(F.col("metric_key") == metric_key).withColumn("__place", F.row_number().over(w)).where("__place = 1").drop("__place")
 
 
-def trend(stored: DataFrame, metric_key: str) -> DataFrame:
-    return stored.where(F.col("metric_key") == metric_key).select(F.col("window_start").alias("day"), "dimension", "value")
-
-
 def retention_cohorts(stored: DataFrame) -> DataFrame:
     """Cohort metrics side by side, 0 by default."""
     names = {"retention.cohort_size": "cohort_size", "retention.ever_paid": "ever_paid", "retention.currently_paid": "currently_paid"}

@@ -43,8 +43,13 @@ def tiers(stores: DataFrame, watches: DataFrame) -> DataFrame:
 
 
 def after_crawl(stores: DataFrame, outcomes: DataFrame, now: Column, demote_at: int = 5) -> DataFrame:
-    """Streaks and the next visit after crawls (store_id, outcome): a failure backs off and demotes in the end, an aborted diff is tried again in an hour."""
+    """Streaks and the next visit after crawls (store_id, outcome): a failure backs off and demotes in the end, an aborted diff is tried again in an hour.
+
+    If the stores have ``baselined_at``, the first good crawl sets it, and no later one changes it.
+    """
     rows = stores.join(outcomes, "store_id")
+    if "baselined_at" in stores.columns:
+        rows = rows.withColumn("baselined_at", F.coalesce("baselined_at", F.when(F.col("outcome") == "OK", now)))
     streak = F.when(F.col("outcome") == "OK", 0).when(F.col("outcome") == "ABORTED", F.col("failure_streak")).otherwise(F.col("failure_streak") + 1)
     rows = rows.withColumn("failure_streak", streak)
     rows = rows.withColumn("tier", F.when((F.col("outcome") == "FAILED") & (F.col("failure_streak") >= demote_at), "DISABLED").otherwise(F.col("tier")))
@@ -125,3 +130,13 @@ def erased(audit: DataFrame, user_ids: DataFrame) -> DataFrame:
     marked = audit.join(gone.withColumnRenamed("__gone", "__a"), F.col("actor_id") == F.col("__a"), "left").join(gone.withColumnRenamed("__gone", "__s"), F.col("subject_id") == F.col("__s"), "left")
     out = marked.withColumns({"actor_id": F.when(F.col("__a").isNull(), F.col("actor_id")), "subject_id": F.when(F.col("__s").isNull(), F.col("subject_id")), "changed": F.col("__a").isNotNull() | F.col("__s").isNotNull()})
     return out.drop("__a", "__s")
+
+
+def watch_expiry(plan: Column, own_end: Column, trial_end: Column) -> Column:
+    """When a watch that is started now ends: by its own term, on the free plan with the trial if that is earlier. Null is never."""
+    return F.when(plan == "FREE", F.least(own_end, trial_end)).otherwise(own_end)
+
+
+def checkout_status(final_cents: Column, created_at: Column, now: Column, minutes: int = 60) -> Column:
+    """COMPLETED at once where nothing is to be paid, else PENDING, and EXPIRED after a while, for nobody collects."""
+    return F.when(final_cents <= 0, "COMPLETED").when(created_at <= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)), "EXPIRED").otherwise("PENDING")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.config import BASE_SCORES
-from driftline.operators import ad_diff, entity_diff, history, product_diff
+from driftline.operators import ad_diff, entity_diff, history, product_diff, reports, signals
 from driftline.operators.events import appended
 from driftline.operators.state import content_hashes
 from driftline.plans import derived as D
@@ -102,6 +102,26 @@ def diff_event_counts(spark: SparkSession, sf: str) -> DataFrame:
     return events_1998(spark, sf).groupBy("store_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("significance").alias("total"))
 
 
+@query(
+    "diff_events_gaps",
+    f"""WITH {D.STATE}, {_COLLAPSED}, c AS (SELECT *, CASE WHEN part % 7 > 0 THEN bestseller_rank END AS rank FROM cur), b AS (
+            SELECT coalesce(k.store_id, c.store_id) AS store_id, coalesce(k.external_id, c.external_id) AS entity_key, k.store_id IS NOT NULL AS had, c.store_id IS NOT NULL AS has, k.bestseller_rank AS was, c.rank AS now, k.missing_streak AS streak
+            FROM known k FULL JOIN c ON k.store_id = c.store_id AND k.external_id = c.external_id WHERE coalesce(k.store_id, c.store_id) NOT IN (SELECT store_id FROM collapsed))
+        SELECT store_id, entity_key, 'BESTSELLER_DROPPED' AS event_type FROM b WHERE had AND has AND store_id % 3 <> 1 AND now IS NULL AND was < 60
+        UNION ALL SELECT store_id, entity_key, 'BESTSELLER_ENTERED' FROM b WHERE had AND has AND store_id % 3 <> 1 AND was IS NULL AND now < 60
+        UNION ALL SELECT store_id, entity_key, 'BESTSELLER_CLIMBED' FROM b WHERE had AND has AND store_id % 3 <> 1 AND now < 60 AND was - now >= 3
+        UNION ALL SELECT store_id, entity_key, 'PRODUCT_REMOVED' FROM b WHERE had AND NOT has AND store_id % 2 = 1 AND streak + 1 >= 2""",
+)
+def diff_events_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """What a crawl with gaps tells: some products have no rank, ranks of some stores weren't fetched, and every second crawl broke off, which removes nothing."""
+    catalog, state = state_1997(spark, sf)
+    store = F.col("store_id")
+    headers = D.headers(spark, sf).withColumns({"has_rank_data": store % 3 != 1, "partial": store % 2 == 0})
+    now = D.year_of(catalog, D.CURRENT).withColumn("bestseller_rank", F.when(F.col("part") % 7 > 0, F.col("bestseller_rank")))
+    events = product_diff.product_events(D.stores(spark, sf), headers, now, state, D.at(D.NOW), cap=False)
+    return events.where(F.col("event_type").isin("BESTSELLER_DROPPED", "BESTSELLER_ENTERED", "BESTSELLER_CLIMBED", "PRODUCT_REMOVED")).select("store_id", "entity_key", "event_type")
+
+
 @query(
     "event_log_append",
     _EVENTS + " SELECT store_id, event_type, dedupe_key FROM event WHERE event_type NOT IN ('PRICE_DROP', 'PRICE_INCREASE') QUALIFY row_number() OVER (PARTITION BY dedupe_key) = 1",
@@ -250,11 +270,50 @@ _ADS = f"""WITH {D.CATALOG}, ads AS (
 )
 def ad_events(spark: SparkSession, sf: str) -> DataFrame:
     """Ads of 1997, missing once already, against those of 1998."""
+    return _ad_events(spark, sf)[0].select("store_id", "entity_key", "event_type", "significance", "dedupe_key")
+
+
+def _ad_events(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The events, and the ads of 1998 with their products."""
     products, stores, now = D.year_of(D.catalog(spark, sf, D.CURRENT, D.CURRENT), D.CURRENT), D.stores(spark, sf), D.at(D.NOW)
     both = written(ad_diff.match_products(_ads(spark, sf), products, stores), "matched-ads")
     matched = lambda y: both.where(F.col("year") == y).drop("year")
     known = matched(D.SINCE).withColumns({"status": F.lit("ACTIVE_EVIDENCE"), "missing_streak": F.lit(1), "first_seen_at": now, "last_seen_at": now})
-    return ad_diff.ad_events(matched(D.CURRENT), known, now).select("store_id", "entity_key", "event_type", "significance", "dedupe_key")
+    return ad_diff.ad_events(matched(D.CURRENT), known, now), matched(D.CURRENT)
+
+
+@query(
+    "marketing_activity",
+    f"""{_ADS}, e AS (SELECT b.store_id, 'd' AS kind FROM b ANTI JOIN a ON a.store_id = b.store_id AND a.ad = b.ad
+            UNION ALL SELECT b.store_id, 'c' FROM b JOIN a ON a.store_id = b.store_id AND a.ad = b.ad WHERE a.url <> b.url OR a.format <> b.format
+            UNION ALL SELECT b.store_id, 'm' FROM b LEFT JOIN a ON a.store_id = b.store_id AND a.ad = b.ad WHERE b.product IS NOT NULL AND b.product IS DISTINCT FROM a.product
+            UNION ALL SELECT a.store_id, 'r' FROM a ANTI JOIN b ON a.store_id = b.store_id AND a.ad = b.ad)
+        SELECT r_regionkey AS store_id, count(*) FILTER (WHERE kind = 'd') AS ad_detected, count(*) FILTER (WHERE kind = 'c') AS ad_changed, count(*) FILTER (WHERE kind = 'r') AS ad_removed, count(*) FILTER (WHERE kind = 'm') AS product_ad_matched
+        FROM region LEFT JOIN e ON store_id = r_regionkey GROUP BY ALL""",
+)
+def marketing_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """What the ads of each store did in a month."""
+    events, _ = _ad_events(spark, sf)
+    stores = D.stores(spark, sf)
+    sizes, crawls = stores.select("store_id", F.lit(0).alias("products")), stores.select("store_id", F.lit(1).alias("crawls"))
+    return signals.store_activity(events, sizes, crawls, D.at("1998-12-01 00:00:00"), D.at("1999-01-01 00:00:00")).select("store_id", "ad_detected", "ad_changed", "ad_removed", "product_ad_matched")
+
+
+@query(
+    "marketing_ads",
+    f"""{_ADS} SELECT b.store_id, b.ad AS external_ad_id, CASE WHEN b.store_id = 1 THEN 'UNAVAILABLE' ELSE 'OBSERVED' END AS status, b.s_name AS advertiser_name, 'Region ' || b.store_id || ',World' AS regions, p.handle AS matched_handle, p.title AS matched_title
+        FROM b LEFT JOIN catalog p ON p.store_id = b.store_id AND p.external_id = b.product AND p.year = 1998 WHERE b.store_id <> 1
+        UNION ALL SELECT 1, NULL, 'UNAVAILABLE', NULL, NULL, NULL, NULL""",
+)
+def marketing_ads(spark: SparkSession, sf: str) -> DataFrame:
+    """The shown ads of each store with advertiser, regions and the product that they lead to; the data of store 1 couldn't be had."""
+    catalog = written(D.catalog(spark, sf, D.CURRENT, D.CURRENT).select("store_id", "external_id", "handle", "title"), "products")
+    region = lambda *x: F.struct(F.concat(*x).alias("name"))
+    meta = F.to_json(F.struct(F.array(region(F.lit("Region "), F.col("store_id").cast("string")), region(F.lit("World"))).alias("regions")))
+    ads = _ad_events(spark, sf)[1].withColumns({"status": F.lit("ACTIVE_EVIDENCE"), "source_metadata": meta})
+    runs = D.stores(spark, sf).select("store_id", D.at(D.NOW).alias("started_at"), D.at(D.NOW).alias("finished_at"), F.when(F.col("store_id") == 1, "UNAVAILABLE").otherwise("OBSERVED").alias("outcome"), F.lit(None).cast("string").alias("reason"))
+    made = reports.marketing_report(D.stores(spark, sf), runs, ads, catalog)
+    return made.select("store_id", "external_ad_id", "status", "advertiser_name", F.array_join("regions", ",").alias("regions"), "matched_handle", "matched_title")
 
 
 _LINE = "concat_ws('|', external_id, price_min_cents, price_max_cents, coalesce(CAST(compare_at_max_cents AS VARCHAR), '-'), variant_count, available_variants)"

@@ -105,6 +105,59 @@ def after_crawl(spark: SparkSession, sf: str) -> DataFrame:
     return U.after_crawl(stores, outcomes, D.at(MID)).select("store_id", "failure_streak", "tier", "next_crawl_at")
 
 
+@query("baselined_stores", f"SELECT s_suppkey AS store_id, CASE WHEN s_suppkey % 4 = 0 THEN TIMESTAMP '{NOW}' WHEN s_suppkey % 3 = 0 THEN TIMESTAMP '{MID}' END AS baselined_at FROM supplier")
+def baselined_stores(spark: SparkSession, sf: str) -> DataFrame:
+    """The first good crawl of a store sets its baseline; a fourth of the stores had theirs before."""
+    key = F.col("s_suppkey")
+    stores = table(spark, sf, "supplier").select(key.alias("store_id"), F.lit(0).alias("failure_streak"), F.lit("HOT").alias("tier"), D.at(MID).alias("next_crawl_at"), F.when(key % 4 == 0, D.at(NOW)).alias("baselined_at"))
+    outcomes = table(spark, sf, "supplier").select(key.alias("store_id"), F.when(key % 3 == 0, "OK").otherwise("FAILED").alias("outcome"))
+    return U.after_crawl(stores, outcomes, D.at(MID)).select("store_id", "baselined_at")
+
+
+@query(
+    "watch_expiries",
+    f"""WITH {D.SUBSCRIPTIONS}, w AS (SELECT *, CASE WHEN subscription_id % 2 = 0 THEN started_at + INTERVAL 90 DAY END AS own, CASE WHEN subscription_id % 5 > 0 THEN started_at + to_days((subscription_id % 7 * 20)::INTEGER) END AS trial FROM subs)
+        SELECT subscription_id, CASE WHEN plan <> 'FREE' THEN own WHEN own IS NULL OR trial IS NULL THEN coalesce(own, trial) ELSE least(own, trial) END AS expires_at FROM w""",
+)
+def watch_expiries(spark: SparkSession, sf: str) -> DataFrame:
+    key, start = F.col("subscription_id"), F.col("started_at")
+    own = F.when(key % 2 == 0, start + F.expr("INTERVAL 90 DAY"))
+    trial = F.when(key % 5 > 0, start + F.make_dt_interval((key % 7 * 20).cast("int")))
+    return D.subscriptions(spark, sf).select("subscription_id", U.watch_expiry(F.col("plan"), own, trial).alias("expires_at"))
+
+
+@query(
+    "checkouts",
+    f"""WITH {D.SUBSCRIPTIONS}, c AS (SELECT subscription_id, cents, greatest(0, cents - least(cents, CASE WHEN subscription_id % 3 = 0 THEN CAST(floor(cents * (subscription_id % 5 * 25) / 100) AS BIGINT) WHEN subscription_id % 3 = 1 THEN 1900 ELSE 0 END)) AS final_cents, started_at FROM priced)
+        SELECT subscription_id, final_cents::BIGINT AS final_cents, CASE WHEN final_cents = 0 THEN 'COMPLETED' WHEN started_at <= TIMESTAMP '{NOW}' - INTERVAL 60 MINUTE THEN 'EXPIRED' ELSE 'PENDING' END AS status FROM c""",
+)
+def checkouts(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices after a percentage, an amount or nothing off; what costs nothing is completed at once."""
+    key = F.col("subscription_id")
+    price = F.coalesce(F.create_map(F.lit("BASIC"), F.lit(1900), F.lit("BUSINESS"), F.lit(4900))[F.col("plan")], F.lit(0))
+    final = L.discounted(price, F.when(key % 3 == 0, key % 5 * 25), F.when(key % 3 == 1, F.lit(1900)))
+    return D.subscriptions(spark, sf).select("subscription_id", final.alias("final_cents"), U.checkout_status(final, F.col("started_at"), D.at(NOW)).alias("status"))
+
+
+@query(
+    "promo_listing",
+    """WITH u AS (SELECT user_id % 4 AS promo, count(*) AS redemptions, count(DISTINCT user_id) AS users FROM events WHERE event_type = 'purchase' GROUP BY 1)
+        SELECT p AS promo, coalesce(redemptions, 0) AS redemptions, coalesce(users, 0) AS users, CASE WHEN p <> 3 THEN greatest(0, 60 - coalesce(redemptions, 0)) END AS "left" FROM range(6) r(p) LEFT JOIN u ON promo = p""",
+)
+def promo_listing(spark: SparkSession, sf: str) -> DataFrame:
+    promos = spark.range(6).select(F.col("id").alias("promo"), F.when(F.col("id") != 3, 60).alias("max_redemptions"))
+    used = D.events(spark, sf).where("event_type = 'purchase'").select((F.col("user_id") % 4).alias("promo"), "user_id")
+    return L.promo_listing(promos, used).select("promo", "redemptions", "users", "left")
+
+
+@query("metrics_due", "SELECT event_type AS dimension, max(ts) <= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 55 MINUTE AS due FROM events GROUP BY event_type")
+def metrics_due(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each kind of metric was last computed long enough ago."""
+    from driftline.operators.rollups import due_by
+
+    return due_by(D.events(spark, sf).select(F.col("event_type").alias("dimension"), F.col("created_at").alias("computed_at")), ["dimension"], D.at("2024-01-30 12:00:00"))
+
+
 @query("feed_first_page", "SELECT event_id, ts, row_number() OVER (ORDER BY ts DESC, event_id DESC) = 20 AS next FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
 def feed_first_page(spark: SparkSession, sf: str) -> DataFrame:
     return U.page(table(spark, sf, "events"), None, at="ts").select("event_id", "ts", "next")

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -41,8 +45,33 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: The folder that what is written now goes to, below that of all.
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/driftline/{uuid.uuid4().hex}-{name}"
+    scope = _SCOPE.get()
+    return f"{scratch_root(spark)}/driftline/{scope + '/' if scope else ''}{uuid.uuid4().hex}-{name}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Rows that are written between steps inside this block are deleted at its end, whatever task attempts have left there too; take results out before."""
+    scope = uuid.uuid4().hex
+    before = _SCOPE.set(scope)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/driftline/{scope}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, where it isn't installed or on their PYTHONPATH."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="driftline-package-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/driftline", "zip", os.path.dirname(here), os.path.basename(here)))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -22,10 +22,6 @@ PAGE_SIZE, MAX_PAGES = 250, 60
 CHALLENGE = r"(?i)cf-browser-verification|Just a moment\.\.\.|Attention Required! \| Cloudflare|__cf_chl_"
 
 
-def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LANDING).option("mode", "PERMISSIVE").json(path)
-
-
 def first_page_failure(status: Column, body: Column, error: Column) -> Column:
     """Why a catalog can't be read: blocked, not_found or error; null if it can."""
     challenged = F.substring(F.coalesce(body, F.lit("")), 1, 2000).rlike(CHALLENGE) | F.coalesce(error, F.lit("")).contains("bot-challenge")
