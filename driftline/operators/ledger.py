@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftline.session import written
 
@@ -216,18 +217,22 @@ def discounted(price: Column, percent: Column, amount: Column) -> Column:
     return F.greatest(F.lit(0), price - F.least(off, price)).cast("long")
 
 
-def redemptions(requests: DataFrame, at: str = "created_at", tie: str = "request_id") -> DataFrame:
+def redemptions(requests: DataFrame, at: str = "created_at", tie: str = "request_id", minutes: int = 60) -> DataFrame:
     """Add ``redeemed`` to requests (promo, user_id, max_redemptions): first come, a user once, until the code is used up.
 
-    A user's first request decides alone, so that this needs no loop.
+    A user's first request decides alone, so that this needs no loop. How many came before it
+    is counted in slices of ``minutes``, whose totals are summed up apart: no task holds all requests of a code.
     """
-    from pyspark.sql.window import Window
-
     mine = Window.partitionBy("promo", "user_id").orderBy(at, tie)
-    rows = requests.withColumn("__mine", F.row_number().over(mine))
-    all_firsts = F.sum((F.col("__mine") == 1).cast("long")).over(Window.partitionBy("promo").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0))
-    redeemed = (F.col("__mine") == 1) & (F.col("max_redemptions").isNull() | (all_firsts <= F.col("max_redemptions")))
-    return rows.withColumn("redeemed", redeemed).drop("__mine")
+    rows = requests.withColumn("__first", (F.row_number().over(mine) == 1).cast("long"))
+    rows = rows.withColumn("__slice", F.expr(f"floor(unix_micros(cast(`{at}` AS timestamp)) / {minutes * 60_000_000})"))
+    totals = rows.groupBy("promo", "__slice").agg(F.sum("__first").alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(Window.partitionBy("promo").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = totals.select(F.col("promo").alias("__promo"), F.col("__slice").alias("__of"), earlier.alias("__base"))
+    inside = F.sum("__first").over(Window.partitionBy("promo", "__slice").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0))
+    counted = rows.withColumn("__n", inside).join(base, F.col("promo").eqNullSafe(F.col("__promo")) & F.col("__slice").eqNullSafe(F.col("__of")))
+    redeemed = (F.col("__first") == 1) & (F.col("max_redemptions").isNull() | (F.col("__base") + F.col("__n") <= F.col("max_redemptions")))
+    return counted.withColumn("redeemed", redeemed).select(*requests.columns, "redeemed")
 
 
 def promo_listing(promos: DataFrame, redeemed: DataFrame) -> DataFrame:

@@ -49,10 +49,10 @@ def dashboard_stores(usage: DataFrame, stores: DataFrame, products: DataFrame) -
 
 
 def dashboard_watches(watches: DataFrame, stores: DataFrame, now: Column) -> DataFrame:
-    """Active watches that have begun. ``stores``: store_id, domain, tier, next_crawl_at; a disabled store has no next crawl."""
+    """Active watches that have begun. ``stores``: store_id, domain, tier, last_crawled_at, next_crawl_at; a disabled store has no next crawl."""
     rows = watches.where((F.col("status") == "ACTIVE") & F.col("started_at").isNotNull()).join(stores, "store_id")
     left = F.when(F.col("expires_at").isNotNull(), days_remaining(F.col("expires_at"), now))
-    return rows.select("user_id", "domain", "started_at", "expires_at", left.alias("days_remaining"), "tier", F.when(F.col("tier") != "DISABLED", F.col("next_crawl_at")).alias("next_crawl_at"))
+    return rows.select("user_id", "domain", "started_at", "expires_at", left.alias("days_remaining"), "tier", "last_crawled_at", F.when(F.col("tier") != "DISABLED", F.col("next_crawl_at")).alias("next_crawl_at"))
 
 
 def marketing_report(stores: DataFrame, runs: DataFrame, ads: DataFrame, products: DataFrame | None = None) -> DataFrame:
@@ -151,3 +151,19 @@ def store_access(asked: DataFrame, usage: DataFrame) -> DataFrame:
     done = usage.select("user_id", "store_id").distinct().withColumn("__done", F.lit(True))
     rows = asked.join(done, ["user_id", "store_id"], "left")
     return rows.withColumn("access", F.when(F.col("user_id").isNull(), "anonymous_preview").when(F.col("__done"), "full").otherwise("unanalyzed_preview")).drop("__done")
+
+
+def user_details(users: DataFrame, plans: DataFrame, roles: DataFrame, usage: DataFrame, watches: DataFrame) -> DataFrame:
+    """Per user (user_id, email, created_at) the plan (FREE without one), the role (USER without one), all analyses and the active watches."""
+    used = usage.groupBy("user_id").agg(F.count(F.lit(1)).alias("analyses_used"))
+    watching = watches.where(F.col("status") == "ACTIVE").groupBy("user_id").agg(F.count(F.lit(1)).alias("active_watches"))
+    rows = users.select("user_id", "email", "created_at")
+    for part in (plans.select("user_id", "plan"), roles.select("user_id", "role"), used, watching):
+        rows = rows.join(part, "user_id", "left")
+    return rows.na.fill(0, ["analyses_used", "active_watches"]).na.fill({"plan": "FREE", "role": "USER"})
+
+
+def user_export(users: DataFrame, consents: DataFrame, purpose: str = "operations") -> DataFrame:
+    """What may leave: user_id, email, plan, role, created_at; for marketing only of users whose consent (user_id, consent) is on record and true."""
+    rows = users.select("user_id", "email", "plan", "role", "created_at")
+    return rows.join(consents.where("consent").select("user_id").distinct(), "user_id", "left_semi") if purpose == "marketing" else rows

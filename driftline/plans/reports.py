@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import plans as P
+from driftline.functions.text import csv_line
 from driftline.operators import analytics, reports
 from driftline.operators import signals as S
 from driftline.plans import derived as D
@@ -85,10 +86,10 @@ def dashboard_stores(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "dashboard_watches",
     f"""WITH {_USERS} SELECT user_id, 'shop' || store_id || '.example' AS domain, started_at, expires_at, CASE WHEN expires_at IS NOT NULL THEN greatest(0, CAST(ceil((epoch_us(expires_at) - epoch_us(TIMESTAMP '{TODAY}')) / 86400000000.0) AS BIGINT)) END AS days_remaining,
-        CASE WHEN store_id = 3 THEN 'DISABLED' ELSE 'HOT' END AS tier, CASE WHEN store_id <> 3 THEN TIMESTAMP '{TODAY}' END AS next_crawl_at FROM watch WHERE store_id <> 4""",
+        CASE WHEN store_id = 3 THEN 'DISABLED' ELSE 'HOT' END AS tier, CASE WHEN store_id <> 2 THEN TIMESTAMP '{TODAY}' - INTERVAL 1 DAY END AS last_crawled_at, CASE WHEN store_id <> 3 THEN TIMESTAMP '{TODAY}' END AS next_crawl_at FROM watch WHERE store_id <> 4""",
 )
 def dashboard_watches(spark: SparkSession, sf: str) -> DataFrame:
-    stores = D.stores(spark, sf).select("store_id", "domain", F.when(F.col("store_id") == 3, "DISABLED").otherwise("HOT").alias("tier"), D.at(TODAY).alias("next_crawl_at"))
+    stores = D.stores(spark, sf).select("store_id", "domain", F.when(F.col("store_id") == 3, "DISABLED").otherwise("HOT").alias("tier"), F.when(F.col("store_id") != 2, D.at(TODAY) - F.expr("INTERVAL 1 DAY")).alias("last_crawled_at"), D.at(TODAY).alias("next_crawl_at"))
     return reports.dashboard_watches(_watches(spark, sf), stores, D.at(TODAY))
 
 
@@ -125,3 +126,28 @@ def store_access(spark: SparkSession, sf: str) -> DataFrame:
 def plan_limits(spark: SparkSession, sf: str) -> DataFrame:
     plan = F.col("plan")
     return D.subscriptions(spark, sf).select("subscription_id", P.next_plan_up(plan).alias("upgrade_to"), P.under_limit(F.col("subscription_id") % 30, P.plan_limit(plan, "slots")).alias("under_limit"), P.trial_end(F.col("expires_at"), F.col("started_at")).alias("trial_end"))
+
+
+_DETAILS = f"""WITH {_PLANS}, {D.USERS}, {_USERS}, a AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 40 = 0 THEN 'OWNER' ELSE 'SUPPORT' END AS role FROM customer WHERE c_custkey % 20 = 0),
+    d AS (SELECT user_id, email, created_at, coalesce(plan, 'FREE') AS plan, coalesce(role, 'USER') AS role, (SELECT count(*) FROM use WHERE use.user_id = u.user_id) AS analyses_used, (SELECT count(*) FROM watch w WHERE w.user_id = u.user_id AND store_id <> 4) AS active_watches
+          FROM users u LEFT JOIN live USING (user_id) LEFT JOIN a USING (user_id))"""
+
+
+def _details(spark: SparkSession, sf: str) -> DataFrame:
+    from driftline.plans.upkeep import _admins
+
+    return reports.user_details(D.users(spark, sf), analytics.current_plans(D.subscriptions(spark, sf)), _admins(spark, sf), _usage(spark, sf), _watches(spark, sf))
+
+
+@query("user_details", f"{_DETAILS} SELECT * FROM d")
+def user_details(spark: SparkSession, sf: str) -> DataFrame:
+    return _details(spark, sf)
+
+
+@query("marketing_export", f"{_DETAILS} SELECT user_id, email || ',' || plan || ',' || role AS line FROM d WHERE user_id % 3 = 0 AND user_id % 4 > 0")
+def marketing_export(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV lines of users who consented; every third did, every fourth refused or was never asked."""
+    key = F.col("c_custkey")
+    consents = table(spark, sf, "customer").where(key % 4 > 0).select(key.alias("user_id"), (key % 3 == 0).alias("consent"))
+    rows = reports.user_export(_details(spark, sf), consents, "marketing")
+    return rows.select("user_id", csv_line(F.col("email"), F.col("plan"), F.col("role")).alias("line"))
