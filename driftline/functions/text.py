@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json as J
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -172,27 +173,45 @@ def _ipv4_hex(ip: Column) -> Column:
     return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(parts, lambda x: x.try_cast("int") <= 255), F.array_join(digits, ""))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it any number of times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def address_hex(ip: Column) -> Column:
     """An IPv4 or IPv6 address as 32 hexadecimal digits, which order as addresses do; null if it is none.
 
     IPv4 is taken as the IPv6 address that it is mapped to. An IPv6 address may leave
     out one run of zeros, and end in an IPv4 address.
     """
-    tail = F.regexp_extract(ip, r":(\d+\.\d+\.\d+\.\d+)$", 1)
-    last = _ipv4_hex(tail)
-    whole = F.when(tail == "", ip).otherwise(F.concat(F.regexp_extract(ip, r"^(.*:)\d+\.\d+\.\d+\.\d+$", 1), F.substring(last, 1, 4), F.lit(":"), F.substring(last, 5, 4)))
-    sides = F.split(whole, "::")
     none = F.array().cast("array<string>")
-    left, right = (F.when(F.get(sides, F.lit(i)) != "", F.split(F.get(sides, F.lit(i)), ":")).otherwise(none) for i in (0, 1))
-    missing = 8 - F.size(left) - F.size(right)
-    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    shaped = ((F.size(sides) == 2) & (missing >= 1)) | ((F.size(sides) == 1) & (missing == 0))
-    six = F.when(shaped & F.forall(groups, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")), F.lower(F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")))
-    return F.coalesce(F.concat(F.lit("0" * 20 + "ffff"), _ipv4_hex(ip)), six)
+
+    def written_out(ip: Column) -> Column:
+        """An IPv4 address at the end as two groups; null if it is broken."""
+        tail = F.regexp_extract(ip, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+        groups = _once(_ipv4_hex(tail), lambda h: F.concat(F.regexp_extract(ip, r"^(.*:)\d+\.\d+\.\d+\.\d+$", 1), F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4)))
+        return F.when(tail == "", ip).otherwise(groups)
+
+    def of_sides(sides: Column) -> Column:
+        side = lambda i: F.when(F.get(sides, F.lit(i)) != "", F.split(F.get(sides, F.lit(i)), ":")).otherwise(none)
+        return _once(F.struct(side(0).alias("left"), side(1).alias("right"), F.size(sides).alias("n")), of_groups)
+
+    def of_groups(s: Column) -> Column:
+        missing = 8 - F.size(s["left"]) - F.size(s["right"])
+        shaped = ((s["n"] == 2) & (missing >= 1)) | ((s["n"] == 1) & (missing == 0))
+        groups = F.concat(s["left"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), s["right"])
+        padded = F.transform(groups, lambda g: F.when(g.rlike("^[0-9A-Fa-f]{1,4}$"), F.lpad(F.lower(g), 4, "0")))
+        return F.when(shaped, _once(padded, lambda p: F.when(~F.exists(p, lambda g: g.isNull()), F.array_join(p, ""))))
+
+    def any_family(ip: Column) -> Column:
+        six = F.when(ip.contains(":"), _once(F.split(written_out(ip), "::"), of_sides))
+        return F.coalesce(F.concat(F.lit("0" * 20 + "ffff"), _ipv4_hex(ip)), six)
+
+    return _once(ip, any_family)
 
 
 def is_public_unicast(ip: Column) -> Column:
     """Whether an IPv4 or IPv6 address is routable: in none of the closed ranges, also if it is an IPv4 one mapped to IPv6. What is no address isn't."""
     ranges = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in _ranges(CLOSED_IPV4, CLOSED_IPV6)])
-    closed = F.get(F.transform(F.array(address_hex(ip)), lambda h: F.when(h.isNotNull(), F.exists(ranges, lambda r: (h >= r["low"]) & (h <= r["high"])))), F.lit(0))
+    closed = _once(address_hex(ip), lambda h: F.when(h.isNotNull(), F.exists(ranges, lambda r: (h >= r["low"]) & (h <= r["high"]))))
     return F.coalesce(~closed, F.lit(False))
