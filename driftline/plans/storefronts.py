@@ -198,20 +198,27 @@ def plan_texts(spark: SparkSession, sf: str) -> DataFrame:
 )
 def vendor_search(spark: SparkSession, sf: str) -> DataFrame:
     """Ads of each supplier by way of the vendor's pages: up to three of two ads each; some fail once, some for good."""
-    from driftline.sources.adsource import AdSearch
+    from driftline.sources.adsource import AdSearch, FiledSearch
     from driftline.sources.vendors import ad_summaries
 
     spark.dataSource.register(AdSearch)
-    pages = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("store_id")).withColumn("page", F.explode(F.sequence(F.lit(0), (_k() % 3).cast("int"))))
-    ad = lambda i: F.struct(F.concat(_k().cast("string"), F.lit("-"), F.col("page").cast("string"), F.lit(f"-{i}")).alias("ad_creative_id"), F.lit("a").alias("advertiser_id"))
-    body = F.to_json(F.struct(F.array(ad(0), ad(1)).alias("ad_creatives"), F.when(F.col("page") < _k() % 3, F.concat(F.lit("t"), (F.col("page") + 1).cast("string"))).alias("next")))
-    down, good = F.struct(F.lit(503).alias("status"), F.lit(None).cast("string").alias("body")), F.struct(F.lit(200).alias("status"), body.alias("body"))
-    told = F.when((_k() % 5 == 0) & (F.col("page") == 1), F.array(down)).when((F.col("page") == 1) & (_k() % 2 == 1), F.array(down, good)).otherwise(F.array(good))
-    request = F.concat(_k().cast("string"), F.lit("-shop"), _k().cast("string"), F.lit(".example"))
+    text = lambda *xs: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in xs])
+
+    def answer(page: Column) -> Column:
+        """A page's token and what its attempts get."""
+        ad = lambda i: F.struct(text(_k(), "-", page, f"-{i}").alias("ad_creative_id"), F.lit("a").alias("advertiser_id"))
+        body = F.to_json(F.struct(F.array(ad(0), ad(1)).alias("ad_creatives"), F.when(page < _k() % 3, text("t", page + 1)).alias("next")))
+        down, good = F.struct(F.lit(503).alias("status"), F.lit(None).cast("string").alias("body")), F.struct(F.lit(200).alias("status"), body.alias("body"))
+        told = F.when((_k() % 5 == 0) & (page == 1), F.array(down)).when((page == 1) & (_k() % 2 == 1), F.array(down, good)).otherwise(F.array(good))
+        return F.struct(F.when(page == 0, "first").otherwise(text("t", page)), told)
+
+    stores = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("store_id"))
+    stores = stores.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "store_id")  # a given number: asking takes time, not bytes
+    pages = F.map_from_entries(F.transform(F.sequence(F.lit(0), (_k() % 3).cast("int")), answer))
     path = scratch_path(spark, "ad-search")
-    recorded = pages.select(F.to_json(told).alias("value"), request.alias("request"), F.when(F.col("page") == 0, "first").otherwise(F.concat(F.lit("t"), F.col("page").cast("string"))).alias("page"))
-    recorded.write.partitionBy("request", "page").text(path)
-    answers = written(spark.read.format("ad_search").option("path", path).option("backoffMs", "1").option("retries", "2").load(), "answers")
+    stores.select(F.to_json(F.struct(_k().alias("request"), text("shop", _k(), ".example").alias("domain"), pages.alias("pages"))).alias("value")).write.text(path)
+    asks = spark.read.format("ad_search").option("path", path).option("client", f"{FiledSearch.__module__}:{FiledSearch.__name__}")
+    answers = written(asks.option("backoffMs", "1").option("retries", "2").load(), "answers")
     ads = ad_summaries(answers.where("outcome = 'OK'").select("domain", "body")).groupBy("domain").agg(F.count(F.lit(1)).alias("ads"))
     asked = answers.groupBy("request", "domain").agg(F.sum("attempts").alias("attempts"), F.max("reason").alias("reason"))
     return asked.join(ads, "domain", "left").select(F.col("request").alias("store_id"), F.coalesce("ads", F.lit(0)).alias("ads"), "attempts", "reason")

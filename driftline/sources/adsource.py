@@ -8,7 +8,8 @@ number of the last one read is the offset, so that a stream that was cut off goe
 after the last batch that it finished, and a file sink holds each answer once.
 
 Options: ``path`` (where the client finds requests and answers), ``client`` (``module:Class``
-with ``requests()`` and ``fetch(request, token, attempt)``, RecordedSearch if left out), ``retries``
+with ``requests()`` and ``fetch(request, token, attempt)``, RecordedSearch if left out; one with ``parts()`` and ``requests_of(part)``
+has its requests read part by part, without a list of them in the driver), ``retries``
 (3), ``backoffMs`` (500), ``maxPages`` (20), ``perPartition`` and ``perBatch`` (requests, 16 and 256).
 
 Rows: ``request``, ``domain``, ``page`` (from 0), ``outcome`` (OK; UNAVAILABLE with a ``reason``, after which nothing of the request follows; CUT
@@ -18,6 +19,7 @@ where there would be more than ``maxPages``), ``attempts`` and ``body``.
 from __future__ import annotations
 
 import importlib
+import io
 import json
 import time
 from collections.abc import Iterator
@@ -50,6 +52,36 @@ class RecordedSearch:
         return answer["status"], answer.get("body")
 
 
+class FiledSearch:
+    """Answers from a folder of files of lines, one for each request: JSON with ``request``, ``domain`` and ``pages``, which gives for each token the list of what its attempts get (as in RecordedSearch).
+
+    A file is a part: it is read line by line, and only one request's answers are held.
+    """
+
+    def __init__(self, path: str):
+        self.store, self.root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        self.asked, self.pages = None, {}
+
+    def parts(self) -> list[str]:
+        files = self.store.get_file_info(fs.FileSelector(self.root, allow_not_found=True))
+        return sorted(f.path for f in files if f.is_file and f.size and not f.base_name.startswith((".", "_")))
+
+    def requests_of(self, part: str) -> Iterator[tuple[int, str]]:
+        with self.store.open_input_stream(part) as stream:
+            for line in io.TextIOWrapper(stream, encoding="utf-8", newline="\n"):
+                told = json.loads(line)
+                self.asked, self.pages = (told["request"], told["domain"]), told["pages"]
+                yield self.asked
+
+    def fetch(self, request: tuple[int, str], token: str, attempt: int) -> tuple[int, str | None]:
+        """Status and body of one attempt at the request that was read last."""
+        told = self.pages.get(token) if request == self.asked else None
+        if not told:
+            return 404, None
+        answer = told[min(attempt, len(told) - 1)]
+        return answer["status"], answer.get("body")
+
+
 class AdSearch(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -96,7 +128,8 @@ class _Asks:
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         client = self._client()
-        for request in partition.value if partition else ():  # None where there are no partitions
+        asked = partition.value if partition else ()  # None where there are no partitions
+        for request in client.requests_of(asked) if isinstance(asked, str) else asked:
             request, token = tuple(request), "first"
             for page in range(self.pages):
                 status, attempts, body = self._answer(client, request, token)
@@ -117,7 +150,8 @@ class _Asks:
 
 class _Batch(_Asks, DataSourceReader):
     def partitions(self) -> list[InputPartition]:
-        return self._parts(self._client().requests())
+        client = self._client()
+        return [InputPartition(p) for p in client.parts()] if hasattr(client, "parts") else self._parts(client.requests())
 
 
 class _Stream(_Asks, DataSourceStreamReader):

@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from driftline.session import scratch_path
 from driftline.sources.adsource import AdSearch
 from driftline.streaming.streams import drained
 
@@ -73,3 +74,30 @@ def test_a_stream_resumes_after_the_last_answer(spark, reader, tmp_path):
     for _ in range(2):
         again = got()
     assert again == [*first, (9, 0)]
+
+
+def test_vendor_search_keeps_many_requests_in_few_files(spark, small, monkeypatch):
+    """A folder for each page of a request was written before: a file for two rows."""
+    import pyarrow.fs
+
+    from driftline.plans import QUERIES, storefronts
+
+    paths = []
+    monkeypatch.setattr(storefronts, "scratch_path", lambda s, name: paths.append(scratch_path(s, name)) or paths[-1])
+    stores = QUERIES["vendor_search"](spark, small).count()
+    store, root = pyarrow.fs.FileSystem.from_uri(paths[0])
+    files = [f for f in store.get_file_info(pyarrow.fs.FileSelector(root, recursive=True)) if f.is_file and f.base_name.startswith("part-")]
+    assert stores == 10 and len(files) <= 4  # shuffle partitions of the tests
+
+
+def test_filed_answers_are_those_of_recorded_ones(spark, tmp_path):
+    pages = {"first": [ok("x")], "x": [(503, None), ok("gone")]}
+    told = {t: [{"status": s, "body": b} for s, b in answers] for t, answers in pages.items()}
+    for name in ("a", "b"):
+        with open(f"{tmp_path}/{name}.txt", "w") as f:
+            f.writelines(json.dumps({"request": n, "domain": f"{name}{n}.example", "pages": told}) + "\n" for n in range(3))
+    read = spark.read.format("ad_search").option("path", str(tmp_path)).option("client", "driftline.sources.adsource:FiledSearch").option("backoffMs", "1").load()
+    assert read.rdd.getNumPartitions() == 2
+    assert sorted((r.domain, r.request, r.page, r.outcome, r.reason, r.attempts) for r in read.collect()) == sorted(
+        (f"{name}{n}.example", n, *page) for name in ("a", "b") for n in range(3) for page in [(0, "OK", None, 1), (1, "OK", None, 2), (2, "UNAVAILABLE", "status 404", 1)]
+    )
