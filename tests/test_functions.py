@@ -157,6 +157,11 @@ def test_public_addresses_of_both_families(spark):
     assert [a for a in PUBLIC if not got[a]] == [] and [a for a in CLOSED + NOT_ADDRESSES if got[a]] == []
 
 
+def test_a_group_of_five_digits_is_no_public_address(spark):
+    """Where the number of a user has five digits, client_addresses and its SQL part: such a text is no address."""
+    assert one(spark, *[text.is_public_unicast(F.lit(a)) for a in ("2606:4700::FFFF", "2606:4700::10000")]) == [True, False]
+
+
 def test_addresses_order_as_numbers_do(spark):
     import ipaddress
 
