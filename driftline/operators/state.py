@@ -81,6 +81,17 @@ def content_hashes(rows: DataFrame, keys: list[str], **texts: Column) -> DataFra
     return rows.groupBy(*keys).agg(*[bag_hash(t).alias(name) for name, t in texts.items()])
 
 
+def list_hashes(rows: DataFrame, keys: list[str], block: Column, order: Column, text: str) -> DataFrame:
+    """``keys`` and ``hash``, the SHA-256 of ``[..]`` around a key's texts in ``order``, with commas between them.
+
+    Rows of one ``block``, which never falls as ``order`` rises, are joined first, so that rows are collected in small groups
+    and a key's last step holds nothing but its text in pieces. A SHA-256 has to see that text whole.
+    """
+    joined = lambda place, what: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("place"), F.col(what).alias("t")))), lambda x: x["t"]), ",")
+    pieces = rows.groupBy(*keys, block.alias("__block")).agg(joined(order, text).alias("__piece"))
+    return pieces.groupBy(*keys).agg(F.sha2(F.concat(F.lit("["), joined(F.col("__block"), "__piece"), F.lit("]")), 256).alias("hash"))
+
+
 class VersionedTable:
     """A table of which each version is a folder ``v=<n>`` (or another ``label``); readers see the last complete one.
 

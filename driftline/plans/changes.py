@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline.config import BASE_SCORES
 from driftline.operators import ad_diff, entity_diff, history, product_diff, reports, signals
 from driftline.operators.events import appended
-from driftline.operators.state import content_hashes
+from driftline.operators.state import content_hashes, list_hashes
 from driftline.plans import derived as D
 from driftline.plans.registry import query
 from driftline.session import partitioned, table, written
@@ -331,10 +331,24 @@ def _hashes(rows: DataFrame, *keys: str) -> DataFrame:
     return content_hashes(rows, list(keys), catalog_hash=F.concat_ws("|", "external_id", *fields), rank_hash=F.concat_ws("|", "external_id", "bestseller_rank"))
 
 
-@query("content_hashes", f"WITH {D.CATALOG} SELECT store_id, year, {_bag(_LINE)} AS catalog_hash, {_bag(_PLACE)} AS rank_hash FROM catalog GROUP BY store_id, year")
+@query(
+    "content_hashes",
+    f"""WITH {D.CATALOG} SELECT store_id, year, sha256('[' || string_agg('["' || external_id || '",' || price_min_cents || ',' || price_max_cents || ',' || coalesce(CAST(compare_at_max_cents AS VARCHAR), 'null') || ',' || variant_count || ',' || available_variants || ']', ',' ORDER BY external_id) || ']') AS catalog_hash,
+        sha256('[' || string_agg('"' || external_id || '"', ',' ORDER BY bestseller_rank) || ']') AS rank_hash FROM catalog GROUP BY store_id, year""",
+)
 def content_hashes_by_store(spark: SparkSession, sf: str) -> DataFrame:
-    """Hashes of each store's catalog and of its ranking alone."""
-    return _hashes(D.catalog(spark, sf), "store_id", "year")
+    """Hashes of each store's catalog, by product, and of its ranking alone."""
+    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    quoted = F.concat(F.lit('"'), "external_id", F.lit('"'))
+    line = F.concat(F.lit("["), F.concat_ws(",", quoted, *[word(c) for c in ("price_min_cents", "price_max_cents", "compare_at_max_cents", "variant_count", "available_variants")]), F.lit("]"))
+    part = lambda kind, name, rank, text: F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name"), rank.cast("long").alias("rank"), text.alias("t"))
+    none = F.lit(None)
+    parts = F.array(part("catalog_hash", F.col("external_id"), none, line), part("rank_hash", none, F.col("bestseller_rank"), quoted))
+    rows = D.catalog(spark, sf).select("store_id", "year", F.inline(parts))
+    block = F.struct(F.substring("name", 1, 4), F.floor(F.col("rank") / 4096))
+    hashes = list_hashes(rows, ["store_id", "year", "kind"], block, F.struct("name", "rank"), "t")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("hash"))).alias(kind)
+    return hashes.groupBy("store_id", "year").agg(of("catalog_hash"), of("rank_hash"))
 
 
 def _half_unchanged(catalog: DataFrame) -> DataFrame:

@@ -28,6 +28,19 @@ def test_hashes_of_bags(spark, small):
     assert "partial_sum" in plan and "Python" not in plan and "Arrow" not in plan
 
 
+def test_hashes_of_lists(spark, small):
+    """The SHA-256 of all texts in order, however they fall into blocks; the query had become sums of hashes of rows."""
+    from driftline.operators.state import list_hashes
+    from driftline.plans import QUERIES
+
+    rows = spark.createDataFrame([("k", str(i), f"t{i}") for i in range(300)] + [("l", "a", "x")], "k string, id string, t string").repartition(5)
+    want = lambda texts: hashlib.sha256(f"[{','.join(texts)}]".encode()).hexdigest()
+    for size in (1, 2, 9):
+        got = {r.k: r.hash for r in list_hashes(rows, ["k"], F.substring("id", 1, size), F.col("id"), "t").collect()}
+        assert got == {"k": want(f"t{i}" for i in sorted(map(str, range(300)))), "l": want("x")}
+    assert all(len(h) == 64 for r in QUERIES["content_hashes"](spark, small).collect() for h in (r.catalog_hash, r.rank_hash))
+
+
 def test_unchanged_stores_are_not_read(spark, small):
     from driftline.plans import changes
 
