@@ -72,23 +72,18 @@ def rank_signals(observations: DataFrame, last: int = 20) -> DataFrame:
     w = Window.partitionBy(*keys)
     recent = observations.withColumn("__place", F.row_number().over(w.orderBy(F.desc("captured_at"), F.desc("crawl_id")))).where(F.col("__place") <= last)
     known = recent.where(F.col("rank").isNotNull())
-    order = w.orderBy("captured_at", "crawl_id")
-    steps = known.withColumn("__before", F.lag("rank").over(order)).withColumn("__now", F.last("rank").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    when = F.struct("captured_at", "crawl_id")
-    out = steps.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("captured_at", "crawl_id", "rank"))).alias("__path"),
-        F.max_by("rank", when).alias("current_rank"),
-        F.max_by(F.when(F.col("rank") != F.col("__now"), F.col("rank")), F.when(F.col("rank") != F.col("__now"), when)).alias("previous_rank"),
-        F.count(F.lit(1)).alias("observations"),
-        F.count_distinct("crawl_id").alias("crawls"),
-        F.coalesce(F.bool_or(F.col("rank") < F.col("__before")), F.lit(False)).alias("__up"),
-        F.coalesce(F.bool_or(F.col("rank") > F.col("__before")), F.lit(False)).alias("__down"),
-    )
+    path = known.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("captured_at", "crawl_id", "rank"))).alias("__path"))  # ``last`` entries at most
+    out = path.withColumns({"trajectory": F.col("__path.rank"), "observations": F.size("__path").cast("long"), "crawls": F.size(F.array_distinct(F.array_compact("__path.crawl_id"))).cast("long")})
+    out = out.withColumn("current_rank", F.element_at("trajectory", -1))
+    others = F.filter("trajectory", lambda r: r != F.col("current_rank"))
+    moves = F.zip_with(F.slice("trajectory", 2, F.size("trajectory")), F.slice("trajectory", 1, F.size("trajectory") - 1), lambda now, before: F.signum(now - before))
+    out = out.withColumns({"previous_rank": F.get(others, F.size(others) - 1), "__moves": moves})
+    out = out.withColumns({"__up": F.array_contains("__moves", -1.0), "__down": F.array_contains("__moves", 1.0)})
     enough = (F.col("observations") >= 4) & (F.col("crawls") >= 3)
     momentum = F.when(enough & F.col("__up") & ~F.col("__down"), "IMPROVING").when(enough & F.col("__down") & ~F.col("__up"), "DECLINING").when(enough & ~F.col("__up") & ~F.col("__down"), "STABLE")
     return out.select(
         *keys,
-        F.transform("__path", lambda p: p["rank"]).alias("trajectory"),
+        "trajectory",
         "current_rank",
         "previous_rank",
         (F.col("previous_rank") - F.col("current_rank")).alias("delta"),

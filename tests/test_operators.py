@@ -254,3 +254,32 @@ def test_a_cluster_needs_a_shared_folder():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_root(SimpleNamespace(conf={}, sparkContext=context))
+
+
+def test_no_window_holds_a_whole_store(spark, small):
+    """Ranks are counted by blocks, ends of stores are joined; both came from windows over a store (and year)."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from driftline.operators import signals as S
+    from driftline.plans import derived as D
+    from driftline.plans import signals as plans
+
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    ranks = text(D.catalog(spark, small).select("store_id", "bestseller_rank"))
+    wide = [line for line in ranks.splitlines() if "row_number()" in line and "Window" in line]
+    assert wide and all(re.search(r"\[store_id#\d+, year#\d+L?, units#\d+L?, __block#\d+L?\]", line) for line in wide)
+    assert all("Window" not in text(df) for df in plans._presence(spark, small)[:2])
+
+    rows = spark.range(400).select((F.col("id") % 2).alias("store_id"), F.lit(1998).alias("year"), (F.col("id") * 1000).alias("part"), (F.col("id") % 3).alias("units"))
+    got = D._ranked(rows).collect()
+    for store in (0, 1):
+        mine = sorted((r for r in got if r.store_id == store), key=lambda r: (-r.units, r.part))
+        assert [r.bestseller_rank for r in mine] == list(range(200))
+
+    seen = spark.createDataFrame([(1, "a", c, c, r) for c, r in enumerate((5, None, 4, 4, 2))], "store_id int, external_id string, crawl_id int, captured_at int, rank long")
+    said = S.rank_signals(seen)
+    assert text(said).count("Window ") == 1
+    r = said.first()
+    assert (r.trajectory, r.current_rank, r.previous_rank, r.observations, r.crawls, r.momentum) == ([5, 4, 4, 2], 2, 4, 4, 4, "IMPROVING")
