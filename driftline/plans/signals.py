@@ -88,13 +88,13 @@ def overall_momentum(spark: SparkSession, sf: str) -> DataFrame:
 def _presence(spark: SparkSession, sf: str, catalog: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Crawls (years), products and their transitions, read out of the years in which a product was there (``catalog``, written once, if there is none yet)."""
     columns = ["store_id", "external_id", "year"]
-    rows = written(D.catalog(spark, sf).select(*columns), "presence") if catalog is None else catalog.select(*columns)
+    rows = written(D.catalog(spark, sf, ranked=False).select(*columns), "presence") if catalog is None else catalog.select(*columns)
     stamp = lambda y: F.make_date(y, F.lit(12), F.lit(31)).cast("timestamp_ntz")
     crawls = rows.select("store_id", stamp(F.col("year")).alias("finished_at")).distinct()
     w = Window.partitionBy("store_id", "external_id").orderBy("year")
     gaps = rows.withColumn("before", F.lag("year").over(w))
-    ends = F.max("year").over(Window.partitionBy("store_id"))
-    last = rows.withColumn("end", ends).groupBy("store_id", "external_id").agg(F.min("year").alias("first"), F.max("year").alias("last"), F.max("end").alias("end"))
+    ends = rows.groupBy("store_id").agg(F.max("year").alias("end"))  # joined: a window would bring a whole store into one task
+    last = rows.groupBy("store_id", "external_id").agg(F.min("year").alias("first"), F.max("year").alias("last")).join(ends, "store_id")
     gone = F.col("last") < F.col("end")
     products = last.select("store_id", "external_id", stamp(F.col("first")).alias("first_seen_at"), F.when(gone, "REMOVED").otherwise("ACTIVE").alias("status"), F.when(gone, stamp(F.col("last") + 1)).alias("missing_since"))
     holes = gaps.where(F.col("year") > F.col("before") + 1)
