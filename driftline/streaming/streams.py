@@ -110,52 +110,47 @@ def signups_then_purchases(stream: DataFrame, time: str = "ts", within: str = "1
 class _Ordered(StatefulProcessor):
     """Rows of a key, decided in order of time once the watermark has passed them.
 
-    Rows wait in a list; a timer fires when the watermark has passed the newest of those
-    that came together. Of a key only the rows within the delay and what ``decide`` remembers are held.
+    Rows wait in a list; a timer fires when the watermark has passed the first of those that came
+    together, decides all that it has passed by then, and is set again for the first of the rest: calls and timers of a key
+    don't grow with its rows. Of a key only the rows within the delay and what ``decided`` remembers are held.
     """
 
-    def __init__(self, waiting: str, memory: str):
-        self.waiting, self.memory = waiting, memory
+    def __init__(self, waiting: str):
+        self.waiting = waiting
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.list = handle.getListState("waiting", self.waiting)
-        self.kept = handle.getValueState("memory", self.memory)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        some = []
+        some, first = [], None
         for row in rows:
             if self.counts(row):
                 some.append(self.wait(row))
+                first = some[-1][0] if first is None else min(first, some[-1][0])
                 if len(some) == 1024:
-                    self.keep(some)
+                    self.list.appendList(some)
                     some = []
         if some:
-            self.keep(some)
+            self.list.appendList(some)
+        if first is not None:
+            self.alarm(first)
         return iter(())
 
-    def keep(self, some: list[tuple]) -> None:
-        self.list.appendList(some)
-        for at in self.alarms(some):
-            self.handle.registerTimer(self.due(at) // 1000 + 1)
-
-    def alarms(self, some: list[tuple]) -> set[int]:
-        return {max(w[0] for w in some)}
+    def alarm(self, at: int) -> None:
+        self.handle.registerTimer(self.due(at) // 1000 + 1)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        waiting = list(self.list.get()) if self.list.exists() else []
-        ready = sorted(w for w in waiting if self.due(w[0]) < passed)
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        waiting = sorted(self.list.get()) if self.list.exists() else []
+        out = self.decided(key, waiting, passed)
         left = [w for w in waiting if self.due(w[0]) >= passed]
-        memory, out = self.decided(key, ready, self.kept.get() if self.kept.exists() else None, passed)
         if left:
-            self.list.put(left)
-        else:
+            if len(left) < len(waiting):
+                self.list.put(left)
+            self.alarm(left[0][0])
+        elif waiting:
             self.list.clear()
-        if memory is None:
-            self.kept.clear()
-        else:
-            self.kept.update(memory)
         return iter(out)
 
     def close(self) -> None:
@@ -164,9 +159,13 @@ class _Ordered(StatefulProcessor):
 
 class _Limit(_Ordered):
     def __init__(self, limit: int, span: int, time: str, tie: str):
-        super().__init__("at long, id long", "begun long, n long")
+        super().__init__("at long, id long")
         self.limit, self.span, self.time, self.tie = limit, span, time, tie
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("memory", "begun long, n long")
+
     def counts(self, row: Row) -> bool:
         return row[self.time] is not None and row[self.tie] is not None
 
@@ -176,18 +175,23 @@ class _Limit(_Ordered):
     def due(self, at: int) -> int:
         return at
 
-    def decided(self, key: tuple, ready: list[tuple], memory: tuple | None, passed: int) -> tuple[tuple | None, list[Row]]:
-        begun, n = memory or (None, 0)
+    def decided(self, key: tuple, waiting: list[tuple], passed: int) -> list[Row]:
+        known = self.kept.exists()
+        begun, n = self.kept.get() if known else (None, 0)
         out = []
-        for at, tie in ready:
+        for at, tie in waiting:
+            if at >= passed:
+                break
             if begun is None or at >= begun + self.span:
                 begun, n = at, 0
             n += 1
             out.append(Row(key=key[0], id=tie, allowed=n <= self.limit))
-        if begun is None or begun + self.span < passed:
-            return None, out  # the window is over: the key is forgotten
-        self.handle.registerTimer((begun + self.span) // 1000 + 1)
-        return (begun, n), out
+        if begun is not None and begun + self.span >= passed:
+            self.kept.update((begun, n))
+            self.handle.registerTimer((begun + self.span) // 1000 + 1)
+        elif known:
+            self.kept.clear()  # the window is over: the key is forgotten
+        return out
 
 
 def limited(stream: DataFrame, key: str, limit: int, seconds: int, time: str = "ts", tie: str = "event_id", delay: str = "1 hour") -> DataFrame:
@@ -206,7 +210,7 @@ class _Stale(_Ordered):
     """Starts wait for their deadline; an end waits as long, by when no start before it is open."""
 
     def __init__(self, span: int, starts: str, ends: str):
-        super().__init__("at long, id long, ends boolean", "unused boolean")
+        super().__init__("at long, id long, ends boolean")
         self.span, self.starts, self.ends = span, starts, ends
 
     def counts(self, row: Row) -> bool:
@@ -215,34 +219,24 @@ class _Stale(_Ordered):
     def wait(self, row: Row) -> tuple:
         return (row["at"], row["id"], row["kind"] == self.ends)
 
-    def alarms(self, some: list[tuple]) -> set[int]:
-        return {at for at, _, ends in some if not ends} | {max(w[0] for w in some)}
-
     def due(self, at: int) -> int:
         return at + self.span
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        waiting = sorted(self.list.get()) if self.list.exists() else []
+    def decided(self, key: tuple, waiting: list[tuple], passed: int) -> list[Row]:
         out, following = [], None
         for at, i, ends in reversed(waiting):  # the next end at or after each start
             if ends:
                 following = at
             elif at + self.span < passed and not (following is not None and following <= at + self.span):
                 out.append(Row(key=key[0], id=i, at=at, deadline=at + self.span))
-        left = [w for w in waiting if self.due(w[0]) >= passed]
-        if left:
-            self.list.put(left)
-        else:
-            self.list.clear()
-        return iter(out)
+        return out
 
 
 def stale_runs(stream: DataFrame, key: str, kind: str, starts: str, ends: str, seconds: int, time: str = "ts", tie: str = "event_id", delay: str = "1 hour") -> DataFrame:
     """Starts that no end of the same key has followed within ``seconds``: the key, ``tie``, ``started`` and ``deadline``.
 
-    Nothing has to arrive for a row to come out: each start sets a timer for its
-    deadline, and is forgotten then. An end at the very time of a start ends it.
+    Nothing has to arrive for a row to come out: a timer is set for the first deadline
+    of a key, and a start is forgotten once its own is over. An end at the very time of a start ends it.
     """
     rows = stream.withWatermark(time, delay).select(F.col(key).alias("key"), F.col(tie).cast("long").alias("id"), F.col(kind).alias("kind"), F.unix_micros(time).alias("at"), F.col(time))
     made = rows.groupBy("key").transformWithState(_Stale(seconds * 1_000_000, starts, ends), f"key {rows.schema['key'].dataType.simpleString()}, id long, at long, deadline long", "Append", "EventTime")

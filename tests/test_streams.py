@@ -140,3 +140,25 @@ def test_anonymous_callers_against_a_loop(spark, most, ceiling, addresses):
     assert {r.request_id: r.outcome for r in got.collect()} == plain_anonymous(requests, most, ceiling, 6, 2) | {999: "CIRCUIT_OPEN"}
     assert got.columns == [*frame.columns, "outcome"]
     assert ledger.anonymous(frame.limit(0), most=1, ceiling=1).count() == 0
+
+
+@pytest.mark.parametrize("made", [lambda: T._Stale(1000, "s", "e"), lambda: T._Limit(3, 1000, "at", "id")])
+def test_one_timer_decides_all_that_the_watermark_has_passed(made):
+    """There were a timer and a read of the whole list for each start, or 1024 requests."""
+    from types import SimpleNamespace as N
+
+    class State:
+        value = None
+        exists = lambda self: bool(self.value)
+        get = lambda self: self.value
+        appendList = lambda self, more: setattr(self, "value", (self.value or []) + more)
+        put = update = lambda self, value: setattr(self, "value", value)
+        clear = lambda self: setattr(self, "value", None)
+
+    timers, it = [], made()
+    it.init(N(getListState=lambda *a: State(), getValueState=lambda *a: State(), registerTimer=timers.append))
+    list(it.handleInputRows((1,), iter([{"at": 5000 * i, "id": i, "kind": "s"} for i in range(3000)]), None))
+    assert len(timers) == 1
+    out = list(it.handleExpiredTimer((1,), N(getCurrentWatermarkInMs=lambda: 10_000), N(getExpiryTimeInMs=lambda: timers[0])))
+    assert sorted(r.id for r in out) == list(range(2000)) and len(it.list.get()) == 1000
+    assert len(timers) == 2
