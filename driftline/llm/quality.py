@@ -19,11 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.columns import WHITE, let, words_of
+from driftline.session import written
 
 #: Features of the multinomials.
 BUCKETS = 10_000
-#: Trusted rows that are used at most: those with the smallest hashes of their ids.
-TRUSTED_ROWS = 20_000
 #: Weight of the raw multinomial in the target's, in features.
 PRIOR = 10_000.0
 #: The part of trusted documents that may score below the threshold.
@@ -90,24 +89,22 @@ def base_counts(text: Column, words: Column, pairs: Column) -> dict[str, Column]
     }
 
 
-def count_features(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[list[int], list[int]]:
-    """How often each feature occurs in all documents, and in the trusted ones, of which ``trusted`` holds the ids."""
-    words = docs.select(id_col, words_of(F.col(text)).alias("word")).where(F.size("word") > 0)
+def _counts(docs: DataFrame, text: str) -> list[int]:
+    """How often each feature occurs."""
+    words = docs.select(words_of(F.col(text)).alias("word")).where(F.size("word") > 0)
     words = words.withColumn("before", F.concat(F.array(F.lit(None).cast("string")), F.slice("word", 1, F.size("word") - 1)))
-    marked = words.join(_trusted_ids(trusted, id_col), F.col(id_col) == F.col("__trusted"), "left")
-    each = marked.select(F.col("__trusted").isNotNull().alias("__good"), F.inline(F.arrays_zip("word", "before")))
-    hashes = each.select("__good", "before", F.xxhash64("word").alias("h"))
+    hashes = words.select(F.inline(F.arrays_zip("word", "before"))).select("before", F.xxhash64("word").alias("h"))
     pair = F.when(F.col("before").isNotNull(), _feature(F.xxhash64(F.xxhash64("before"), F.col("h"))))
-    counts = (
-        hashes.select("__good", F.stack(F.lit(2), _feature(F.col("h")), pair).alias("feature"))
-        .where(F.col("feature").isNotNull())
-        .groupBy("feature")
-        .agg(F.count(F.lit(1)).alias("raw"), F.count_if("__good").alias("target"))
-    )
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for row in counts.collect():  # BUCKETS rows at most
-        raw[row.feature], target[row.feature] = row.raw, row.target
-    return raw, target
+    features = hashes.select(F.stack(F.lit(2), _feature(F.col("h")), pair).alias("feature")).where(F.col("feature").isNotNull())
+    found = [0] * BUCKETS
+    for row in features.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect():  # BUCKETS rows at most
+        found[row.feature] = row.n
+    return found
+
+
+def count_features(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[list[int], list[int]]:
+    """How often each feature occurs in all documents, and in the trusted ones, of which ``trusted`` holds the ids."""
+    return _counts(docs, text), _counts(_trusted_docs(docs, trusted, id_col, text), text)
 
 
 def _raw_shares(raw: list[int]) -> list[float]:
@@ -139,7 +136,7 @@ def _score_without(hashes: Column, pairs: Column, raw: list[int], target: list[i
     """The score that a trusted document would have if it weren't one: its own features are taken out of the target."""
     shares = _raw_shares(raw)
     log_share, lean = _constant([math.log(p) for p in shares]), _constant([t + PRIOR * p for t, p in zip(target, shares, strict=True)])
-    features = F.array_sort(F.concat(F.transform(hashes, _feature), F.transform(pairs, _feature)))
+    features = F.sort_array(F.concat(F.transform(hashes, _feature), F.transform(pairs, _feature)))
 
     def add(total: Column, feature: Column, run: Column) -> Column:
         return F.when(run == 0, total).otherwise(total + run * (F.log(F.get(lean, feature) - run) - F.get(log_share, feature)))
@@ -155,14 +152,14 @@ def _score_without(hashes: Column, pairs: Column, raw: list[int], target: list[i
     return total / n - F.log(F.lit(sum(target) + PRIOR) - n)
 
 
-def _trusted_ids(trusted: DataFrame, id_col: str) -> DataFrame:
-    """TRUSTED_ROWS ids at most."""
-    ids = trusted.select(F.col(id_col).alias("__trusted")).where(F.col("__trusted").isNotNull()).distinct()
-    return F.broadcast(ids.orderBy(F.xxhash64("__trusted"), "__trusted").limit(TRUSTED_ROWS))
+def _trusted_docs(docs: DataFrame, trusted: DataFrame, id_col: str, text: str) -> DataFrame:
+    """All trusted documents; the ids are broadcast only while Spark finds them small enough."""
+    ids = trusted.select(F.col(id_col)).where(F.col(id_col).isNotNull())
+    return docs.select(id_col, text).join(ids, id_col, "left_semi")
 
 
-def fit_threshold(docs: DataFrame, trusted: DataFrame, raw: list[int], target: list[int], id_col: str = "doc_id", text: str = "text") -> float:
-    """The least score of a kept document: the LEAST quantile of the trusted documents' scores.
+def fit_threshold(good: DataFrame, raw: list[int], target: list[int], text: str = "text") -> float:
+    """The least score of a kept document: the LEAST quantile of the scores of the trusted documents ``good``.
 
     A trusted document scores higher than its like by ratios that it has a part in,
     so each is scored with its own features taken out of the target; that is how a
@@ -171,8 +168,7 @@ def fit_threshold(docs: DataFrame, trusted: DataFrame, raw: list[int], target: l
     """
     if not any(target):
         return -math.inf
-    chosen = docs.select(id_col, text).join(_trusted_ids(trusted, id_col), F.col(id_col) == F.col("__trusted"))
-    scored = _with_hashes(chosen, text).where(F.size("__words") >= MIN_WORDS)
+    scored = _with_hashes(good, text).where(F.size("__words") >= MIN_WORDS)
     found = scored.select(_score_without(F.col("__hashes"), F.col("__pairs"), raw, target).alias("score")).agg(F.percentile("score", F.lit(LEAST))).first()[0]
     return -math.inf if found is None else found
 
@@ -185,9 +181,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     empty result; columns of the result replace columns of ``docs`` that have the
     same names.
     """
-    raw, target = count_features(docs, trusted, id_col, text)
+    good = written(_trusted_docs(docs, trusted, id_col, text), "trusted")  # so that texts meet the ids once
+    raw, target = _counts(docs, text), _counts(good, text)
     fitted = ratios(raw, target)
-    threshold = fit_threshold(docs, trusted, raw, target, id_col, text)
+    threshold = fit_threshold(good, raw, target, text)
     hashed = _with_hashes(docs, text)
     counts = base_counts(F.col(text), F.col("__words"), F.col("__pairs"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

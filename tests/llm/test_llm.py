@@ -885,3 +885,12 @@ def test_the_rest_works_without_this_subpackage(tmp_path):
     for path in (root / "driftline").rglob("*.py"):
         assert "llm" in path.parts or "driftline.llm" not in path.read_text()
 
+
+
+def test_every_trusted_document_counts(spark):
+    """Beyond 20,000 trusted documents the rest was left out."""
+    from driftline.llm import quality
+
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    raw, target = quality.count_features(docs, docs.select("doc_id"))
+    assert sum(raw) == sum(target) == 20_500
