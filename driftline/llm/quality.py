@@ -30,6 +30,8 @@ LEAST = 0.001
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+#: Places in the sieve of trusted ids, a bit each: 4 MB.
+PLACES = 2**25
 SYMBOLS = r"[#*$%&|<>]+"
 
 
@@ -89,22 +91,26 @@ def base_counts(text: Column, words: Column, pairs: Column) -> dict[str, Column]
     }
 
 
-def _counts(docs: DataFrame, text: str) -> list[int]:
-    """How often each feature occurs."""
-    words = docs.select(words_of(F.col(text)).alias("word")).where(F.size("word") > 0)
+def _counts(tallied: DataFrame, rest: DataFrame, text: str) -> tuple[list[int], list[int]]:
+    """How often each feature occurs in all documents, which lie in ``tallied`` or ``rest``, and in the trusted ones."""
+    words = rest.select(words_of(F.col(text)).alias("word")).where(F.size("word") > 0)
     words = words.withColumn("before", F.concat(F.array(F.lit(None).cast("string")), F.slice("word", 1, F.size("word") - 1)))
     hashes = words.select(F.inline(F.arrays_zip("word", "before"))).select("before", F.xxhash64("word").alias("h"))
     pair = F.when(F.col("before").isNotNull(), _feature(F.xxhash64(F.xxhash64("before"), F.col("h"))))
     features = hashes.select(F.stack(F.lit(2), _feature(F.col("h")), pair).alias("feature")).where(F.col("feature").isNotNull())
-    found = [0] * BUCKETS
+    raw, target = [0] * BUCKETS, [0] * BUCKETS
     for row in features.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect():  # BUCKETS rows at most
-        found[row.feature] = row.n
-    return found
+        raw[row.feature] = row.n
+    known = _each(tallied, "__trusted").groupBy("feature")
+    for row in known.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("__trusted"), F.col("n")).otherwise(0)).alias("trusted")).collect():
+        raw[row.feature] += row.n
+        target[row.feature] = row.trusted
+    return raw, target
 
 
 def count_features(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[list[int], list[int]]:
     """How often each feature occurs in all documents, and in the trusted ones, of which ``trusted`` holds the ids."""
-    return _counts(docs, text), _counts(_trusted_docs(docs, trusted, id_col, text), text)
+    return _counts(*_split(docs, trusted, id_col, text), text)
 
 
 def _raw_shares(raw: list[int]) -> list[float]:
@@ -132,34 +138,59 @@ def _score(hashes: Column, pairs: Column, fitted: list[float]) -> Column:
     return F.when(F.size(hashes) == 0, F.lit(0.0)).otherwise(total / (F.size(hashes) + F.size(pairs)))
 
 
-def _score_without(hashes: Column, pairs: Column, raw: list[int], target: list[int]) -> Column:
-    """The score that a trusted document would have if it weren't one: its own features are taken out of the target."""
+def _with_tally(hashed: DataFrame) -> DataFrame:
+    """Add ``features``, those of a text in ascending order, and ``times``, how often each occurs."""
+    some = lambda h: F.coalesce(_feature(h), F.lit(0))  # noqa: E731  # never null, and known not to be: arrays of such integers are sorted fast
+    every = hashed.withColumn("__every", F.sort_array(F.concat(F.transform("__hashes", some), F.transform("__pairs", some))))
+    starts = F.filter(F.transform("__every", lambda f, i: F.when((i == 0) | (f != F.get("__every", i - 1)), i)), F.isnotnull)
+    bounds = every.withColumn("features", F.array_distinct("__every")).withColumn("__starts", starts)
+    ends = F.concat(F.slice("__starts", 2, F.greatest(F.size("__starts") - 1, F.lit(0))), F.array(F.size("__every")))
+    return bounds.withColumn("times", F.when(F.size("features") > 0, F.zip_with(ends, "__starts", lambda end, start: end - start)))
+
+
+def _each(tallied: DataFrame, *columns: str) -> DataFrame:
+    """A row for each feature of a text, with the ``n`` times that it occurs."""
+    return tallied.select(*columns, "times", F.posexplode("features").alias("i", "feature")).select(*columns, "feature", F.get("times", F.col("i")).alias("n"))
+
+
+def _scores_without(tallied: DataFrame, raw: list[int], target: list[int]) -> DataFrame:
+    """The scores that trusted documents would have if they weren't: the own features of each are taken out of the target."""
     shares = _raw_shares(raw)
     log_share, lean = _constant([math.log(p) for p in shares]), _constant([t + PRIOR * p for t, p in zip(target, shares, strict=True)])
-    features = F.sort_array(F.concat(F.transform(hashes, _feature), F.transform(pairs, _feature)))
+    each = F.col("n") * (F.log(F.get(lean, F.col("feature")) - F.col("n")) - F.get(log_share, F.col("feature")))
+    sums = _each(tallied.withColumn("__row", F.monotonically_increasing_id()), "__row").groupBy("__row").agg(F.sum(each).alias("total"), F.sum("n").alias("n"))
+    return sums.select((F.col("total") / F.col("n") - F.log(F.lit(sum(target) + PRIOR) - F.col("n"))).alias("score"))
+
 
-    def add(total: Column, feature: Column, run: Column) -> Column:
-        return F.when(run == 0, total).otherwise(total + run * (F.log(F.get(lean, feature) - run) - F.get(log_share, feature)))
+def _sifted(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Add ``__likely``: true of all documents with one of the ids and, by chance, of some others, whose id shares one of PLACES places with such an id.
 
-    def step(s: Column, f: Column) -> Column:
-        same = s["f"] == f
-        done = F.when(same, s["total"]).otherwise(add(s["total"], s["f"], s["run"]))
-        return F.struct(f.alias("f"), F.when(same, s["run"] + 1).otherwise(F.lit(1)).alias("run"), done.alias("total"))
+    What is broadcast is a bit for each place, in rows of 64: PLACES / 64 rows at most, however many ids there are.
+    """
+    if docs.schema[id_col].dataType != ids.schema[id_col].dataType:  # equal ids may have different hashes
+        return docs.withColumn("__likely", F.lit(True))
+    place = F.pmod(F.xxhash64(id_col), F.lit(PLACES))
+    row, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    taken = ids.select(row.alias("__row"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__bit")).groupBy("__row").agg(F.bit_or("__bit").alias("__bits"))
+    likely = F.coalesce(F.bit_get("__bits", bit) == 1, F.lit(False))
+    return docs.join(F.broadcast(taken), row == F.col("__row"), "left").withColumn("__likely", likely).drop("__row", "__bits")
 
-    start = F.struct(F.lit(-1).alias("f"), F.lit(0).alias("run"), F.lit(0.0).alias("total"))
-    total = F.aggregate(features, start, step, lambda s: add(s["total"], s["f"], s["run"]))
-    n = F.size(hashes) + F.size(pairs)
-    return total / n - F.log(F.lit(sum(target) + PRIOR) - n)
 
+def _split(docs: DataFrame, trusted: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``n_words``, ``features`` with their ``times``, and ``__trusted`` of all trusted documents and some others; the texts of the rest.
 
-def _trusted_docs(docs: DataFrame, trusted: DataFrame, id_col: str, text: str) -> DataFrame:
-    """All trusted documents; the ids are broadcast only while Spark finds them small enough."""
+    Texts meet the ids, of which ``trusted`` has the rows, by a shuffle at any size, but only those that a bounded sieve of the ids lets pass.
+    """
     ids = trusted.select(F.col(id_col)).where(F.col(id_col).isNotNull())
-    return docs.select(id_col, text).join(ids, id_col, "left_semi")
+    sifted = _sifted(docs.select(id_col, text), ids, id_col)
+    known = ids.distinct().select(F.col(id_col).alias("__trusted")).hint("merge")
+    met = sifted.where("__likely").join(known, F.col(id_col) == F.col("__trusted"), "left").withColumn("__trusted", F.col("__trusted").isNotNull())
+    tallied = _with_tally(_with_hashes(met, text)).select(F.size("__words").alias("n_words"), "features", "times", "__trusted")
+    return tallied, sifted.where(~F.col("__likely")).select(text)
 
 
-def fit_threshold(good: DataFrame, raw: list[int], target: list[int], text: str = "text") -> float:
-    """The least score of a kept document: the LEAST quantile of the scores of the trusted documents ``good``.
+def fit_threshold(tallied: DataFrame, raw: list[int], target: list[int]) -> float:
+    """The least score of a kept document: the LEAST quantile of the scores of the trusted documents, which ``tallied`` holds.
 
     A trusted document scores higher than its like by ratios that it has a part in,
     so each is scored with its own features taken out of the target; that is how a
@@ -168,9 +199,18 @@ def fit_threshold(good: DataFrame, raw: list[int], target: list[int], text: str
     """
     if not any(target):
         return -math.inf
-    scored = _with_hashes(good, text).where(F.size("__words") >= MIN_WORDS)
-    found = scored.select(_score_without(F.col("__hashes"), F.col("__pairs"), raw, target).alias("score")).agg(F.percentile("score", F.lit(LEAST))).first()[0]
-    return -math.inf if found is None else found
+    return _least_quantile(written(_scores_without(tallied.where(F.col("n_words") >= MIN_WORDS), raw, target), "scores"))
+
+
+def _least_quantile(scored: DataFrame) -> float:
+    """The exact LEAST quantile, between two scores in proportion; of all scores only the lowest are sorted."""
+    n = scored.count()
+    if not n:
+        return -math.inf
+    place = LEAST * (n - 1)
+    bound = scored.agg(F.percentile_approx("score", min(1.0, 2 * LEAST + 2 / n))).first()[0]  # not exact, but beyond the place
+    low = [r.score for r in scored.where(F.col("score") <= bound).orderBy("score").offset(int(place)).limit(2).collect()]
+    return low[0] if len(low) == 1 else (int(place) + 1 - place) * low[0] + (place - int(place)) * low[1]
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,10 +221,11 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     empty result; columns of the result replace columns of ``docs`` that have the
     same names.
     """
-    good = written(_trusted_docs(docs, trusted, id_col, text), "trusted")  # so that texts meet the ids once
-    raw, target = _counts(docs, text), _counts(good, text)
+    met, rest = _split(docs, trusted, id_col, text)
+    tallied = written(met, "tallied")  # so that texts meet the ids once
+    raw, target = _counts(tallied, rest, text)
     fitted = ratios(raw, target)
-    threshold = fit_threshold(good, raw, target, text)
+    threshold = fit_threshold(tallied.where("__trusted"), raw, target)
     hashed = _with_hashes(docs, text)
     counts = base_counts(F.col(text), F.col("__words"), F.col("__pairs"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

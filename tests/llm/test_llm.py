@@ -894,3 +894,40 @@ def test_every_trusted_document_counts(spark):
     docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
     raw, target = quality.count_features(docs, docs.select("doc_id"))
     assert sum(raw) == sum(target) == 20_500
+
+
+def test_only_texts_that_may_be_trusted_are_shuffled(spark, monkeypatch):
+    """All texts were shuffled to meet the ids once these were too many to broadcast, and none before."""
+    from driftline.llm import quality
+
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.col("id") % k) for k in range(3, 28)]).alias("text"))
+    seen, written = [], quality.written
+    monkeypatch.setattr(quality, "written", lambda df, name: seen.append(df) or written(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            seen.clear()
+            assert quality.quality_rules(docs, docs.where("doc_id % 100 = 0")).count() == 20_000
+            assert seen[0].count() < 300
+            plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_target_does_not_depend_on_the_sieve(spark, monkeypatch):
+    from driftline.llm import quality
+
+    rows = [(i % 90, " ".join(f"w{(i * j) % 13}" for j in range(i % 40))) for i in range(300)] + [(None, "a b a"), (7, None), (8, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = [*range(0, 90, 7), 0, 7, None, 1000]
+    good = [t or "" for i, t in rows if i is not None and i in ids]
+    size = lambda texts: sum(max(0, 2 * len(t.split()) - 1) for t in texts)
+    found = []
+    for places in (quality.PLACES, 64, 128):  # hardly one, nearly all, and some documents pass by chance
+        for kind in ("long", "int"):
+            monkeypatch.setattr(quality, "PLACES", places)
+            found.append(quality.count_features(docs, spark.createDataFrame([(i,) for i in ids], f"doc_id {kind}")))
+    assert all(x == found[0] for x in found)
+    assert (sum(found[0][0]), sum(found[0][1])) == (size(t or "" for _, t in rows), size(good))
